@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, warc
+from . import bpe, mixing, quality, sharding, simhash, warc
 
 #: Target weights of the twenty sources: the largest is brought down to a tenth, the rest share evenly.
 SOURCE_WEIGHTS = {"src0": 0.1} | {f"src{i}": 0.9 / 19 for i in range(1, 20)}
@@ -51,7 +52,21 @@ def op3_resolve_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "seq", "record_id", "canonical_url", "status", "outcome", "source_id", shown.alias("headers"))
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_shard": op2_shard, "op3_resolve_revisits": op3_resolve_revisits}
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_shard": op2_shard, "op3_resolve_revisits": op3_resolve_revisits, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_bpe": op6_bpe}
 
 _CANON = r"""regexp_replace(regexp_replace(lower(regexp_extract(bare, '^(?:[hH][tT][tT][pP][sS]?://)?([^/?]*)', 1)), ':(80|443)$', ''), '^(www[0-9]*|m)\.', '')
  || regexp_replace(regexp_extract(bare, '^(?:[hH][tT][tT][pP][sS]?://)?[^/?]*([^?]*)', 1), '/+$', '')
