@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 #: Bytes of one Arrow batch sent to a Python worker; a longer single row still travels whole.
 BATCH_BYTES = 4 << 20
 _OWN_DIR: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,8 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR.setdefault("dir", tempfile.mkdtemp(prefix="factloom-"))
 
 
+def _ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers once, wherever it is installed on the driver."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        top = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="factloom-")) / f"{top.name}.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        context.addPyFile(str(target))
+        _SHIPPED.add(context.applicationId)
+
+
 def python_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session by bytes, so that long documents don't pile up in a worker."""
+    """Makes ready for Python workers: the package is sent to them, and this session's Arrow batches are bounded by bytes,
+    so that long documents don't pile up in a worker."""
+    _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
