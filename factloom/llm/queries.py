@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, debruijn, mixing, quality, sharding, simhash, warc
+from . import bpe, debruijn, gridjoin, mixing, quality, sharding, simhash, tokenfile, warc
+from .common import Workspace
 
 #: Target weights of the twenty sources: the largest is brought down to a tenth, the rest share evenly.
 SOURCE_WEIGHTS = {"src0": 0.1} | {f"src{i}": 0.9 / 19 for i in range(1, 20)}
@@ -71,7 +72,17 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_shard": op2_shard, "op3_resolve_revisits": op3_resolve_revisits, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_bpe": op6_bpe, "op8_substring_dedup": op8_substring_dedup}
+def op7_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gridjoin.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{Workspace(spark, 'tokenfile').base}/files"
+    tokenfile.write(_read(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokenfile.read(spark, folder).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_shard": op2_shard, "op3_resolve_revisits": op3_resolve_revisits, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_bpe": op6_bpe, "op7_grid_join": op7_grid_join, "op8_substring_dedup": op8_substring_dedup, "op9_token_file": op9_token_file}
 
 _CANON = r"""regexp_replace(regexp_replace(lower(regexp_extract(bare, '^(?:[hH][tT][tT][pP][sS]?://)?([^/?]*)', 1)), ':(80|443)$', ''), '^(www[0-9]*|m)\.', '')
  || regexp_replace(regexp_extract(bare, '^(?:[hH][tT][tT][pP][sS]?://)?[^/?]*([^?]*)', 1), '/+$', '')
