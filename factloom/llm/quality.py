@@ -142,7 +142,48 @@ def threshold(histogram: list[tuple[int, int, int]], keep_good: float) -> int:
     return int(best.max())
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = 100, sample: int = 256, fit_rows: int = 20000, keep_good: float = 0.999, seed: int = 0, min_words: int = 50) -> DataFrame:
+class Judge:
+    """A grown forest and the bin of the score from which it rejects."""
+
+    def __init__(self, forest: IsolationForest, cut: int, min_words: int) -> None:
+        self.forest, self.cut, self.min_words = forest, cut, min_words
+
+    def failed(self, counts: np.ndarray) -> np.ndarray:
+        words, repeated = counts[:, COUNTS.index("n_words")], counts[:, COUNTS.index("n_repeat_words")]
+        return (words < self.min_words) | (100 * repeated > 50 * words)
+
+    def verdict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """base_failed, score and kept of rows of ``COUNTS``."""
+        failed, score = self.failed(counts), self.forest.score(features(counts))
+        return failed, score, ~failed & (np.floor(score * BINS) < self.cut)
+
+
+def _scored(rows: DataFrame, judge: Judge) -> DataFrame:
+    """``rows``, which have the counts, with base_failed, score and kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in COUNTS], axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, judge.verdict(counts))], [*b.schema.names, "base_failed", "score", "kept"])
+
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", base_failed boolean, score double, kept boolean")
+
+
+def calibrate(rows: DataFrame, labels: DataFrame, ws: Workspace, id_col: str = "doc_id", trees: int = 100, sample: int = 256, fit_rows: int = 20000, keep_good: float = 0.999, seed: int = 0, min_words: int = 50) -> Judge:
+    """The judge of documents whose counts are in ``rows`` (see ``judge``)."""
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    known = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max("quality").alias("quality"))
+    labelled = ws.stage(rows.where(~failed).join(known, "id").select("id", "quality", *COUNTS), "labelled")
+    chosen = labelled.orderBy(F.xxhash64(F.col("id"), F.lit(seed)), "id").limit(fit_rows).select(*COUNTS).collect()
+    judge = Judge(IsolationForest(trees, sample, seed), BINS + 1, min_words)
+    if chosen:
+        judge.forest.fit(features(np.array([tuple(r) for r in chosen], np.int64)))
+        histogram = _scored(labelled, judge).groupBy(F.floor(F.col("score") * BINS).cast("int").alias("bin"), F.col("quality").cast("int").alias("quality")).count()
+        judge.cut = threshold([tuple(r) for r in histogram.collect()], keep_good)
+    return judge
+
+
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: float) -> DataFrame:
     """(id_col, the counts, base_failed, score, kept) of every row of ``docs``.
 
     base_failed: fewer than ``min_words`` words, or more than half of the words repeated. kept: not base_failed and not
@@ -154,25 +195,21 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ws = Workspace(docs.sparkSession, "quality")
     rows = ws.stage(rule_statistics(docs, id_col, text_col), "statistics")
     ws.release()
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed)
-    known = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max("quality").alias("quality"))
-    labelled = ws.stage(rows.where("not base_failed").join(known, "id").select("id", "quality", *COUNTS), "labelled")
-    chosen = labelled.orderBy(F.xxhash64(F.col("id"), F.lit(seed)), "id").limit(fit_rows).select(*COUNTS).collect()
-    forest = IsolationForest(trees, sample, seed)
-    if chosen:
-        forest.fit(features(np.array([tuple(r) for r in chosen], np.int64)))
+    return _scored(rows, calibrate(rows, labels, ws, id_col, **settings)).withColumnRenamed("id", id_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in COUNTS], axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(forest.score(features(counts)))], [*b.schema.names, "score"])
 
-    scored = lambda t: t.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema) + ", score double")
-    place = F.floor(F.col("score") * BINS).cast("int")
-    histogram = scored(labelled).groupBy(place.alias("bin"), F.col("quality").cast("int").alias("quality")).count().collect() if chosen else []
-    cut = threshold([tuple(r) for r in histogram], keep_good)
-    out = scored(rows).withColumn("kept", ~F.col("base_failed") & (place < cut))
-    return out.withColumnRenamed("id", id_col)
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: float) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, all their columns, without moving a text between tasks: once the judge is
+    calibrated, each text's counts are taken again where it is read."""
+    ws = Workspace(docs.sparkSession, "quality")
+    rows = ws.stage(rule_statistics(docs, id_col, text_col), "statistics")
+    ws.release()
+    found = calibrate(rows, labels, ws, id_col, **settings)
+    at = docs.columns.index(text_col)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            counts = np.array([statistics(t or "") for t in b.column(at).to_pylist()], np.int64).reshape(-1, len(COUNTS))
+            yield b.filter(pa.array(found.verdict(counts)[2]))
 
+    return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, debruijn, gridjoin, mixing, quality, sharding, simhash, tokenfile, warc
+from . import bpe, debruijn, gridjoin, mixing, quality, secretscan, sharding, simhash, tokenfile, warc
 from .common import Workspace
 
 #: Target weights of the twenty sources: the largest is brought down to a tenth, the rest share evenly.
@@ -82,7 +82,16 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, folder).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_shard": op2_shard, "op3_resolve_revisits": op3_resolve_revisits, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_bpe": op6_bpe, "op7_grid_join": op7_grid_join, "op8_substring_dedup": op8_substring_dedup, "op9_token_file": op9_token_file}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.find_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    name = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    base = F.filter("secret_spans", lambda s: s["kind"] != "crf")
+    count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, name), ",")
+    return found.select("doc_id", *map(count, secretscan.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
+
+
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_shard": op2_shard, "op3_resolve_revisits": op3_resolve_revisits, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_bpe": op6_bpe, "op7_grid_join": op7_grid_join, "op8_substring_dedup": op8_substring_dedup, "op9_token_file": op9_token_file, "op10_secrets": op10_secrets}
 
 _CANON = r"""regexp_replace(regexp_replace(lower(regexp_extract(bare, '^(?:[hH][tT][tT][pP][sS]?://)?([^/?]*)', 1)), ':(80|443)$', ''), '^(www[0-9]*|m)\.', '')
  || regexp_replace(regexp_extract(bare, '^(?:[hH][tT][tT][pP][sS]?://)?[^/?]*([^?]*)', 1), '/+$', '')

@@ -140,5 +140,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without all but one of each group of near duplicates: the one with the smallest id stays, one row of it."""
+    ws = Workspace(docs.sparkSession, "simhash")
+    ids = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"))
+    ids = ws.stage(ids, "kept")
+    out = docs.join(ids.select("__id"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    return out if ids.where("__n > 1").isEmpty() else out.dropDuplicates([id_col])
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
