@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch sent to a Python worker; a longer single row still travels whole.
@@ -91,6 +91,18 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def bounded_sample(rows: DataFrame, most: int, *keys: Column) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hashes of ``keys``.
+
+    Rows are first thinned by the hash to about twice as many as are wanted, so that what tasks send on for the
+    final choice doesn't grow with the number of tasks.
+    """
+    have = max(1, rows.count())
+    place = F.xxhash64(F.lit("sample"), *keys)
+    share = min(1.0, (2 * most + 100) / have)
+    return rows.where(F.pmod(place, F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(F.pmod(place, F.lit(1 << 30)), place, *keys).limit(most)
+
+
 def components(ws: Workspace, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (src, dst), component being the smallest node reachable.
 

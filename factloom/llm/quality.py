@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, pieces, texts
+from .common import Workspace, bounded_sample, pieces, texts
 
 SEPARATORS = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -169,12 +169,12 @@ def _scored(rows: DataFrame, judge: Judge) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", base_failed boolean, score double, kept boolean")
 
 
-def calibrate(rows: DataFrame, labels: DataFrame, ws: Workspace, id_col: str = "doc_id", trees: int = 100, sample: int = 256, fit_rows: int = 20000, keep_good: float = 0.999, seed: int = 0, min_words: int = 50) -> Judge:
+def calibrate(rows: DataFrame, labels: DataFrame, ws: Workspace, id_col: str = "doc_id", trees: int = 100, sample: int = 256, fit_rows: int = 10000, keep_good: float = 0.999, seed: int = 0, min_words: int = 50) -> Judge:
     """The judge of documents whose counts are in ``rows`` (see ``judge``)."""
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     known = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max("quality").alias("quality"))
     labelled = ws.stage(rows.where(~failed).join(known, "id").select("id", "quality", *COUNTS), "labelled")
-    chosen = labelled.orderBy(F.xxhash64(F.col("id"), F.lit(seed)), "id").limit(fit_rows).select(*COUNTS).collect()
+    chosen = bounded_sample(labelled, fit_rows, F.col("id"), F.lit(seed)).select(*COUNTS).collect()
     judge = Judge(IsolationForest(trees, sample, seed), BINS + 1, min_words)
     if chosen:
         judge.forest.fit(features(np.array([tuple(r) for r in chosen], np.int64)))
