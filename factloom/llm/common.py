@@ -91,14 +91,14 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
-def bounded_sample(rows: DataFrame, most: int, *keys: Column) -> DataFrame:
+def bounded_sample(rows: DataFrame, most: int, *keys: Column, seed: int = 0) -> DataFrame:
     """At most ``most`` rows, those with the smallest hashes of ``keys``.
 
     Rows are first thinned by the hash to about twice as many as are wanted, so that what tasks send on for the
     final choice doesn't grow with the number of tasks.
     """
     have = max(1, rows.count())
-    place = F.xxhash64(F.lit("sample"), *keys)
+    place = F.xxhash64(F.lit(seed), *keys)
     share = min(1.0, (2 * most + 100) / have)
     return rows.where(F.pmod(place, F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(F.pmod(place, F.lit(1 << 30)), place, *keys).limit(most)
 

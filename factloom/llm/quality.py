@@ -174,7 +174,7 @@ def calibrate(rows: DataFrame, labels: DataFrame, ws: Workspace, id_col: str = "
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     known = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max("quality").alias("quality"))
     labelled = ws.stage(rows.where(~failed).join(known, "id").select("id", "quality", *COUNTS), "labelled")
-    chosen = bounded_sample(labelled, fit_rows, F.col("id"), F.lit(seed)).select(*COUNTS).collect()
+    chosen = bounded_sample(labelled, fit_rows, F.col("id"), seed=seed).select(*COUNTS).collect()
     judge = Judge(IsolationForest(trees, sample, seed), BINS + 1, min_words)
     if chosen:
         judge.forest.fit(features(np.array([tuple(r) for r in chosen], np.int64)))
