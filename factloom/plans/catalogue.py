@@ -1,4 +1,533 @@
 """Every query of the engine over the driver's tables, and the DuckDB SQL that must give the same rows."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import evidence, labels, parsing, reward, text
+from ..operators import context, datasets, episodes, inference, metrics, search, traces
+from ..operators import index as ix
+from ..sources import io
+from ..sources.staging import shared_folder
+from ..streaming import events as streams
+from . import views
+from .views import table
+
 QUERIES = {}
 ORACLE_SQL = {}
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- index and retrieval ---------------------------------------------------------------------------------------------
+_TERMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
+_BM25 = rf"""tok AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+post AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+dl AS (SELECT doc_id, len({_TERMS}) AS dl FROM documents),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+sc AS (SELECT qid, doc_id, sum(qtf * ln(1.0::double + (n - df + 0.5::double) / (df + 0.5::double)) * (tf / (tf + 1.5::double * (0.25::double + 0.75::double * dl / avgdl)))) AS score
+  FROM qt JOIN post USING (term) JOIN dfs USING (term) JOIN dl USING (doc_id), st GROUP BY qid, doc_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc)"""
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> tuple[ix.Index, DataFrame]:
+    i = views.index(spark, sf_dir)
+    return i, search.bm25_scores(i, table(spark, sf_dir, "benchmark"))
+
+
+@_query(f"WITH {_BM25} SELECT qid AS item_id, rank::int AS rank, doc_id, round(score, 6) AS score FROM rk WHERE rank <= 5")
+def bm25_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(_scores(spark, sf_dir)[1], 5).select(F.col("qid").alias("item_id"), "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+@_query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY term")
+def corpus_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.term_stats(ix.postings(table(spark, sf_dir, "documents")))
+
+
+@_query(f"SELECT doc_id, len({_TERMS})::int AS dl FROM documents")
+def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.doc_stats(table(spark, sf_dir, "documents"))
+
+
+_SENTENCES = r"""sn AS (SELECT doc_id, i::int AS line, split_part(parts[i + 1], chr(9), 1) AS text FROM
+ (SELECT doc_id, parts, unnest(range(0, len(parts))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))
+ WHERE trim(regexp_replace(split_part(parts[i + 1], chr(9), 1), '\s+', ' ', 'g')) <> ''),
+so AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS pos FROM sn)"""
+
+
+@_query(f"WITH {_SENTENCES} SELECT doc_id, line, text FROM sn")
+def sentence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.sentences(table(spark, sf_dir, "documents")).select("doc_id", F.explode("sentences").alias("s")).select("doc_id", "s.line", "s.text")
+
+
+@_query(f"WITH {_SENTENCES} SELECT doc_id, count(*) AS n, max(line) AS last_line, string_agg(text, '|' ORDER BY line) AS shown FROM so WHERE pos < 20 GROUP BY doc_id")
+def first_20_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = views.sentences(table(spark, sf_dir, "documents")).select("doc_id", F.slice("sentences", 1, 20).alias("s")).where(F.size("s") > 0)
+    return cut.select("doc_id", F.size("s").cast("long").alias("n"), F.array_max(F.transform("s", lambda x: x["line"])).alias("last_line"), F.array_join(F.transform("s", lambda x: x["text"]), "|").alias("shown"))
+
+
+def _shown(spark: SparkSession, sf_dir: str, scores: DataFrame) -> DataFrame:
+    return context.with_sentences(search.top_k(scores, 5), views.sentences(table(spark, sf_dir, "documents")))
+
+
+_SHOWN = f"""{_BM25}, {_SENTENCES},
+sh AS (SELECT qid, rank, doc_id, line, text, row_number() OVER (PARTITION BY qid ORDER BY rank, pos) AS n FROM rk JOIN so USING (doc_id) WHERE rank <= 5 AND pos < 20)"""
+
+
+@_query(f"WITH {_SHOWN} SELECT qid AS item_id, 'E' || n AS eid, doc_id::varchar AS page, line, text FROM sh")
+def evidence_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = context.contexts(_shown(spark, sf_dir, _scores(spark, sf_dir)[1]))
+    return rows.select(F.col("qid").alias("item_id"), F.explode("shown").alias("s")).select("item_id", "s.*")
+
+
+@_query(f"""WITH {_SHOWN} SELECT item_id, sha256('Claim: ' || any_value(b.text) || chr(10) || chr(10) || 'Evidence:' || chr(10) || string_agg('E' || n || ' [' || doc_id || '] ' || sh.text, chr(10) ORDER BY n)) AS prompt_sha256, count(*)::int AS n_shown
+FROM benchmark b JOIN sh ON sh.qid = b.item_id GROUP BY item_id""")
+def render_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = context.contexts(_shown(spark, sf_dir, _scores(spark, sf_dir)[1])).join(table(spark, sf_dir, "benchmark"), F.col("qid") == F.col("item_id"))
+    return rows.select("item_id", F.sha2(context.render(F.col("text"), F.col("shown")), 256).alias("prompt_sha256"), F.size("shown").alias("n_shown"))
+
+
+_TITLES = r"""tt AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN w || ' (' || lang || ')' ELSE w END AS title FROM
+  (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')[1] AS w FROM documents)
+ UNION ALL SELECT 1000000000 + item_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')[1:2], ' ') FROM benchmark),
+tn AS (SELECT doc_id, lower(replace(title, '_', ' ')) AS norm FROM tt WHERE title <> ''),
+tb AS (SELECT doc_id, norm, CASE WHEN regexp_matches(norm, '(?s)^(.*) \([^()]*\)$') THEN regexp_extract(norm, '(?s)^(.*) \([^()]*\)$', 1) END AS base FROM tn),
+wd AS (SELECT item_id AS qid, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM benchmark),
+s1 AS (SELECT qid, ws, unnest(range(0, len(ws))) AS i FROM wd),
+s2 AS (SELECT qid, ws, i, unnest(range(i + 1, least(i + 8, len(ws)) + 1)) AS j FROM s1),
+s3 AS (SELECT qid, i, j, array_to_string(ws[i + 1:j], ' ') AS s FROM s2),
+s4 AS (SELECT qid, i, j, unnest([{'k': 0, 'f': s}, {'k': 1, 'f': rtrim(s, ',.;:!?"')}, {'k': 2, 'f': regexp_replace(rtrim(s, ',.;:!?"'), '''s$', '')}]) AS x FROM s3),
+fm AS (SELECT qid, i, j, lower(replace(x.f, '_', ' ')) AS form, min(x.k) AS k FROM s4 GROUP BY ALL),
+ex AS (SELECT norm AS form, min(doc_id) AS doc_id, 0 AS grp FROM tb GROUP BY norm UNION ALL SELECT base, doc_id, 1 FROM tb WHERE base IS NOT NULL),
+ht AS (SELECT fm.*, ex.doc_id, ex.grp FROM fm JOIN ex USING (form)),
+b1 AS (SELECT qid, i, max(j) AS j FROM ht GROUP BY ALL),
+b2 AS (SELECT * FROM b1 s WHERE NOT EXISTS (SELECT 1 FROM b1 o WHERE o.qid = s.qid AND o.i <= s.i AND s.j <= o.j AND (o.i <> s.i OR o.j <> s.j))),
+mt AS (SELECT ht.*, row_number() OVER (PARTITION BY qid, grp ORDER BY i, j DESC, k, doc_id) AS pos FROM ht JOIN b2 USING (qid, i, j))"""
+
+
+def _matches(spark: SparkSession, sf_dir: str, longest_only: bool = True) -> DataFrame:
+    docs, claims = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return search.title_matches(search.spans(claims, any_case=True), search.titles(views.title_table(docs, claims), "doc_id", "title"), longest_only)
+
+
+@_query(f"WITH {_TITLES} SELECT DISTINCT qid AS item_id, i::int AS i, j::int AS j, doc_id, grp FROM mt")
+def title_spans_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matches(spark, sf_dir).select(F.col("qid").alias("item_id"), "i", "j", "doc_id", "grp").distinct()
+
+
+@_query(f"WITH {_TITLES} SELECT DISTINCT qid AS item_id, i::int AS i, j::int AS j, doc_id, grp FROM ht")
+def title_spans_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matches(spark, sf_dir, False).select(F.col("qid").alias("item_id"), "i", "j", "doc_id", "grp").distinct()
+
+
+@_query(f"""WITH {_BM25}, {_TITLES},
+m1 AS (SELECT qid, doc_id, min({{'grp': grp, 'pos': pos}}) AS m FROM mt GROUP BY ALL),
+m2 AS (SELECT m1.*, row_number() OVER (PARTITION BY qid ORDER BY m.grp, round(coalesce(score, 0), 9) DESC, m.pos, doc_id) AS t FROM m1 LEFT JOIN sc USING (qid, doc_id)),
+un AS (SELECT qid, doc_id, min(p) AS p FROM (SELECT qid, doc_id, t AS p FROM m2 WHERE t <= 3 UNION ALL SELECT qid, doc_id, rank + 3 FROM rk WHERE rank <= 5) GROUP BY ALL),
+fin AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY p) AS rank FROM un)
+SELECT qid AS item_id, rank::int AS rank, doc_id FROM fin WHERE rank <= 5""")
+def search_with_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_with_titles(_matches(spark, sf_dir), _scores(spark, sf_dir)[1]).withColumnRenamed("qid", "item_id")
+
+
+@_query(f"""WITH {_BM25}, gp AS (SELECT b.item_id AS qid, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+q AS (SELECT DISTINCT qid FROM gp), ks AS (SELECT unnest([1, 3, 5, 10]) AS k)
+SELECT k, avg((EXISTS (SELECT 1 FROM gp JOIN rk USING (qid, doc_id) WHERE gp.qid = q.qid AND rk.rank <= ks.k))::int) AS recall, count(*) AS n FROM q, ks GROUP BY k""")
+def page_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, scores = _scores(spark, sf_dir)
+    gold = views.gold_pages(i, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).groupBy("qid").agg(F.collect_list(F.array("doc_id")).alias("sets"))
+    return search.recall_at_k(search.top_k(scores, 10), gold, [1, 3, 5, 10])
+
+
+_TOKENS = "list_filter(list_distinct(list_transform(list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> ''), lambda x: lower(regexp_replace(x, '^[.,]+|[.,]+$', '', 'g')))), lambda x: NOT list_contains([" + ", ".join(f"'{w}'" for w in text.TOY_STOPWORDS) + "], x))"
+
+
+@_query(f"""WITH q AS (SELECT item_id, {_TOKENS.format("text")} AS s FROM benchmark), d AS (SELECT doc_id, {_TOKENS.format("text")} AS s FROM documents),
+c AS (SELECT item_id, doc_id, len(list_intersect(q.s, d.s)) AS c, len(q.s) AS a, len(d.s) AS b FROM q, d),
+r AS (SELECT item_id, doc_id, c / (a + b - c)::double AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(c / (a + b - c)::double, 9) DESC, doc_id) AS rank FROM c WHERE c > 0)
+SELECT item_id, doc_id, round(score, 9) AS score, rank::int AS rank FROM r WHERE rank <= 3""")
+def jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.overlap_top_k(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 3, "item_id", "text", "doc_id", "text")
+    return found.select(F.col("qid").alias("item_id"), F.col("sid").alias("doc_id"), F.round("score", 9).alias("score"), "rank")
+
+
+@_query(f"""WITH t AS (SELECT item_id, item_id // 4 AS grp, {_TOKENS.format("text")} AS s FROM benchmark),
+p AS (SELECT a.grp, len(list_intersect(a.s, b.s)) / greatest(len(list_distinct(list_concat(a.s, b.s))), 1)::double AS j FROM t a JOIN t b ON a.grp = b.grp AND a.item_id < b.item_id)
+SELECT g.grp, round(coalesce(avg(j), 0), 9) AS agreement FROM (SELECT DISTINCT grp FROM t) g LEFT JOIN p USING (grp) GROUP BY g.grp""")
+def pairwise_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = table(spark, sf_dir, "benchmark").groupBy(F.floor(F.col("item_id") / 4).alias("grp")).agg(F.array_sort(F.collect_list("text")).alias("texts"))
+    return groups.select("grp", F.round(search.agreement(F.col("texts")), 9).alias("agreement"))
+
+
+# --- evidence, parsing, rewards --------------------------------------------------------------------------------------
+_P = f"p AS ({views.scored_sql()})"
+
+
+@_query(f"""WITH {_P} SELECT id, CASE WHEN gold <> 'NOT_ENOUGH_INFO' THEN list_contains(cited, gold_id) END AS covered,
+ CASE WHEN gold = 'NOT_ENOUGH_INFO' OR NOT list_contains(cited, gold_id) THEN NULL WHEN list_contains(cited, 'p9:9') THEN 2 ELSE 1 END::int AS first_size FROM p""")
+def gold_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = views.predictions(spark, sf_dir)
+    first = evidence.first_covered(F.col("sets"), F.col("cited"))
+    return p.select("id", evidence.covers(F.col("sets"), F.col("cited")).alias("covered"), F.when(first.isNotNull(), F.size(first)).alias("first_size"))
+
+
+@_query("""WITH e AS (SELECT event_id AS id, [1 + event_id % 9, 1 + event_id % 4, 2 + event_id % 7, 3, 9, 1, 2 + event_id % 2] AS n FROM events)
+SELECT id, list_filter(n, lambda x: x <= 5)[1:5]::varchar AS evaluated, list_filter(n[1:5], lambda x: x <= 5)::varchar AS rewarded FROM e""")
+def citation_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.map_from_entries(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.struct(F.concat(F.lit("E"), i.cast("string")), i.cast("string"))))
+    ids = F.expr("transform(array(1 + event_id % 9, 1 + event_id % 4, 2 + event_id % 7, 3L, 9L, 1L, 2 + event_id % 2), i -> concat('E', i))")
+    as_text = lambda c: F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), ids.alias("cited"), shown.alias("shown"))
+    return rows.select("id", as_text(evidence.resolve(F.col("cited"), F.col("shown"))).alias("evaluated"), as_text(evidence.resolve(F.col("cited"), F.col("shown"), slice_first=True)).alias("rewarded"))
+
+
+@_query(f"WITH {_P} SELECT id, round(evidence_f1, 9) AS evidence_f1 FROM p")
+def evidence_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.predictions(spark, sf_dir).select("id", F.round("evidence_f1", 9).alias("evidence_f1"))
+
+
+@_query(f"WITH {_P} SELECT id, fever_score AS strict FROM p")
+def strict_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.predictions(spark, sf_dir).select("id", F.col("fever_score").alias("strict"))
+
+
+_HARM = "CASE WHEN gold = 'REFUTED' AND pred = 'SUPPORTED' THEN 1.5 WHEN gold = 'NOT_ENOUGH_INFO' AND pred = 'SUPPORTED' THEN 1.75 ELSE 1.0 END::double"
+_PARTS = f"""r AS (SELECT *, CASE WHEN correct THEN 1.0 ELSE 1.0 - {_HARM} END::double AS correctness, CASE WHEN correct THEN 1.0 ELSE 0.0 END::double AS plain,
+ CASE WHEN NOT correct THEN CASE WHEN gold = 'NOT_ENOUGH_INFO' THEN -0.5 ELSE 0.0 END WHEN gold = 'NOT_ENOUGH_INFO' THEN -0.5 ELSE evidence_f1 END::double AS evidence,
+ -pow(token_conf - correct::int, 2) AS calibration FROM p)"""
+
+
+def _rewards(spark: SparkSession, sf_dir: str, config: reward.Config) -> DataFrame:
+    p = views.predictions(spark, sf_dir)
+    args = [labels.short(F.col("gold")), labels.short(F.col("pred")), F.col("token_conf"), F.col("gold_ids"), F.col("cited"), F.col("id") % 4]
+    return p.withColumn("r", reward.total(*args, config, F.col("pred").isNotNull()))
+
+
+@_query(f"WITH {_P}, {_PARTS} SELECT id, round(correctness + 0.5 * evidence + 0.5 * calibration - 0.02 * (id % 4), 9) AS reward, round(correctness, 9) AS correctness, round(evidence, 9) AS evidence, round(calibration, 9) AS calibration FROM r")
+def reward_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rewards(spark, sf_dir, reward.ABLATIONS["full"]).select("id", *[F.round(f"r.{c}", 9).alias(c) for c in ("reward", "correctness", "evidence", "calibration")])
+
+
+@_query(f"""WITH {_P}, {_PARTS}, a AS (SELECT 'full' AS ablation, correctness + 0.5 * evidence + 0.5 * calibration - 0.02 * (id % 4) AS x FROM r
+ UNION ALL SELECT 'no_calibration', correctness + 0.5 * evidence - 0.02 * (id % 4) FROM r UNION ALL SELECT 'no_harm', plain + 0.5 * evidence + 0.5 * calibration - 0.02 * (id % 4) FROM r
+ UNION ALL SELECT 'format_only', (pred IS NOT NULL)::int FROM r) SELECT ablation, count(*) AS n, round(avg(x), 6) AS mean_reward, round(min(x), 6) AS least, round(max(x), 6) AS most FROM a GROUP BY ablation""")
+def reward_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["full", "no_calibration", "no_harm", "format_only"]
+    rows = views.predictions(spark, sf_dir)
+    args = [labels.short(F.col("gold")), labels.short(F.col("pred")), F.col("token_conf"), F.col("gold_ids"), F.col("cited"), F.col("id") % 4]
+    each = F.array(*[F.struct(F.lit(n).alias("ablation"), reward.total(*args, reward.ABLATIONS[n], F.col("pred").isNotNull())["reward"].alias("x")) for n in names])
+    return rows.select(F.explode(each).alias("a")).groupBy("a.ablation").agg(F.count("*").alias("n"), F.round(F.avg("a.x"), 6).alias("mean_reward"), F.round(F.min("a.x"), 6).alias("least"), F.round(F.max("a.x"), 6).alias("most"))
+
+
+_OUT = f"o AS (SELECT *, {views.RAW_SQL} AS raw FROM p)"
+
+
+@_query(f"""WITH {_P}, {_OUT} SELECT id, id % 8 <> 0 AS json_ok, id % 8 <> 0 AND pred IS NOT NULL AS verdict_ok, id % 8 <> 0 AS evidence_ok, id % 8 <> 0 AND id % 9 <> 0 AS confidence_ok,
+ id % 8 <> 0 AND pred IS NOT NULL AND id % 9 <> 0 AS format_ok, CASE WHEN id % 8 <> 0 THEN pred END AS verdict, CASE WHEN id % 8 <> 0 THEN 'E' || (id % 5 + 1) || ',E' || (id % 11 + 1) END AS cited,
+ CASE WHEN id % 8 = 0 OR id % 9 = 0 THEN NULL WHEN id % 10 = 0 THEN 1.0 ELSE (id % 10) / 10.0 END::double AS confidence, len(raw)::int AS n_chars FROM o""")
+def parse_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.outputs(views.predictions(spark, sf_dir)).select("id", "raw", parsing.parse(F.col("raw")).alias("a"))
+    return rows.select("id", *[f"a.{c}" for c in ("json_ok", "verdict_ok", "evidence_ok", "confidence_ok", "verdict")], parsing.format_ok(F.col("a")).alias("format_ok"), F.when(F.col("a.evidence_ok"), F.array_join("a.evidence", ",")).alias("cited"), "a.confidence", F.length("raw").alias("n_chars"))
+
+
+@_query(f"""WITH {_P}, t AS (SELECT id, CASE WHEN id % 8 = 0 THEN NULL WHEN id % 4 = 1 THEN 2 WHEN id % 6 = 0 THEN id % 13 + 1 END AS n FROM p)
+SELECT id, CASE WHEN n IS NULL THEN '' ELSE 'E' || n END AS ids, n <= 5 AS valid FROM t""")
+def reasoning_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.outputs(views.predictions(spark, sf_dir))
+    thought = F.when(F.contains("raw", F.lit("</think>")), F.regexp_replace("raw", r"(?s)\{[^{}]*\}", ""))
+    ids = parsing.mentioned(parsing.reasoning(F.coalesce(thought, F.col("raw")), parsing.parse(F.col("raw"))))
+    return rows.select("id", F.array_join(ids, ",").alias("ids"), parsing.citations_valid(ids, F.array(*[F.lit(f"E{i}") for i in range(1, 6)])).alias("valid"))
+
+
+@_query("""WITH t AS (SELECT event_id AS id, event_id % 5 AS k FROM events), m AS (SELECT id, k, CASE WHEN k = 4 THEN 0 ELSE exp(-0.1 * (k + 1)) END AS s, CASE WHEN k = 4 THEN 0 ELSE exp(-1.0) END AS r FROM t)
+SELECT id, CASE WHEN s + r > 0 THEN round(s / (s + r), 9) END AS supported, CASE WHEN s + r > 0 THEN round(r / (s + r), 9) END AS refuted FROM m""")
+def label_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 5
+    alt = lambda t, lp: F.struct(F.lit(t).alias("t"), lp.cast("double").alias("lp"))
+    token = lambda tok, alts: F.struct(F.lit(tok).alias("tok"), alts.alias("alts"))
+    start = F.when(k == 4, F.array(alt("xyz", F.lit(-0.5)))).otherwise(F.array(alt("SUPP", -0.1 * (k + 1)), alt("REF", F.lit(-1.0)), alt("?", F.lit(-2.0))))
+    tokens = F.array(token('{"verdict', F.array(alt("a", F.lit(-1.0)))), token('": "', F.array(alt("a", F.lit(-1.0)))), token("SUPP", start), token("ORTED", start))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), parsing.label_probs(tokens).alias("p"))
+    return rows.select("id", F.round(F.col("p")["SUPPORTED"], 9).alias("supported"), F.round(F.col("p")["REFUTED"], 9).alias("refuted"))
+
+
+# --- metrics ---------------------------------------------------------------------------------------------------------
+_RECALLS = ", ".join(f"round(avg(CASE WHEN gold = '{x}' THEN coalesce(pred = '{x}', false)::int END), 9) AS recall_{x.lower()}" for x in labels.LABELS)
+_RATES = f"count(*) AS n, round(avg(correct::int), 9) AS accuracy, round(avg(fever_score::int), 9) AS fever_score, round(avg(evidence_f1), 9) AS evidence_f1, {_RECALLS}"
+_STRATA = "s AS (SELECT p.*, unnest(list_filter(['all', CASE WHEN gold = 'NOT_ENOUGH_INFO' THEN 'gold_nei' WHEN gold_in_context THEN 'gold_in_context' ELSE 'gold_not_in_context' END], lambda x: x IS NOT NULL)) AS stratum FROM p)"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@_query(f"WITH {_P} SELECT {_RATES} FROM p")
+def accuracy_recall_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.rates(views.predictions(spark, sf_dir)))
+
+
+@_query(f"WITH {_P} SELECT provider, count(stated_conf) AS n, round(count(stated_conf) / count(*)::double, 9) AS coverage, round(avg(pow(stated_conf - correct::int, 2)), 9) AS brier FROM p GROUP BY provider")
+def brier_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.brier(views.predictions(spark, sf_dir), "stated_conf", "provider"))
+
+
+@_query(f"WITH {_P} SELECT least(floor(token_conf * 10)::int, 9) AS bin, count(*) AS n, round(avg(token_conf), 9) AS conf, round(avg(correct::int), 9) AS acc FROM p GROUP BY ALL")
+def ece_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.reliability(views.predictions(spark, sf_dir), "token_conf"))
+
+
+@_query(f"""WITH {_P}, b AS (SELECT list_sum([(stated_conf >= x / 10.0::double)::int FOR x IN range(1, 10)])::int AS bin, stated_conf, correct FROM p WHERE stated_conf IS NOT NULL),
+g AS (SELECT bin, count(*) AS n, avg(stated_conf) AS c, avg(correct::int) AS a FROM b GROUP BY bin) SELECT round(sum(n * abs(c - a)) / sum(n), 9) AS ece FROM g""")
+def ece_interval_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.ece(views.predictions(spark, sf_dir), "stated_conf", intervals=True))
+
+
+@_query(f"""WITH {_P}, g AS (SELECT stated_conf AS threshold, count(*) AS n, sum(correct::int) AS r FROM p WHERE stated_conf IS NOT NULL GROUP BY ALL),
+c AS (SELECT threshold, sum(n) OVER (ORDER BY threshold DESC) AS t, sum(r) OVER (ORDER BY threshold DESC) AS g, (SELECT count(*) FROM p) AS w, (SELECT count(stated_conf) FROM p) AS s FROM g)
+SELECT target, max(threshold) AS threshold, round(max_by(t / w::double, threshold), 9) AS coverage, round(max_by(1 - g / t::double, threshold), 9) AS risk
+FROM c, (SELECT unnest([0.5::double, 0.8::double, 1.0::double]) AS target) WHERE t / s::double >= target GROUP BY target""")
+def risk_at_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.risk_at_coverage(views.predictions(spark, sf_dir), "stated_conf"))
+
+
+def _calibrated(c: str) -> str:
+    return f"""{c}_b AS (SELECT stratum, least(floor({c} * 10.0::double)::int, 9) AS bin, count(*) AS n, avg({c}) AS x, avg(correct::int) AS a FROM s WHERE {c} IS NOT NULL GROUP BY ALL),
+{c}_e AS (SELECT stratum, round(sum(n * abs(x - a)) / sum(n), 9) AS {c}_ece FROM {c}_b GROUP BY stratum)"""
+
+
+@_query(f"""WITH {_P}, {_STRATA}, {_calibrated("stated_conf")}, {_calibrated("token_conf")},
+m AS (SELECT stratum, {_RATES}, {", ".join(f"count({c}) AS {c}_n, round(count({c}) / count(*)::double, 9) AS {c}_coverage, round(avg(pow({c} - correct::int, 2)), 9) AS {c}_brier" for c in ("stated_conf", "token_conf"))} FROM s GROUP BY stratum)
+SELECT * FROM m LEFT JOIN stated_conf_e USING (stratum) LEFT JOIN token_conf_e USING (stratum)""")
+def stratified_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.summarize(views.predictions(spark, sf_dir)))
+
+
+@_query(f"WITH {_P} SELECT gold, pred, gold_in_context, count(*) AS n FROM p GROUP BY ALL")
+def confusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.confusion(views.predictions(spark, sf_dir), "gold_in_context")
+
+
+@_query(f"WITH {_P} SELECT provider, count(*) AS n, round(avg(in_tokens), 9) AS mean_in, round(avg(out_tokens), 9) AS mean_out, round((sum(in_tokens) * 0.4::double + sum(out_tokens) * 1.6::double) / 1000000, 9) AS dollars FROM p GROUP BY provider")
+def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.costs(views.predictions(spark, sf_dir), 0.4, 1.6, "provider"))
+
+
+_SPREAD = f"""{_P}, {_PARTS}, w AS (SELECT user_id, count(*) AS n, stddev_pop(round(correctness, 6)) AS reward_std, count(DISTINCT pred) + max((pred IS NULL)::int) AS n_distinct_verdicts, avg(correct::int) AS acc FROM r GROUP BY user_id)"""
+
+
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rewards(spark, sf_dir, reward.ABLATIONS["full"]).select("user_id", F.round("r.correctness", 6).alias("reward"), F.col("pred").alias("verdict"), "correct")
+    return metrics.spread(rows, "user_id")
+
+
+@_query(f"WITH {_SPREAD} SELECT user_id, n, round(reward_std, 9) AS reward_std, n_distinct_verdicts, round(acc, 9) AS acc FROM w")
+def reward_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_spread(spark, sf_dir))
+
+
+@_query(f"WITH {_SPREAD} SELECT count(*) AS n, round(avg((reward_std > 1e-9)::int), 9) AS with_spread, round(avg((n_distinct_verdicts > 1)::int), 9) AS disagreeing, count(*) FILTER (acc = 1) AS all_right, count(*) FILTER (acc = 0) AS all_wrong FROM w")
+def spread_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.spread_summary(_spread(spark, sf_dir)))
+
+
+@_query(f"WITH {_SPREAD} SELECT id, user_id FROM p WHERE user_id IN (SELECT user_id FROM w WHERE reward_std > 1e-9)")
+def spread_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.with_spread(views.predictions(spark, sf_dir).select("id", "user_id"), _spread(spark, sf_dir), "user_id")
+
+
+@_query(f"WITH {_P}, q AS ({views.scored_sql(3)}) SELECT count(*) AS n, round(avg((p.pred IS NOT DISTINCT FROM q.pred)::int), 9) AS same_verdict, round(avg(p.correct::int), 9) AS accuracy_a, round(avg(q.correct::int), 9) AS accuracy_b FROM p JOIN q USING (id)")
+def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.compare_runs(views.predictions(spark, sf_dir), views.predictions(spark, sf_dir, 3)))
+
+
+@_query(f"WITH {_P}, t AS (SELECT unnest(list_filter(['bad_pred', CASE WHEN id % 50 = 0 THEN 'bad_token_conf' END], lambda x: x IS NOT NULL AND (x <> 'bad_pred' OR id % 40 = 0))) AS problem FROM p) SELECT problem, count(*) AS n FROM t GROUP BY problem UNION ALL SELECT 'correct_disagrees', count(*) FROM p WHERE id % 40 = 0 AND correct HAVING count(*) > 0")
+def prediction_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = views.predictions(spark, sf_dir)
+    p = p.withColumn("pred", F.when(F.col("id") % 40 == 0, "MAYBE").otherwise(F.col("pred"))).withColumn("token_conf", F.when(F.col("id") % 50 == 0, F.lit(1.5)).otherwise(F.col("token_conf")))
+    return metrics.problems(p)
+
+
+# --- training sets ---------------------------------------------------------------------------------------------------
+@_query("""WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7-' || doc_id), doc_id) AS k FROM documents WHERE lang IN ('en', 'fr', 'de'))
+SELECT doc_id, lang FROM r WHERE k <= 33 + (lang = 'en')::int""")
+def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.balanced(table(spark, sf_dir, "documents").select("doc_id", "lang"), 100, "lang", "doc_id", 7, ["en", "fr", "de"])
+
+
+@_query("SELECT doc_id FROM documents ORDER BY md5('0-' || doc_id), doc_id LIMIT 50")
+def seeded_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.seeded_prefix(table(spark, sf_dir, "documents").select("doc_id"), 50, "doc_id")
+
+
+@_query("SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def disjoint_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    second = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
+    return datasets.disjoint_split(docs, second, spark.createDataFrame([(-1,)], "id long"), "doc_id")
+
+
+@_query("SELECT count(*) AS overlap FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)")
+def leakage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id"), "doc_id").agg(F.count("*").alias("overlap"))
+
+
+@_query("SELECT sha256(text) AS digest, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1")
+def duplicate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.duplicated(table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("digest")), "digest")
+
+
+@_query("SELECT (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS missing, (SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS extra, (SELECT count(*) - count(DISTINCT doc_id) FROM labels) AS repeated")
+def frozen_set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.set_difference(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"), "doc_id")
+
+
+@_query("SELECT count(*) AS n_rows, sum(('0x' || substr(sha256(doc_id || '|' || text || '|' || lang), 1, 12))::bigint)::varchar AS digest FROM documents")
+def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return io.row_digest(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").withColumn("digest", F.col("digest").cast("string"))
+
+
+_REASONS = "CASE event_id % 10 WHEN 1 THEN 'citation_mismatch' WHEN 2 THEN 'gold_not_justified_by_context' WHEN 3 THEN 'gold_evidence_not_explained' WHEN 5 THEN 'citation_mismatch' WHEN 7 THEN 'gold_not_justified_by_context' WHEN 8 THEN 'invalid_json' WHEN 9 THEN 'reasoning_length' END"
+
+
+@_query(f"SELECT {_REASONS} AS reason, CASE WHEN event_id % 10 IN (6, 7, 9) THEN 'NOT_ENOUGH_INFO' ELSE 'SUPPORTED' END AS gold, count(*) AS n FROM events GROUP BY ALL")
+def teacher_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.histogram(datasets.validated(views.teacher_rows(table(spark, sf_dir, "events"))), "reason", "gold")
+
+
+_REPAIRS = "CASE WHEN event_id % 10 IN (0, 4, 6) THEN 'none' WHEN event_id % 10 = 5 THEN 'citation_append' WHEN event_id % 10 = 7 THEN 'nei_gold_justified_true' END"
+
+
+@_query(f"""WITH t AS (SELECT event_id, {_REPAIRS} AS repair, {_REASONS} AS reason FROM events), n AS (SELECT 9 * (SELECT count(*) FROM events) // 20 AS n),
+k AS (SELECT *, row_number() OVER (PARTITION BY repair ORDER BY md5('0-' || event_id), event_id) AS k FROM t),
+s AS (SELECT *, repair IN ('none', 'citation_append') OR (repair = 'nei_gold_justified_true' AND k <= (SELECT n FROM n) - (SELECT count(*) FROM t WHERE repair IN ('none', 'citation_append'))) AS sel FROM k)
+SELECT event_id AS id, reason, repair, coalesce(sel, false) AS selected, CASE WHEN repair = 'citation_append' THEN 'The sentence says what the claim says (E1).' END AS appended FROM s""")
+def teacher_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    rows = datasets.filled(datasets.repaired(datasets.validated(views.teacher_rows(events))), 9 * events.count() // 20)
+    return rows.select("id", "reason", "repair", "selected", F.when(F.col("repair") == "citation_append", F.col("final_reasoning")).alias("appended"))
+
+
+_GOLD = "gp AS (SELECT b.item_id AS qid, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+
+
+@_query(f"""WITH {_BM25}, {_GOLD}, k AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS r FROM rk WHERE rank <= 8 AND (qid, doc_id) NOT IN (SELECT (qid, doc_id) FROM gp))
+SELECT qid AS item_id, string_agg(doc_id::varchar, ',' ORDER BY r) AS pages FROM k WHERE r <= 5 GROUP BY qid""")
+def nei_ablation_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, scores = _scores(spark, sf_dir)
+    gold = views.gold_pages(i, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).groupBy("qid").agg(F.collect_list(F.col("doc_id").cast("string")).alias("gold"))
+    lists = search.top_k(scores, 8).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("p")))).alias("x")).join(gold, "qid", "left")
+    kept = context.without_pages(F.transform("x", lambda s: s["p"]), F.coalesce("gold", F.array().cast("array<string>")))
+    return lists.select(F.col("qid").alias("item_id"), F.array_join(kept, ",").alias("pages")).where("pages <> ''")
+
+
+@_query(f"""WITH {_SHOWN}, {_GOLD}, x AS (SELECT sh.qid, line < 2 AND (sh.qid, sh.doc_id) IN (SELECT (qid, doc_id) FROM gp) AS gone FROM sh)
+SELECT qid AS item_id, count(*) FILTER (NOT gone) AS n_shown, count(*) FILTER (gone) AS n_removed FROM x GROUP BY qid HAVING count(*) FILTER (NOT gone) > 0""")
+def nei_ablation_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, scores = _scores(spark, sf_dir)
+    shown = _shown(spark, sf_dir, scores)
+    gold = views.gold_pages(i, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("line", F.explode(F.array(F.lit(0), F.lit(1))))
+    left = context.without_sentences(shown, gold).groupBy("qid").agg(F.count("*").alias("n_shown"))
+    whole = shown.groupBy("qid").agg(F.count("*").alias("n"))
+    return left.join(whole, "qid").select(F.col("qid").alias("item_id"), "n_shown", (F.col("n") - F.col("n_shown")).alias("n_removed"))
+
+
+@_query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return io.undone(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").where("quality = 1"), "doc_id")
+
+
+@_query("SELECT conv_id, count(*)::int AS n_turns, string_agg(role, '>' ORDER BY turn, role) AS roles, count(*) FILTER (role = 'user')::int AS n_user, count(*) FILTER (role = 'assistant')::int AS n_assistant FROM conversations GROUP BY conv_id")
+def trace_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.conversation_steps(table(spark, sf_dir, "conversations"))
+
+
+def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _rewards(spark, sf_dir, reward.ABLATIONS["full"]).withColumn("reward", F.col("r.reward")).withColumn("claim", F.concat(F.lit("claim "), F.col("id").cast("string")))
+    rows = p.withColumn("pages", F.array(F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string")))).withColumn("confidence", F.col("token_conf"))
+    return traces.traces(rows, "run1").join(p.select("id", "sets"), "id")
+
+
+@_query(f"WITH {_P} SELECT count(*) AS n, round(avg(correct::int), 9) AS accuracy, round(avg(fever_score::int), 9) AS strict, round(avg((pred IS NOT NULL)::int), 9) AS valid, {_RECALLS}, 1.0::double AS mean_ops, 0.0::double AS mean_seconds FROM p")
+def trace_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(traces.report(_traces(spark, sf_dir)))
+
+
+@_query()
+def trace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _traces(spark, sf_dir).drop("sets")
+
+
+@_query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+def title_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@_query("SELECT event_id, (props->>'$.k')::bigint AS k FROM events")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+# --- models, episodes, streams: rows are checked by tests ------------------------------------------------------------
+@_query()
+def verify_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = context.contexts(_shown(spark, sf_dir, _scores(spark, sf_dir)[1])).join(table(spark, sf_dir, "benchmark"), F.col("qid") == F.col("item_id"))
+    out = inference.generate(rows.select(F.col("item_id").alias("id"), context.render(F.col("text"), F.col("shown")).alias("prompt")), inference.Stub)
+    return out.select("id", "in_tokens", "out_tokens", parsing.parse(F.col("text"))["verdict"].alias("verdict"))
+
+
+@_query()
+def episode_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sentences = {f"s{r['item_id']}": r["text"] for r in table(spark, sf_dir, "benchmark").orderBy("item_id").limit(20).collect()}
+    claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("claim"), F.lit(labels.SUPPORTED).alias("gold"), F.array(F.concat(F.lit("s"), F.col("item_id").cast("string"))).alias("gold_ids"))
+    out = episodes.episodes(claims, sentences)
+    return out.select("id", "pred", "confidence", F.array_join("cited", ",").alias("cited"), "n_ops", F.col("reward.reward").alias("reward"))
+
+
+_EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+@_query()
+def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    for _ in range(2):  # the second run adds nothing
+        streams.resumable(streams.read(spark, sf_dir, _EVENTS, files="events.parquet"), f"{base}/out", f"{base}/state", "event_id").awaitTermination()
+    return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_ids"))
+
+
+@_query("SELECT time_bucket(INTERVAL 1 DAY, ts)::varchar AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.tumbling(rows, "1 day", "event_type").select(F.col("window_start").cast("string").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@_query("""WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events), g AS (SELECT user_id, ts, sum((b IS NULL OR ts - b >= INTERVAL 6 HOUR)::int) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM l)
+SELECT user_id, count(*) AS n, min(ts)::timestamp AS session_start FROM g GROUP BY user_id, s""")
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.sessions(rows, "6 hours", "user_id").select("user_id", "n", F.col("session_start").cast("timestamp_ntz").alias("session_start"))
+
+
+@_query("SELECT source, lang, count(*) AS n, sum(n_chars)::bigint AS chars FROM documents GROUP BY GROUPING SETS ((), (source), (source, lang))")
+def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql("SELECT source, lang, count(*) AS n, sum(n_chars) AS chars FROM {d} GROUP BY GROUPING SETS ((), (source), (source, lang))", d=table(spark, sf_dir, "documents"))
+
+
+@_query("""SELECT n_name, count(*) AS n_orders, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+def revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.groupBy("n_name").agg(F.count("*").alias("n_orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
