@@ -145,7 +145,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ws = Workspace(docs.sparkSession, "simhash")
     ids = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"))
     ids = ws.stage(ids, "kept")
-    out = docs.join(ids.select("__id"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    # One plan at every size: the kept ids grow with the documents, so they are merged, never broadcast.
+    out = docs.join(ids.select("__id").hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
     return out if ids.where("__n > 1").isEmpty() else out.dropDuplicates([id_col])
 
 
