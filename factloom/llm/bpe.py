@@ -329,7 +329,7 @@ class TextTransducer:
             end = m.end()
         out.append(self.e.encode_words(words))
         left = safe - end
-        if not last and left > CHUNK // 2 and (m := _ANY.match(seen, end)) and m.end() >= safe:
+        if not last and left > max(3, CHUNK // 2) and (m := _ANY.match(seen, end)) and m.end() >= safe:  # longer than any contraction
             c = seen[m.start() + (seen[m.start()] == " " and m.end() - m.start() > 1)]
             self.kind = "a" if regex.match(r"\p{L}", c) else "0" if regex.match(r"\p{N}", c) else " " if c.isspace() and regex.match(r"\s", c) else "."
             self.open = WordTransducer(self.e.merges)
