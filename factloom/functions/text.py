@@ -53,7 +53,8 @@ def stemmed(term: Column, stem: Callable[[str], str]) -> Column:
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map({t: stem(t) for t in s.dropna().unique()})
+            known = {t: stem(t) for t in s.dropna().unique()}
+            yield pd.Series([known.get(t) for t in s], dtype=object)
 
     return run(term)
 
