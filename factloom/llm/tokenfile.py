@@ -59,22 +59,23 @@ def decode_block(block: bytes) -> np.ndarray:
 
 
 def _tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """Blocks of raw ids in ascending order of documents: (shard, block, ids, lengths, n, raw)."""
+    """Blocks of raw ids in ascending order of documents: (shard, block, within, ids, lengths, n, width, raw); within: ids of the shard before the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, shard = bpe.encoder(path), TaskContext.get().partitionId()
-        end = struct.pack("<I", end_id)
+        end, within = struct.pack("<I", end_id), 0
         for block, b in enumerate(pieces(batches)):
             packed = [p + end for p in e.encode_batch(texts(b, "text"))]
             lengths = [len(p) // 4 for p in packed]
             raw = np.frombuffer(b"".join(packed), "<u4")
             raw = raw.astype("<u2") if raw.max() < 1 << 16 else raw
-            row = [[shard], [block], [b.column(0).to_pylist()], [lengths], [sum(lengths)], [raw.dtype.itemsize], [raw.tobytes()]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.list_(b.column(0).type), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["shard", "block", "ids", "lengths", "n", "width", "raw"])
+            row = [[shard], [block], [within], [b.column(0).to_pylist()], [lengths], [sum(lengths)], [raw.dtype.itemsize], [raw.tobytes()]]
+            within += sum(lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.list_(b.column(0).type), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["shard", "block", "within", "ids", "lengths", "n", "width", "raw"])
 
     kind = docs.schema["id"].dataType.simpleString()
     order = ["id", F.xxhash64("text")]
-    return docs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"shard int, block int, ids array<{kind}>, lengths array<int>, n long, width int, raw binary")
+    return docs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"shard int, block int, within long, ids array<{kind}>, lengths array<int>, n long, width int, raw binary")
 
 
 def _counts(blocks: DataFrame) -> DataFrame:
@@ -108,19 +109,18 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "d
     rank = np.zeros(int(order.max()) + 1 if len(order) else 0, np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
     spark.createDataFrame([(bytearray(encode_block(order)),)], "block binary").write.mode("errorifexists").parquet(f"{folder}/ranks")
-    # Where each block starts: running sums inside its shard, and over the shards, one row each.
-    inside = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("shard", "block", "n").withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    totals = blocks.groupBy("shard").agg(F.sum("n").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    starts = starts.join(totals.select("shard", "before"), "shard").select("shard", "block", (F.col("before") + F.col("within")).alias("start"))
+    # Ids before each shard: one row for each partition of the range, however many rows these have.
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = blocks.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             coded = [encode_block(rank[np.frombuffer(raw.as_buffer(), f"<u{width}")]) for width, raw in zip(b.column("width").to_pylist(), b.column("raw"), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("shard", "block", "ids", "lengths")] + [pa.array(coded, pa.binary())], ["shard", "block", "ids", "lengths", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("shard", "block", "within", "ids", "lengths")] + [pa.array(coded, pa.binary())], ["shard", "block", "within", "ids", "lengths", "tokens"])
 
     ids = blocks.schema["ids"].dataType.simpleString()
-    coded = blocks.mapInArrow(run, f"shard int, block int, ids {ids}, lengths array<int>, tokens binary").join(starts, ["shard", "block"])
+    coded = blocks.mapInArrow(run, f"shard int, block int, within long, ids {ids}, lengths array<int>, tokens binary").join(F.broadcast(shards), "shard")
+    coded = coded.withColumn("start", F.col("before") + F.col("within")).drop("before", "within")
     coded.write.option("compression", "none").mode("errorifexists").parquet(f"{folder}/blocks")
     ws.drop(blocks)
     ws.release()
