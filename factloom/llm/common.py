@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -71,8 +72,10 @@ class Workspace:
 
     def release(self) -> None:
         """Lets Spark remove shuffle files of finished stages now instead of at the driver's next full collection."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # what Python has let go of reaches the JVM a moment later
+            gc.collect()
+            time.sleep(0.1)
+            self.spark._jvm.System.gc()
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256, chars: int = 1 << 21) -> Iterator[pa.RecordBatch]:
