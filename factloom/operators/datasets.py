@@ -162,3 +162,18 @@ def cot_problems(rows: DataFrame, frozen: DataFrame | None = None, expected: int
     if expected is not None:
         out = out.unionByName(rows.agg(F.count("*").alias("n")).where(F.col("n") != expected).select(F.lit("wrong_count").alias("problem"), "n"))
     return out
+
+
+def ordered_lookup(ids: DataFrame, rows: DataFrame, id_col: str = "id") -> DataFrame:
+    """Rows with their place in a list: ``ids`` has (pos, id_col), pos anything that sorts. An id that ``rows`` doesn't have is an error when the row is read."""
+    found = ids.join(rows.withColumn("__there", F.lit(True)), id_col, "left")
+    missing = F.raise_error(F.concat(F.lit("no row for id "), F.col(id_col).cast("string")))
+    return found.withColumn("pos", F.when(F.col("__there"), F.col("pos")).otherwise(missing.cast(ids.schema["pos"].dataType))).drop("__there")
+
+
+def prompts(rows: DataFrame, n: int, system: str, seed: int | str = 0) -> DataFrame:
+    """(id, prompt, gold, gold_eids) of the first n rows in a seeded order: chat messages, the reward's label and the target's ids."""
+    from ..functions.labels import short
+    from ..sources.io import chat
+
+    return seeded_prefix(rows, n, "id", seed).select("id", chat(system, F.col("prompt")).alias("prompt"), short(F.col("gold")).alias("gold"), target_ids(F.col("completion")).alias("gold_eids"))

@@ -7,7 +7,9 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.parsing import parse
 from ..sources.staging import ship
 
 RESULT = "id long, text string, provider string, in_tokens int, out_tokens int"
@@ -48,3 +50,10 @@ class Stub:
         if words & {w.lower() for w in first.split()}:
             return '{"verdict": "SUPPORTED", "evidence": ["E1"], "confidence": 0.9}'
         return '{"verdict": "NOT_ENOUGH_INFO", "evidence": [], "confidence": 0.5}'
+
+
+def probe(rows: DataFrame, make: Callable[[], Model], n: int, order: str = "id") -> DataFrame:
+    """(orig_label, pred, n): verdicts of a model on the first n prompts by id, by the label that the claim had. No valid verdict is a value of its own."""
+    first = rows.orderBy(order).limit(n)
+    said = generate(first, make).select("id", parse(F.col("text"))["verdict"].alias("pred"))
+    return first.select("id", "orig_label").join(said, "id").groupBy("orig_label", "pred").agg(F.count("*").alias("n"))

@@ -119,3 +119,23 @@ def agreement(evidence: Column, stopwords: list[str] | None = None) -> Column:
     sets = F.transform(evidence, lambda e: token_set(e, stopwords))
     pairs = F.flatten(F.transform(sets, lambda a, i: F.transform(F.slice(sets, i + 2, F.greatest(F.size(sets) - i - 1, F.lit(0))), lambda b: jaccard(a, b))))
     return F.when(F.size(pairs) > 0, F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / F.size(pairs)).otherwise(F.lit(0.0))
+
+
+def not_shown(results: DataFrame, shown: DataFrame, *keys: str) -> DataFrame:
+    """Results of a further search without what the same query was shown before."""
+    return results.join(shown.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def search_udtf(sentences: dict[str, str], k: int = 5):
+    """A table function ``(query) -> (sid, text, score)`` over a small corpus, for calls from SQL. The corpus travels with the function."""
+    from .episodes import Corpus
+
+    class Search:
+        def __init__(self) -> None:
+            self.corpus = Corpus(sentences)
+
+        def eval(self, query: str):
+            for sid, score in self.corpus.search(query or "", k, []):
+                yield sid, sentences[sid], score
+
+    return F.udtf(Search, returnType="sid string, text string, score double")

@@ -265,6 +265,26 @@ def label_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.round(F.col("p")["SUPPORTED"], 9).alias("supported"), F.round(F.col("p")["REFUTED"], 9).alias("refuted"))
 
 
+@_query(f"""WITH {_P}, {_OUT}, c AS (SELECT *, CASE WHEN id % 9 = 0 THEN NULL WHEN id % 10 = 0 THEN 1.0 ELSE (id % 10) / 10.0 END::double AS conf, 2.0::double / (1 + CASE WHEN id % 5 = id % 11 THEN 1 ELSE 2 END) AS f1 FROM o),
+x AS (SELECT id, id % 8 <> 0 AND pred IS NOT NULL AND conf IS NOT NULL AS ok, CASE WHEN correct THEN 1.0 ELSE 1.0 - {_HARM} END AS a,
+ CASE WHEN gold = 'NOT_ENOUGH_INFO' THEN -0.5 WHEN correct THEN f1 ELSE 0.0 END AS e, -pow(conf - correct::int, 2) AS k FROM c)
+SELECT id, round(CASE WHEN ok THEN a + 0.5 * e + 0.5 * k ELSE -2.0 END::double, 9) AS reward FROM x""")
+def reward_of_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.outputs(views.predictions(spark, sf_dir))
+    gold_ids = F.array(F.concat(F.lit("E"), (F.col("id") % 5 + 1).cast("string")))
+    return rows.select("id", F.round(reward.of_output(parsing.parse(F.col("raw")), F.col("gold"), gold_ids), 9).alias("reward"))
+
+
+@_query("""SELECT event_type = 'click' AS first_shape, count(*) AS n, sum(event_id % 100)::bigint AS tokens_in, sum(CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 7 END)::bigint AS tokens_out FROM events GROUP BY ALL""")
+def usage_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = lambda m: (F.col("event_id") % m).cast("string")
+    body = lambda outer, a, b: F.concat(F.lit(f'{{"{outer}": {{"{a}": '), number(100), F.when(F.col("event_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(f', "{b}": '), number(7))), F.lit("}}"))
+    click = F.col("event_type") == "click"
+    used = F.when(click, parsing.usage(body("usage", "prompt_tokens", "completion_tokens"), "choices")).otherwise(parsing.usage(body("usageMetadata", "promptTokenCount", "candidatesTokenCount"), "candidates"))
+    rows = table(spark, sf_dir, "events").select(click.alias("first_shape"), used.alias("u"))
+    return rows.groupBy("first_shape").agg(F.count("*").alias("n"), F.sum("u.tokens_in").alias("tokens_in"), F.sum("u.tokens_out").alias("tokens_out"))
+
+
 # --- metrics ---------------------------------------------------------------------------------------------------------
 _RECALLS = ", ".join(f"round(avg(CASE WHEN gold = '{x}' THEN coalesce(pred = '{x}', false)::int END), 9) AS recall_{x.lower()}" for x in labels.LABELS)
 _RATES = f"count(*) AS n, round(avg(correct::int), 9) AS accuracy, round(avg(fever_score::int), 9) AS fever_score, round(avg(evidence_f1), 9) AS evidence_f1, {_RECALLS}"
@@ -361,6 +381,11 @@ def prediction_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.problems(p)
 
 
+@_query("SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS best FROM events")
+def running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return episodes.running_best(table(spark, sf_dir, "events"), "user_id", "event_id", "value").select("event_id", "best")
+
+
 # --- training sets ---------------------------------------------------------------------------------------------------
 @_query("""WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7-' || doc_id), doc_id) AS k FROM documents WHERE lang IN ('en', 'fr', 'de'))
 SELECT doc_id, lang FROM r WHERE k <= 33 + (lang = 'en')::int""")
@@ -373,6 +398,18 @@ def seeded_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.seeded_prefix(table(spark, sf_dir, "documents").select("doc_id"), 50, "doc_id")
 
 
+@_query("SELECT md5('0-' || l.doc_id) AS pos, l.doc_id, d.lang FROM labels l JOIN documents d USING (doc_id)")
+def ordered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "labels").select(text.seeded(0, F.col("doc_id")).alias("pos"), "doc_id")
+    return datasets.ordered_lookup(ids, table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+
+
+@_query(f"WITH {_BM25} SELECT qid AS item_id, doc_id, rank::int AS rank FROM rk WHERE rank BETWEEN 3 AND 5")
+def search_without_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = search.top_k(_scores(spark, sf_dir)[1], 5)
+    return search.not_shown(best, best.where("rank <= 2"), "qid", "doc_id").select(F.col("qid").alias("item_id"), "doc_id", "rank")
+
+
 @_query("SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def disjoint_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
@@ -489,6 +526,13 @@ def verify_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "in_tokens", "out_tokens", parsing.parse(F.col("text"))["verdict"].alias("verdict"))
 
 
+@_query()
+def probe_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = context.contexts(_shown(spark, sf_dir, _scores(spark, sf_dir)[1])).join(table(spark, sf_dir, "benchmark"), F.col("qid") == F.col("item_id"))
+    rows = rows.select(F.col("item_id").alias("id"), context.render(F.col("text"), F.col("shown")).alias("prompt"), F.when(F.col("item_id") % 2 == 0, labels.SUPPORTED).otherwise(labels.REFUTED).alias("orig_label"))
+    return inference.probe(rows, inference.Stub, 30)
+
+
 @_query()
 def episode_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     sentences = {f"s{r['item_id']}": r["text"] for r in table(spark, sf_dir, "benchmark").orderBy("item_id").limit(20).collect()}
