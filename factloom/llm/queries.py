@@ -136,4 +136,21 @@ SELECT page_id, seq, record_id, canonical_url, status, outcome,
  CASE WHEN outcome IN ('etag', 'last-modified') THEN concat_ws('; ', 'content-length: ' || s_len, 'content-type: text/html', 'date: ' || date, 'etag: ' || coalesce(etag, s_etag), 'last-modified: ' || coalesce(lm, s_lm), 'server: ' || server)
   ELSE concat_ws('; ', 'content-length: ' || len, CASE WHEN status = 200 THEN 'content-type: text/html' END, 'date: ' || date, 'etag: ' || etag, 'last-modified: ' || lm, 'server: ' || server) END AS headers
 FROM o""",
+    "op7_grid_join": """
+WITH RECURSIVE e AS (SELECT vec_id, embedding::double[] AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9::double),
+r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.c = l.a),
+m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::bigint AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN n USING (vec_id)""",
+    "op8_substring_dedup": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d),
+k AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS k FROM s),
+f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM k),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM f WHERE n > 1),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+y AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) FILTER (g.i IS NULL) AS kept, count(g.i) AS n FROM x LEFT JOIN g USING (doc_id, i) GROUP BY x.doc_id)
+SELECT d.doc_id, len(w)::bigint AS n_words, coalesce(y.n, 0)::bigint AS n_removed, sha256(coalesce(y.kept, '')) AS kept_sha256 FROM d LEFT JOIN y USING (doc_id)""",
 }
