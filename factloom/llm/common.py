@@ -3,48 +3,24 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import shared_folder, ship
+
 #: Bytes of one Arrow batch sent to a Python worker; a longer single row still travels whole.
 BATCH_BYTES = 4 << 20
-_OWN_DIR: dict[str, str] = {}
-_SHIPPED: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    return _OWN_DIR.setdefault("dir", tempfile.mkdtemp(prefix="factloom-"))
-
-
-def _ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers once, wherever it is installed on the driver."""
-    context = spark.sparkContext
-    if context.applicationId not in _SHIPPED:
-        top = Path(__file__).resolve().parents[1]
-        target = Path(tempfile.mkdtemp(prefix="factloom-")) / f"{top.name}.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for f in sorted(top.rglob("*.py")):
-                z.write(f, f.relative_to(top.parent))
-        context.addPyFile(str(target))
-        _SHIPPED.add(context.applicationId)
 
 
 def python_batches(spark: SparkSession) -> None:
     """Makes ready for Python workers: the package is sent to them, and this session's Arrow batches are bounded by bytes,
     so that long documents don't pile up in a worker."""
-    _ship(spark)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
@@ -53,7 +29,7 @@ class Workspace:
     """Tables written to the shared folder. A staged table cuts the lineage and survives lost executors."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.base = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         python_batches(spark)
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
