@@ -20,7 +20,9 @@ def balanced(rows: DataFrame, n: int, label: str = "gold", id_col: str = "id", s
     """n rows, an equal part of each class and one more of the first classes for the remainder, chosen by a seeded order of ids."""
     classes = classes or LABELS
     quota = F.coalesce(*[F.when(F.col(label) == c, F.lit(n // len(classes) + (k < n % len(classes)))) for k, c in enumerate(classes)])
-    return _ranked(rows.where(F.col(label).isin(classes)), F.col(label), seed, id_col).where(F.col("__rank") <= quota).drop("__rank")
+    # The literal bound lets Spark cut each class in every task before rows of a class meet in one.
+    ranked = _ranked(rows.where(F.col(label).isin(classes)), F.col(label), seed, id_col).where(F.col("__rank") <= -(-n // len(classes)))
+    return ranked.where(F.col("__rank") <= quota).drop("__rank")
 
 
 def per_class(rows: DataFrame, n: int, label: str = "gold", id_col: str = "id", seed: int | str = 0, classes: list[str] | None = None) -> DataFrame:
