@@ -23,8 +23,9 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.shard(_read(spark, sf_dir, "documents"), SHARD_BYTES)
-    return out.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "shard", "shard_depth", "shard_bytes", "shard_docs")
+    # Sizes are taken where texts are read; texts themselves needn't move to learn their shards.
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
+    return sharding.shard(docs, SHARD_BYTES, size=F.col("n_bytes")).select("doc_id", "n_bytes", "shard", "shard_depth", "shard_bytes", "shard_docs")
 
 
 def captures(pages: DataFrame) -> DataFrame:
