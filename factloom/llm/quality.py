@@ -76,6 +76,18 @@ def features(counts: np.ndarray) -> np.ndarray:
     return np.stack([np.maximum(symbols / w - LIMITS["symbols"], 0), odd_words, np.maximum(dup / n - LIMITS["dup_lines"], 0), np.maximum(upper / c - LIMITS["upper"], 0), np.maximum(digits / c - LIMITS["digits"], 0)], axis=1)
 
 
+def harmless(rows: np.ndarray, quality: np.ndarray) -> np.ndarray:
+    """By feature, the value up to which it says nothing by the labelled ``rows``: beyond it, bad rows outnumber good ones by
+    the most, and of equals it is the least. Where they outnumber them nowhere, it is the largest value."""
+    found = []
+    for x in rows.T:
+        steps = np.unique(np.append(x[quality == 1], 0.0))
+        beyond = [(quality == q).sum() - np.searchsorted(np.sort(x[quality == q]), steps, side="right") for q in (0, 1)]
+        lead = beyond[0] - beyond[1]
+        found.append(steps[lead.argmax()] if lead.max() > 0 else x.max())
+    return np.array(found)
+
+
 class IsolationForest:
     """Trees of random splits; ``score`` is 2 ** -(mean path length / expected), near 1 for the most isolated rows."""
 
@@ -127,26 +139,34 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.nodes) / self.base) if self.nodes else np.zeros(len(rows))
 
 
-def threshold(histogram: list[tuple[int, int, int]], keep_good: float) -> int:
+def threshold(histogram: list[tuple[int, int, int]], keep_good: float, spare: float = 0.01) -> int:
     """The bin from which documents are rejected: of those that keep at least ``keep_good`` of the good rows, the one that
-    rejects most of the bad ones, and of equals the highest. ``histogram``: (bin, quality, rows)."""
+    rejects most of the bad ones, and of equals the highest. A few good rows that share a score would push it above every bad
+    row below them, so a lower bin is taken if its errors, good rows rejected and bad rows kept, are fewer, and it still keeps
+    all but ``spare`` of the good rows. ``histogram``: (bin, quality, rows)."""
     good, bad = np.zeros(BINS + 1, int), np.zeros(BINS + 1, int)
     for b, quality, n in histogram:
         (good if quality else bad)[b] += n
     if not good.sum():
         return BINS + 1
-    kept = np.concatenate([[0], np.cumsum(good)]) / good.sum()  # by cutting in front of each bin
-    caught = bad.sum() - np.concatenate([[0], np.cumsum(bad)])
+    lost = good.sum() - np.concatenate([[0], np.cumsum(good)])  # by cutting in front of each bin
+    left = np.concatenate([[0], np.cumsum(bad)])
+    kept = 1 - lost / good.sum()
     allowed = np.flatnonzero(kept >= keep_good)
-    best = allowed[caught[allowed] == caught[allowed].max()]
-    return int(best.max())
+    best = allowed[left[allowed] == left[allowed].min()].max()
+    looser = np.flatnonzero(kept >= min(keep_good, 1 - spare))
+    least = looser[(lost + left)[looser] == (lost + left)[looser].min()].max()
+    return int(least if (lost + left)[least] < (lost + left)[best] else best)
 
 
 class Judge:
-    """A grown forest and the bin of the score from which it rejects."""
+    """A grown forest, the bin of the score from which it rejects, and up to which values features say nothing."""
+
+    def __init__(self, forest: IsolationForest, cut: int, min_words: int, harmless: np.ndarray | float = 0.0) -> None:
+        self.forest, self.cut, self.min_words, self.harmless = forest, cut, min_words, harmless
 
-    def __init__(self, forest: IsolationForest, cut: int, min_words: int) -> None:
-        self.forest, self.cut, self.min_words = forest, cut, min_words
+    def features(self, counts: np.ndarray) -> np.ndarray:
+        return np.maximum(features(counts) - self.harmless, 0)
 
     def failed(self, counts: np.ndarray) -> np.ndarray:
         words, repeated = counts[:, COUNTS.index("n_words")], counts[:, COUNTS.index("n_repeat_words")]
@@ -154,7 +174,7 @@ class Judge:
 
     def verdict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """base_failed, score and kept of rows of ``COUNTS``."""
-        failed, score = self.failed(counts), self.forest.score(features(counts))
+        failed, score = self.failed(counts), self.forest.score(self.features(counts))
         return failed, score, ~failed & (np.floor(score * BINS) < self.cut)
 
 
@@ -174,10 +194,12 @@ def calibrate(rows: DataFrame, labels: DataFrame, ws: Workspace, id_col: str = "
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     known = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max("quality").alias("quality"))
     labelled = ws.stage(rows.where(~failed).join(known, "id").select("id", "quality", *COUNTS), "labelled")
-    chosen = bounded_sample(labelled, fit_rows, F.col("id"), seed=seed).select(*COUNTS).collect()
+    chosen = bounded_sample(labelled, fit_rows, F.col("id"), seed=seed).select("quality", *COUNTS).collect()
     judge = Judge(IsolationForest(trees, sample, seed), BINS + 1, min_words)
     if chosen:
-        judge.forest.fit(features(np.array([tuple(r) for r in chosen], np.int64)))
+        quality, counts = np.split(np.array([tuple(r) for r in chosen], np.int64), [1], axis=1)
+        judge.harmless = harmless(features(counts), quality[:, 0])
+        judge.forest.fit(judge.features(counts))
         histogram = _scored(labelled, judge).groupBy(F.floor(F.col("score") * BINS).cast("int").alias("bin"), F.col("quality").cast("int").alias("quality")).count()
         judge.cut = threshold([tuple(r) for r in histogram.collect()], keep_good)
     return judge
@@ -188,8 +210,9 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     base_failed: fewer than ``min_words`` words, or more than half of the words repeated. kept: not base_failed and not
     rejected by the forest. ``labels`` has id_col and quality (1 good, 0 bad; others are left out). Trees are grown from at most
-    ``fit_rows`` labelled rows that pass the base rules, chosen by a hash of the id; the threshold counts all labelled rows that
-    pass, and keeps at least ``keep_good`` of the good ones. Without such rows the forest rejects nothing. Null ids
+    ``fit_rows`` labelled rows that pass the base rules, chosen by a hash of the id; the same rows say up to which value a
+    ratio is harmless. The threshold counts all labelled rows that pass, and keeps at least ``keep_good`` of the good ones,
+    or all but one in a hundred where that makes fewer errors in all (see ``threshold``). Without such rows the forest rejects nothing. Null ids
     have no label; an id that is labelled twice counts with its best label. Rows with the same id are judged each.
     """
     ws = Workspace(docs.sparkSession, "quality")

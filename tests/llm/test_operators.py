@@ -233,6 +233,33 @@ def test_quality_separates_labelled_rows(spark):
     assert quality.judge(documents(spark, []), table).count() == 0
 
 
+def test_quality_default_rejects_junk_beside_rare_good_rows(spark):
+    """Few good rows repeat a short line, just over its limit; they may neither let symbol junk through nor go themselves."""
+    rng = random.Random(61)
+    rows, labels = [], []
+    for i in range(600):
+        lines = [prose(rng, 6) for _ in range(20)]
+        if i % 150 == 1:
+            lines = [x for line in lines[:19] for x in (line, "see also")][:30] + ["see also"] * 2
+        words = "\n".join(lines).split(" ")
+        bad = i % 8 == 0
+        rows.append((i, " ".join(w + "#" * (rng.random() < rng.choice([0.4, 0.7, 0.9])) if bad else w for w in words), "s"))
+        labels.append((i, int(not bad), 0))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for seed in (0, 1):
+        got = quality.judge(documents(spark, rows), table, seed=seed).collect()
+        assert not any(r.base_failed for r in got) and sum(r.n_dup_lines > 0.3 * r.n_lines for r in got) == 4
+        assert {r.doc_id for r in got if not r.kept} == set(range(0, 600, 8))
+
+
+def test_threshold_weighs_a_small_tied_group():
+    tied = [(800, 1, 990), (1300, 1, 5), (1200, 0, 40), (1250, 0, 40), (1400, 0, 10)]
+    assert 800 < quality.threshold(tied, 0.999) <= 1200  # 5 good rows against 80 bad ones
+    assert quality.threshold([(800, 1, 900), (1300, 1, 100), (1200, 0, 500)], 0.999) > 1300  # not a small group
+    assert quality.threshold([(800, 1, 990), (1300, 1, 10), (1200, 0, 4)], 0.999) > 1300  # costs more than it catches
+    assert quality.threshold([(800, 1, 40), (800, 0, 60)], 0.999) > 800
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def tokenizer():
