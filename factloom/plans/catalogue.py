@@ -535,8 +535,9 @@ def probe_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def episode_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sentences = {f"s{r['item_id']}": r["text"] for r in table(spark, sf_dir, "benchmark").orderBy("item_id").limit(20).collect()}
-    claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("claim"), F.lit(labels.SUPPORTED).alias("gold"), F.array(F.concat(F.lit("s"), F.col("item_id").cast("string"))).alias("gold_ids"))
+    benchmark = table(spark, sf_dir, "benchmark")
+    sentences = benchmark.select(F.concat(F.lit("s"), F.col("item_id").cast("string")).alias("sid"), "text", F.col("item_id").alias("place"))
+    claims = benchmark.select(F.col("item_id").alias("id"), F.col("text").alias("claim"), F.lit(labels.SUPPORTED).alias("gold"), F.array(F.concat(F.lit("s"), F.col("item_id").cast("string"))).alias("gold_ids"))
     out = episodes.episodes(claims, sentences)
     return out.select("id", "pred", "confidence", F.array_join("cited", ",").alias("cited"), "n_ops", F.col("reward.reward").alias("reward"))
 

@@ -370,6 +370,28 @@ def test_episodes_table(spark):
     assert one(spark, a=episodes.heuristic(obs)).a == 4 == episodes.heuristic_policy([0.5, 0.4, 0.3, 0.2, 0.0, 0.0, 0.5, 0.8], 0, "")
 
 
+def test_episode_query_searches_all_sentences(spark, tmp_path):
+    """The whole result of the query against brute force over every sentence, with ties, compound claims and 60 items."""
+    words = ["tower", "Paris,", "river", "bridge", "built", "old", "the", "castle.", "king"]
+    texts = [" ".join(words[(i * j + j) % 9] for j in range(1, 6)) + (f" and item {i}" if i % 3 == 0 else f" no {i % 7}") for i in range(59)] + ["alone"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.id: r for r in catalogue.QUERIES["episode_fold"](spark, str(tmp_path)).collect()}
+    corpus = episodes.Corpus({f"s{i}": t for i, t in enumerate(texts)})
+    assert len(got) == 60
+    for i, t in enumerate(texts):
+        s, pred, confidence, _ = episodes.play(t, str(i), episodes.heuristic_policy, corpus)
+        assert (got[i].pred, got[i].confidence, got[i].n_ops) == (pred, confidence, s.ops), t
+        assert got[i].cited == ("" if pred == "NEI" else ",".join(s.cited)), t
+    assert sum(f"s{i}" in got[i].cited.split(",") for i in range(20, 60)) >= 30
+    claims = spark.createDataFrame([(i, t, "SUPPORTED", [f"s{i}"]) for i, t in enumerate(texts)], "id long, claim string, gold string, gold_ids array<string>")
+    slow = episodes.episodes(claims, {f"s{i}": t for i, t in enumerate(texts)}).select("id", "reward.reward").collect()
+    assert {r.id: r.reward for r in slow} == {i: r.reward for i, r in got.items()}
+    odd = spark.createDataFrame([(1, "Paris shines and Eiffel built", "SUPPORTED", ["s0"]), (2, "", "NEI", [])], "id long, claim string, gold string, gold_ids array<string>")
+    rows = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(SENTENCES.items())], "sid string, text string, place int")
+    key = lambda table: sorted((r.id, r.pred, r.cited, r.n_ops, r.actions) for r in table.collect())
+    assert key(episodes.episodes(odd, rows)) == key(episodes.episodes(odd, SENTENCES))
+
+
 def test_native_fold(spark):
     hits = "array<array<struct<sid:string,score:double>>>"
     rows = spark.createDataFrame([(1, [[("a", 0.9), ("b", 0.5), ("c", 0.1)], [("a", 0.8), ("d", 0.7)]], [0, 0, 4, 0])], f"id long, hits {hits}, actions array<int>")
