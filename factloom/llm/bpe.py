@@ -1,10 +1,10 @@
 """Byte-level BPE as a bounded-lookahead streaming transducer, and its incremental decoder.
 
 What is appended to a text can change the merges before it only within a distance that the merge list fixes,
-its sufficient lookahead. The transducer therefore runs the merges over a window of bytes, emits the tokens that
-end further than that from the window's end, and keeps the rest: memory stays constant whatever the
-length of the text. Most windows are single short words; words of a batch are merged together with numpy, and
-the emitted ids of recent words are remembered.
+its sufficient lookahead, and never across the end of a word. Every text is fed to a transducer part by part. It runs the merges
+over windows of bytes; a token is emitted, to the digest and the decoder, once its word has ended or the lookahead lies between it
+and the window's end, and the rest is kept: memory stays constant whatever the length of the text. Texts of a batch
+advance side by side, so that windows are merged together with numpy; the ids of recent words are remembered.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
-from functools import cached_property, lru_cache
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property, lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import pieces, python_batches, texts
+from .common import pieces, python_batches
 
-#: Words whose ids are remembered; the memory is emptied when it is full.
+#: Words whose ids are remembered, of 16 characters on average; the memory is emptied when it is full.
 MEMORY = 250_000
-#: Characters of text fed at once, and bytes of one word merged at once.
-CHUNK = 1 << 16
-WINDOW = 1 << 12
+#: Characters of every text that are fed at once, whatever its length.
+CHUNK = 1 << 14
 
 # The contractions that the byte-level pattern sets apart.
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _ANY = regex.compile(_CONTRACTIONS + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_RUNS = {k: regex.compile(m) for k, m in {"a": r"\p{L}*", "0": r"\p{N}*", " ": r"\s*", ".": r"[^\s\p{L}\p{N}]*"}.items()}
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -98,6 +98,8 @@ class Merges:
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         model = file["model"]
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in file["added_tokens"]):
+            raise ValueError("added tokens must be plain strings")
         if model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges") or (file["pre_tokenizer"] or {}).get("type") != "ByteLevel" or file["pre_tokenizer"]["add_prefix_space"] or file["normalizer"]:
             raise ValueError("a plain byte-level BPE file is needed")
         vocab, symbols = model["vocab"], _byte_symbols()
@@ -148,6 +150,17 @@ class Merges:
             best[a] = max(best.get(a, 0), len(self.bytes[b]) + reach)
         return most + max(map(len, self.bytes))
 
+    @cached_property
+    def window(self) -> int:
+        """Bytes of one word that are merged at once."""
+        return 4 * self.lookahead
+
+    def stable(self, window: bytes, ids: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """The tokens of an unfinished word's window that end at least the lookahead before its end, and the bytes that are left."""
+        ends = np.cumsum([len(self.bytes[t]) for t in ids.tolist()])
+        n = int(np.searchsorted(ends, len(window) - self.lookahead, side="right"))
+        return ids[:n], window[int(ends[n - 1]) if n else 0 :]
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words one after the other, and the number of tokens of each. No word is empty.
 
@@ -197,19 +210,14 @@ class WordTransducer:
 
     def __init__(self, merges: Merges) -> None:
         self.merges, self.rest = merges, b""
-        self.window = max(WINDOW, 2 * merges.lookahead)
 
     def feed(self, part: bytes) -> bytes:
-        out = []
-        for i in range(0, len(part), self.window):
-            self.rest += part[i : i + self.window]
-            if len(self.rest) >= self.window:
-                ids, _ = self.merges.merge([self.rest])
-                ends = np.cumsum([len(self.merges.bytes[t]) for t in ids.tolist()])
-                n = int(np.searchsorted(ends, len(self.rest) - self.merges.lookahead, side="right"))
-                if n:
-                    out.append(ids[:n].tobytes())
-                    self.rest = self.rest[int(ends[n - 1]) :]
+        out, size = [], self.merges.window
+        for i in range(0, len(part), size):
+            self.rest += part[i : i + size]
+            if len(self.rest) >= size:
+                ids, self.rest = self.merges.stable(self.rest, self.merges.merge([self.rest])[0])
+                out.append(ids.tobytes())
         return b"".join(out)
 
     def finish(self) -> bytes:
@@ -225,122 +233,118 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.splitter = Splitter(self.tokenizer)
         self.known: dict[str, bytes] = {}
+        self.held = 0  # characters of the known words
         names = sorted(self.merges.special, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, names))) if names else None
+        self.marks = sorted({n[0] for n in names})
         self.hold = 1 + max([3, *map(len, names)])  # characters that can still become part of something longer, or decide where a space goes
 
     def learn(self, words: Iterable[str]) -> None:
-        """Encodes words that aren't known yet, all together."""
-        new = list(words)
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-        short = [w for w in new if len(w) <= WINDOW // 4]
-        raw = [w.encode("utf-8", "surrogatepass") for w in short]
-        if raw:
-            ids, counts = self.merges.merge(raw)
-            packed, ends = ids.tobytes(), (np.cumsum(counts) * 4).tolist()
-            self.known.update(zip(short, (packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
-        for w in new:
-            if len(w) > WINDOW // 4:
-                self.known[w] = self.word(w)
-
-    def word(self, word: str) -> bytes:
-        t = WordTransducer(self.merges)
-        return b"".join([*(t.feed(word[i : i + CHUNK].encode("utf-8", "surrogatepass")) for i in range(0, len(word), CHUNK)), t.finish()])
+        """Remembers the ids of whole words: each runs through the transducer window by window, all side by side."""
+        names = list(words)
+        raw = [w.encode("utf-8", "surrogatepass") for w in names]
+        found: list[list[bytes]] = [[] for _ in names]
+        size, todo = self.merges.window, [(k, b"", 0) for k in range(len(names))]
+        while todo:
+            fed = [rest + raw[k][at : at + size] for k, rest, at in todo]
+            ids, counts = self.merges.merge(fed)
+            ends = np.cumsum(counts).tolist()
+            after = []
+            for (k, _, at), window, a, b in zip(todo, fed, [0, *ends[:-1]], ends, strict=True):
+                own = ids[a:b]
+                if at + size < len(raw[k]):
+                    own, rest = self.merges.stable(window, own)
+                    after.append((k, rest, at + size))
+                found[k].append(own.tobytes())
+            todo = after
+        self.known.update(zip(names, map(b"".join, found), strict=True))
+        self.held += sum(map(len, names))
+
+    def streams(self, texts: list[Iterator[str]]) -> Iterator[tuple[int, bytes]]:
+        """(which text, its next stable ids), for texts that come in parts. Texts advance side by side, a part at a time."""
+        live = [(k, TextTransducer(self), parts, next(parts, "")) for k, parts in enumerate(texts)]
+        while live:
+            split, after = [], []
+            for k, t, parts, part in live:
+                more = next(parts, None)
+                split.append((k, *t.split(part, more is None)))
+                if more is not None:
+                    after.append((k, t, parts, more))
+            new: set[str] = set()
+            for _, items, plain in split:
+                new.update(items if plain else [i for i in items if isinstance(i, str)])
+            if missing := new.difference(self.known):
+                if len(self.known) + len(missing) > MEMORY or self.held > 16 * MEMORY:
+                    self.known.clear()
+                    self.held, missing = 0, new
+                self.learn(missing)
+            get = self.known.__getitem__
+            for k, items, plain in split:
+                yield k, b"".join(map(get, items) if plain else [get(i) if isinstance(i, str) else i() for i in items])
+            live = after
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of each text. Texts longer than a chunk are streamed, so that memory doesn't follow their length."""
-        split: list[list[str] | None] = []
-        for t in texts:
-            plain = len(t) <= CHUNK and (self.special is None or "<" not in t or self.special.search(t) is None)
-            split.append(self.splitter.words(t) if plain else None)
-        new: set[str] = set()
-        for words in split:
-            if words is not None:
-                new.update(words)
-        if missing := new.difference(self.known):
-            if len(self.known) + len(missing) > MEMORY:
-                missing = new  # the memory is about to be emptied
-            self.learn(missing)
-        get = self.known.__getitem__
-        packed = [b"".join(map(get, w)) if w is not None else b"" for w in split]  # before streaming, which may empty the memory
-        return [p if w is not None else self.stream(t) for p, w, t in zip(packed, split, texts, strict=True)]
-
-    def stream(self, text: str) -> bytes:
-        s = TextTransducer(self)
-        return b"".join([*(s.feed(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)), s.finish()])
-
-    def encode_words(self, words: list[str]) -> bytes:
-        if missing := set(words).difference(self.known):
-            if len(self.known) + len(missing) > MEMORY:
-                missing = set(words)
-            self.learn(missing)
-        return b"".join(map(self.known.__getitem__, words))
+        """All packed ids of each text."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        parts = lambda t: (t[i : i + CHUNK] for i in range(0, len(t), CHUNK))
+        for k, ids in self.streams([parts(t) for t in texts]):
+            out[k].append(ids)
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
 
 class TextTransducer:
-    """A text fed in chunks of any size; what is kept between them is bounded."""
+    """A text fed in parts of any size; what is kept between them is bounded."""
 
     def __init__(self, encoder: Encoder) -> None:
         self.e, self.rest = encoder, ""
-        self.open: WordTransducer | None = None  # a word longer than a chunk
+        self.open: WordTransducer | None = None  # a word longer than a part
         self.kind = ""
 
-    def feed(self, chunk: str) -> bytes:
-        self.rest += chunk
-        return self._advance(False)
-
-    def finish(self) -> bytes:
-        return self._advance(True)
-
-    def _advance(self, last: bool) -> bytes:
-        out = []
-        special = self.e.special
-        while special is not None and (m := special.search(self.rest)):
+    def split(self, part: str, last: bool) -> tuple[list[str | Callable[[], bytes]], bool]:
+        """What can't change any more: whole words, and calls that give the ids of special tokens or of a word that is still open;
+        and whether all are words."""
+        self.rest += part
+        out: list[str | Callable[[], bytes]] = []
+        plain = self.open is None
+        while any(c in self.rest for c in self.e.marks) and (m := self.e.special.search(self.rest)):
             text, self.rest = self.rest[: m.start()], self.rest[m.end() :]
-            out += [self._plain(text, True)[0], np.array([self.e.merges.special[m[0]]], "<u4").tobytes()]
-        ids, used = self._plain(self.rest, last)
-        self.rest = self.rest[used:]
-        return b"".join([*out, ids])
-
-    def _plain(self, text: str, last: bool) -> tuple[bytes, int]:
-        """Ids of what can't change any more, and how many characters that was; all of them if ``last``."""
-        out, used = [], 0
-        seen = self.e.splitter.stand_in(text) if self.e.splitter.other.search(text) else text
-        safe = len(text) if last else max(0, len(text) - self.e.hold)
+            self._plain(out, text, True)
+            out.append(partial(np.array([self.e.merges.special[m[0]]], "<u4").tobytes))
+            plain = False
+        self.rest = self.rest[self._plain(out, self.rest, last) :]
+        return out, plain and self.open is None
+
+    def _plain(self, out: list[str | Callable[[], bytes]], text: str, last: bool) -> int:
+        """Adds what is certain of a text without special tokens, and returns how many characters that was; all of them if ``last``."""
+        used, safe = 0, len(text) if last else max(0, len(text) - self.e.hold)
         if self.open:
-            used = self._run(seen, 0)
-            stop = min(used, safe)
-            if self.kind == " " and used < len(text):  # the last space goes with what follows
-                stop = min(stop, used - 1)
-            stop = max(0, stop)
-            out.append(self.open.feed(text[:stop].encode("utf-8", "surrogatepass")))
-            if used < safe or last:
-                out.append(self.open.finish())
-                self.open = None
-            used = stop
-            if self.open:
-                return b"".join(out), used
-        words, end = [], used
-        for m in _ANY.finditer(seen, used):
-            if m.end() > safe or m.end() == len(seen) and not last:
-                break
-            words.append(text[m.start() : m.end()])
-            end = m.end()
-        out.append(self.e.encode_words(words))
-        left = safe - end
-        if not last and left > max(3, CHUNK // 2) and (m := _ANY.match(seen, end)) and m.end() >= safe:  # longer than any contraction
-            c = seen[m.start() + (seen[m.start()] == " " and m.end() - m.start() > 1)]
-            self.kind = "a" if regex.match(r"\p{L}", c) else "0" if regex.match(r"\p{N}", c) else " " if c.isspace() and regex.match(r"\s", c) else "."
+            run = self._run(text)
+            used = min(run, safe)
+            if self.kind == " " and run < len(text):  # the last space goes with what follows
+                used = min(used, run - 1)
+            used = max(0, used)
+            out.append(partial(self.open.feed, text[:used].encode("utf-8", "surrogatepass")))
+            if run >= safe and not last:
+                return used
+            out.append(self.open.finish)
+            self.open = None
+        words, end, word = self.e.splitter.words(text[used:] if used else text), len(text), ""
+        while words and end > safe:
+            word = words.pop()
+            end -= len(word)
+        out += words
+        if safe - end > max(3, CHUNK // 2):  # longer than any contraction: the last word may be of any length
+            seen = self.e.splitter.stand_in(word)
+            c = seen[seen[0] == " " and len(seen) > 1]
+            self.kind = "a" if regex.match(r"\p{L}", c) else "0" if regex.match(r"\p{N}", c) else " " if regex.match(r"\s", c) else "."
             self.open = WordTransducer(self.e.merges)
-            out.append(self.open.feed(text[end:safe].encode("utf-8", "surrogatepass")))
+            out.append(partial(self.open.feed, text[end:safe].encode("utf-8", "surrogatepass")))
             end = safe
-        return b"".join(out), end
+        return end
 
-    def _run(self, seen: str, start: int) -> int:
-        """Where the run of the open word's class that goes on at ``start`` ends."""
-        m = {"a": r"\p{L}*", "0": r"\p{N}*", " ": r"\s*", ".": r"[^\s\p{L}\p{N}]*"}[self.kind]
-        return regex.compile(m).match(seen, start).end()
+    def _run(self, text: str) -> int:
+        """Where the run of the open word's class that goes on at the start of ``text`` ends."""
+        return _RUNS[self.kind].match(self.e.splitter.stand_in(text)).end()
 
 
 class Decoder:
@@ -362,26 +366,57 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def text_parts(column: pa.Array, size: int = CHUNK) -> list[Iterator[str]]:
+    """Each text of a column in parts of at most ``size`` bytes, read from Arrow's memory as they are asked for. Null is empty,
+    bytes that aren't UTF-8 become replacement characters."""
+
+    def parts(raw: memoryview) -> Iterator[str]:
+        i = 0
+        while i < len(raw):
+            j = min(i + size, len(raw))
+            while i + size - 4 < j < len(raw) and raw[j] & 0xC0 == 0x80:  # not inside a character
+                j -= 1
+            yield str(raw[i:j], "utf-8", "replace")
+            i = j
+
+    return [parts(memoryview(x.as_buffer())) if x.is_valid else iter(()) for x in column]
+
+
+class Digests:
+    """Number and SHA-256 of a text's ids, and SHA-256 of the text decoded from them, kept up as ids come."""
+
+    def __init__(self, merges: Merges, decode: bool) -> None:
+        self.n, self.ids, self.text = 0, hashlib.sha256(), hashlib.sha256()
+        self.decoder = Decoder(merges) if decode else None
+
+    def feed(self, packed: bytes) -> None:
+        self.n += len(packed) // 4
+        self.ids.update(packed)
+        if self.decoder:
+            self.text.update(self.decoder.feed(packed).encode("utf-8", "surrogatepass"))
+
+    def finish(self) -> tuple[int, str, str | None]:
+        if self.decoder:
+            self.text.update(self.decoder.finish().encode())
+        return self.n, self.ids.hexdigest(), self.text.hexdigest() if self.decoder else None
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
     """(id_col, n_tokens, ids_sha256, decoded_sha256) of every row; null text counts as empty.
 
-    ``path`` is a tokenizer file that every executor has. The ids are decoded again part by part; without
-    ``decode`` that column is null. Rows with the same id get a row each; an empty table gives an empty one.
+    ``path`` is a tokenizer file that every executor has. Ids are decoded again as they come; without ``decode`` that
+    column is null. Rows with the same id or a null id get a row each; an empty table gives an empty one; other columns are not read.
     """
     python_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in pieces(batches):
-            packed = e.encode_batch(texts(b, "text"))
-            sums = []
-            for p in packed if decode else ():
-                d, h = Decoder(e.merges), hashlib.sha256()
-                for i in range(0, len(p), CHUNK):
-                    h.update(d.feed(p[i : i + CHUNK]).encode("utf-8", "surrogatepass"))
-                h.update(d.finish().encode())
-                sums.append(h.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()), pa.array(sums if decode else [None] * len(packed), pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            found = [Digests(e.merges, decode) for _ in range(b.num_rows)]
+            for k, ids in e.streams(text_parts(b.column(1))):
+                found[k].feed(ids)
+            n, ids, decoded = zip(*(d.finish() for d in found), strict=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

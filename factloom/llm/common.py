@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +14,7 @@ from ..sources.staging import shared_folder, ship
 
 #: Bytes of one Arrow batch sent to a Python worker; a longer single row still travels whole.
 BATCH_BYTES = 4 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def python_batches(spark: SparkSession) -> None:
@@ -34,7 +34,8 @@ class Workspace:
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", "zstd").parquet(path)
+        with finished_shuffles_removed(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.staged_path = path
         return out
@@ -46,12 +47,16 @@ class Workspace:
             path = jvm.org.apache.hadoop.fs.Path(t.staged_path)
             path.getFileSystem(conf).delete(path, True)
 
-    def release(self) -> None:
-        """Lets Spark remove shuffle files of finished stages now instead of at the driver's next full collection."""
-        for _ in range(2):  # what Python has let go of reaches the JVM a moment later
-            gc.collect()
-            time.sleep(0.1)
-            self.spark._jvm.System.gc()
+
+@contextmanager
+def finished_shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go when the write has ended; nothing reads them after that."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256, chars: int = 1 << 21) -> Iterator[pa.RecordBatch]:
@@ -103,7 +108,6 @@ def components(ws: Workspace, edges: DataFrame, max_rounds: int = 60) -> DataFra
         ws.drop(e, large)
         e = small
         if settled:
-            ws.release()
             return e.select(F.col("b").alias("node"), F.col("a").alias("component")).union(e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 

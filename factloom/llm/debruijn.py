@@ -98,7 +98,6 @@ def repeated_windows(docs: DataFrame, ws: Workspace, k: int, m: int) -> DataFram
     # Keys to join by are staged: between two plain shuffles Spark can split the part of a hot key.
     often = ws.stage(every.groupBy("minimizer").agg(F.count("*").alias("c")).where("c > 1").select("minimizer"), "often")
     shared = ws.stage(every.join(often, "minimizer"), "shared")
-    ws.release()
     # The first occurrence of each content, and how many contents a minimizer has: more than one is a branch.
     contents = shared.groupBy("minimizer", "content").agg(F.count("*").alias("c"), F.min(F.struct("doc", "start")).alias("at"), F.first("n").alias("n"))
     contents = ws.stage(contents, "contents")
@@ -109,13 +108,11 @@ def repeated_windows(docs: DataFrame, ws: Workspace, k: int, m: int) -> DataFram
     heads = contents.join(branches, "minimizer").select("at.doc", "at.start", "n", "minimizer")
     heads = heads.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "minimizer")).alias("runs"))
     edges = ws.stage(_open(docs.join(heads, "doc").select("doc", "text", "runs"), k), "edges")
-    ws.release()
     firsts = edges.groupBy("minimizer", "edge").agg(F.count("*").alias("c"), F.min(F.struct("doc", "start")).alias("at")).where("c > 1").select("minimizer", "edge", "at")
     firsts = ws.stage(firsts, "firsts")
     single = edges.join(firsts, ["minimizer", "edge"]).where("doc <> at.doc or start <> at.start").select("doc", "start", F.lit(1).alias("n"))
     found = ws.stage(copies.unionByName(single), "found")
     ws.drop(often, shared, contents, branches, edges, firsts)
-    ws.release()
     return found
 
 

@@ -217,7 +217,6 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     ws = Workspace(docs.sparkSession, "quality")
     rows = ws.stage(rule_statistics(docs, id_col, text_col), "statistics")
-    ws.release()
     return _scored(rows, calibrate(rows, labels, ws, id_col, **settings)).withColumnRenamed("id", id_col)
 
 
@@ -226,7 +225,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     calibrated, each text's counts are taken again where it is read."""
     ws = Workspace(docs.sparkSession, "quality")
     rows = ws.stage(rule_statistics(docs, id_col, text_col), "statistics")
-    ws.release()
     found = calibrate(rows, labels, ws, id_col, **settings)
     at = docs.columns.index(text_col)
 

@@ -128,10 +128,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     ws = Workspace(docs.sparkSession, "simhash")
     rows = ws.stage(fingerprints(docs, id_col, text_col), "fingerprints")
-    ws.release()
     nodes = ws.stage(rows.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
     edges = ws.stage(links(ws, nodes.select("fp")), "links")
-    ws.release()
     # Components of fingerprints; the smallest id in each follows by one more aggregation.
     found = components(ws, edges).withColumnRenamed("node", "fp")
     named = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))

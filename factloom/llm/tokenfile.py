@@ -103,7 +103,6 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "d
     spark = docs.sparkSession
     ws = Workspace(spark, "tokens")
     blocks = ws.stage(_tokenized(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), path, end_id), "raw")
-    ws.release()
     counted = _counts(blocks).collect()
     order = np.array([t for t, _ in sorted(counted, key=lambda r: (-r[1], r[0]))], np.int64)
     rank = np.zeros(int(order.max()) + 1 if len(order) else 0, np.uint32)
@@ -123,7 +122,6 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "d
     coded = coded.withColumn("start", F.col("before") + F.col("within")).drop("before", "within")
     coded.write.option("compression", "none").mode("errorifexists").parquet(f"{folder}/blocks")
     ws.drop(blocks)
-    ws.release()
 
 
 def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:

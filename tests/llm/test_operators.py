@@ -274,23 +274,54 @@ def test_encoder_equals_the_library(tokenizer, monkeypatch):
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
     assert e.encode_batch(texts) == list(map(want, texts))
     for t in texts:
-        monkeypatch.setattr(bpe, "CHUNK", rng.choice([3, 7, 16]))
-        monkeypatch.setattr(bpe, "WINDOW", 8)
-        assert e.stream(t) == want(t), (t, bpe.CHUNK)
+        monkeypatch.setattr(bpe, "CHUNK", rng.choice([1, 3, 7, 16]))
+        assert e.encode_batch([t]) == [want(t)], (t, bpe.CHUNK)
     d = bpe.Decoder(e.merges)
     raw = want(texts[3])
     assert "".join([d.feed(raw[i : i + 4]) for i in range(0, len(raw), 4)] + [d.finish()]) == tokenizer.decode(np.frombuffer(raw, "<u4").tolist(), skip_special_tokens=False)
 
 
-@pytest.mark.parametrize("text", ["ab" * 70000, "a" * 150000, " " * 90000 + "x", "12" * 60000 + "\n" * 70000 + "q", "!" * 80000 + "'s", "the" * 40000 + " " + "é" * 70000])
+@pytest.mark.parametrize("text", ["ab" * 40000, " " * 90000 + "x", "12" * 20000 + "\n" * 70000 + "q", "!" * 40000 + "'s", "the" * 10000 + " " + "é" * 20000, "x" * 65535, "x " * 33000 + "[y"])
 def test_long_words_keep_memory_constant(tokenizer, text):
     e = bpe.Encoder(BPE)
     s, most, out = bpe.TextTransducer(e), 0, []
+
+    def feed(part, last):
+        items, _ = s.split(part, last)
+        out.extend(i() if callable(i) else e.encode_batch([i])[0] for i in items)
+
     for i in range(0, len(text), 1000):
-        out.append(s.feed(text[i : i + 1000]))
+        feed(text[i : i + 1000], False)
         most = max(most, len(s.rest) + (len(s.open.rest) if s.open else 0))
-    assert b"".join([*out, s.finish()]) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    assert most < 2 * bpe.CHUNK and 128 < e.merges.lookahead < bpe.WINDOW
+    feed("", True)
+    want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert b"".join(out) == want == e.encode_batch([text])[0]
+    assert most < bpe.CHUNK + e.merges.window and 128 < e.merges.lookahead < e.merges.window
+
+
+def test_a_long_text_is_digested_in_bounded_memory(tokenizer):
+    """50 MB in one row: what is held besides the row stays under a fiftieth of it, and digests equal those of the whole."""
+    import tracemalloc
+
+    part = "Ñandú words of ordinary length, 12 of them.\nAnd <|endoftext|> so on; " * 20
+    column = pa.array([part * (50_000_000 // len(part.encode()))])
+    e = bpe.Encoder(BPE)
+    assert e.merges.window > 0  # found before memory is watched
+    tracemalloc.start()
+    d = bpe.Digests(e.merges, True)
+    for _, ids in e.streams(bpe.text_parts(column)):
+        d.feed(ids)
+    n, ids, text = d.finish()
+    assert tracemalloc.get_traced_memory()[1] < 1_000_000
+    tracemalloc.stop()
+    one = np.array(tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+    times = len(column[0].as_py()) // len(part)
+    assert (n, ids, text) == (len(one) // 4 * times, hashlib.sha256(one * times).hexdigest(), hashlib.sha256(column[0].as_buffer()).hexdigest())
+
+
+def test_bytes_that_are_no_text():
+    column = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, 5], np.int32)), pa.py_buffer(b"a\x80\x80\x80b")])
+    assert "".join(bpe.text_parts(column, 2)[0]).startswith("a")
 
 
 def test_encode_documents(spark, odd_docs, tokenizer):
