@@ -57,5 +57,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before is not None:
             ws.drop(before)
         before = docs
-        ws.release()
     return docs
