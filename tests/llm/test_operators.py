@@ -303,7 +303,7 @@ def test_a_long_text_is_digested_in_bounded_memory(tokenizer):
     """50 MB in one row: what is held besides the row stays under a fiftieth of it, and digests equal those of the whole."""
     import tracemalloc
 
-    part = "Ñandú words of ordinary length, 12 of them.\nAnd <|endoftext|> so on; " * 20
+    part = "Ñandú words of ordinary length, 12 of them.\nAnd <|endoftext|> so on;\n" * 20
     column = pa.array([part * (50_000_000 // len(part.encode()))])
     e = bpe.Encoder(BPE)
     assert e.merges.window > 0  # found before memory is watched
