@@ -59,6 +59,14 @@ def finished_shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called that."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256, chars: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Splits batches so that a piece holds at most ``rows`` rows and about ``chars`` bytes, or one longer row."""
     for b in batches:

@@ -23,9 +23,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Sizes are taken where texts are read; texts themselves needn't move to learn their shards.
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
-    return sharding.shard(docs, SHARD_BYTES, size=F.col("n_bytes")).select("doc_id", "n_bytes", "shard", "shard_depth", "shard_bytes", "shard_docs")
+    """Shards are written, and what is returned, their real bytes and rows included, is read from the files."""
+    docs = _read(spark, sf_dir, "documents")
+    folder = f"{Workspace(spark, 'shards').base}/files"
+    sharded = sharding.shard(docs, SHARD_BYTES).select(*docs.columns, "shard_depth", "shard")
+    sharding.write_shards(sharded, folder)
+    rows = sharding.read_shards(spark, folder, sharded).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "shard", "shard_depth")
+    sums = rows.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_docs"))
+    return rows.join(sums, "shard").select("doc_id", "n_bytes", "shard", "shard_depth", "shard_bytes", "shard_docs")
 
 
 def captures(pages: DataFrame) -> DataFrame:

@@ -1,22 +1,20 @@
 """Sharding by extendible hashing (DataFrame functions only).
 
-A directory indexed by the leading bits of a key's hash; a bucket over the byte limit is split on the next
-bit, others stay as they are, until every shard fits. Sums of bytes by prefix are what the splitting needs,
-so documents are read once and only (hash, bytes) take part.
+A directory is indexed by the leading bits of a key's hash; a bucket over the byte limit is split on the next bit, others stay
+as they are, until every shard fits. The directory grows a stride of bits at a time, below oversized buckets only, from sums of bytes
+by prefix; documents move once, to their shards.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace
+from .common import Workspace, finished_shuffles_removed, unused
 
-#: Bits of the hash, the first 15 hexadecimal digits of an MD5.
-BITS = 60
+#: Bits of the hash, the first 15 hexadecimal digits of an MD5, and bits by which the directory grows at a time.
+BITS, STRIDE = 60, 10
 
 
 def key_hash(key: Column) -> Column:
@@ -27,65 +25,85 @@ def _bits(prefix: Column, depth: Column) -> Column:
     return F.when(depth == 0, F.lit("")).otherwise(F.lpad(F.bin(prefix), depth.cast("int"), F.lit("0")))
 
 
-def directory(hashed: DataFrame, limit: int, depth: int, known: int = 0) -> DataFrame:
-    """(cell, depth): for each prefix of ``depth`` bits the local depth of its bucket, null if even that is too large.
+def buckets(ws: Workspace, hashed: DataFrame, limit: int, known: int, depth: int) -> DataFrame:
+    """(prefix, depth, bytes, n): the prefixes of ``known`` to ``depth`` bits whose parents are over the limit and that fit
+    themselves, or that are the longest there are. ``hashed`` has (h, bytes, n), and its prefixes of ``known`` bits are over the limit.
 
-    ``hashed`` has (h, bytes). The local depth is the smallest one at which the rows of the prefix fit; sums
-    only fall as a prefix grows, so that is where splitting oversized buckets alone ends.
+    A level's sums are those of its children added up, so each is half as long as the one before, and a level is grouped by
+    its own prefixes alone. Parents are told apart from the same level, without a join: a prefix learns its parent's sum from its sibling.
     """
-    cells = hashed.groupBy(F.shiftright("h", BITS - depth).alias("cell")).agg(F.sum("bytes").alias("bytes"))
-    steps = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(known), F.lit(depth))).alias("d")).withColumn("prefix", F.expr(f"shiftright(cell, {depth} - d)"))
-    sums = steps.groupBy("d", "prefix").agg(F.sum("bytes").alias("total")).where(F.col("total") <= limit)
-    return steps.join(sums, ["d", "prefix"], "left").groupBy("cell").agg(F.min(F.when(F.col("total").isNotNull(), F.col("d"))).alias("depth"))
+    level = hashed.groupBy(F.shiftright("h", BITS - depth).alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
+    level = ws.stage(level, f"level{depth}")
+    levels = []
+    for d in range(depth, known, -1):
+        pair = level.groupBy(F.shiftright("prefix", 1).alias("parent")).agg(F.sum("bytes").alias("whole"), F.sum("n").alias("docs"), F.sort_array(F.collect_list(F.struct("prefix", "bytes", "n"))).alias("both"))  # at most two
+        split = pair.where(F.col("whole") > limit).select(F.explode("both").alias("b")).select("b.prefix", F.lit(d).alias("depth"), "b.bytes", "b.n")
+        levels.append(split if d == depth else split.where(F.col("bytes") <= limit))
+        if d - 1 > known or known == 0:
+            level = ws.stage(pair.select(F.col("parent").alias("prefix"), F.col("whole").alias("bytes"), F.col("docs").alias("n")), f"level{d - 1}")
+    if known == 0:
+        levels.append(level.where(F.col("bytes") <= limit).select("prefix", F.lit(0).alias("depth"), "bytes", "n"))
+    out = levels[0]
+    for x in levels[1:]:
+        out = out.unionByName(x)
+    return ws.stage(out, f"buckets{depth}")
 
 
 def shard(docs: DataFrame, limit: int, key: str = "doc_id", size: Column | None = None) -> DataFrame:
     """``docs`` plus shard (the bits of its prefix, then ``-page`` where one hash alone is over the limit), shard_depth, shard_bytes and shard_docs.
 
-    ``size`` defaults to the bytes of ``text``; null counts as 0. Rows whose 60 hash bits are all equal (repeated
-    keys, or one row over the limit) can't be split by bits: they are laid out in pages by a running sum, a row
-    larger than the limit alone on its page. Columns of these four names are replaced. Null keys share one hash.
+    ``size`` defaults to the bytes of ``text``; null counts as 0. Rows whose 60 hash bits are all equal (repeated keys, or one row
+    over the limit) can't be split by bits: they are laid out in pages by running sums, each within one part of the table, a row
+    over half the limit alone on its page. Columns of these four names are replaced, other names are free. Null keys share one hash.
+    An empty table gives an empty one. A directory entry joins hashes, never rows, so a hot key is one row there.
     """
     ws = Workspace(docs.sparkSession, "shard")
-    out = ["shard", "shard_depth", "shard_bytes", "shard_docs"]
-    rows = docs.drop(*out)
-    rows = rows.withColumn("__h", key_hash(F.col(key))).withColumn("__bytes", F.coalesce(F.octet_length("text") if size is None else size, F.lit(0)).cast("long"))
-    hashed = rows.groupBy(F.col("__h").alias("h")).agg(F.sum("__bytes").alias("bytes"), F.count("*").alias("n"))
-    hashed = ws.stage(hashed, "hashes")
-    total, least = hashed.agg(F.sum("bytes"), F.count("*")).first()
-    depth = min(BITS, max(0, math.ceil(math.log2(max(1, (total or 0) / limit)))) + 4) if least else 0
-    # Rows that don't fit at the directory's depth are few, unless single keys are too large: go deeper for those alone.
+    rows = docs.drop("shard", "shard_depth", "shard_bytes", "shard_docs")
+    h, own, place = (unused(rows, x) for x in ("hash", "own_bytes", "place"))
+    rows = rows.withColumn(h, key_hash(F.col(key))).withColumn(own, F.coalesce(F.octet_length("text") if size is None else size, F.lit(0)).cast("long"))
+    hashed = ws.stage(rows.groupBy(F.col(h).alias("h")).agg(F.sum(own).alias("bytes"), F.count("*").alias("n")), "hashes")
     leaves, rest, known = None, hashed, 0
-    while True:
-        found = ws.stage(directory(rest, limit, depth, known), f"directory{depth}")
-        cell = F.shiftright("h", BITS - depth)
-        own = rest.join(found.withColumnRenamed("cell", "__cell"), cell == F.col("__cell"))
-        last = depth == BITS
-        some = own.where(F.col("depth").isNotNull() if not last else F.lit(True)).select("h", "bytes", "n", "depth")
-        leaves = some if leaves is None else leaves.unionByName(some)
-        if last or found.where("depth is null").isEmpty():
+    while known < BITS:
+        depth = min(BITS, known + STRIDE)
+        found = buckets(ws, rest, limit, known, depth)
+        # The directory: an entry for each prefix of ``depth`` bits, at most 2 ** STRIDE to a bucket.
+        cells = F.sequence(F.lit(0).cast("long"), F.expr(f"shiftleft(1L, {depth} - depth) - 1"))
+        entries = found.select(F.explode(cells).alias("i"), "*").withColumn("cell", F.expr(f"shiftleft(prefix, {depth} - depth) + i")).drop("i")
+        placed = rest.withColumnRenamed("bytes", "own").withColumnRenamed("n", "rows").withColumn("cell", F.shiftright("h", BITS - depth)).join(entries, "cell")
+        placed = ws.stage(placed.select("h", "own", "rows", "depth", "prefix", "bytes", "n", (F.col("bytes") > limit).alias("over")), "placed")
+        done = placed if depth == BITS else placed.where("not over")
+        leaves = done if leaves is None else leaves.unionByName(done)
+        rest, known = placed.where("over").select("h", F.col("own").alias("bytes"), F.col("rows").alias("n")), depth
+        if rest.isEmpty():
             break
-        rest, known, depth = ws.stage(own.where("depth is null").select("h", "bytes", "n"), "rest"), depth + 1, min(BITS, depth + 12)
-    leaves = leaves.withColumn("full", F.col("depth").isNull()).withColumn("depth", F.coalesce("depth", F.lit(BITS)))
-    leaves = leaves.withColumn("prefix", F.expr(f"shiftright(h, {BITS} - depth)"))
-    sums = leaves.groupBy("depth", "prefix").agg(F.sum("bytes").alias("__sb"), F.sum("n").alias("__sn"))
-    leaves = leaves.join(sums, ["depth", "prefix"]).select(F.col("h").alias("__h"), "full", _bits(F.col("prefix"), F.col("depth")).alias("shard"), F.col("depth").cast("int").alias("shard_depth"), F.col("__sb").alias("shard_bytes"), F.col("__sn").alias("shard_docs"))
-    leaves = ws.stage(leaves, "leaves")
-    rows = rows.join(leaves, "__h")
-    if leaves.where("full").isEmpty():
-        return rows.drop("__h", "__bytes", "full")
-    # Running sums can leave up to a row unused, so pages count by where a row ends in half-limit steps; large rows are alone.
-    over = F.col("__bytes") * 2 > limit
-    order = Window.partitionBy("__h", over).orderBy("__bytes", F.monotonically_increasing_id())
-    before = F.sum("__bytes").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    page = F.when(over, F.concat(F.lit("L"), F.row_number().over(order))).otherwise(F.floor(F.coalesce(before, F.lit(0)) * 2 / limit).cast("string"))
-    plain = rows.where(~F.col("full"))
-    paged = rows.where("full").withColumn("shard", F.concat_ws("-", "shard", page))
-    sums = paged.groupBy("shard").agg(F.sum("__bytes").alias("shard_bytes"), F.count("*").alias("shard_docs"))
+    full = unused(rows, "full")
+    leaves = leaves.select(F.col("h").alias(h), F.col("over").alias(full), _bits(F.col("prefix"), F.col("depth")).alias("shard"), F.col("depth").cast("int").alias("shard_depth"), F.col("bytes").alias("shard_bytes"), F.col("n").alias("shard_docs"))
+    rows = rows.join(leaves, h)
+    if leaves.where(F.col(full)).isEmpty():
+        return rows.drop(h, own, full)
+    # Rows of one hash are paged within the parts that they were written in, so none of it is one task's work.
+    paged = ws.stage(rows.where(F.col(full)), "full").withColumn(place, F.monotonically_increasing_id())
+    paged = ws.stage(paged, "places")
+    part, large = F.shiftright(place, 33), F.col(own) * 2 > limit
+    order = Window.partitionBy(h, part, large).orderBy(own, place)
+    before = F.coalesce(F.sum(own).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A running sum can leave up to a row unused, so pages count by where a row starts in half-limit steps; large rows are alone.
+    page = F.when(large, F.concat(F.lit("L"), F.row_number().over(order))).otherwise(F.floor(before * 2 / limit).cast("string"))
+    paged = paged.withColumn("shard", F.concat_ws("-", "shard", F.concat_ws(".", part.cast("string"), page)))
+    sums = paged.groupBy("shard").agg(F.sum(own).alias("shard_bytes"), F.count("*").alias("shard_docs"))
     paged = paged.drop("shard_bytes", "shard_docs").join(sums, "shard")
-    return plain.unionByName(paged).drop("__h", "__bytes", "full")
+    return rows.where(~F.col(full)).unionByName(paged.drop(place)).drop(h, own, full)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """Writes one folder for each shard; rows of a shard meet in one task, which its byte limit bounds."""
-    sharded.withColumn("shard", F.concat(F.lit("b"), "shard")).repartition("shard").write.partitionBy("shard").parquet(path)
+    """Writes one folder ``shard=b<bits>`` for each shard; rows of a shard meet in one task, which its byte limit bounds.
+
+    Every row is written, with nulls as nulls; an empty table writes an empty folder.
+    """
+    with finished_shuffles_removed(sharded.sparkSession):
+        sharded.withColumn("shard", F.concat(F.lit("b"), "shard")).repartition("shard").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The rows of ``write_shards`` from the files, with the columns of the table ``like`` that was written."""
+    return spark.read.schema(like.schema).option("basePath", path).parquet(path).withColumn("shard", F.expr("substring(shard, 2)"))

@@ -94,17 +94,51 @@ def test_shards_fit_and_only_oversized_split(spark):
     assert all(bits[r.doc_id].startswith(r.shard) for r in out)
 
 
-def test_shards_of_one_key_and_large_rows(spark):
+def test_shards_of_one_key_and_large_rows(spark, tmp_path):
     rows = [(1, "x" * 30, "s")] * 50 + [(2, "y" * 500, "s")] + [(3, "z", "s")]
     out = sharding.shard(documents(spark, rows), 100).collect()
     sums = Counter()
     for r in out:
         sums[r.shard] += len(r.text)
     assert len(out) == 52 and sorted(sums.values())[-1] == 500 and sorted(sums.values())[-2] <= 100
-    assert sharding.shard(documents(spark, []), 100).count() == 0
+    none = sharding.shard(documents(spark, []), 100)
+    sharding.write_shards(none, str(tmp_path / "none"))
+    assert none.count() == 0 == sharding.read_shards(spark, str(tmp_path / "none"), none).count()
     assert [r.shard for r in sharding.shard(documents(spark, [(1, None, "s")]), 10).collect()] == [""]
 
 
+def test_shards_of_a_hot_key_beside_clashing_names(spark, tmp_path):
+    """One key holds a third of the rows; columns have the names the operator would like to use."""
+    rows = [(i if i % 3 else None, "x" * (i % 50), "s") for i in range(600)]
+    docs = documents(spark, rows).repartition(5)
+    for name in ("full", "hash", "own_bytes", "place", "prefix", "depth", "h", "bytes", "n", "Full_"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    out = sharding.shard(docs, 500)
+    assert out.columns == [*docs.columns, "shard", "shard_depth", "shard_bytes", "shard_docs"]
+    sharding.write_shards(out, str(tmp_path / "shards"))
+    back = sharding.read_shards(spark, str(tmp_path / "shards"), out).collect()
+    sums, counts = Counter(), Counter()
+    for r in back:
+        sums[r.shard] += len(r.text)
+        counts[r.shard] += 1
+    assert Counter((r.doc_id, r.text) for r in back) == Counter((i, t) for i, t, _ in rows) and max(sums.values()) <= 500
+    assert all((r.shard_bytes, r.shard_docs, r.full) == (sums[r.shard], counts[r.shard], "clash") for r in back)
+    assert len({r.shard for r in back if r.doc_id is None}) >= 200 * 24 / 500
+    assert sum(counts.values()) / len(counts) > 4  # pages aren't nearly empty
+
+
+def test_buckets_deeper_than_one_stride(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "STRIDE", 2)
+    rows = [(i, "x" * 9, "s") for i in range(300)]
+    out = sharding.shard(documents(spark, rows), 40).collect()
+    sums = Counter()
+    for r in out:
+        sums[r.shard] += 9
+    assert len(out) == 300 and max(sums.values()) <= 40 and max(r.shard_depth for r in out) > 6
+    bits = {i: f"{int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16):060b}" for i in range(300)}
+    assert all(bits[r.doc_id].startswith(r.shard) and 9 * sum(b.startswith(r.shard[:-1]) for b in bits.values()) > 40 for r in out)
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------------------
 CAPTURES = "record_id long, url string, ts long, status int, headers map<string,string>"
 
