@@ -14,6 +14,8 @@ from ..sources.staging import shared_folder, ship
 
 #: Bytes of one Arrow batch sent to a Python worker; a longer single row still travels whole.
 BATCH_BYTES = 4 << 20
+#: Keys over which the neighbours of one node are dealt.
+SALTS = 32
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -98,22 +100,26 @@ def bounded_sample(rows: DataFrame, most: int, *keys: Column, seed: int = 0) ->
 def components(ws: Workspace, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (src, dst), component being the smallest node reachable.
 
-    Alternating large-star and small-star rounds, each a partial aggregation and one join; a round is
-    staged, so the plan stays short and a lost executor costs one round. Raises if it doesn't settle.
+    Alternating large-star and small-star rounds of partial aggregations and joins; a round is staged, so the plan stays
+    short and a lost executor costs one round. A node with very many neighbours is dealt over ``SALTS`` keys where it
+    tells them of the smallest. Nulls and self-links are left out; an empty table gives an empty one. Raises if it doesn't settle.
     """
     e = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     e = ws.stage(e, "edges")
     for _ in range(max_rounds):
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        both = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+        part = ws.stage(both.groupBy("u", "salt").agg(F.min("v").alias("m")), "part")
+        low = part.groupBy("u").agg(F.min("m").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = part.select("u", "salt").join(low, "u")
+        large = both.join(low, ["u", "salt"]).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
         large = ws.stage(large, "large")
         # Small star: every node points its smaller neighbours at the smallest of them.
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         moved = large.join(low, "b").select("m", F.explode(F.array("a", "b")).alias("v")).where("m <> v")
         small = ws.stage(moved.select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "small")
         settled = _same(e, small)
-        ws.drop(e, large)
+        ws.drop(e, large, part)
         e = small
         if settled:
             return e.select(F.col("b").alias("node"), F.col("a").alias("component")).union(e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -1,14 +1,15 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
-A 64-bit fingerprint is eight bytes at fixed positions. Two fingerprints that differ in at most three bits
-agree in at least five bytes, the guaranteed minimum of matches. Posting lists are kept for a family of sets of
-positions of which any five agreeing positions contain one, so every pair in question meets in some list;
-the tally counts a pair's agreeing bytes, keeps pairs that reach the minimum, and verifies their bits.
+A 64-bit fingerprint is eight bytes at fixed positions. Two fingerprints that differ in at most three bits agree in at least
+five bytes, the guaranteed minimum of matches. The index has a list for each set of positions and the bytes there; a list that is
+still long is split by adding positions, so that short lists alone are paired. Each list that two fingerprints meet in
+says which of their positions agree; a pair's tally adds that up, pairs that reach the minimum are verified by their bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -17,15 +18,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, pieces, texts
+from .common import Workspace, components, pieces, python_batches, texts, unused
 
 #: Bytes that must agree when at most three bits, and so at most three of the eight bytes, differ.
 MIN_MATCHES = 5
 MAX_BITS = 3
-#: Any five of eight positions hold three out of the same half: the lists' sets of positions.
-TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
-#: A list longer than this is not compared pair by pair but through masks (see ``links``).
-LONG_LIST = 128
+#: Positions of the first lists, and the length above which a list is split by one more.
+FIRST, LONG = 3, 32
+#: Parts into which rows with one fingerprint are dealt for joins.
+SALTS = 64
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -38,11 +39,11 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     n = max(1, len(words) - shingle + 1)
-    start, end = (ends - lengths)[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
+    start, end = (ends - lengths)[:n], ends[min(shingle, len(words)) - 1 :]
     digest = xxhash.xxh64_digest
     counts = np.zeros(64, np.int64)
     for i in range(0, n, 1 << 16):  # whatever the length of a text, a bounded number of hashes at a time
-        packed = b"".join([digest(joined[a:b], 42) for a, b in zip(start[i : i + (1 << 16)], end[i : i + (1 << 16)], strict=True)])
+        packed = b"".join([digest(joined[a:b], 42) for a, b in zip(start[i : i + (1 << 16)].tolist(), end[i : i + (1 << 16)].tolist(), strict=True)])
         counts += np.unpackbits(np.frombuffer(packed, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
@@ -59,93 +60,122 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def _byte(x: Column, i: int) -> Column:
-    return F.shiftright(x, 8 * i).bitwiseAND(F.lit(255))
+def _signed(m: int) -> int:
+    return m - (1 << 64) if m >= 1 << 63 else m
 
 
-def matches(x: Column) -> Column:
-    """The tally of a pair: positions whose bytes agree, given the XOR of its fingerprints."""
-    return sum(((_byte(x, i) == 0).cast("int") for i in range(1, 8)), (_byte(x, 0) == 0).cast("int"))
+def _first_masks() -> Column:
+    return F.array(*[F.lit(_signed(sum(255 << 8 * i for i in c))).cast("long") for c in combinations(range(8), FIRST)])
 
 
-def _mask(positions: tuple[int, ...]) -> int:
-    m = sum(255 << (8 * i) for i in positions)
-    return m - (1 << 64) if m >= 1 << 63 else m
+def _added(width: int, more: int, mask: Column) -> Column:
+    """The masks that add ``more`` of the free positions, ``width`` bits each, to a mask."""
+    ones = F.lit((1 << width) - 1).cast("long")
+    at = lambda i: F.call_function("shiftleft", ones, (i * width).cast("int"))
+    free = F.filter(F.sequence(F.lit(0), F.lit(64 // width - 1)), lambda i: mask.bitwiseAND(at(i)) == 0)
+    if more == 1:
+        return F.transform(free, lambda i: mask.bitwiseOR(at(i)))
+    chosen = F.array(*[F.array(*map(F.lit, c)) for c in combinations(range(6), more)])  # three free bytes are six halves, three of these six quarters
+    return F.transform(chosen, lambda c: F.aggregate(c, mask, lambda m, k: m.bitwiseOR(at(F.get(free, k)))))
 
 
-def postings(fps: DataFrame) -> DataFrame:
-    """(list, key, fp): the entries of each distinct fingerprint in the inverted index."""
-    entries = F.array(*[F.struct(F.lit(k).alias("list"), F.col("fp").bitwiseAND(F.lit(_mask(t))).alias("key")) for k, t in enumerate(TRIPLES)])
-    return fps.select("fp", F.explode(entries).alias("e")).select("e.list", "e.key", "fp")
+#: How a long list is split: by a byte until five agree; then, as of six parts at most three hold a differing bit, by three halves
+#: of the bytes that are left, and by three quarters. What is left then are six bits: no list is longer than 64.
+SPLITS = [(8, 1)] * (MIN_MATCHES - FIRST) + [(4, 3), (2, 3)]
 
 
-def links(ws: Workspace, fps: DataFrame) -> DataFrame:
-    """(src, dst): links that connect exactly the distinct fingerprints that links of at most three bits connect.
+def tally(mask: Column) -> Column:
+    """Positions whose bytes agree, given all bits that lists showed to agree."""
+    return sum(((F.shiftright(mask, 8 * i).bitwiseAND(F.lit(255)) == 255).cast("int") for i in range(1, 8)), (mask.bitwiseAND(F.lit(255)) == 255).cast("int"))
 
-    Short lists are joined pair by pair. A list of more than ``LONG_LIST`` fingerprints is split again by pairs of its other
-    five positions, two of which must agree as well; where even those five equal bytes leave many
-    fingerprints, they are compared by masks: fingerprints that are equal but for three of the other 24 bits
-    are linked to the smallest of them, which is exact and linear in the length of the list.
-    """
-    index = ws.stage(postings(fps), "postings")
-    lengths = index.groupBy("list", "key").agg(F.count("*").alias("n")).where("n > 1")
-    index2 = index.join(lengths, ["list", "key"])
-    pair = lambda t, on: t.alias("l").join(t.alias("r"), on=on).where("l.fp < r.fp")
-    x = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
-    near = lambda t: t.where(matches(x) >= MIN_MATCHES).where(F.bit_count(x) <= MAX_BITS).select(F.col("l.fp").alias("src"), F.col("r.fp").alias("dst"))
-    short = near(pair(index2.where(F.col("n") <= LONG_LIST).select("list", "key", "fp"), ["list", "key"]))
-    long = ws.stage(index2.where(F.col("n") > LONG_LIST).select("list", "key", "fp"), "long")
-    if long.isEmpty():
-        return short
-    parts = []
-    for k, t in enumerate(TRIPLES):
-        rest = [i for i in range(8) if i not in t]
-        parts += [F.when(F.col("list") == k, F.lit(_mask((*t, *p)))) for p in combinations(rest, 2)]
-    fives = F.filter(F.array(*parts), lambda m: m.isNotNull())
-    wide = long.select("fp", F.explode(fives).alias("mask")).distinct().select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    wide = ws.stage(wide, "fives")
-    lengths = wide.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-    wide = wide.join(lengths, ["mask", "key"])
-    middle = near(pair(wide.where(F.col("n") <= 8 * LONG_LIST).select("mask", "key", "fp"), ["mask", "key"]))
-    # Three bits of the 24 that are left: numbered 0 to 23 by position among the three free bytes.
-    hot = wide.where(F.col("n") > 8 * LONG_LIST).select("mask", "fp")
-    free = F.expr("filter(sequence(0, 63), i -> (shiftright(mask, i) & 1) = 0)")
-    hot = hot.select("mask", "fp", free.alias("free"))
-    triples = F.array(*[F.array(*map(F.lit, c)) for c in combinations(range(24), 3)])
-    hot = hot.select("mask", "fp", "free", F.explode(triples).alias("c"))
-    flip = F.expr("shiftleft(1L, free[c[0]]) | shiftleft(1L, free[c[1]]) | shiftleft(1L, free[c[2]])")
-    hot = hot.withColumn("flip", flip).select("flip", F.expr("fp & ~flip").alias("key"), "fp")
-    stars = hot.join(hot.groupBy("flip", "key").agg(F.min("fp").alias("first"), F.max("fp").alias("top")).where("first < top").select("flip", "key", "first"), ["flip", "key"]).where("fp <> first")
-    return short.union(middle).union(stars.select(F.col("first").alias("src"), F.col("fp").alias("dst")).distinct())
 
+def postings(fps: DataFrame, masks: Column) -> DataFrame:
+    """(mask, key, fp): the entries of each distinct fingerprint in the lists of ``masks``, bits of whole positions."""
+    return fps.select("fp", F.explode(masks).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp, component_id): for every row its fingerprint and the smallest id reachable over links, itself included.
 
-    Texts with equal fingerprints are one node, so a group of copies costs one row however large it is. Null
-    ids take part with their text but never name a component unless there is no other id. Empty texts have
-    fingerprint 0 and are linked like any other. Rows with the same id each get a row. An empty table gives an empty one.
+def hits(lists: DataFrame) -> DataFrame:
+    """(src, dst, mask) for every two fingerprints of a list; a list has at most ``LONG`` or, at the last split, 64."""
+    pair = F.expr("explode(flatten(transform(fps, (x, i) -> transform(slice(fps, i + 2, size(fps)), y -> struct(least(x, y) AS src, greatest(x, y) AS dst)))))")
+    return lists.groupBy("mask", "key").agg(F.collect_list("fp").alias("fps")).select("mask", pair.alias("p")).select("p.src", "p.dst", "mask")
+
+
+def links(ws: Workspace, fps: DataFrame) -> DataFrame:
+    """(src, dst): all pairs of the distinct, non-null fingerprints (fp) that differ in at most three bits.
+
+    Two such fingerprints agree in five positions at least, so they share a list of every set of these, and of any split of
+    it some list again; every position that agrees is seen in a list that is paired, and counts in the tally. An empty table has no links.
     """
+    entries, found = postings(fps, _first_masks()), None
+    for split in [*SPLITS, None]:
+        lengths = entries.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
+        shared = ws.stage(entries.join(lengths, ["mask", "key"]), "shared")
+        short = hits(shared if split is None else shared.where(F.col("n") <= LONG))
+        found = short if found is None else found.unionByName(short)
+        if split is None:
+            break
+        long = ws.stage(shared.where(F.col("n") > LONG).groupBy("fp").agg(F.collect_set("mask").alias("masks")), "long")
+        if long.isEmpty():
+            break
+        entries = postings(long, F.array_distinct(F.flatten(F.transform("masks", partial(_added, *split)))))
+    tallied = found.groupBy("src", "dst").agg(F.bit_or("mask").alias("mask"))
+    return tallied.where(tally(F.col("mask")) >= MIN_MATCHES).where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= MAX_BITS).select("src", "dst")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, component, component_id) of every row: component is the group's own fingerprint, component_id its smallest id."""
     ws = Workspace(docs.sparkSession, "simhash")
-    rows = ws.stage(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = ws.stage(rows.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    rows = ws.stage(fingerprints(docs, id_col, text_col), "fingerprints").withColumn("salt", salt)
+    slots = ws.stage(rows.groupBy("fp", "salt").agg(F.min("id").alias("first")), "slots")
+    nodes = ws.stage(slots.groupBy("fp").agg(F.min("first").alias("first")), "nodes")
     edges = ws.stage(links(ws, nodes.select("fp")), "links")
     # Components of fingerprints; the smallest id in each follows by one more aggregation.
     found = components(ws, edges).withColumnRenamed("node", "fp")
     named = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = ws.stage(named.join(least, "component").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    named = named.join(least, "component").select("fp", "component", "component_id").join(slots.select("fp", "salt"), "fp")
+    return rows.join(ws.stage(named, "named"), ["fp", "salt"]).select("id", "fp", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, fp, component_id): for every row its fingerprint and the smallest id reachable over links, itself included.
+
+    Texts with equal fingerprints are one node, so a group of copies costs one row however large it is; where its rows
+    learn their component they are dealt over ``SALTS`` parts. Null ids take part with their text but never name a component unless
+    there is no other id. Empty texts have fingerprint 0 and are linked like any other. Rows with the same id each get a
+    row. An empty table gives an empty one; other columns are not read.
+    """
+    return _groups(docs, id_col, text_col).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without all but one of each group of near duplicates: the one with the smallest id stays, one row of it."""
+    """The rows of ``docs`` without all but one of each group of near duplicates, with all their columns.
+
+    The row with the smallest id of its group stays (a null id only where there is no other), of equal ids in a group the one with the smaller
+    fingerprint, one row of it. Different texts under one id are groups of their own, so both stay. Null texts are empty.
+    """
     ws = Workspace(docs.sparkSession, "simhash")
-    ids = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"))
-    ids = ws.stage(ids, "kept")
+    found = ws.stage(_groups(docs, id_col, text_col), "groups")
+    first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "fp")).alias("f")
+    kept = ws.stage(found.groupBy("component").agg(first).select("f.id", "f.fp"), "kept")
+    id_, fp = unused(docs, "kept_id"), unused(docs, "kept_fp")
+    kept = kept.select(F.col("id").alias(id_), F.col("fp").alias(fp))
+    same = F.col(id_col).eqNullSafe(F.col(id_))
     # One plan at every size: the kept ids grow with the documents, so they are merged, never broadcast.
-    out = docs.join(ids.select("__id").hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return out if ids.where("__n > 1").isEmpty() else out.dropDuplicates([id_col])
+    if found.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return docs.join(kept.hint("merge"), same, "left_semi")
+    python_batches(docs.sparkSession)
+    mark = unused(docs, "own_fp")
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            own = np.array([fingerprint(t or "") for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own)], [*b.schema.names, mark])
+
+    marked = docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {mark} long")
+    return marked.join(kept.hint("merge"), same & (F.col(mark) == F.col(fp)), "left_semi").dropDuplicates([id_col, mark]).drop(mark)
 
 
 def hex_digits(fp: Column) -> Column:

@@ -197,24 +197,38 @@ def test_simhash_equals_brute_force(spark, odd_docs):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
-def test_links_of_long_lists_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "LONG_LIST", 2)
+@pytest.mark.parametrize(("long", "free"), [(1, 24), (2, 64), (4, 12), (32, 24)])
+def test_links_of_long_lists_are_exact(spark, monkeypatch, long, free):
+    """Lists are split down to bytes, halves and quarters of bytes; links are all pairs, whatever the split."""
+    monkeypatch.setattr(simhash, "LONG", long)
     rng = random.Random(4)
     fps = {rng.getrandbits(64)}
     center = next(iter(fps))
-    while len(fps) < 40:
-        fps.add(center ^ sum(1 << b for b in rng.sample(range(24), rng.randint(1, 5))))
-    fps = sorted(f - 2**64 if f >= 2**63 else f for f in fps)
-    ws = common.Workspace(spark, "test")
-    edges = simhash.links(ws, spark.createDataFrame([(f,) for f in fps], "fp long"))
-    found = {r.node: r.component for r in common.components(ws, edges).collect()}
-    root = reach(len(fps), lambda i, j: ((fps[i] ^ fps[j]) % 2**64).bit_count() <= 3)
-    assert [found.get(f, f) for f in fps] == [fps[r] for r in root]
+    while len(fps) < 60:
+        fps.add(center ^ sum(1 << b for b in rng.sample(range(free), rng.randint(1, 5))))
+    fps |= {rng.getrandbits(64) for _ in range(20)}
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    edges = simhash.links(common.Workspace(spark, "test"), spark.createDataFrame([(f,) for f in signed], "fp long")).collect()
+    want = {(min(a, b), max(a, b)) for a in signed for b in signed if a != b and ((a ^ b) % 2**64).bit_count() <= 3}
+    assert len(want) > 50 and Counter((r.src, r.dst) for r in edges) == Counter(want)
+
+
+def test_fingerprint_of_a_very_long_text():
+    text = " ".join(f"w{i % 977}{i % 13}" for i in range(70_000))
+    assert simhash.fingerprint(text) == slow_fingerprint(text)
 
 
 def test_keep_first(spark, odd_docs):
     kept = [r.doc_id for r in simhash.keep_first(documents(spark, odd_docs)).collect()]
     assert len(kept) == len(set(kept)) and 8 not in kept and 9 not in kept and 5 in kept
+    rng = random.Random(41)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(1, a, "s"), (1, b, "s"), (1, a, "t"), (2, b, "s"), (3, c, "s"), (None, c, "s"), (None, prose(rng, 80), "n")]
+    docs = documents(spark, rows).withColumn("fp", F.lit("clash")).withColumn("kept_id", F.lit("clash"))
+    got = simhash.keep_first(docs)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, a), (1, b), (3, c), (None, rows[-1][1])])
+    assert simhash.keep_first(documents(spark, [])).count() == 0
 
 
 def test_components_of_a_long_path(spark):
