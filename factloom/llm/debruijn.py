@@ -1,22 +1,25 @@
 """Substring dedup by compaction of the de Bruijn graph of token k-mers, through Spark joins.
 
-Every window of k words is an edge between its first and last k-1 words. Edges are grouped into paths as they occur: a
-path is a run of consecutive windows that share one minimizer, the smallest hash of the m-word sequences
-inside them, at one place. Equal windows have equal minimizers, so all occurrences of an edge lie in paths of the
-same minimizer, and paths are all that is joined. A minimizer whose paths all have the same content is a
-nonbranching stretch of the graph: it stays compact, and one row stands for all its windows. Where contents differ
-the stretch branches; one occurrence of each content is opened into its edges again, read at its source
-coordinates, and only those are compared window by window.
+Every window of k words is an edge from the node of its first k-1 words to that of its last k-1. Edges arrive as runs: consecutive
+windows that share one minimizer, the smallest hash of the m-word sequences inside them, at one place. Equal
+windows have equal minimizers, so a minimizer seen once holds no repeat. A minimizer whose runs all have the same content is one
+segment of the graph; where contents differ its runs are opened into single edges. Segments seen again are joined at
+their nodes: where one comes in and one goes out, they belong to one nonbranching path, and pointer doubling gives each
+its path and its place on it. Occurrences that follow one another on a path are one long span. Spans are cut where any
+other span of the path starts or ends, the words at their source coordinates are read again, and only spans of equal
+words are repeats of the first.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Workspace, pieces
 from .words import Rolling, WordTable, text_buffer
@@ -27,10 +30,10 @@ _MIN_BASE = 0xC2B2AE3D27D4EB4F
 
 
 def _paths(table: WordTable, k: int, m: int) -> tuple[np.ndarray, ...]:
-    """Row, first word (within the row), windows, minimizer hash and content hash of each path of a batch."""
+    """Row, first word (within the row), windows, minimizer hash, content hash and hashes of the first and last node of each run of a batch."""
     hashes = table.hashes()
     total = len(hashes)
-    none = tuple(np.zeros(0, np.int64) for _ in range(3)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
+    none = tuple(np.zeros(0, np.int64) for _ in range(3)) + tuple(np.zeros(0, np.uint64) for _ in range(4))
     if total < k:
         return none
     inside = Rolling(hashes, _MIN_BASE)
@@ -54,24 +57,31 @@ def _paths(table: WordTable, k: int, m: int) -> tuple[np.ndarray, ...]:
     ends = np.cumsum(valid)
     n = np.diff(np.append(0, ends[after[:-1] - 1])) if len(first) > 1 else np.zeros(0, np.int64)
     n = np.append(n, ends[-1] - (ends[first[-1] - 1] if first[-1] else 0))
-    content = Rolling(hashes).of(first, first + n + k - 1)
-    return row[first], first - table.first[row[first]], n, grams[best[first]], content
+    words = Rolling(hashes)
+    return row[first], first - table.first[row[first]], n, grams[best[first]], words.of(first, first + n + k - 1), words.of(first, first + k - 1), words.of(first + n, first + n + k - 1)
 
 
-def paths(docs: DataFrame, k: int, m: int) -> DataFrame:
-    """(minimizer, content, doc, start, n): the paths of all documents. ``docs`` has (doc, text)."""
+_SEGMENT = "seg long, head long, tail long, doc long, start int, n int"
+
+
+def _names(h: np.ndarray, bits: int) -> pa.Array:
+    return pa.array((h >> np.uint64(64 - bits)).view(np.int64))
+
+
+def paths(docs: DataFrame, k: int, m: int, bits: int = 64) -> DataFrame:
+    """(minimizer, seg, head, tail, doc, start, n): the runs of all documents; seg names the content. ``docs`` has (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            row, start, n, minimizer, content = _paths(WordTable(*text_buffer(b.column(1))), k, m)
+            row, start, n, minimizer, *named = _paths(WordTable(*text_buffer(b.column(1))), k, m)
             doc = b.column(0).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(minimizer.view(np.int64)), pa.array(content.view(np.int64)), doc, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["minimizer", "content", "doc", "start", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(minimizer.view(np.int64)), *[_names(h, bits) for h in named], doc, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["minimizer", "seg", "head", "tail", "doc", "start", "n"])
 
-    return docs.mapInArrow(run, "minimizer long, content long, doc long, start int, n int")
+    return docs.mapInArrow(run, "minimizer long, " + _SEGMENT)
 
 
-def _open(docs: DataFrame, k: int) -> DataFrame:
-    """(minimizer, edge, doc, start): the windows of the paths listed in ``runs``, read from the text again."""
+def _open(docs: DataFrame, k: int, bits: int) -> DataFrame:
+    """The windows of the runs listed in ``runs`` as segments of one edge, read from the text again. A document's list is no longer than its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -79,41 +89,111 @@ def _open(docs: DataFrame, k: int) -> DataFrame:
             rolling = Rolling(table.hashes())
             runs = b.column(2)
             per = np.asarray(runs.value_lengths())
-            flat = runs.flatten()
-            start, n, minimizer = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            start, n = (runs.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(2))
             row = np.repeat(np.arange(len(per)), per)
-            first = np.repeat(table.first[row] + start, n)
-            step = np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
-            at = first + step
-            edge = rolling.of(at, at + k)
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(table.first[row] + start, n) + step
             owner = np.repeat(row, n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(minimizer, n)), pa.array(edge.view(np.int64)), b.column(0).take(pa.array(owner)), pa.array((at - table.first[owner]).astype(np.int32))], ["minimizer", "edge", "doc", "start"])
+            named = [_names(rolling.of(at + i, at + j), bits) for i, j in ((0, k), (0, k - 1), (1, k))]
+            yield pa.RecordBatch.from_arrays([*named, b.column(0).take(pa.array(owner)), pa.array((at - table.first[owner]).astype(np.int32)), pa.array(np.ones(len(at), np.int32))], ["seg", "head", "tail", "doc", "start", "n"])
+
+    return docs.mapInArrow(run, _SEGMENT)
+
+
+def compact(ws: Workspace, segments: DataFrame) -> DataFrame:
+    """(seg, path, off) of every segment (seg, head, tail, n): the first segment of its nonbranching path, and windows before it there.
+
+    Nodes where exactly one segment comes in and one goes out are joined. Pointers to the segment before are doubled, so rounds grow
+    with the logarithm of the longest path; a segment that has reached the start takes no part any more, so no
+    segment is asked for by more than one. A closed circle has no start: its segments stay paths of their own.
+    """
+    ends = segments.select(F.col("head").alias("node"), F.col("seg").alias("leaves"), F.lit(None).cast("long").alias("comes"), F.lit(None).cast("long").alias("n"))
+    ends = ends.union(segments.select("tail", F.lit(None).cast("long"), "seg", F.col("n").cast("long")))
+    nodes = ends.groupBy("node").agg(F.count("leaves").alias("o"), F.count("comes").alias("i"), F.min("leaves").alias("seg"), F.min("comes").alias("at"), F.min("n").alias("off"))
+    table = ws.stage(nodes.where("o = 1 and i = 1 and seg <> at").select("seg", "at", "off", F.lit(False).alias("done")), "pointers")
+    open_ = table.count()
+    while open_:
+        ahead = table.select(F.col("seg").alias("at"), F.col("at").alias("far"), F.col("off").alias("more"), F.col("done").alias("there"))
+        # What points to a segment that nothing comes before has arrived; a pointer that has arrived is passed on as it is.
+        moved = table.where("not done").join(ahead, "at", "left").select("seg", F.coalesce("far", "at").alias("at"), (F.col("off") + F.coalesce("more", F.lit(0))).alias("off"), (F.col("far").isNull() | F.col("there")).alias("done"))
+        after = ws.stage(moved.unionByName(table.where("done")), "pointers")
+        left = after.where("not done").count()
+        ws.drop(table)
+        table = after
+        if left == open_:
+            break
+        open_ = left
+    known = table.where("done").select("seg", F.col("at").alias("path"), "off")
+    out = segments.select("seg").join(known, "seg", "left").select("seg", F.coalesce("path", "seg").alias("path"), F.coalesce("off", F.lit(0).cast("long")).alias("off"))
+    out = ws.stage(out, "paths")
+    ws.drop(table)
+    return out
+
+
+def spans(ws: Workspace, segments: DataFrame, found: DataFrame) -> DataFrame:
+    """(path, cut, doc, start, n): occurrences of whole stretches of paths. ``found`` has the occurrences of ``segments``.
+
+    Consecutive occurrences on a path are one span; a stretch reaches from one place where any span of the path starts
+    or ends to the next, so all occurrences of a stretch have the same length.
+    """
+    where = compact(ws, segments)
+    placed = ws.stage(found.select("seg", "doc", "start", "n").join(where, "seg").withColumn("lag", F.col("start") - F.col("off")), "placed")
+    line = Window.partitionBy("doc", "path", "lag").orderBy("start")
+    before, after = F.lag(F.col("start") + F.col("n")).over(line), F.lead("start").over(line)
+    edges = placed.select("path", "off", "n", before.eqNullSafe(F.col("start")).alias("goes_on"), after.eqNullSafe(F.col("start") + F.col("n")).alias("goes_far"))
+    cuts = edges.where("not goes_on").select("path", "off").union(edges.where("not goes_far").select("path", F.col("off") + F.col("n"))).distinct().withColumn("cut", F.col("off"))
+    # A segment's stretch starts at the last cut up to its place.
+    upto = Window.partitionBy("path").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
+    stretch = where.join(cuts, ["path", "off"], "left").withColumn("cut", F.coalesce(F.last("cut", ignorenulls=True).over(upto), F.lit(0).cast("long")))
+    stretch = ws.stage(stretch.select("seg", "cut"), "stretches")
+    pieces_ = placed.join(stretch, "seg").groupBy("doc", "path", "lag", "cut").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"))
+    pieces_ = ws.stage(pieces_.select("path", "cut", "doc", "start", "n"), "spans")
+    ws.drop(where, placed, stretch)
+    return pieces_
+
+
+def _digests(docs: DataFrame, k: int) -> DataFrame:
+    """(path, cut, words, doc, start, n): the SHA-256 of the words of every span in ``runs``, read at its source coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            doc, out = [], []
+            for d, text, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                words = text.encode("utf-8", "surrogatepass").split()
+                path, cut, start, n = (runs.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+                doc += [d] * len(n)
+                shas = [hashlib.sha256(b" ".join(words[i : i + c + k - 1])).digest() for i, c in zip(start.tolist(), n.tolist(), strict=True)]
+                out.append(pa.table({"path": path, "cut": cut, "words": pa.array(shas, pa.binary()), "start": start, "n": n}))
+            t = pa.concat_tables(out)
+            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("path", "cut", "words")), pa.array(doc, pa.int64()), *(t.column(c).combine_chunks() for c in ("start", "n"))], ["path", "cut", "words", "doc", "start", "n"])
 
-    return docs.mapInArrow(run, "minimizer long, edge long, doc long, start int")
+    return docs.mapInArrow(run, "path long, cut long, words binary, doc long, start int, n int")
 
 
-def repeated_windows(docs: DataFrame, ws: Workspace, k: int, m: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, ws: Workspace, k: int, m: int, bits: int = 64) -> DataFrame:
     """(doc, start, n): runs of windows whose words also start earlier. ``docs`` has (doc, text), no doc twice."""
-    every = paths(docs, k, m)
+    every = paths(docs, k, m, bits)
     # Keys to join by are staged: between two plain shuffles Spark can split the part of a hot key.
     often = ws.stage(every.groupBy("minimizer").agg(F.count("*").alias("c")).where("c > 1").select("minimizer"), "often")
     shared = ws.stage(every.join(often, "minimizer"), "shared")
-    # The first occurrence of each content, and how many contents a minimizer has: more than one is a branch.
-    contents = shared.groupBy("minimizer", "content").agg(F.count("*").alias("c"), F.min(F.struct("doc", "start")).alias("at"), F.first("n").alias("n"))
-    contents = ws.stage(contents, "contents")
-    again = contents.where("c > 1").select("minimizer", "content", "at")
-    copies = shared.join(again, ["minimizer", "content"]).where("doc <> at.doc or start <> at.start").select("doc", "start", "n")
-    branches = contents.groupBy("minimizer").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low <> high").select("minimizer")
+    # More than one content of a minimizer is a branch: its runs are opened into edges, of which only those seen again matter.
+    branches = shared.groupBy("minimizer").agg(F.min("seg").alias("low"), F.max("seg").alias("high")).where("low <> high").select("minimizer")
     branches = ws.stage(branches, "branches")
-    heads = contents.join(branches, "minimizer").select("at.doc", "at.start", "n", "minimizer")
-    heads = heads.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "minimizer")).alias("runs"))
-    edges = ws.stage(_open(docs.join(heads, "doc").select("doc", "text", "runs"), k), "edges")
-    firsts = edges.groupBy("minimizer", "edge").agg(F.count("*").alias("c"), F.min(F.struct("doc", "start")).alias("at")).where("c > 1").select("minimizer", "edge", "at")
-    firsts = ws.stage(firsts, "firsts")
-    single = edges.join(firsts, ["minimizer", "edge"]).where("doc <> at.doc or start <> at.start").select("doc", "start", F.lit(1).alias("n"))
-    found = ws.stage(copies.unionByName(single), "found")
-    ws.drop(often, shared, contents, branches, edges, firsts)
-    return found
+    runs = shared.join(branches, "minimizer", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    edges = ws.stage(_open(docs.join(runs, "doc").select("doc", "text", "runs"), k, bits), "edges")
+    again = ws.stage(edges.groupBy("seg").agg(F.count("*").alias("c"), F.min("head").alias("head"), F.min("tail").alias("tail")).where("c > 1").select("seg", "head", "tail", F.lit(1).alias("n")), "again")
+    plain = shared.join(branches, "minimizer", "left_anti").drop("minimizer")
+    found = ws.stage(plain.unionByName(edges.join(again.select("seg"), "seg", "left_semi")), "found")
+    ws.drop(often, shared, branches, edges)
+    segments = ws.stage(found.groupBy("seg").agg(F.min("head").alias("head"), F.min("tail").alias("tail"), F.min("n").alias("n")), "segments")
+    long = spans(ws, segments, found.join(segments.select("seg", "n"), ["seg", "n"]))  # a hash that two contents share is one of them here
+    ws.drop(again, found, segments)
+    listed = long.groupBy("doc").agg(F.collect_list(F.struct("path", "cut", "start", "n")).alias("runs"))
+    read = ws.stage(_digests(docs.join(listed, "doc").select("doc", "text", "runs"), k), "read")
+    firsts = ws.stage(read.groupBy("path", "cut", "words").agg(F.count("*").alias("c"), F.min(F.struct("doc", "start")).alias("at")).where("c > 1").select("path", "cut", "words", "at"), "firsts")
+    out = ws.stage(read.join(firsts, ["path", "cut", "words"]).where("doc <> at.doc or start <> at.start").select("doc", "start", "n"), "repeats")
+    ws.drop(long, read, firsts)
+    return out
 
 
 def cover(words: int, start: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
@@ -124,12 +204,13 @@ def cover(words: int, start: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, k: int = 20, m: int = MINIMIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = 20, m: int = MINIMIZER, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
     """(id_col, n_words, n_removed, kept): kept is what is left of each text, its words joined by one space.
 
     A word goes if a window of ``k`` words covers it whose sequence also starts earlier, in a smaller id or earlier in the
-    same document. Windows are identified by two 64-bit hashes, of the whole and of the minimizer. Null ids come
-    first; rows of equal ids count as documents one after the other, in the order of their texts' hash. Null text has no words.
+    same document. Graph and spans go by hashes of ``bits`` bits; what they propose is removed only where the SHA-256 of the words
+    themselves agrees. Null ids come first; rows of equal ids count as documents one after the other, in the order of their
+    texts' hash. Null text has no words, an empty table gives an empty one, other columns are not read.
     """
     ws = Workspace(docs.sparkSession, "debruijn")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -139,8 +220,8 @@ def remove_repeats(docs: DataFrame, k: int = 20, m: int = MINIMIZER, id_col: str
     else:
         rows = rows.withColumn("doc", F.col("id").cast("long"))
     python = rows.select("doc", "text")
-    found = repeated_windows(python, ws, k, m)
-    spans = found.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    found = repeated_windows(python, ws, k, m, bits)
+    gone = found.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -157,5 +238,5 @@ def remove_repeats(docs: DataFrame, k: int = 20, m: int = MINIMIZER, id_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = rows.join(spans, "doc", "left").select("id", "text", "spans").mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept string")
+    out = rows.join(gone, "doc", "left").select("id", "text", "spans").mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", id_col)

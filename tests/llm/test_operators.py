@@ -428,6 +428,26 @@ def test_substring_dedup_equals_brute_force(spark, alphabet, k, m):
     assert got == slow_repeats(rows, k)
 
 
+@pytest.mark.parametrize("bits", [1, 6, 14])
+def test_equal_hashes_remove_no_words(spark, bits):
+    """With hashes of so few bits nearly all windows collide; what goes must still be repeated word for word."""
+    rng = random.Random(91)
+    rows = [(i, prose(rng, 60)) for i in range(30)]
+    rows += [(40 + i, rows[i][1]) for i in range(0, 30, 5)]
+    want = {i: (removed, kept) for i, _, removed, kept in slow_repeats(rows, 8)}
+    got = debruijn.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), k=8, m=3, bits=bits).collect()
+    assert all(r.n_removed == 0 and r.kept == rows[r.doc_id][1] for r in got if r.doc_id < 40) and all(r.n_removed <= want[r.doc_id][0] for r in got)
+
+
+def test_compaction_of_paths(spark):
+    """A path of many segments, a branch, and a circle."""
+    chain = [(i, 100 + i, 101 + i, 1 + i % 3) for i in range(37)]
+    rows = [*chain, (50, 137, 300, 1), (51, 137, 301, 1), (60, 400, 401, 2), (61, 401, 402, 2), (62, 402, 400, 2)]
+    table = spark.createDataFrame(rows, "seg long, head long, tail long, n int")
+    got = {r.seg: (r.path, r.off) for r in debruijn.compact(common.Workspace(spark, "t"), table).collect()}
+    assert got == {i: (0, sum(c[3] for c in chain[:i])) for i in range(37)} | {i: (i, 0) for i in (50, 51, 60, 61, 62)}
+
+
 def test_substring_dedup_of_odd_ids(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g x"), (2, None)]
     got = debruijn.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1)), k=6, m=2).collect()
