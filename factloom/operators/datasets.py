@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import evidence, parsing
 from ..functions.labels import LABELS, NOT_ENOUGH_INFO
 from ..functions.text import seeded
+from ..sources.staging import staged
 
 
 def _ranked(rows: DataFrame, group: Column, seed: int | str, id_col: str) -> DataFrame:
@@ -133,14 +134,34 @@ def repaired(rows: DataFrame) -> DataFrame:
     return rows.withColumn("repair", repair).withColumn("final_reasoning", F.when(F.col("repair") == "citation_append", appended).when(F.col("repair").isNotNull(), a["reasoning"]))
 
 
+def first_of(rows: DataFrame, n: int, order: Column, *ties: str) -> DataFrame:
+    """``rows`` plus selected: whether a row is among the first n by ``order``, an MD5 in hex.
+
+    Counts by the hash's first digits say where the n-th lies, so that only the rows of that one of 4,096 parts are ranked.
+    """
+    part = F.substring(order, 1, 3)
+    full, left = [], n
+    for p, c in sorted(tuple(r) for r in rows.groupBy(part.alias("p")).count().collect()):
+        full.append((p, min(left, c), c))
+        left -= min(left, c)
+    at = next((p for p, took, c in full if took < c), None)
+    if at is None:
+        return rows.withColumn("selected", F.lit(True))
+    took = next(t for p, t, _ in full if p == at)
+    some = rows.where(part == at).withColumn("selected", F.row_number().over(Window.partitionBy(part).orderBy(order, *ties)) <= took)
+    return rows.where(part != at).withColumn("selected", part < at).unionByName(some)
+
+
 def filled(rows: DataFrame, n: int, seed: int | str = 0, id_col: str = "id") -> DataFrame:
-    """``repaired`` rows plus selected: all accepted and citation-repaired ones, and of the others as many, in a seeded order, as make n."""
-    certain = rows.where(F.col("repair").isin("none", "citation_append"))
-    room = certain.agg(F.greatest(F.lit(n) - F.count("*"), F.lit(0)).alias("room"))
-    late = _ranked(rows.where("repair = 'nei_gold_justified_true'"), F.lit(0), seed, id_col).crossJoin(F.broadcast(room))
-    late = late.withColumn("selected", F.col("__rank") <= F.col("room")).drop("__rank", "room")
-    rest = rows.where("repair is null").withColumn("selected", F.lit(False))
-    return certain.withColumn("selected", F.lit(True)).unionByName(late).unionByName(rest)
+    """``repaired`` rows plus selected: all accepted and citation-repaired ones, and of the others as many, in a seeded order, as make n.
+
+    The rows are written once, so that what comes before isn't computed for each use.
+    """
+    rows = staged(rows, "repaired")
+    sure, late = F.col("repair").isin("none", "citation_append"), F.col("repair") == "nei_gold_justified_true"
+    room = max(0, n - rows.where(sure).count())
+    chosen = first_of(rows.where(late), room, seeded(seed, F.col(id_col)), id_col)
+    return chosen.unionByName(rows.where(~F.coalesce(late, F.lit(False))).withColumn("selected", F.coalesce(sure, F.lit(False))))
 
 
 def histogram(rows: DataFrame, *by: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import base_title, jaccard, normal_title, span_forms, starts_like_a_name, terms, token_set
+from ..functions.text import TOY_STOPWORDS, base_title, jaccard, normal_title, span_forms, starts_like_a_name, terms, token_set
 from .index import Index
 
 MAX_TITLE_WORDS = 8
@@ -114,28 +114,32 @@ def overlap_top_k(queries: DataFrame, sentences: DataFrame, k: int, qid: str, q_
     return top_k(scored, k, "qid", "sid")
 
 
-def agreement(evidence: Column, stopwords: list[str] | None = None) -> Column:
-    """Mean Jaccard overlap over unordered pairs of an array of texts; 0 with fewer than two."""
-    sets = F.transform(evidence, lambda e: token_set(e, stopwords))
+def mean_overlap(sets: Column) -> Column:
+    """Mean Jaccard overlap over unordered pairs of an array of token sets; 0 with fewer than two."""
     pairs = F.flatten(F.transform(sets, lambda a, i: F.transform(F.slice(sets, i + 2, F.greatest(F.size(sets) - i - 1, F.lit(0))), lambda b: jaccard(a, b))))
     return F.when(F.size(pairs) > 0, F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / F.size(pairs)).otherwise(F.lit(0.0))
 
 
+def agreement(evidence: Column, stopwords: list[str] | None = None) -> Column:
+    """The mean overlap of an array of texts."""
+    return mean_overlap(F.transform(evidence, lambda e: token_set(e, stopwords)))
+
+
 def not_shown(results: DataFrame, shown: DataFrame, *keys: str) -> DataFrame:
     """Results of a further search without what the same query was shown before."""
     return results.join(shown.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def search_udtf(sentences: dict[str, str], k: int = 5):
-    """A table function ``(query) -> (sid, text, score)`` over a small corpus, for calls from SQL. The corpus travels with the function."""
-    from .episodes import Corpus
+def register_search(spark: SparkSession, name: str, sentences: DataFrame, k: int = 5) -> None:
+    """A SQL table function ``name(query) -> (sid, text, score)`` over a table (sid, text): the k best by token overlap, of equal scores the smaller sid.
 
-    class Search:
-        def __init__(self) -> None:
-            self.corpus = Corpus(sentences)
-
-        def eval(self, query: str):
-            for sid, score in self.corpus.search(query or "", k, []):
-                yield sid, sentences[sid], score
-
-    return F.udtf(Search, returnType="sid string, text string, score double")
+    Its body is SQL over a temporary view, so it plans like any query. Names are plain identifiers.
+    """
+    if not name.isidentifier():
+        raise ValueError("a plain identifier is needed")
+    sentences.select("sid", "text", token_set(F.col("text")).alias("tokens")).createOrReplaceTempView(f"{name}_sentences")
+    stop = ", ".join("'" + w.replace("'", "\\'") + "'" for w in TOY_STOPWORDS)
+    asked = rf"""array_except(array_distinct(transform(filter(split({name}.query, '\\s+'), w -> w <> ''), w -> lower(regexp_replace(w, '^[.,]+|[.,]+$', '')))), array({stop}))"""
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(query STRING) RETURNS TABLE (sid STRING, text STRING, score DOUBLE) RETURN
+        SELECT sid, text, score FROM (SELECT sid, text, size(array_intersect(tokens, q)) / greatest(size(array_union(tokens, q)), 1) AS score
+          FROM (SELECT sid, text, tokens, {asked} AS q FROM {name}_sentences)) WHERE score > 0 ORDER BY score DESC, sid LIMIT {k}""")

@@ -236,11 +236,12 @@ def reward_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OUT = f"o AS (SELECT *, {views.RAW_SQL} AS raw FROM p)"
 
 
-@_query(f"""WITH {_P}, {_OUT} SELECT id, id % 8 <> 0 AS json_ok, id % 8 <> 0 AND pred IS NOT NULL AS verdict_ok, id % 8 <> 0 AS evidence_ok, id % 8 <> 0 AND id % 9 <> 0 AS confidence_ok,
- id % 8 <> 0 AND pred IS NOT NULL AND id % 9 <> 0 AS format_ok, CASE WHEN id % 8 <> 0 THEN pred END AS verdict, CASE WHEN id % 8 <> 0 THEN 'E' || (id % 5 + 1) || ',E' || (id % 11 + 1) END AS cited,
- CASE WHEN id % 8 = 0 OR id % 9 = 0 THEN NULL WHEN id % 10 = 0 THEN 1.0 ELSE (id % 10) / 10.0 END::double AS confidence, len(raw)::int AS n_chars FROM o""")
+@_query(f"""WITH {_P}, {_OUT}, c AS (SELECT *, id % 8 <> 0 AND id % 16 <> 2 AS j, id % 16 <> 10 AND id % 9 <> 0 AS c FROM o)
+SELECT id, j AS json_ok, j AND pred IS NOT NULL AS verdict_ok, j AS evidence_ok, j AND c AS confidence_ok,
+ j AND pred IS NOT NULL AND c AS format_ok, CASE WHEN j THEN pred END AS verdict, CASE WHEN j THEN 'E' || (id % 5 + 1) || ',E' || (id % 11 + 1) END AS cited,
+ CASE WHEN NOT j OR NOT c THEN NULL WHEN id % 10 = 0 THEN 1.0 ELSE (id % 10) / 10.0 END::double AS confidence, len({views.ODD_SQL})::int AS n_chars FROM c""")
 def parse_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.outputs(views.predictions(spark, sf_dir)).select("id", "raw", parsing.parse(F.col("raw")).alias("a"))
+    rows = views.odd_outputs(views.outputs(views.predictions(spark, sf_dir))).select("id", "raw", parsing.parse(F.col("raw")).alias("a"))
     return rows.select("id", *[f"a.{c}" for c in ("json_ok", "verdict_ok", "evidence_ok", "confidence_ok", "verdict")], parsing.format_ok(F.col("a")).alias("format_ok"), F.when(F.col("a.evidence_ok"), F.array_join("a.evidence", ",")).alias("cited"), "a.confidence", F.length("raw").alias("n_chars"))
 
 
@@ -533,13 +534,33 @@ def probe_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.probe(rows, inference.Stub, 30)
 
 
-@_query()
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in text.TOY_STOPWORDS)
+_SET = lambda x: f"list_filter(list_distinct(list_transform(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> ''), lambda w: lower(regexp_replace(w, '^[.,]+|[.,]+$', '', 'g')))), lambda w: w NOT IN ({_STOP}))"
+_HITS = "CASE WHEN n.dec THEN coalesce(h[((n.ops + 1) % (len(h) - 1)) + 2], []) ELSE coalesce(h[1], []) END"
+
+
+@_query(f"""WITH RECURSIVE c AS (SELECT item_id AS id, text AS claim, list_filter(list_transform(string_split(text, ' and '), lambda p: trim(p)), lambda p: p <> '') AS p FROM benchmark),
+q AS (SELECT id, claim, unnest(list_concat([claim], CASE WHEN len(p) > 1 THEN p ELSE [claim] END)) AS query, unnest(range(0, 1 + CASE WHEN len(p) > 1 THEN len(p) ELSE 1 END)) AS no FROM c),
+t AS (SELECT DISTINCT query, {_SET("query")} AS qt FROM q), s AS (SELECT 's' || item_id AS sid, item_id AS place, {_SET("text")} AS st FROM benchmark),
+j AS (SELECT query, sid, st, place, len(list_intersect(qt, st))::double / len(list_distinct(list_concat(qt, st))) AS score FROM t JOIN s ON list_has_any(qt, st)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, place) AS rank FROM j),
+b AS (SELECT query, list({{'sid': sid, 'score': score, 'st': st}} ORDER BY rank) AS hits FROM r WHERE rank <= 8 GROUP BY query),
+h AS (SELECT id, any_value(claim) AS claim, list(hits ORDER BY no) AS h FROM q LEFT JOIN b USING (query) GROUP BY id),
+f AS (SELECT id, claim, h, [] ::STRUCT(sid VARCHAR, score DOUBLE, st VARCHAR[])[] AS cited, 0.0::double AS top, 0.0::double AS best, 0.0::double AS agree, 0 AS ops, false AS dec, NULL::int AS fin FROM h
+ UNION ALL SELECT id, claim, h, CASE WHEN a = 0 THEN list_concat(cited, new)[1:6] ELSE cited END, CASE WHEN a = 0 THEN coalesce(new[1].score, 0) ELSE top END,
+   greatest(best, CASE WHEN a = 0 THEN coalesce(new[1].score, 0) ELSE top END),
+   CASE WHEN a = 2 THEN coalesce(list_avg(flatten(list_transform(range(1, len(cited) + 1), lambda x: list_transform(range(x + 1, len(cited) + 1), lambda y: len(list_intersect(cited[x].st, cited[y].st))::double / greatest(len(list_distinct(list_concat(cited[x].st, cited[y].st))), 1))))), 0) ELSE agree END,
+   ops + 1, dec OR a = 1, CASE WHEN a >= 3 THEN a END
+  FROM (SELECT n.*, list_filter({_HITS}, lambda x: NOT list_contains(list_transform(n.cited, lambda z: z.sid), x.sid))[1:2] AS new,
+    CASE WHEN contains(claim, ' and ') AND NOT dec THEN 1 WHEN len(cited) < 3 AND top > 0 THEN 0 WHEN len(cited) = 0 THEN 0 WHEN agree = 0 THEN 2 WHEN best < 0.25 THEN 3 WHEN best > 0.4 THEN 4 ELSE 5 END AS a FROM f n WHERE n.fin IS NULL AND n.ops < 8)),
+e AS (SELECT *, coalesce(fin >= 4, false) AS yes FROM f WHERE fin IS NOT NULL OR ops = 8),
+g AS (SELECT id, CASE WHEN yes THEN 'SUPPORTED' ELSE 'NEI' END AS pred, CASE WHEN fin = 4 THEN 0.9 WHEN fin = 5 THEN 0.4 ELSE 0.5 END::double AS confidence, CASE WHEN yes THEN list_transform(cited, lambda x: x.sid) ELSE [] END AS cited, ops FROM e)
+SELECT id, pred, confidence, array_to_string(cited, ',') AS cited, ops AS n_ops FROM g""")
 def episode_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = table(spark, sf_dir, "benchmark")
     sentences = benchmark.select(F.concat(F.lit("s"), F.col("item_id").cast("string")).alias("sid"), "text", F.col("item_id").alias("place"))
     claims = benchmark.select(F.col("item_id").alias("id"), F.col("text").alias("claim"), F.lit(labels.SUPPORTED).alias("gold"), F.array(F.concat(F.lit("s"), F.col("item_id").cast("string"))).alias("gold_ids"))
-    out = episodes.episodes(claims, sentences)
-    return out.select("id", "pred", "confidence", F.array_join("cited", ",").alias("cited"), "n_ops", F.col("reward.reward").alias("reward"))
+    return episodes.episodes(claims, sentences).select("id", "pred", "confidence", F.array_join("cited", ",").alias("cited"), "n_ops")
 
 
 _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"

@@ -91,6 +91,12 @@ def outputs(rows: DataFrame) -> DataFrame:
     return rows.withColumn("raw", raw)
 
 
+def odd_outputs(rows: DataFrame) -> DataFrame:
+    """The outputs, some with a remark in braces after the answer, a verdict that a second one replaces, or a confidence that is no number."""
+    odd, raw = F.col("id") % 16, F.col("raw")
+    return rows.withColumn("raw", F.when(odd == 2, F.concat(raw, F.lit(" and {x}"))).when(odd == 6, F.concat(F.lit('{"verdict": "UNSURE", '), F.expr("substring(raw, 2)"))).when(odd == 10, F.regexp_replace(raw, r'"confidence": [^,}]*', '"confidence": NaN')).otherwise(raw))
+
+
 RAW_SQL = """CASE WHEN id % 8 = 0 THEN '{"verdict": "' || gold ELSE CASE WHEN id % 4 = 1 THEN '<think>a draft {"verdict": 1} with E2</think>' ELSE '' END
  || '{"verdict": "' || coalesce(pred, 'UNSURE') || '", "evidence": ["E' || (id % 5 + 1) || '", "E' || (id % 11 + 1) || '"], "confidence": ' || CASE WHEN id % 9 = 0 THEN '1.5' WHEN id % 10 = 0 THEN 'true' ELSE '0.' || (id % 10) END
  || CASE WHEN id % 6 = 0 THEN ', "reasoning": "see E' || (id % 13 + 1) || '"' ELSE '' END || '}' END"""
@@ -110,3 +116,5 @@ def teacher_rows(events: DataFrame) -> DataFrame:
     )
     completion = F.when(gold == NOT_ENOUGH_INFO, F.lit('{"verdict":"NOT_ENOUGH_INFO","evidence":[]}')).otherwise(F.lit('{"verdict":"SUPPORTED","evidence":["E1"]}'))
     return events.select(F.col("event_id").alias("id"), gold.alias("gold"), F.lit("Claim: c\n\nEvidence:\nE1 [A] one\nE2 [B] two").alias("prompt"), completion.alias("completion"), content.alias("content"))
+
+ODD_SQL = r"""CASE id % 16 WHEN 2 THEN raw || ' and {x}' WHEN 6 THEN '{"verdict": "UNSURE", ' || substr(raw, 2) WHEN 10 THEN regexp_replace(raw, '"confidence": [^,}]*', '"confidence": NaN') ELSE raw END"""

@@ -72,11 +72,11 @@ def test_entry(spark):
 # --- text ------------------------------------------------------------------------------------------------------------
 def test_titles_and_sentences(spark):
     r = one(
-        spark, title=text.page_title(F.lit("A_-LRB-b-RRB-")), base=text.base_title(F.lit("titanic (1997 film)")), none=text.base_title(F.lit("titanic")),
+        spark, title=text.page_title(F.lit("A_-LRB-b-RRB-")), base=text.base_title(F.lit("quarry (radio play)")), none=text.base_title(F.lit("quarry")),
         s=text.sentences(F.lit("0\tFirst -LRB-x-RRB-\tlink\nx\tno number\n1\t  \n2\n7\tlast")), parts=text.decompose(F.lit("a and  and b")), whole=text.decompose(F.lit("a and ")),
         forms=text.span_forms(F.lit('Ann\'s".')), tokens=text.token_set(F.lit("The cat, the Dog. of")),
     )
-    assert (r.title, r.base, r.none) == ("A (b)", "titanic", None)
+    assert (r.title, r.base, r.none) == ("A (b)", "quarry", None)
     assert [tuple(x) for x in r.s] == [(0, "First (x)"), (7, "last")]
     assert r.parts == ["a", "b"] and r.whole == ["a and "] and r.forms == ['ann\'s".', "ann's", "ann"] and sorted(r.tokens) == ["cat", "dog"]
 
@@ -95,12 +95,12 @@ def match(spark, claim, titles, **kw):
 
 
 def test_title_matching(spark):
-    titles = ["Harry_Potter", "Harry_Potter_and_the_Goblet", "Titanic_-LRB-1997_film-RRB-", "Titanic_-LRB-disambiguation-RRB-", "Ann", "Harry_Potter"]
-    assert match(spark, "Harry Potter and the Goblet won", titles) == [(0, "Harry_Potter_and_the_Goblet")]
-    assert set(match(spark, "Harry Potter and the Goblet won", titles, longest_only=False)) == {(0, "Harry_Potter_and_the_Goblet"), (0, "Harry_Potter")}
-    assert match(spark, "He saw Titanic, twice", titles) == [(1, "Titanic_-LRB-1997_film-RRB-")]
-    assert match(spark, "Ann's book", titles) == [(0, "Ann")] and match(spark, "ann wrote", titles) == []
-    assert match(spark, "Titanic (disambiguation) is", titles) == []  # it matches and hides the shorter span, and isn't returned
+    titles = ["Silver_Lark", "Silver_Lark_over_the_Moor", "Quarry_-LRB-radio_play-RRB-", "Quarry_-LRB-disambiguation-RRB-", "Odd", "Silver_Lark"]
+    assert match(spark, "Silver Lark over the Moor won", titles) == [(0, "Silver_Lark_over_the_Moor")]
+    assert set(match(spark, "Silver Lark over the Moor won", titles, longest_only=False)) == {(0, "Silver_Lark_over_the_Moor"), (0, "Silver_Lark")}
+    assert match(spark, "They heard Quarry, twice", titles) == [(1, "Quarry_-LRB-radio_play-RRB-")]
+    assert match(spark, "Odd's barn", titles) == [(0, "Odd")] and match(spark, "odd sheds", titles) == []
+    assert match(spark, "Quarry (disambiguation) is", titles) == []  # it matches and hides the shorter span, and isn't returned
 
 
 def test_bm25_by_hand(spark, tmp_path):
@@ -148,13 +148,21 @@ OUTPUTS = [
     ('{"verdict": "SUPPORTED", "evidence": ["E1\\n"]}', (True, True, False, False)),
     ("[1]", (False, False, False, False)),
     ('{"verdict": ', (False, False, False, False)),
+    ('{"verdict": "REFUTED", "evidence": [], "confidence": 0.5} and {x}', (False, False, False, False)),
+    ('{"verdict": "REFUTED"}, {"verdict": "REFUTED"}', (False, False, False, False)),
+    ('{"verdict": "MAYBE", "verdict": "REFUTED", "evidence": ["x"], "evidence": ["E2"], "confidence": 0.1}', (True, True, True, True)),
+    ('{"verdict": "REFUTED", "evidence": ["E2"], "confidence": NaN}', (True, True, True, False)),
+    ('{"verdict": "REFUTED", "evidence": ["E2", 3], "confidence": 1e-1}', (True, True, False, True)),
+    ("{'verdict': 'REFUTED'}", (False, False, False, False)),
+    ('{"verdict": "REFUTED", "evidence": ["E2"], "confidence": 0.5,}', (False, False, False, False)),
+    ('{"verdict": {"a": 1}, "evidence": null, "confidence": "0.5", "other": [1, {"b": 2}]}', (True, False, False, False)),
+    ("{}", (True, False, False, False)),
     (None, (False, False, False, False)),
 ]
 
 
-@pytest.mark.parametrize("how", [parsing.parse, parsing.parse_exact])
-def test_parse(spark, how):
-    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(OUTPUTS)], "i int, raw string").select("i", how(F.col("raw")).alias("a")).orderBy("i").collect()
+def test_parse(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(OUTPUTS)], "i int, raw string").select("i", parsing.parse(F.col("raw")).alias("a")).orderBy("i").collect()
     assert [(r.a.json_ok, r.a.verdict_ok, r.a.evidence_ok, r.a.confidence_ok) for r in rows] == [w for _, w in OUTPUTS]
     assert rows[1].a.confidence == 1.0 and rows[0].a.evidence == ["E1"]
 
@@ -347,56 +355,51 @@ def test_streams(spark, tmp_path):
 
 
 # --- models, episodes, traces ------------------------------------------------------------------------------------------
-SENTENCES = {"s0": "The Eiffel Tower is located in Paris, France.", "s1": "The Eiffel Tower was completed in 1889.", "s2": "Paris is the capital of France."}
+SENTENCES = [("s0", "Blue kilns stand beside the harbour, Ostrava."), ("s1", "Blue kilns cooled down before winter."), ("s2", "Ostrava has a harbour.")]
+CLAIMS = "id long, claim string, gold string, gold_ids array<string>"
 
 
-def test_episode_rules():
-    corpus = episodes.Corpus(SENTENCES)
-    s, verdict, confidence, actions = episodes.play("The Eiffel Tower is in Paris.", "1", episodes.listed_policy([1, 0, 2, 4]), corpus)
-    assert (verdict, confidence, s.ops, actions) == ("SUPPORTED", 0.9, 4, [1, 0, 2, 4]) and s.cited[0] == "s0" and s.agreement > 0
-    s, verdict, confidence, _ = episodes.play("x", "1", episodes.listed_policy([0] * 20), corpus)
-    assert (verdict, confidence, s.ops, s.cited) == ("NEI", 0.5, 8, [])
-    s, *_ = episodes.play("Paris shines and Eiffel built", "1", episodes.listed_policy([1, 0, 0]), corpus)
-    assert s.cited[0] in ("s0", "s2") and s.decomposed  # the first search is for query 2 of 2, counted from 0 after the increment
+def sentence_rows(spark):
+    return spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(SENTENCES)], "sid string, text string, place int")
+
+
+def played(spark, claim, policy):
+    rows = spark.createDataFrame([(1, claim, "SUPPORTED", ["s0"])], CLAIMS)
+    return episodes.episodes(rows, sentence_rows(spark), policy).first()
+
+
+def test_episode_rules(spark):
+    r = played(spark, "Blue kilns stand in Ostrava.", episodes.listed(1, 0, 2, 4))
+    assert (r.pred, r.confidence, r.n_ops, r.actions, r.decomposed) == ("SUPPORTED", 0.9, 4, [1, 0, 2, 4], True) and r.cited == ["s0", "s1"]
+    r = played(spark, "x", episodes.listed(*[0] * 20))
+    assert (r.pred, r.confidence, r.n_ops, r.cited) == ("NEI", 0.5, 8, [])
+    r = played(spark, "Ostrava shines and winter cooled", episodes.listed(1, 0, 7))
+    assert (r.pred, r.confidence, r.cited) == ("REFUTED", 0.4, ["s2", "s0"])  # the second operation asks for the first part of two
+    r = played(spark, "Blue kilns", episodes.listed(0, 0, 0, 5))
+    assert r.cited == ["s0", "s1"] and r.n_ops == 4  # nothing is cited twice
+
+
+def test_random_policy_and_called_policies(spark):
+    rows = spark.createDataFrame([(i, t, "SUPPORTED", [s]) for i, (s, t) in enumerate(SENTENCES)] + [(9, None, "NEI", [])], CLAIMS)
+    a, b = (episodes.episodes(rows, sentence_rows(spark), episodes.random_policy(seed)).orderBy("id").collect() for seed in (1, 1))
+    assert a == b and all(0 <= x < 8 for r in a for x in r.actions) and all(len(r.actions) == r.n_ops <= 8 for r in a)
+
+    def choose(obs, ops, key):
+        return 0 if ops < 2 else 2 if obs[2] == 0 and ops < 3 else 3 if key == "2" else 4
+
+    called = episodes.episodes(rows, sentence_rows(spark), episodes.Called(choose)).orderBy("id").collect()
+    assert [r.actions for r in called] == [[0, 0, 2, 4], [0, 0, 2, 4], [0, 0, 2, 3], [0, 0, 2, 4]] and called[2].cited == []
 
 
 def test_episodes_table(spark):
-    claims = spark.createDataFrame([(1, "The Eiffel Tower is in Paris.", "SUPPORTED", ["s0"]), (2, "Nothing matches here", "NEI", [])], "id long, claim string, gold string, gold_ids array<string>")
-    rows = episodes.episodes(claims, SENTENCES)
+    claims = spark.createDataFrame([(1, "Blue kilns stand in Ostrava.", "SUPPORTED", ["s0"]), (2, "Nothing matches here", "NEI", [])], CLAIMS)
+    rows = episodes.episodes(claims, sentence_rows(spark))
     got = {r.id: r for r in rows.collect()}
     assert got[1].pred == "SUPPORTED" and got[2].pred == "NEI" and got[2].cited == [] and got[2].reward["evidence"] == 1.0
     assert episodes.summary(rows).first().accuracy == 1.0 and episodes.reliability(rows).count() == 2
     obs = F.array(*[F.lit(x) for x in (0.5, 0.4, 0.3, 0.2, 0.0, 0.0, 0.5, 0.8)])
-    assert one(spark, a=episodes.heuristic(obs)).a == 4 == episodes.heuristic_policy([0.5, 0.4, 0.3, 0.2, 0.0, 0.0, 0.5, 0.8], 0, "")
-
-
-def test_episode_query_searches_all_sentences(spark, tmp_path):
-    """The whole result of the query against brute force over every sentence, with ties, compound claims and 60 items."""
-    words = ["tower", "Paris,", "river", "bridge", "built", "old", "the", "castle.", "king"]
-    texts = [" ".join(words[(i * j + j) % 9] for j in range(1, 6)) + (f" and item {i}" if i % 3 == 0 else f" no {i % 7}") for i in range(59)] + ["alone"]
-    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r.id: r for r in catalogue.QUERIES["episode_fold"](spark, str(tmp_path)).collect()}
-    corpus = episodes.Corpus({f"s{i}": t for i, t in enumerate(texts)})
-    assert len(got) == 60
-    for i, t in enumerate(texts):
-        s, pred, confidence, _ = episodes.play(t, str(i), episodes.heuristic_policy, corpus)
-        assert (got[i].pred, got[i].confidence, got[i].n_ops) == (pred, confidence, s.ops), t
-        assert got[i].cited == ("" if pred == "NEI" else ",".join(s.cited)), t
-    assert sum(f"s{i}" in got[i].cited.split(",") for i in range(20, 60)) >= 30
-    claims = spark.createDataFrame([(i, t, "SUPPORTED", [f"s{i}"]) for i, t in enumerate(texts)], "id long, claim string, gold string, gold_ids array<string>")
-    slow = episodes.episodes(claims, {f"s{i}": t for i, t in enumerate(texts)}).select("id", "reward.reward").collect()
-    assert {r.id: r.reward for r in slow} == {i: r.reward for i, r in got.items()}
-    odd = spark.createDataFrame([(1, "Paris shines and Eiffel built", "SUPPORTED", ["s0"]), (2, "", "NEI", [])], "id long, claim string, gold string, gold_ids array<string>")
-    rows = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(SENTENCES.items())], "sid string, text string, place int")
-    key = lambda table: sorted((r.id, r.pred, r.cited, r.n_ops, r.actions) for r in table.collect())
-    assert key(episodes.episodes(odd, rows)) == key(episodes.episodes(odd, SENTENCES))
-
-
-def test_native_fold(spark):
-    hits = "array<array<struct<sid:string,score:double>>>"
-    rows = spark.createDataFrame([(1, [[("a", 0.9), ("b", 0.5), ("c", 0.1)], [("a", 0.8), ("d", 0.7)]], [0, 0, 4, 0])], f"id long, hits {hits}, actions array<int>")
-    s = episodes.fold(rows, F.col("hits"), F.col("actions")).first().state
-    assert s.cited == ["a", "b", "d"] and (s.ops, s.final, s.best) == (3, 4, 0.9) and s.top == 0.7
+    assert one(spark, a=episodes.heuristic(obs)).a == 4
+    assert episodes.episodes(claims.limit(0), sentence_rows(spark)).count() == 0 and episodes.episodes(claims, sentence_rows(spark).limit(0)).where("pred = 'NEI'").count() == 2
 
 
 def test_traces(spark):
@@ -411,8 +414,9 @@ def test_stub_model(spark):
 
 
 def test_search_function_in_sql(spark):
-    spark.udtf.register("toy_search", search.search_udtf(SENTENCES, 2))
-    assert [r.sid for r in spark.sql("SELECT * FROM toy_search('capital of France')").collect()] == ["s2", "s0"]
+    search.register_search(spark, "toy_search", sentence_rows(spark), 2)
+    assert [r.sid for r in spark.sql("SELECT * FROM toy_search('The harbour of Ostrava.')").collect()] == ["s2", "s0"]
+    assert spark.sql("SELECT * FROM toy_search('nothing')").count() == 0
 
 
 def test_ordered_lookup_raises(spark):
@@ -427,5 +431,5 @@ def test_prompts_and_labels(spark):
     rows = spark.createDataFrame([(1, "NOT_ENOUGH_INFO", "p", '{"verdict":"NOT_ENOUGH_INFO","evidence":["E2"]}')], "id long, gold string, prompt string, completion string")
     r = datasets.prompts(rows, 5, "sys").first()
     assert [tuple(m) for m in r.prompt] == [("system", "sys"), ("user", "p")] and (r.gold, r.gold_eids) == ("NEI", ["E2"])
-    names = one(spark, a=parsing.run_label(F.lit("x/exp-1/runs/run2/artifacts")), b=parsing.run_label(F.lit("some/adapter/")))
-    assert tuple(names) == ("exp-1/run2", "adapter")
+    names = one(spark, a=parsing.run_label(F.lit("y,x/exp-1/runs/run2/artifacts/checkpoints/")), b=parsing.run_label(F.lit("some/adapter/")))
+    assert tuple(names) == ("exp-1_run2", "adapter")
