@@ -1,8 +1,9 @@
 """Quality rules: an isolation forest over the statistics that rules look at, its threshold calibrated from labelled rows.
 
-Every document gets the same statistics from its whole text. Trees split them at random; a document that
+Every document gets the same statistics from its whole text. Trees split them at random, more often those that tell labelled
+rows apart; a document that
 random splits set apart after few steps is unlike most of the labelled ones the trees were grown from. The score
-at which documents are rejected comes from the scores of all labelled rows.
+at which documents are rejected comes from the scores of all labelled rows that no tree was grown from.
 """
 
 from __future__ import annotations
@@ -63,36 +64,46 @@ def rule_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
-# Limits of published web-text rules. Up to its limit a statistic says nothing against a document.
-LIMITS = {"symbols": 0.1, "longest_mean_word": 10.0, "shortest_mean_word": 3.0, "dup_lines": 0.3, "upper": 0.3, "digits": 0.3}
+RATIOS = ["symbols a word", "characters a word", "repeated lines", "repeated words", "words a line", "upper case", "digits"]
 
 
 def features(counts: np.ndarray) -> np.ndarray:
-    """How far each ratio lies beyond its limit, from rows of ``COUNTS``; ratios don't follow a text's length."""
-    words, chars, symbols, dup, _, lines, upper, digits = counts.astype(float).T
+    """The rule statistics in ``RATIOS``, as they are, from rows of ``COUNTS``; ratios don't follow a text's length."""
+    words, chars, symbols, dup, repeated, lines, upper, digits = counts.astype(float).T
     w, c, n = np.maximum(words, 1), np.maximum(chars, 1), np.maximum(lines, 1)
-    mean = chars / w
-    odd_words = np.maximum(mean - LIMITS["longest_mean_word"], 0) + np.maximum(LIMITS["shortest_mean_word"] - mean, 0)
-    return np.stack([np.maximum(symbols / w - LIMITS["symbols"], 0), odd_words, np.maximum(dup / n - LIMITS["dup_lines"], 0), np.maximum(upper / c - LIMITS["upper"], 0), np.maximum(digits / c - LIMITS["digits"], 0)], axis=1)
-
-
-def harmless(rows: np.ndarray, quality: np.ndarray) -> np.ndarray:
-    """By feature, the value up to which it says nothing by the labelled ``rows``: beyond it, bad rows outnumber good ones by
-    the most, and of equals it is the least. Where they outnumber them nowhere, it is the largest value."""
-    found = []
-    for x in rows.T:
-        steps = np.unique(np.append(x[quality == 1], 0.0))
-        beyond = [(quality == q).sum() - np.searchsorted(np.sort(x[quality == q]), steps, side="right") for q in (0, 1)]
-        lead = beyond[0] - beyond[1]
-        found.append(steps[lead.argmax()] if lead.max() > 0 else x.max())
-    return np.array(found)
+    return np.stack([symbols / w, chars / w, dup / n, repeated / w, words / n, upper / c, digits / c], axis=1)
+
+
+def telling(rows: np.ndarray, quality: np.ndarray) -> np.ndarray:
+    """How often a feature is to be split on, by how well it tells labelled bad rows from good ones (by its value or its distance
+    from the good ones' median). The best one comes first; a further one counts for the bad rows that those before leave among
+    the good ones, so that features that only follow another don't dilute it. Every feature is split on now and then."""
+    good, bad = rows[quality == 1], rows[quality != 1]
+    weights = np.full(rows.shape[1], 0.005)
+    if not len(good) or not len(bad):
+        return weights / weights.sum()
+    middle = np.median(good, axis=0)
+    usual = np.quantile(abs(good - middle), 0.999, axis=0)
+
+    def apart(a: np.ndarray, b: np.ndarray) -> float:
+        order = np.sort(a)
+        below = (np.searchsorted(order, b, side="left") + np.searchsorted(order, b, side="right")) / 2
+        return abs(2 * below.mean() / len(a) - 1)
+
+    left, unused = bad, list(range(rows.shape[1]))
+    while len(left) and unused:
+        found = [max(apart(good[:, k], left[:, k]), apart(abs(good[:, k] - middle[k]), abs(left[:, k] - middle[k]))) for k in unused]
+        k = unused.pop(int(np.argmax(found)))
+        weights[k] += max(found) ** 2 * len(left) / len(bad)
+        left = left[abs(left[:, k] - middle[k]) <= usual[k]]
+    return weights / weights.sum()
 
 
 class IsolationForest:
     """Trees of random splits; ``score`` is 2 ** -(mean path length / expected), near 1 for the most isolated rows."""
 
-    def __init__(self, trees: int = 100, sample: int = 256, seed: int = 0) -> None:
-        self.trees, self.sample, self.seed = trees, sample, seed
+    def __init__(self, trees: int = 100, sample: int = 256, seed: int = 0, weights: np.ndarray | None = None) -> None:
+        self.trees, self.sample, self.seed, self.weights = trees, sample, seed, weights
         self.nodes: list[tuple[np.ndarray, ...]] = []
 
     @staticmethod
@@ -101,12 +112,17 @@ class IsolationForest:
         n = np.asarray(n, float)
         return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
-    def fit(self, rows: np.ndarray) -> IsolationForest:
+    def fit(self, rows: np.ndarray, odd: np.ndarray | None = None) -> IsolationForest:
+        """Grows the trees. Rows known to be ``odd`` are at most one in 64 of a tree's, so that they don't hide one another."""
         rng = np.random.default_rng(self.seed)
         height = int(np.ceil(np.log2(max(2, min(self.sample, len(rows))))))
         self.base = max(1.0, float(self.expected(min(self.sample, len(rows)))))
         for _ in range(self.trees):
-            part = rows[rng.permutation(len(rows))[: self.sample]]
+            part = rng.permutation(len(rows))[: self.sample]
+            if odd is not None and odd.any() and not odd.all():
+                few = max(1, self.sample // 64)
+                part = np.concatenate([rng.permutation(np.flatnonzero(~odd))[: self.sample - few], rng.permutation(np.flatnonzero(odd))[:few]])
+            part = rows[part]
             tree: list[list[float]] = []  # feature (-1: leaf), split, left, right, path length at a leaf
             todo = [(part, 0, -1, 0)]
             while todo:
@@ -114,11 +130,12 @@ class IsolationForest:
                 at = len(tree)
                 if parent >= 0:
                     tree[parent][2 + side] = at
-                spread = np.flatnonzero(x.max(axis=0) > x.min(axis=0)) if len(x) > 1 else []
-                if depth >= height or len(spread) == 0:
+                spread = x.max(axis=0) > x.min(axis=0) if len(x) > 1 else np.zeros(rows.shape[1], bool)
+                f = int(rng.choice(np.flatnonzero(spread)) if self.weights is None and spread.any() else rng.choice(len(spread), p=self.weights))
+                # Where rows don't differ in what is asked of them, they are alike.
+                if depth >= height or not spread[f]:
                     tree.append([-1, 0, at, at, depth + float(self.expected(len(x)))])
                     continue
-                f = int(rng.choice(spread))
                 cut = float(rng.uniform(x[:, f].min(), x[:, f].max()))
                 tree.append([f, cut, -1, -1, 0])
                 todo += [(x[x[:, f] < cut], depth + 1, at, 0), (x[x[:, f] >= cut], depth + 1, at, 1)]
@@ -141,7 +158,7 @@ class IsolationForest:
 
 def threshold(histogram: list[tuple[int, int, int]], keep_good: float, spare: float = 0.01) -> int:
     """The bin from which documents are rejected: of those that keep at least ``keep_good`` of the good rows, the one that
-    rejects most of the bad ones, and of equals the highest. A few good rows that share a score would push it above every bad
+    rejects most of the bad ones, and of equals the middle (the highest if none rejects any). A few good rows that share a score would push it above every bad
     row below them, so a lower bin is taken if its errors, good rows rejected and bad rows kept, are fewer, and it still keeps
     all but ``spare`` of the good rows. ``histogram``: (bin, quality, rows)."""
     good, bad = np.zeros(BINS + 1, int), np.zeros(BINS + 1, int)
@@ -153,20 +170,18 @@ def threshold(histogram: list[tuple[int, int, int]], keep_good: float, spare: fl
     left = np.concatenate([[0], np.cumsum(bad)])
     kept = 1 - lost / good.sum()
     allowed = np.flatnonzero(kept >= keep_good)
-    best = allowed[left[allowed] == left[allowed].min()].max()
+    central = lambda bins: bins.max() if left[bins.max()] == bad.sum() else (bins.min() + bins.max()) // 2
+    best = central(allowed[left[allowed] == left[allowed].min()])
     looser = np.flatnonzero(kept >= min(keep_good, 1 - spare))
-    least = looser[(lost + left)[looser] == (lost + left)[looser].min()].max()
+    least = central(looser[(lost + left)[looser] == (lost + left)[looser].min()])
     return int(least if (lost + left)[least] < (lost + left)[best] else best)
 
 
 class Judge:
-    """A grown forest, the bin of the score from which it rejects, and up to which values features say nothing."""
-
-    def __init__(self, forest: IsolationForest, cut: int, min_words: int, harmless: np.ndarray | float = 0.0) -> None:
-        self.forest, self.cut, self.min_words, self.harmless = forest, cut, min_words, harmless
+    """A grown forest and the bin of the score from which it rejects."""
 
-    def features(self, counts: np.ndarray) -> np.ndarray:
-        return np.maximum(features(counts) - self.harmless, 0)
+    def __init__(self, forest: IsolationForest, cut: int, min_words: int) -> None:
+        self.forest, self.cut, self.min_words = forest, cut, min_words
 
     def failed(self, counts: np.ndarray) -> np.ndarray:
         words, repeated = counts[:, COUNTS.index("n_words")], counts[:, COUNTS.index("n_repeat_words")]
@@ -174,7 +189,7 @@ class Judge:
 
     def verdict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """base_failed, score and kept of rows of ``COUNTS``."""
-        failed, score = self.failed(counts), self.forest.score(self.features(counts))
+        failed, score = self.failed(counts), self.forest.score(features(counts))
         return failed, score, ~failed & (np.floor(score * BINS) < self.cut)
 
 
@@ -189,18 +204,21 @@ def _scored(rows: DataFrame, judge: Judge) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", base_failed boolean, score double, kept boolean")
 
 
-def calibrate(rows: DataFrame, labels: DataFrame, ws: Workspace, id_col: str = "doc_id", trees: int = 100, sample: int = 256, fit_rows: int = 10000, keep_good: float = 0.999, seed: int = 0, min_words: int = 50) -> Judge:
+def calibrate(rows: DataFrame, labels: DataFrame, ws: Workspace, id_col: str = "doc_id", trees: int = 200, sample: int = 256, fit_rows: int = 10000, keep_good: float = 0.999, seed: int = 0, min_words: int = 50) -> Judge:
     """The judge of documents whose counts are in ``rows`` (see ``judge``)."""
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     known = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max("quality").alias("quality"))
-    labelled = ws.stage(rows.where(~failed).join(known, "id").select("id", "quality", *COUNTS), "labelled")
-    chosen = bounded_sample(labelled, fit_rows, F.col("id"), seed=seed).select("quality", *COUNTS).collect()
+    grows = F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(2)) == 0
+    labelled = ws.stage(rows.where(~failed).join(known, "id").select("id", "quality", *COUNTS, grows.alias("grows")), "labelled")
+    halves = labelled.select("grows", F.col("quality").cast("int")).distinct().count() == 4  # else too few labels to divide: all serve for both
+    grown, others = (labelled.where("grows"), labelled.where("not grows")) if halves else (labelled, labelled)
+    chosen = bounded_sample(grown, fit_rows, F.col("id"), seed=seed).select("quality", *COUNTS).collect()
     judge = Judge(IsolationForest(trees, sample, seed), BINS + 1, min_words)
     if chosen:
         quality, counts = np.split(np.array([tuple(r) for r in chosen], np.int64), [1], axis=1)
-        judge.harmless = harmless(features(counts), quality[:, 0])
-        judge.forest.fit(judge.features(counts))
-        histogram = _scored(labelled, judge).groupBy(F.floor(F.col("score") * BINS).cast("int").alias("bin"), F.col("quality").cast("int").alias("quality")).count()
+        judge.forest.weights = telling(features(counts), quality[:, 0])
+        judge.forest.fit(features(counts), quality[:, 0] == 0)
+        histogram = _scored(others.select("quality", *COUNTS), judge).groupBy(F.floor(F.col("score") * BINS).cast("int").alias("bin"), F.col("quality").cast("int").alias("quality")).count()
         judge.cut = threshold([tuple(r) for r in histogram.collect()], keep_good)
     return judge
 
@@ -209,11 +227,12 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(id_col, the counts, base_failed, score, kept) of every row of ``docs``.
 
     base_failed: fewer than ``min_words`` words, or more than half of the words repeated. kept: not base_failed and not
-    rejected by the forest. ``labels`` has id_col and quality (1 good, 0 bad; others are left out). Trees are grown from at most
-    ``fit_rows`` labelled rows that pass the base rules, chosen by a hash of the id; the same rows say up to which value a
-    ratio is harmless. The threshold counts all labelled rows that pass, and keeps at least ``keep_good`` of the good ones,
+    rejected by the forest. ``labels`` has id_col and quality (1 good, 0 bad; others are left out). By a hash of the id one half of
+    the labelled rows that pass the base rules is for the trees, grown from at most ``fit_rows`` of them, which also say
+    how telling each statistic is; the threshold counts all of the other half (where a half lacks good or bad rows, both steps take all), and keeps at least ``keep_good`` of its good rows,
     or all but one in a hundred where that makes fewer errors in all (see ``threshold``). Without such rows the forest rejects nothing. Null ids
-    have no label; an id that is labelled twice counts with its best label. Rows with the same id are judged each.
+    have no label; an id that is labelled twice counts with its best label. Rows with the same id are judged each; null text has
+    no words and fails; an empty table gives an empty one, other columns are not read.
     """
     ws = Workspace(docs.sparkSession, "quality")
     rows = ws.stage(rule_statistics(docs, id_col, text_col), "statistics")
