@@ -2,8 +2,9 @@
 
 Unit vectors with a cosine of at least c are at most eps = sqrt(2 - 2c) apart, and so are their projections. Vectors are
 sorted by the cells, eps wide, of their leading principal dimensions; the sorted sequence is cut into blocks, each with the box
-its projections fill. Blocks whose boxes are further apart than eps are skipped; the others are joined by halving both
-intervals again, skipping halves that are provably distant, down to pieces that are compared at once.
+its projections fill. Intervals of the sequence, each of ``FAN`` shorter ones, form a tree of boxes. The join starts with the whole
+sequence against itself and descends, interval by interval, where the boxes are no further apart than eps; only blocks that are
+left meet, and are halved again down to pieces that are compared at once.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, components
+from .common import Workspace, bounded_sample, components
 
 #: Leading principal dimensions of the order and the boxes, vectors of a block, and of a piece compared at once.
 DIMENSIONS, BLOCK, PIECE = 8, 2048, 256
+#: Intervals that make up the next longer one, and vectors from which the principal dimensions are found; any would do for the result.
+FAN, AXES_ROWS = 8, 4096
 
 
 def _usable(v: Column) -> Column:
@@ -34,24 +37,10 @@ def _unit(lists: pa.Array, size: int) -> np.ndarray:
 
 
 def _principal(vectors: DataFrame, size: int, leading: int) -> np.ndarray:
-    """The leading principal directions, from sums over all vectors that each task adds up first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size + 1, size + 1))
-        for b in batches:
-            u = np.pad(_unit(b.column(0), size), ((0, 0), (0, 1)), constant_values=1)
-            total += u.T @ u
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["k", "x"])
-
-    rows = vectors.select("vector").mapInArrow(run, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
-    total = np.zeros((size + 1) ** 2)
-    for k, x in rows:
-        total[k] = x
-    total = total.reshape(size + 1, size + 1)
-    n = max(total[-1, -1], 1)
-    mean = total[-1, :-1] / n
-    _, directions = np.linalg.eigh(total[:-1, :-1] / n - np.outer(mean, mean))
-    return directions[:, ::-1][:, :leading]
+    """The leading principal directions of at most ``AXES_ROWS`` vectors."""
+    rows = bounded_sample(vectors.select("node", "vector"), AXES_ROWS, F.col("node")).select("vector").collect()
+    unit = _unit(pa.array([r[0] for r in rows]), size)
+    return np.linalg.svd(np.vstack([unit - unit.mean(axis=0), np.eye(size)[:leading] * 1e-9]), full_matrices=False)[2][:leading].T
 
 
 def _distance(low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray, high_b: np.ndarray) -> float:
@@ -91,6 +80,25 @@ def _smallest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = low
 
 
+def near_blocks(ws: Workspace, blocks: DataFrame, leading: int, eps2: float) -> DataFrame:
+    """(left, right): the blocks, left no later than right, whose boxes are at most eps apart. ``blocks`` has block and its
+    box, low0, high0, low1 and so on."""
+    box = [f"{name}{i}" for i in range(leading) for name in ("low", "high")]
+    tree = [blocks.select(F.col("block").alias("id"), *box)]
+    n = tree[0].count()
+    while n > 1:
+        parent = F.floor(F.col("id") / FAN).alias("id")
+        tree.append(ws.stage(tree[-1].groupBy(parent).agg(*[(F.min if c.startswith("low") else F.max)(c).alias(c) for c in box]), "boxes"))
+        n = -(-n // FAN)
+    pairs = tree[-1].select(F.col("id").alias("left"), F.col("id").alias("right"))
+    gap = sum(F.pow(F.greatest(F.lit(0.0), F.col(f"a.low{i}") - F.col(f"b.high{i}"), F.col(f"b.low{i}") - F.col(f"a.high{i}")), 2) for i in range(leading))
+    for level in reversed(tree[:-1]):
+        inside = level.withColumn("parent", F.floor(F.col("id") / FAN))
+        both = pairs.join(inside.alias("a"), F.col("left") == F.col("a.parent")).join(inside.alias("b"), F.col("right") == F.col("b.parent"))
+        pairs = ws.stage(both.where((F.col("a.id") <= F.col("b.id")) & (gap <= eps2)).select(F.col("a.id").alias("left"), F.col("b.id").alias("right")), "pairs")
+    return pairs
+
+
 def _links(ws: Workspace, vectors: DataFrame, size: int, least: float) -> DataFrame:
     """(node, other, n): from each pair of blocks and vector with links in it, the smallest vector that these connect it with, and how many rows it links to."""
     leading = min(DIMENSIONS, size)
@@ -113,20 +121,10 @@ def _links(ws: Workspace, vectors: DataFrame, size: int, least: float) -> DataFr
     before = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     before = before.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     ranked = placed.withColumn("part", part).join(before, "part").withColumn("rank", F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1)))
-    blocks = ranked.groupBy(F.floor(F.col("rank") / BLOCK).alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct("rank", "node", "copies", "vector", "spot"))).alias("rows"),
-        F.min(F.col("cell")[0]).alias("first"), F.max(F.col("cell")[0]).alias("last"),
-        *[f(F.col("spot")[i]).alias(f"{name}{i}") for i in range(leading) for name, f in (("low", F.min), ("high", F.max))],
-    )
-    blocks = blocks.select("block", "rows", "first", "last", F.array(*[f"low{i}" for i in range(leading)]).alias("low"), F.array(*[f"high{i}" for i in range(leading)]).alias("high"))
-    blocks = ws.stage(blocks, "blocks")
-    # Blocks within one cell of each other in the first dimension; each pair once, at the first cell they share.
-    boxes = blocks.select("block", "first", "last", "low", "high")
-    a = boxes.withColumn("cell", F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1))).alias("a")
-    b = boxes.withColumn("cell", F.explode(F.sequence("first", "last"))).alias("b")
-    near = a.join(b, F.col("a.cell") == F.col("b.cell")).where("a.block <= b.block and a.cell = greatest(a.first - 1, b.first)")
-    gap = F.expr("aggregate(sequence(0, size(a.low) - 1), 0D, (s, i) -> s + pow(greatest(0D, a.low[i] - b.high[i], b.low[i] - a.high[i]), 2))")
-    pairs = ws.stage(near.where(gap <= eps2).select(F.col("a.block").alias("left"), F.col("b.block").alias("right")), "pairs")
+    box = [f(F.col("spot")[i]).alias(f"{name}{i}") for i in range(leading) for name, f in (("low", F.min), ("high", F.max))]
+    block = F.floor(F.col("rank") / BLOCK).alias("block")
+    blocks = ws.stage(ranked.groupBy(block).agg(F.array_sort(F.collect_list(F.struct("rank", "node", "copies", "vector"))).alias("rows"), *box), "blocks")
+    pairs = near_blocks(ws, blocks.drop("rows"), leading, eps2)
     packed = pairs.join(blocks.select(F.col("block").alias("left"), F.col("rows").alias("a")), "left")
     packed = packed.join(blocks.select(F.col("block").alias("right"), F.col("rows").alias("b")), "right").select("left", "right", "a", "b")
 
@@ -137,7 +135,7 @@ def _links(ws: Workspace, vectors: DataFrame, size: int, least: float) -> DataFr
                 for name in ("a", "b"):
                     rows = batch.column(name)[k].values
                     unit = _unit(rows.field("vector"), size)
-                    spot = rows.field("spot").flatten().to_numpy().reshape(-1, leading)
+                    spot = unit @ axes
                     sides.append((rows.field("node").to_numpy(), rows.field("copies").to_numpy(), (unit, unit.astype(np.float32), spot)))
                 same = batch.column("left")[k].as_py() == batch.column("right")[k].as_py()
                 (node, copies, a), (node2, copies2, b) = sides
@@ -167,7 +165,8 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     null id count as links and have the component of the others they reach, null if there is none.
     """
     ws = Workspace(rows.sparkSession, "gridjoin")
-    rows = rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vector"))
+    kind = "array<float>" if rows.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast(kind).alias("vector"))
     usable = rows.where(_usable(F.col("vector")))
     nodes = ws.stage(usable.groupBy("vector").agg(F.min("id").alias("first"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     links = None

@@ -382,9 +382,19 @@ def test_encode_documents(spark, odd_docs, tokenizer):
 
 
 # --- 7 ---------------------------------------------------------------------------------------------------------------
+def test_distant_intervals_are_skipped(spark):
+    """Of clusters far apart only blocks of the same or a neighbouring cluster meet: far fewer than all pairs of 200 blocks."""
+    rows = [(i, float(i // 5), i // 5 + 0.5, 0.0, 0.1 * (i % 5)) for i in range(200)]
+    blocks = spark.createDataFrame(rows, "block long, low0 double, high0 double, low1 double, high1 double")
+    got = {(r.left, r.right) for r in gridjoin.near_blocks(common.Workspace(spark, "t"), blocks, 2, 0.25).collect()}
+    gap = lambda a, b: sum(max(0, a[k] - b[k + 1], b[k] - a[k + 1]) ** 2 for k in (1, 3))
+    assert got == {(a[0], b[0]) for a in rows for b in rows if a[0] <= b[0] and gap(a, b) <= 0.25} and len(got) < 2000
+
+
 def test_grid_join_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(gridjoin, "BLOCK", 32)
-    monkeypatch.setattr(gridjoin, "PIECE", 8)
+    monkeypatch.setattr(gridjoin, "BLOCK", 8)
+    monkeypatch.setattr(gridjoin, "FAN", 3)
+    monkeypatch.setattr(gridjoin, "PIECE", 4)
     rng = np.random.default_rng(8)
     centers = rng.normal(size=(6, 16))
     x = np.concatenate([centers[rng.integers(6, size=150)] + rng.normal(size=(150, 16)) * 0.25, rng.normal(size=(60, 16))])
