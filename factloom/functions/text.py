@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 BRACKETS = {"-LRB-": "(", "-RRB-": ")", "-LSB-": "[", "-RSB-": "]", "-LCB-": "{", "-RCB-": "}", "-COLON-": ":"}
 # Words that the toy retrieval leaves out.
 TOY_STOPWORDS = ["the", "is", "in", "a", "of", "was", "and", "are", "to", "it", "from", "with", "than"]
+# English words that an index may leave out.
+ENGLISH_STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there",
+    "these", "they", "this", "to", "was", "will", "with",
+]
 #: Terms are runs of two or more word characters.
 TERM = r"([\p{L}\p{N}_]{2,})"
 

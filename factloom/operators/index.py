@@ -1,19 +1,31 @@
-"""The inverted index of a corpus: postings with document lengths, term and corpus statistics."""
+"""The inverted index of a corpus: postings with document lengths, term and corpus statistics, and the analyzer it was built with."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import terms
+from ..functions.text import stemmed, terms
 
+Stemmer = Callable[[str], str]
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stopwords: list[str] | None = None) -> DataFrame:
-    """(doc_id, dl, term, tf). A document's terms are counted where it is read before they move; dl counts repeats."""
+
+def with_stems(rows: DataFrame, stem: Stemmer | None) -> DataFrame:
+    """``rows`` with their term stemmed. Only distinct terms meet the stemmer."""
+    if stem is None:
+        return rows
+    known = rows.select("term").distinct().select("term", stemmed(F.col("term"), stem).alias("__stem"))
+    return rows.join(known, "term").drop("term").withColumnRenamed("__stem", "term").where("term is not null and term <> ''")
+
+
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stopwords: list[str] | None = None, stem: Stemmer | None = None) -> DataFrame:
+    """(doc_id, dl, term, tf). A document's terms are counted where it is read before they move; dl counts repeats. Stopwords go before stemming."""
     found = docs.select(F.col(id_col).alias("doc_id"), terms(F.col(text_col), stopwords).alias("terms"))
-    return found.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    counted = found.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    return counted if stem is None else with_stems(counted, stem).groupBy("doc_id", "dl", "term").agg(F.sum("tf").alias("tf"))
 
 
 def doc_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stopwords: list[str] | None = None) -> DataFrame:
@@ -33,20 +45,35 @@ def corpus_stats(stats: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """A built index. ``stopwords`` are those it was built with, for the queries."""
+    """A built index. ``stopwords`` and ``stem`` are those it was built with, for the queries."""
 
     postings: DataFrame
+    terms: DataFrame
     corpus: DataFrame
     stopwords: list[str] | None = None
+    stem: Stemmer | None = None
 
 
-def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", stopwords: list[str] | None = None) -> Index:
-    """Writes the index once; every search reads it. Postings are laid out by term, so a query's terms prune row groups."""
-    entries = postings(docs, id_col, text_col, stopwords)
+def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", stopwords: list[str] | None = None, stem: Stemmer | None = None) -> Index:
+    """Writes the index once; every search reads it. Postings are laid out by term, so a query's terms prune row groups; how many documents
+    a term has is stored beside them, and so are the stopwords and the stemmer's name."""
+    spark = docs.sparkSession
+    entries = postings(docs, id_col, text_col, stopwords, stem)
     entries.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("errorifexists").parquet(f"{path}/postings")
+    term_stats(spark.read.parquet(f"{path}/postings")).write.mode("errorifexists").parquet(f"{path}/terms")
     corpus_stats(doc_stats(docs, id_col, text_col, stopwords)).write.mode("errorifexists").parquet(f"{path}/corpus")
-    return load(docs.sparkSession, path, stopwords)
+    analyzer = [(stopwords, _name(stem))]
+    spark.createDataFrame(analyzer, "stopwords array<string>, stemmer string").write.mode("errorifexists").parquet(f"{path}/analyzer")
+    return load(spark, path, stem)
+
+
+def _name(stem: Stemmer | None) -> str | None:
+    return None if stem is None else getattr(stem, "__qualname__", type(stem).__qualname__)
 
 
-def load(spark: SparkSession, path: str, stopwords: list[str] | None = None) -> Index:
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/corpus"), stopwords)
+def load(spark: SparkSession, path: str, stem: Stemmer | None = None) -> Index:
+    """A built index with its stopwords. A stemmer is code and isn't stored: the one it was built with has to be given, or it is an error."""
+    stopwords, name = spark.read.parquet(f"{path}/analyzer").first()
+    if name != _name(stem):
+        raise ValueError(f"the index was built with the stemmer {name}, not {_name(stem)}")
+    return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "corpus")], stopwords, stem)

@@ -7,31 +7,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import TOY_STOPWORDS, base_title, jaccard, normal_title, span_forms, starts_like_a_name, terms, token_set
-from .index import Index
+from .index import Index, Stemmer, with_stems
 
 MAX_TITLE_WORDS = 8
 
 
-def query_terms(queries: DataFrame, id_col: str, text_col: str, stopwords: list[str] | None = None) -> DataFrame:
+def query_terms(queries: DataFrame, id_col: str, text_col: str, stopwords: list[str] | None = None, stem: Stemmer | None = None) -> DataFrame:
     """(qid, term, qtf): repeats of a term in a query count."""
     found = queries.select(F.col(id_col).alias("qid"), F.explode(terms(F.col(text_col), stopwords)).alias("term"))
-    return found.groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    return with_stems(found, stem).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
 def bm25_scores(index: Index, queries: DataFrame, id_col: str = "item_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(qid, doc_id, score) of documents that share a term with the query. Documents that share none have no row.
 
-    idf = ln(1 + (n - df + 0.5) / (df + 0.5)); a term counts tf / (tf + k1 * (1 - b + b * dl / avgdl)). The postings
-    are first cut to the terms that any query has; statistics are one row.
+    idf = ln(1 + (n - df + 0.5) / (df + 0.5)); a term counts tf / (tf + k1 * (1 - b + b * dl / avgdl)). Queries pass through the
+    analyzer that the index was built with. How many documents a term has is read from the index; the corpus statistics are one row.
     """
-    asked = query_terms(queries, id_col, text_col, index.stopwords)
-    entries = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
-    df = entries.groupBy("term").agg(F.count("*").alias("df"))
+    asked = query_terms(queries, id_col, text_col, index.stopwords, index.stem)
     corpus = F.broadcast(index.corpus)
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.join(df, "term").crossJoin(corpus).withColumn("w", F.col("qtf") * idf).select("qid", "term", "w", "avgdl")
+    weighted = asked.join(index.terms.select("term", "df"), "term").crossJoin(corpus).withColumn("w", F.col("qtf") * idf).select("qid", "term", "w", "avgdl")
     tf = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return entries.join(weighted, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("w") * tf).alias("score"))
+    return index.postings.join(weighted, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("w") * tf).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, group: str = "qid", tie: str = "doc_id") -> DataFrame:

@@ -53,6 +53,17 @@ def bm25_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(_scores(spark, sf_dir)[1], 5).select(F.col("qid").alias("item_id"), "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
+_STOPS = ", ".join(f"'{w}'" for w in text.ENGLISH_STOPWORDS)
+_STEMMED = _BM25.replace(f"unnest({_TERMS}) AS term FROM documents", f"unnest(TERMS) AS term FROM documents").replace(f"unnest({_TERMS}) AS term FROM benchmark", "unnest(TERMS) AS term FROM benchmark").replace(f"len({_TERMS})", f"len(list_filter({_TERMS}, lambda t: t NOT IN ({_STOPS})))")
+_STEMMED = _STEMMED.replace("TERMS", f"list_transform(list_filter({_TERMS}, lambda t: t NOT IN ({_STOPS})), lambda t: CASE WHEN len(t) > 3 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN t[:-2] ELSE t END)")
+
+
+@_query(f"WITH {_STEMMED} SELECT qid AS item_id, rank::int AS rank, doc_id, round(score, 6) AS score FROM rk WHERE rank <= 5")
+def bm25_stemmed_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = search.bm25_scores(views.index(spark, sf_dir, english=True), table(spark, sf_dir, "benchmark"))
+    return search.top_k(scores, 5).select(F.col("qid").alias("item_id"), "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
 @_query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY term")
 def corpus_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.term_stats(ix.postings(table(spark, sf_dir, "documents")))
@@ -119,9 +130,9 @@ b2 AS (SELECT * FROM b1 s WHERE NOT EXISTS (SELECT 1 FROM b1 o WHERE o.qid = s.q
 mt AS (SELECT ht.*, row_number() OVER (PARTITION BY qid, grp ORDER BY i, j DESC, k, doc_id) AS pos FROM ht JOIN b2 USING (qid, i, j))"""
 
 
-def _matches(spark: SparkSession, sf_dir: str, longest_only: bool = True) -> DataFrame:
+def _matches(spark: SparkSession, sf_dir: str, longest_only: bool = True, any_case: bool = True) -> DataFrame:
     docs, claims = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return search.title_matches(search.spans(claims, any_case=True), search.titles(views.title_table(docs, claims), "doc_id", "title"), longest_only)
+    return search.title_matches(search.spans(claims, any_case=any_case), search.titles(views.title_table(docs, claims), "doc_id", "title"), longest_only)
 
 
 @_query(f"WITH {_TITLES} SELECT DISTINCT qid AS item_id, i::int AS i, j::int AS j, doc_id, grp FROM mt")
@@ -129,6 +140,14 @@ def title_spans_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matches(spark, sf_dir).select(F.col("qid").alias("item_id"), "i", "j", "doc_id", "grp").distinct()
 
 
+_CAPITAL = _TITLES.replace("least(i + 8, len(ws)) + 1)) AS j FROM s1)", r"least(i + 8, len(ws)) + 1)) AS j FROM s1 WHERE regexp_matches(ws[i + 1], '^[\p{Lu}\p{Nd}]'))")
+
+
+@_query(f"WITH {_CAPITAL} SELECT DISTINCT qid AS item_id, i::int AS i, j::int AS j, doc_id, grp FROM mt")
+def title_spans_capital(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matches(spark, sf_dir, any_case=False).select(F.col("qid").alias("item_id"), "i", "j", "doc_id", "grp").distinct()
+
+
 @_query(f"WITH {_TITLES} SELECT DISTINCT qid AS item_id, i::int AS i, j::int AS j, doc_id, grp FROM ht")
 def title_spans_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matches(spark, sf_dir, False).select(F.col("qid").alias("item_id"), "i", "j", "doc_id", "grp").distinct()

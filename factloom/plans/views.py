@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.evidence import evidence_f1, strict
 from ..functions.labels import NOT_ENOUGH_INFO
+from ..functions.text import ENGLISH_STOPWORDS
 from ..operators import index as ix
-from ..sources.staging import staged
+from ..sources.staging import shared_folder, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,10 +53,25 @@ def scored_sql(run: int = 4) -> str:
  FROM ({predictions_sql(True, run)})"""
 
 
-def index(spark: SparkSession, sf_dir: str) -> ix.Index:
-    """The index of ``documents``. Postings are written once for the several uses that a query makes of them."""
-    docs = table(spark, sf_dir, "documents")
-    return ix.Index(staged(ix.postings(docs), "postings"), ix.corpus_stats(ix.doc_stats(docs)))
+_BUILT: dict[tuple[str, str, bool], str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str, english: bool = False) -> ix.Index:
+    """The index of ``documents``, built once for all queries of an application; ``english`` leaves stopwords out and plurals together."""
+    key = (spark.sparkContext.applicationId, sf_dir, english)
+    settings = {"stopwords": ENGLISH_STOPWORDS, "stem": singular} if english else {}
+    if english:
+        ship(spark)
+    if key not in _BUILT:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        ix.build(table(spark, sf_dir, "documents"), path, **settings)
+        _BUILT[key] = path
+    return ix.load(spark, _BUILT[key], settings.get("stem"))
+
+
+def singular(term: str) -> str:
+    """A plain stemmer: a final s goes, unless it is doubled or the term is short."""
+    return term[:-1] if len(term) > 3 and term.endswith("s") and not term.endswith("ss") else term
 
 
 def sentences(docs: DataFrame) -> DataFrame:

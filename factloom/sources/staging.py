@@ -27,8 +27,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _OWN.setdefault("dir", tempfile.mkdtemp(prefix="factloom-"))).rstrip("/")
+    """``spark.checkpoint.dir`` of the session. Where it is unset, as in tests, a temporary folder on a local master; on a cluster that
+    is an error, as executors wouldn't see each other's files."""
+    if (folder := spark.conf.get("spark.checkpoint.dir", None)) is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = _OWN.setdefault("dir", tempfile.mkdtemp(prefix="factloom-"))
+    return folder.rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -107,7 +107,7 @@ def test_bm25_by_hand(spark, tmp_path):
     import math
 
     docs = spark.createDataFrame([(1, "apple apple pear"), (2, "pear plum"), (3, None)], "doc_id long, text string")
-    built = ix.build(docs, str(tmp_path / "i"))
+    built = ix.build(docs, str(tmp_path / "i"), stopwords=["zzz"])
     got = search.bm25_scores(built, spark.createDataFrame([(9, "Apple pear zzz")], "item_id long, text string")).collect()
     avg = 5 / 3
     w = lambda df, tf, dl: math.log(1 + (3 - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / avg))
