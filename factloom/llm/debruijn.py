@@ -111,45 +111,47 @@ def compact(ws: Workspace, segments: DataFrame) -> DataFrame:
     ends = ends.union(segments.select("tail", F.lit(None).cast("long"), "seg", F.col("n").cast("long")))
     nodes = ends.groupBy("node").agg(F.count("leaves").alias("o"), F.count("comes").alias("i"), F.min("leaves").alias("seg"), F.min("comes").alias("at"), F.min("n").alias("off"))
     table = ws.stage(nodes.where("o = 1 and i = 1 and seg <> at").select("seg", "at", "off", F.lit(False).alias("done")), "pointers")
-    open_ = table.count()
+    open_, arrived, rounds = table.count(), None, [table]
     while open_:
-        ahead = table.select(F.col("seg").alias("at"), F.col("at").alias("far"), F.col("off").alias("more"), F.col("done").alias("there"))
-        # What points to a segment that nothing comes before has arrived; a pointer that has arrived is passed on as it is.
+        # Segments that have reached the start are written once; those on their way look them up as well as one another.
+        every = table.where("not done") if arrived is None else table.where("not done").unionByName(arrived)
+        ahead = every.select(F.col("seg").alias("at"), F.col("at").alias("far"), F.col("off").alias("more"), F.col("done").alias("there"))
+        # What points to a segment that nothing comes before has arrived.
         moved = table.where("not done").join(ahead, "at", "left").select("seg", F.coalesce("far", "at").alias("at"), (F.col("off") + F.coalesce("more", F.lit(0))).alias("off"), (F.col("far").isNull() | F.col("there")).alias("done"))
-        after = ws.stage(moved.unionByName(table.where("done")), "pointers")
-        left = after.where("not done").count()
-        ws.drop(table)
-        table = after
+        table = ws.stage(moved, "pointers")
+        rounds.append(table)
+        arrived = table.where("done") if arrived is None else arrived.unionByName(table.where("done"))
+        left = table.where("not done").count()
         if left == open_:
             break
         open_ = left
-    known = table.where("done").select("seg", F.col("at").alias("path"), "off")
+    known = (rounds[0].where("done") if arrived is None else arrived).select("seg", F.col("at").alias("path"), "off")
     out = segments.select("seg").join(known, "seg", "left").select("seg", F.coalesce("path", "seg").alias("path"), F.coalesce("off", F.lit(0).cast("long")).alias("off"))
     out = ws.stage(out, "paths")
-    ws.drop(table)
+    ws.drop(*rounds)
     return out
 
 
 def spans(ws: Workspace, segments: DataFrame, found: DataFrame) -> DataFrame:
-    """(path, cut, doc, start, n): occurrences of whole stretches of paths. ``found`` has the occurrences of ``segments``.
+    """(path, cut, doc, start, n): occurrences of whole stretches of paths. ``found`` has all occurrences of ``segments``, maybe of others.
 
     Consecutive occurrences on a path are one span; a stretch reaches from one place where any span of the path starts
-    or ends to the next, so all occurrences of a stretch have the same length.
+    or ends to the next, so all occurrences of a stretch have the same length. A path's list of places is no longer than the path.
     """
     where = compact(ws, segments)
-    placed = ws.stage(found.select("seg", "doc", "start", "n").join(where, "seg").withColumn("lag", F.col("start") - F.col("off")), "placed")
+    placed = found.select("seg", "doc", "start", "n").join(where, "seg")
     line = Window.partitionBy("doc", "path", "lag").orderBy("start")
-    before, after = F.lag(F.col("start") + F.col("n")).over(line), F.lead("start").over(line)
-    edges = placed.select("path", "off", "n", before.eqNullSafe(F.col("start")).alias("goes_on"), after.eqNullSafe(F.col("start") + F.col("n")).alias("goes_far"))
-    cuts = edges.where("not goes_on").select("path", "off").union(edges.where("not goes_far").select("path", F.col("off") + F.col("n"))).distinct().withColumn("cut", F.col("off"))
-    # A segment's stretch starts at the last cut up to its place.
-    upto = Window.partitionBy("path").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
-    stretch = where.join(cuts, ["path", "off"], "left").withColumn("cut", F.coalesce(F.last("cut", ignorenulls=True).over(upto), F.lit(0).cast("long")))
-    stretch = ws.stage(stretch.select("seg", "cut"), "stretches")
-    pieces_ = placed.join(stretch, "seg").groupBy("doc", "path", "lag", "cut").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"))
-    pieces_ = ws.stage(pieces_.select("path", "cut", "doc", "start", "n"), "spans")
-    ws.drop(where, placed, stretch)
-    return pieces_
+    first = (~F.lag(F.col("start") + F.col("n")).over(line).eqNullSafe(F.col("start"))).cast("int")
+    placed = placed.withColumn("lag", F.col("start") - F.col("off")).withColumn("first", first).withColumn("island", F.sum("first").over(line))
+    whole = placed.groupBy("doc", "path", "lag", "island").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.min("off").alias("off"))
+    whole = ws.stage(whole.select("doc", "path", "start", "off", (F.col("off") + F.col("n")).alias("end")), "whole")
+    cuts = whole.select("path", F.explode(F.array("off", "end")).alias("cut")).distinct().groupBy("path").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
+    inside = whole.join(ws.stage(cuts, "cuts"), "path").withColumn("own", F.expr("filter(cuts, c -> c >= off AND c <= end)"))
+    cut = F.expr("explode(transform(slice(own, 1, size(own) - 1), (c, i) -> struct(c AS cut, own[i + 1] AS next)))")
+    out = inside.select("doc", "path", "start", "off", cut.alias("s"))
+    out = ws.stage(out.select("path", "s.cut", "doc", (F.col("start") + F.col("s.cut") - F.col("off")).cast("int").alias("start"), (F.col("s.next") - F.col("s.cut")).cast("int").alias("n")), "spans")
+    ws.drop(where, whole)
+    return out
 
 
 def _digests(docs: DataFrame, k: int) -> DataFrame:
@@ -181,13 +183,13 @@ def repeated_windows(docs: DataFrame, ws: Workspace, k: int, m: int, bits: int =
     branches = ws.stage(branches, "branches")
     runs = shared.join(branches, "minimizer", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     edges = ws.stage(_open(docs.join(runs, "doc").select("doc", "text", "runs"), k, bits), "edges")
-    again = ws.stage(edges.groupBy("seg").agg(F.count("*").alias("c"), F.min("head").alias("head"), F.min("tail").alias("tail")).where("c > 1").select("seg", "head", "tail", F.lit(1).alias("n")), "again")
-    plain = shared.join(branches, "minimizer", "left_anti").drop("minimizer")
-    found = ws.stage(plain.unionByName(edges.join(again.select("seg"), "seg", "left_semi")), "found")
-    ws.drop(often, shared, branches, edges)
-    segments = ws.stage(found.groupBy("seg").agg(F.min("head").alias("head"), F.min("tail").alias("tail"), F.min("n").alias("n")), "segments")
-    long = spans(ws, segments, found.join(segments.select("seg", "n"), ["seg", "n"]))  # a hash that two contents share is one of them here
-    ws.drop(again, found, segments)
+    end = (F.min("head").alias("head"), F.min("tail").alias("tail"), F.min("n").alias("n"))
+    again = edges.groupBy("seg").agg(F.count("*").alias("c"), *end).where("c > 1").drop("c")
+    plain = ws.stage(shared.join(branches, "minimizer", "left_anti").drop("minimizer"), "plain")
+    ws.drop(often, shared, branches)
+    segments = ws.stage(plain.groupBy("seg").agg(*end).unionByName(again), "segments")
+    long = spans(ws, segments, plain.unionByName(edges))
+    ws.drop(plain, edges, segments)
     listed = long.groupBy("doc").agg(F.collect_list(F.struct("path", "cut", "start", "n")).alias("runs"))
     read = ws.stage(_digests(docs.join(listed, "doc").select("doc", "text", "runs"), k), "read")
     firsts = ws.stage(read.groupBy("path", "cut", "words").agg(F.count("*").alias("c"), F.min(F.struct("doc", "start")).alias("at")).where("c > 1").select("path", "cut", "words", "at"), "firsts")
