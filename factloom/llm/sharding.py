@@ -98,10 +98,14 @@ def shard(docs: DataFrame, limit: int, key: str = "doc_id", size: Column | None
 def write_shards(sharded: DataFrame, path: str) -> None:
     """Writes one folder ``shard=b<bits>`` for each shard; rows of a shard meet in one task, which its byte limit bounds.
 
-    Every row is written, with nulls as nulls; an empty table writes an empty folder.
+    Every row is written, with nulls as nulls; an empty table writes an empty folder. Rows that know their shard are written
+    first, so that what they were shuffled for is gone from the disks when they move to their shards.
     """
+    ws = Workspace(sharded.sparkSession, "write")
+    sharded = ws.stage(sharded, "sharded")
     with finished_shuffles_removed(sharded.sparkSession):
         sharded.withColumn("shard", F.concat(F.lit("b"), "shard")).repartition("shard").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    ws.drop(sharded)
 
 
 def read_shards(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
