@@ -23,8 +23,8 @@ from .common import Workspace, components, pieces, python_batches, texts, unused
 #: Bytes that must agree when at most three bits, and so at most three of the eight bytes, differ.
 MIN_MATCHES = 5
 MAX_BITS = 3
-#: Positions of the first lists, and the length above which a list is split by one more.
-FIRST, LONG = 3, 32
+#: Positions of the first lists, and the length above which a list is split by one more (times what the split makes of an entry).
+FIRST, LONG = 3, 6
 #: Parts into which rows with one fingerprint are dealt for joins.
 SALTS = 64
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -80,8 +80,10 @@ def _added(width: int, more: int, mask: Column) -> Column:
 
 
 #: How a long list is split: by a byte until five agree; then, as of six parts at most three hold a differing bit, by three halves
-#: of the bytes that are left, and by three quarters. What is left then are six bits: no list is longer than 64.
-SPLITS = [(8, 1)] * (MIN_MATCHES - FIRST) + [(4, 3), (2, 3)]
+#: of the bytes that are left, and by three quarters. What is left then are six bits: no list is longer than 64. Pairing a list
+#: makes half as many pairs of an entry as the list is long, a split four or five entries of it, or 20: so lists may be four times as
+#: long where these are halves or quarters.
+SPLITS = [(1, 8, 1)] * (MIN_MATCHES - FIRST) + [(4, 4, 3), (4, 2, 3)]
 
 
 def tally(mask: Column) -> Column:
@@ -95,7 +97,7 @@ def postings(fps: DataFrame, masks: Column) -> DataFrame:
 
 
 def hits(lists: DataFrame) -> DataFrame:
-    """(src, dst, mask) for every two fingerprints of a list; a list has at most ``LONG`` or, at the last split, 64."""
+    """(src, dst, mask) for every two fingerprints of a list; lists are short, as ``SPLITS`` says."""
     pair = F.expr("explode(flatten(transform(fps, (x, i) -> transform(slice(fps, i + 2, size(fps)), y -> struct(least(x, y) AS src, greatest(x, y) AS dst)))))")
     return lists.groupBy("mask", "key").agg(F.collect_list("fp").alias("fps")).select("mask", pair.alias("p")).select("p.src", "p.dst", "mask")
 
@@ -110,14 +112,15 @@ def links(ws: Workspace, fps: DataFrame) -> DataFrame:
     for split in [*SPLITS, None]:
         lengths = entries.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
         shared = ws.stage(entries.join(lengths, ["mask", "key"]), "shared")
-        short = hits(shared if split is None else shared.where(F.col("n") <= LONG))
+        limit = LONG * split[0] if split else 64
+        short = hits(shared.where(F.col("n") <= limit) if split else shared)
         found = short if found is None else found.unionByName(short)
         if split is None:
             break
-        long = ws.stage(shared.where(F.col("n") > LONG).groupBy("fp").agg(F.collect_set("mask").alias("masks")), "long")
+        long = ws.stage(shared.where(F.col("n") > limit).groupBy("fp").agg(F.collect_set("mask").alias("masks")), "long")
         if long.isEmpty():
             break
-        entries = postings(long, F.array_distinct(F.flatten(F.transform("masks", partial(_added, *split)))))
+        entries = postings(long, F.array_distinct(F.flatten(F.transform("masks", partial(_added, *split[1:])))))
     tallied = found.groupBy("src", "dst").agg(F.bit_or("mask").alias("mask"))
     return tallied.where(tally(F.col("mask")) >= MIN_MATCHES).where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= MAX_BITS).select("src", "dst")
 
