@@ -120,7 +120,8 @@ def links(ws: Workspace, fps: DataFrame) -> DataFrame:
         long = ws.stage(shared.where(F.col("n") > limit).groupBy("fp").agg(F.collect_set("mask").alias("masks")), "long")
         if long.isEmpty():
             break
-        entries = postings(long, F.array_distinct(F.flatten(F.transform("masks", partial(_added, *split[1:])))))
+        added = F.array_distinct(F.flatten(F.transform("masks", partial(_added, *split[1:]))))
+        entries = ws.stage(postings(long, added), "postings")  # made once: they are counted and then looked up
     tallied = found.groupBy("src", "dst").agg(F.bit_or("mask").alias("mask"))
     return tallied.where(tally(F.col("mask")) >= MIN_MATCHES).where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= MAX_BITS).select("src", "dst")
 
