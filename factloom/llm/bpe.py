@@ -243,23 +243,28 @@ class Encoder:
         """Remembers the ids of whole words: each runs through the transducer window by window, all side by side."""
         names = list(words)
         raw = [w.encode("utf-8", "surrogatepass") for w in names]
-        found: list[list[bytes]] = [[] for _ in names]
+        found = [b""] * len(names)
         size, todo = self.merges.window, [(k, b"", 0) for k in range(len(names))]
+        fed = [w[:size] for w in raw]
         while todo:
-            fed = [rest + raw[k][at : at + size] for k, rest, at in todo]
             ids, counts = self.merges.merge(fed)
-            ends = np.cumsum(counts).tolist()
-            after = []
-            for (k, _, at), window, a, b in zip(todo, fed, [0, *ends[:-1]], ends, strict=True):
-                own = ids[a:b]
+            packed, ends, after = ids.tobytes(), (np.cumsum(counts) * 4).tolist(), []
+            for (k, rest, at), a, b in zip(todo, [0, *ends[:-1]], ends, strict=True):
                 if at + size < len(raw[k]):
-                    own, rest = self.merges.stable(window, own)
+                    own, rest = self.merges.stable(self._window(raw[k], at, rest), ids[a // 4 : b // 4])
                     after.append((k, rest, at + size))
-                found[k].append(own.tobytes())
+                    found[k] += own.tobytes()
+                else:
+                    found[k] += packed[a:b]
             todo = after
-        self.known.update(zip(names, map(b"".join, found), strict=True))
+            fed = [self._window(raw[k], at, rest) for k, rest, at in todo]
+        self.known.update(zip(names, found, strict=True))
         self.held += sum(map(len, names))
 
+    def _window(self, word: bytes, at: int, rest: bytes) -> bytes:
+        """What is merged next of a word: what is left of its last window, and the bytes that follow."""
+        return rest + word[at : at + self.merges.window]
+
     def streams(self, texts: list[Iterator[str]]) -> Iterator[tuple[int, bytes]]:
         """(which text, its next stable ids), for texts that come in parts. Texts advance side by side, a part at a time."""
         live = [(k, TextTransducer(self), parts, next(parts, "")) for k, parts in enumerate(texts)]
