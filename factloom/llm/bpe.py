@@ -372,14 +372,15 @@ def encoder(path: str) -> Encoder:
 
 
 def text_parts(column: pa.Array, size: int = CHUNK) -> list[Iterator[str]]:
-    """Each text of a column in parts of at most ``size`` bytes, read from Arrow's memory as they are asked for. Null is empty,
-    bytes that aren't UTF-8 become replacement characters."""
+    """Each text of a column in parts of at most ``size`` bytes (four at least), read from Arrow's memory as they are asked for. Null is
+    empty, bytes that aren't UTF-8 become replacement characters."""
+    size = max(size, 4)  # a character's bytes, so that every part moves on
 
     def parts(raw: memoryview) -> Iterator[str]:
         i = 0
         while i < len(raw):
             j = min(i + size, len(raw))
-            while i + size - 4 < j < len(raw) and raw[j] & 0xC0 == 0x80:  # not inside a character
+            while i + size - 3 < j < len(raw) and raw[j] & 0xC0 == 0x80:  # not inside a character
                 j -= 1
             yield str(raw[i:j], "utf-8", "replace")
             i = j

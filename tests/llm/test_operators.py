@@ -368,7 +368,11 @@ def test_a_long_text_is_digested_in_bounded_memory(tokenizer):
 
 def test_bytes_that_are_no_text():
     column = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, 5], np.int32)), pa.py_buffer(b"a\x80\x80\x80b")])
-    assert "".join(bpe.text_parts(column, 2)[0]).startswith("a")
+    for size in (1, 2, 3, 4, 5, 6):
+        parts = list(bpe.text_parts(column, size)[0])
+        assert "".join(parts).startswith("a") and "".join(parts).endswith("b") and all(parts)
+    text = "aéß中\U0001f600b" * 3
+    assert all("".join(bpe.text_parts(pa.array([text]), size)[0]) == text for size in range(1, 12))
 
 
 def test_encode_documents(spark, odd_docs, tokenizer):
