@@ -52,8 +52,8 @@ class Stub:
         return '{"verdict": "NOT_ENOUGH_INFO", "evidence": [], "confidence": 0.5}'
 
 
-def probe(rows: DataFrame, make: Callable[[], Model], n: int, order: str = "id") -> DataFrame:
-    """(orig_label, pred, n): verdicts of a model on the first n prompts by id, by the label that the claim had. No valid verdict is a value of its own."""
-    first = rows.orderBy(order).limit(n)
+def probe(rows: DataFrame, make: Callable[[], Model], n: int | None = None, order: str = "id") -> DataFrame:
+    """(orig_label, pred, n): verdicts of a model on all prompts, or the first n by id, by the label that the claim had. No valid verdict is a value of its own."""
+    first = rows if n is None else rows.orderBy(order).limit(n)
     said = generate(first, make).select("id", parse(F.col("text"))["verdict"].alias("pred"))
     return first.select("id", "orig_label").join(said, "id").groupBy("orig_label", "pred").agg(F.count("*").alias("n"))

@@ -550,7 +550,7 @@ def verify_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
 def probe_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = context.contexts(_shown(spark, sf_dir, _scores(spark, sf_dir)[1])).join(table(spark, sf_dir, "benchmark"), F.col("qid") == F.col("item_id"))
     rows = rows.select(F.col("item_id").alias("id"), context.render(F.col("text"), F.col("shown")).alias("prompt"), F.when(F.col("item_id") % 2 == 0, labels.SUPPORTED).otherwise(labels.REFUTED).alias("orig_label"))
-    return inference.probe(rows, inference.Stub, 30)
+    return inference.probe(rows, inference.Stub)
 
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in text.TOY_STOPWORDS)
