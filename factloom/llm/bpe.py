@@ -37,7 +37,7 @@ _ANY = regex.compile(_CONTRACTIONS + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 _RUNS = {k: regex.compile(m) for k, m in {"a": r"\p{L}*", "0": r"\p{N}*", " ": r"\s*", ".": r"[^\s\p{L}\p{N}]*"}.items()}
 
 
-def _byte_symbols() -> dict[int, str]:
+def byte_symbols() -> dict[int, str]:
     """The printable stand-in of each byte in the vocabulary: itself if it is visible Latin-1, else the next free code point from 256."""
     out, free = {}, 256
     for b in range(256):
@@ -102,7 +102,7 @@ class Merges:
             raise ValueError("added tokens must be plain strings")
         if model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges") or (file["pre_tokenizer"] or {}).get("type") != "ByteLevel" or file["pre_tokenizer"]["add_prefix_space"] or file["normalizer"]:
             raise ValueError("a plain byte-level BPE file is needed")
-        vocab, symbols = model["vocab"], _byte_symbols()
+        vocab, symbols = model["vocab"], byte_symbols()
         raw = {s: bytes([b]) for b, s in symbols.items()}
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         size = max([*vocab.values(), *self.special.values()]) + 1
@@ -112,7 +112,11 @@ class Merges:
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
         self.byte_id = np.array([vocab[symbols[b]] for b in range(256)], np.int64)
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.arrange(vocab, model["merges"])
+
+    def arrange(self, vocab: dict[str, int], merges: list) -> None:
+        """The merge list as arrays; ``byte_id`` has the first token of each symbol that a word is made of."""
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         self.left = np.array([vocab[a] for a, _ in pairs], np.int64)
         self.right = np.array([vocab[b] for _, b in pairs], np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
@@ -120,12 +124,16 @@ class Merges:
         key = (self.left << 20) | self.right
         order = np.argsort(key, kind="stable")
         self._key, self._rank = np.append(key[order], np.int64(1) << 62), np.append(order, self.none)
-        self._base = np.full((256, 256), self.none, np.int64)
+        self._base = np.full((len(self.byte_id),) * 2, self.none, np.int64)
         code = {int(i): b for b, i in enumerate(self.byte_id)}
         for r in range(len(pairs) - 1, -1, -1):
             if (a := code.get(int(self.left[r]))) is not None and (b := code.get(int(self.right[r]))) is not None:
                 self._base[a, b] = r
 
+    def symbols(self, words: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """Which of ``byte_id`` stands for each byte of the words."""
+        return np.frombuffer(b"".join(words), np.uint8)
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = (left << 20) | right
         at = np.searchsorted(self._key, key)
@@ -167,7 +175,7 @@ class Merges:
         In each round every word that has a mergeable pair merges its best one, leftmost first.
         """
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        raw = np.frombuffer(b"".join(words), np.uint8)
+        raw = self.symbols(words, sizes)
         ids = self.byte_id[raw]
         owner = np.repeat(np.arange(len(words)), sizes)
         rank = np.full(len(raw), self.none, np.int64)  # of the pair that starts here

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, debruijn, gridjoin, mixing, quality, secretscan, sharding, simhash, tokenfile, warc
+from . import bpe, debruijn, gridjoin, mixing, packing, quality, secretscan, sharding, simhash, tokenfile, warc
 from .common import Workspace
 
 #: Target weights of the twenty sources: the largest is brought down to a tenth, the rest share evenly.
@@ -97,7 +97,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secretscan.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_shard": op2_shard, "op3_resolve_revisits": op3_resolve_revisits, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_bpe": op6_bpe, "op7_grid_join": op7_grid_join, "op8_substring_dedup": op8_substring_dedup, "op9_token_file": op9_token_file, "op10_secrets": op10_secrets}
+def op13_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, with_ids=False)
+
+
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_shard": op2_shard, "op3_resolve_revisits": op3_resolve_revisits, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_bpe": op6_bpe, "op7_grid_join": op7_grid_join, "op8_substring_dedup": op8_substring_dedup, "op9_token_file": op9_token_file, "op10_secrets": op10_secrets, "op13_pack": op13_pack}
 
 _CANON = r"""regexp_replace(regexp_replace(lower(regexp_extract(bare, '^(?:[hH][tT][tT][pP][sS]?://)?([^/?]*)', 1)), ':(80|443)$', ''), '^(www[0-9]*|m)\.', '')
  || regexp_replace(regexp_extract(bare, '^(?:[hH][tT][tT][pP][sS]?://)?[^/?]*([^?]*)', 1), '/+$', '')

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from factloom.llm import bpe, common, debruijn, gridjoin, mixing, quality, secretscan, sharding, simhash, tokenfile, warc
+from factloom.llm import bpe, common, debruijn, gridjoin, mixing, packing, quality, secretscan, sharding, simhash, tokenfile, warc
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -626,3 +626,79 @@ def test_queries_without_sql_equal_brute_force(spark, tmp_path, tokenizer):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x.startswith(k) for x in want) for k in ("assign", "access", "hex"))
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest() and [x for x in found if not x.startswith("crf")] == want
         assert all(0 <= int(a) < int(b) <= len(texts[i]) for _, a, b in (x.split(":") for x in found))
+
+
+# --- 13 --------------------------------------------------------------------------------------------------------------
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def packed(ids):
+    return np.array(ids, "<u4").tobytes()
+
+
+@pytest.fixture(scope="module")
+def word_tokenizer():
+    return Tokenizer.from_file(WORD_BPE)
+
+
+def test_word_encoder_equals_the_library(word_tokenizer, monkeypatch):
+    rng = random.Random(31)
+    alphabet = "aAbZ's'tre 12.,<|>\n\tééİΣσ²中。 \x1c\x85\xa0 \u0308"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) + "<|endoftext|>" * (k % 7 == 0) for k in range(4000)]
+    want = [packed(word_tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert list(packing.WordEncoder(WORD_BPE).encode_batch(texts)) == want
+    for name, n in (("PART", 7), ("CHUNK", 5), ("MEMORY", 100), ("LONG", 4)):
+        monkeypatch.setattr(packing, name, n)
+    e = packing.WordEncoder(WORD_BPE)
+    assert [x for t in texts for x in e.encode_batch([t])] == want
+    with pytest.raises(ValueError):
+        packing.WordEncoder(BPE)
+
+
+def test_closest_equals_all_subsets():
+    rng = random.Random(32)
+    for _ in range(300):
+        count = {rng.randint(1, 30): rng.randint(1, 3) for _ in range(rng.randint(0, 4))}
+        room = rng.randint(0, 60)
+        sums = {0}
+        for length, n in count.items():
+            sums = {s + length * k for s in sums for k in range(n + 1)}
+        best, used = packing.closest(sorted(count), count, room)
+        assert best == max(s for s in sums if s <= room) == sum(k * n for k, n in used.items()) and all(count[k] >= n for k, n in used.items())
+
+
+@pytest.mark.parametrize(("capacity", "pool"), [(4096, 4 << 20), (64, 500), (50, 0), (1, 10)])
+def test_packing_keeps_every_id_once(spark, odd_docs, word_tokenizer, capacity, pool, monkeypatch):
+    monkeypatch.setattr(packing, "POOL", pool)
+    docs = documents(spark, [(i, t, s) for i, (_, t, s) in enumerate(odd_docs)]).withColumn("start", F.lit("clash")).coalesce(1)
+    rows = [r for b in [docs.select("doc_id", "text").toArrow().to_batches()] for r in packing_rows(b, capacity)] if capacity != 4096 else packing.pack(docs, WORD_BPE, 2, capacity).collect()
+    pieces, sequences = {}, {}
+    for r in rows:
+        pieces.setdefault(r["doc_id"], []).append(r)
+        sequences.setdefault(r["sequence_id"], []).append(r)
+    for i, (_, text, _) in enumerate(odd_docs):
+        want, mine = packed([*word_tokenizer.encode(text or "", add_special_tokens=False).ids, 2]), sorted(pieces[i], key=lambda r: r["start"])
+        assert b"".join(bytes(r["ids"]) for r in mine) == want and {r["doc_tokens"] for r in mine} == {len(want) // 4}
+        assert [r["start"] for r in mine] == np.cumsum([0, *[r["length"] for r in mine]])[:-1].tolist() and all(r["length"] > 0 and r["ids_crc32"] == zlib.crc32(bytes(r["ids"])) for r in mine)
+    short = []
+    for inside in sequences.values():
+        inside.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in inside] == np.cumsum([0, *[r["length"] for r in inside]])[:-1].tolist()
+        short += [n for n in [sum(r["length"] for r in inside)] if n != capacity]
+    assert all(n < capacity and n & n - 1 == 0 for n in short) and (not pool or len(set(short)) == len(short))  # an empty pool ends after each document
+
+
+def packing_rows(batches, capacity):
+    """The rows of one task, made in this process, where the settings of a test hold."""
+    packer, e = packing.Packer(capacity, 0), packing.encoder(WORD_BPE)
+    found = [p for b in batches for doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True) for ids in e.encode_batch([text or ""]) for p in packer.add(doc, ids + packed([2]))]
+    found += packer.finish()
+    return [{"doc_id": d, "start": s, "ids": i, "length": len(i) // 4, "ids_crc32": zlib.crc32(i), "doc_tokens": n, "sequence_id": q, "offset": o} for d, s, i, n, q, o in found]
+
+
+def test_packing_of_repeated_ids_and_none(spark):
+    got = packing.pack(documents(spark, [(1, "a b", "x"), (1, "a b", "x"), (None, None, "x")]).coalesce(1), WORD_BPE, 2).collect()
+    assert Counter((r.doc_id, r.start, r.length) for r in got) in [Counter(c) for c in ([(1, 0, 3), (1, 0, 1), (1, 1, 2), (None, 0, 1)], [(1, 0, 3), (1, 0, 3), (None, 0, 1)], [(1, 0, 3), (1, 0, 2), (1, 2, 1), (None, 0, 1)])]
+    assert packing.pack(documents(spark, []), WORD_BPE, 2).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(documents(spark, []), WORD_BPE, 2, id_col="start")
