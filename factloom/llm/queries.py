@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, debruijn, gridjoin, mixing, packing, quality, secretscan, sharding, simhash, tokenfile, warc
+from . import bpe, debruijn, gridjoin, importance, mixing, packing, quality, secretscan, sharding, simhash, tokenfile, warc
 from .common import Workspace
 
 #: Target weights of the twenty sources: the largest is brought down to a tenth, the rest share evenly.
@@ -97,11 +97,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secretscan.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents of twenty words and more, drawn towards the language of ``benchmark``."""
+    return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), percent=25, seed=7)
+
+
 def op13_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, with_ids=False)
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_shard": op2_shard, "op3_resolve_revisits": op3_resolve_revisits, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_bpe": op6_bpe, "op7_grid_join": op7_grid_join, "op8_substring_dedup": op8_substring_dedup, "op9_token_file": op9_token_file, "op10_secrets": op10_secrets, "op13_pack": op13_pack}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_shard": op2_shard, "op3_resolve_revisits": op3_resolve_revisits, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_bpe": op6_bpe, "op7_grid_join": op7_grid_join, "op8_substring_dedup": op8_substring_dedup, "op9_token_file": op9_token_file, "op10_secrets": op10_secrets, "op11_resample": op11_resample, "op13_pack": op13_pack}
 
 _CANON = r"""regexp_replace(regexp_replace(lower(regexp_extract(bare, '^(?:[hH][tT][tT][pP][sS]?://)?([^/?]*)', 1)), ':(80|443)$', ''), '^(www[0-9]*|m)\.', '')
  || regexp_replace(regexp_extract(bare, '^(?:[hH][tT][tT][pP][sS]?://)?[^/?]*([^?]*)', 1), '/+$', '')
@@ -163,4 +168,21 @@ g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM f WHERE n > 1),
 x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
 y AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) FILTER (g.i IS NULL) AS kept, count(g.i) AS n FROM x LEFT JOIN g USING (doc_id, i) GROUP BY x.doc_id)
 SELECT d.doc_id, len(w)::bigint AS n_words, coalesce(y.n, 0)::bigint AS n_removed, sha256(coalesce(y.kept, '')) AS kept_sha256 FROM d LEFT JOIN y USING (doc_id)""",
+    "op11_resample": r"""
+WITH RECURSIVE k AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+ UNION ALL SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+x AS (SELECT side, id, unnest(w) AS f FROM k UNION ALL SELECT side, id, a || ' ' || b FROM (SELECT side, id, unnest(w[1:len(w) - 1]) AS a, unnest(w[2:]) AS b FROM k)),
+bit(v, c, i) AS (SELECT v, v, 0 FROM range(256) t(v) UNION ALL SELECT v, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM bit WHERE i < 8),
+tab AS MATERIALIZED (SELECT v, c FROM bit WHERE i = 8),
+h AS MATERIALIZED (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM x)),
+r(f, h, i, c) AS (SELECT f, h, 0, 4294967295 FROM h UNION ALL SELECT f, h, i + 1, xor(r.c >> 8, tab.c) FROM r JOIN tab ON tab.v = xor(r.c & 255, ('0x' || substr(h, 2 * i + 1, 2))::bigint) WHERE 2 * i < len(h)),
+crc AS MATERIALIZED (SELECT f, xor(c, 4294967295) % 10000 AS bucket FROM r WHERE 2 * i = len(h)),
+n AS MATERIALIZED (SELECT side, id, bucket, count(*) AS n FROM x JOIN crc USING (f) GROUP BY ALL),
+c AS (SELECT range AS bucket, coalesce(s, 0) AS s, coalesce(t, 0) AS t FROM range(10000) LEFT JOIN (SELECT bucket, sum(n) FILTER (side = 'd') AS s, sum(n) FILTER (side = 'b') AS t FROM n GROUP BY bucket) ON bucket = range),
+g AS MATERIALIZED (SELECT bucket, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000))::double / ((s + 1) * (sum(t) OVER () + 10000))::double))::bigint AS gain FROM c),
+m AS (SELECT id, sum(n)::bigint AS n_features, floor(sum(n * gain)::double / sum(n)::double)::bigint AS weight FROM n JOIN g USING (bucket) WHERE side = 'd' GROUP BY id),
+d AS (SELECT id AS doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || id), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint AS score FROM k LEFT JOIN m USING (id) WHERE side = 'd'),
+o AS (SELECT *, words >= 20 AS may, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS place, 25 * count(*) OVER (PARTITION BY words >= 20) // 100 AS draw FROM d)
+SELECT doc_id, n_features, weight, score, CASE WHEN may AND place <= draw THEN place END AS rank FROM o""",
 }

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from factloom.llm import bpe, common, debruijn, gridjoin, mixing, packing, quality, secretscan, sharding, simhash, tokenfile, warc
+from factloom.llm import bpe, common, debruijn, gridjoin, importance, mixing, packing, quality, secretscan, sharding, simhash, tokenfile, warc
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -702,3 +702,75 @@ def test_packing_of_repeated_ids_and_none(spark):
     assert packing.pack(documents(spark, []), WORD_BPE, 2).count() == 0
     with pytest.raises(ValueError):
         packing.pack(documents(spark, []), WORD_BPE, 2, id_col="start")
+
+
+# --- 11 --------------------------------------------------------------------------------------------------------------
+def slow_resample(rows, target, percent, least, buckets, seed):
+    def words(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+    def features(text):
+        w = words(text)
+        return [zlib.crc32(f.encode()) % buckets for f in w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]]
+
+    s, t = Counter(), Counter()
+    for _, text in rows:
+        s.update(features(text))
+    for text in target:
+        t.update(features(text))
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (s.total() + buckets) / ((s[b] + 1) * (t.total() + buckets)))) for b in range(buckets)]
+    out = []
+    for i, text in rows:
+        f = features(text)
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append((i, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), len(words(text)) >= least))
+    may = sorted((r for r in out if r[4]), key=lambda r: (-r[3], r[0] is not None, r[0] or 0))
+    draw = percent * len(may) // 100
+    ranked = [(*r[:4], k + 1 if k < draw else None) for k, r in enumerate(may)]
+    return Counter(ranked + [(*r[:4], None) for r in out if not r[4]])
+
+
+@pytest.mark.parametrize(("interval", "block"), [(20_000, 512), (7, 2), (1, 1)])
+def test_resample_equals_brute_force(spark, odd_docs, interval, block, monkeypatch):
+    monkeypatch.setattr(importance, "INTERVAL", interval)
+    monkeypatch.setattr(importance, "BLOCK", block)
+    rng = random.Random(11)
+    rows = [(i, t) for i, (_, t, _) in enumerate(odd_docs)] + [(100 + i, prose(rng, rng.randint(10, 40)) + " ÄÖ Straße_x9") for i in range(150)] + [(None, prose(rng, 30)), (100, prose(rng, 30)), (100, prose(rng, 30))]
+    target = [prose(rng, 50), None, "", "Straße x9"]
+    docs = documents(spark, [(i, t, "s") for i, t in rows]).withColumn("score", F.lit("clash")).repartition(5)
+    wanted = spark.createDataFrame([(t,) for t in target], "text string")
+    got = Counter(tuple(r) for r in importance.resample(docs, wanted, 25, 20, 97, 7).collect())
+    assert got == slow_resample(rows, target, 25, 20, 97, 7)
+
+
+def test_resample_of_nothing_and_all(spark):
+    none = spark.createDataFrame([], "text string")
+    assert importance.resample(documents(spark, []), none).count() == 0
+    docs = documents(spark, [(i, f"word{i} b", "s") for i in range(10)])
+    assert sorted(r["rank"] for r in importance.resample(docs, none, 100, 1).collect()) == list(range(1, 11))
+    assert {r["rank"] for r in importance.resample(docs, none, 0, 1).collect()} == {None}
+    with pytest.raises(ValueError):
+        importance.resample(docs, none, 101)
+
+
+def test_features_of_parts(monkeypatch):
+    text = ("Ab cd-é9 " * 9 + "x" * 40 + " end").encode()
+    whole = Counter(np.concatenate([f for f, _ in importance.hashed(memoryview(text), 50)]).tolist())
+    for size in (1, 2, 3, 7, 30):
+        monkeypatch.setattr(importance, "PART", size)
+        parts = list(importance.hashed(memoryview(text), 50))
+        assert Counter(np.concatenate([f for f, _ in parts]).tolist()) == whole and sum(n for _, n in parts) == 29
+
+
+def test_tournament_merges_blocks_in_the_order_of_their_heads():
+    rng = random.Random(12)
+    for _ in range(60):
+        runs = [sorted((rng.randint(0, 30), r) for _ in range(rng.randint(0, 20))) for r in range(rng.randint(1, 9))]
+        blocks = sorted((run[i : i + 3], r) for r, run in enumerate(runs) for i in range(0, len(run), 3))
+        tree, got = importance.Tournament(), []
+        for keys, r in blocks:
+            got += tree.below(keys[0])
+            tree.add(r, keys, keys)
+        got += tree.below(None)
+        assert got == sorted(x for run in runs for x in run)
