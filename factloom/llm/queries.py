@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, debruijn, gridjoin, importance, mixing, packing, quality, secretscan, sharding, simhash, tokenfile, warc
+from . import bpe, conversations, debruijn, gridjoin, importance, mixing, packing, quality, secretscan, sharding, simhash, tokenfile, warc
 from .common import Workspace
 
 #: Target weights of the twenty sources: the largest is brought down to a tenth, the rest share evenly.
@@ -102,11 +102,24 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), percent=25, seed=7)
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """``conversations`` with faults by a checksum of conversation and turn; nulls are a space. A message that is dropped leaves a row without a role."""
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    case = F.crc32(F.concat(known("conv_id"), F.lit(":"), known("turn"))) % 20
+    text = F.when(case == 1, F.lit("")).when(case == 2, F.regexp_replace(known("text"), "[.!?]", "")).otherwise(known("text"))
+    role = F.when(case == 4, F.lit("user")).when(case != 0, known("role"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.when(case == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(damaged(_read(spark, sf_dir, "conversations")))
+
+
 def op13_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, with_ids=False)
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_shard": op2_shard, "op3_resolve_revisits": op3_resolve_revisits, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_bpe": op6_bpe, "op7_grid_join": op7_grid_join, "op8_substring_dedup": op8_substring_dedup, "op9_token_file": op9_token_file, "op10_secrets": op10_secrets, "op11_resample": op11_resample, "op13_pack": op13_pack}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_shard": op2_shard, "op3_resolve_revisits": op3_resolve_revisits, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_bpe": op6_bpe, "op7_grid_join": op7_grid_join, "op8_substring_dedup": op8_substring_dedup, "op9_token_file": op9_token_file, "op10_secrets": op10_secrets, "op11_resample": op11_resample, "op12_repair": op12_repair, "op13_pack": op13_pack}
 
 _CANON = r"""regexp_replace(regexp_replace(lower(regexp_extract(bare, '^(?:[hH][tT][tT][pP][sS]?://)?([^/?]*)', 1)), ':(80|443)$', ''), '^(www[0-9]*|m)\.', '')
  || regexp_replace(regexp_extract(bare, '^(?:[hH][tT][tT][pP][sS]?://)?[^/?]*([^?]*)', 1), '/+$', '')

@@ -1,6 +1,7 @@
 """The operators against brute force on small tables, with nulls, ties, empty and long texts, repeated rows and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -15,7 +16,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from factloom.llm import bpe, common, debruijn, gridjoin, importance, mixing, packing, quality, secretscan, sharding, simhash, tokenfile, warc
+from factloom.llm import bpe, common, conversations, debruijn, gridjoin, importance, mixing, packing, quality, secretscan, sharding, simhash, tokenfile, warc
+from factloom.llm import queries as llm_queries
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -774,3 +776,122 @@ def test_tournament_merges_blocks_in_the_order_of_their_heads():
             tree.add(r, keys, keys)
         got += tree.below(None)
         assert got == sorted(x for run in runs for x in run)
+
+
+# --- 12 --------------------------------------------------------------------------------------------------------------
+BLANKS = " \t\n\v\f\r"
+
+
+def slow_faults(rows):
+    """The first fault of each (turn, role, text), in order."""
+    out, seen = [], set()
+    for _, role, text in rows:
+        said = text.rstrip(BLANKS)
+        out.append("blank" if not said else "duplicate" if (role, text) in seen else "truncated" if said[-1] not in ".!?" else None)
+        seen.add((role, text))
+    return out
+
+
+def all_edits(rows, faults):
+    """Every way to edit a short conversation that can be cheapest: deleting all costs two a message, so few are inserted."""
+    kinds = []
+    for (_, role, text), fault in zip(rows, faults, strict=True):
+        stays = 5 * (fault == "truncated")
+        kinds.append([("D", 2, None)] + ([] if fault in ("blank", "duplicate") else [("K", stays, (role, text)), ("R", 1 + stays, ("user", text)), ("R", 1 + stays, ("assistant", text))]))
+    for edits in itertools.product(*kinds):
+        for n in range(2 * len(rows) // 5 + 1):
+            for places in itertools.combinations_with_replacement(range(len(rows) + 1), n):
+                for roles in itertools.product(("user", "assistant"), repeat=n):
+                    out = []
+                    for i in range(len(rows) + 1):
+                        out += [("I", 5, (r, "")) for p, r in zip(places, roles, strict=True) if p == i]
+                        out += edits[i : i + 1]
+                    left = [m for *_, m in out if m]
+                    if re.fullmatch("(s?(ua)+)?", "".join(r[:1] or "-" for r, _ in left)):
+                        yield sum(c for _, c, _ in out), "".join(x for x, *_ in out), left
+
+
+def dynamic_edits(rows, faults):
+    """The same for any length, by the least (cost, letters) to reach each state."""
+    step = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("a", "u"): "u", ("u", "a"): "a"}
+    best = {"": (0, "", ())}
+
+    def put(to, state, value):
+        if state not in to or value[:2] < to[state][:2]:
+            to[state] = value
+
+    def insertions(now):
+        for _ in range(3):
+            for state, (cost, letters, left) in list(now.items()):
+                for role in ("user", "assistant"):
+                    if (t := step.get((state, role[0]))) is not None:
+                        put(now, t, (cost + 5, letters + "I", (*left, (role, ""))))
+
+    for (_, role, text), fault in zip(rows, faults, strict=True):
+        insertions(best)
+        to, stays = {}, 5 * (fault == "truncated")
+        for state, (cost, letters, left) in best.items():
+            put(to, state, (cost + 2, letters + "D", left))
+            if fault not in ("blank", "duplicate"):
+                for letter, extra, r in (("K", 0, role), ("R", 1, "user"), ("R", 1, "assistant")):
+                    if (t := step.get((state, r[:1]))) is not None:
+                        put(to, t, (cost + extra + stays, letters + letter, (*left, (r, text))))
+        best = to
+    insertions(best)
+    return min((best[s] for s in ("", "a") if s in best), key=lambda x: x[:2])
+
+
+def slow_repair(conv, rows, edits):
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    faults, turns = slow_faults(rows), [t for t, *_ in rows if t is not None]
+    cost, audit, left = edits(rows, faults)
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in itertools.pairwise(rows))
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    digest = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in left).encode()).hexdigest()
+    return (conv, gaps, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, cost, audit, digest)
+
+
+def random_messages(rng, n, turns):
+    text = lambda: rng.choice(["Yes.", "No!", "What", "a b", "", " \t", "Why?  ", "Because x.", f"t{rng.randint(0, 99)}."])
+    return [(rng.choice([None, *range(turns)]), rng.choice(["user", "assistant", "user", "assistant", "system", "tool", "", "User"]), text()) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("block", "chars", "short"), [(4096, 1 << 20, 24), (1, 10, 0), (2, 3, 1)])
+def test_repair_equals_brute_force(spark, block, chars, short, monkeypatch):
+    rng = random.Random(41)
+    convs = {c: random_messages(rng, rng.randint(1, 4), 4) for c in range(60)} | {None: random_messages(rng, 3, 3)}
+    want = Counter(slow_repair(c, rows, lambda r, f: min(all_edits(r, f), key=lambda x: x[:2])) for c, rows in convs.items())
+    assert want == Counter(slow_repair(c, rows, dynamic_edits) for c, rows in convs.items())
+    convs |= {1000 + c: random_messages(rng, rng.randint(5, 40), 60) for c in range(12)}
+    want = Counter(slow_repair(c, rows, dynamic_edits) for c, rows in convs.items())
+    for c in (2000, 2001):  # nothing is left of these
+        convs[c] = [(3, None, "gone"), (None, None, None)]
+        want[c, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest()] += 1
+    rows = [(c, t, r, x) for c, found in convs.items() for t, r, x in found]
+    rng.shuffle(rows)
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"c": F.lit("clash"), "n": F.lit(1), "like": F.lit(2)})
+    for name, value in (("BLOCK", block), ("BLOCK_CHARS", chars), ("SHORT", short)):
+        monkeypatch.setattr(conversations, name, value)
+    assert Counter(tuple(r) for r in conversations.repair(messages).collect()) == want
+
+
+def test_one_conversation_over_many_tasks(spark):
+    """Most of the rows are of one conversation, with one message repeated a thousand times."""
+    rng = random.Random(42)
+    rows = random_messages(rng, 1500, 4000) + [(7, "user", "Same.")] * 1000
+    messages = spark.createDataFrame([("big", *r) for r in rows] + [("b", 1, "user", "Hi."), ("b", 2, "assistant", None)], "k string, turn int, role string, text string")
+    got = Counter(tuple(r) for r in conversations.repair(messages, conv_col="k").collect())
+    assert got == Counter([slow_repair("big", rows, dynamic_edits), slow_repair("b", [(1, "user", "Hi."), (2, "assistant", "")], dynamic_edits)])
+    assert conversations.repair(messages.limit(0), conv_col="k").count() == 0
+
+
+def test_damage_is_as_fixed(spark):
+    rows = [(c, t, r, "One. Two!") for c in range(20) for t, r in enumerate(["system", "user", "assistant"])] + [(None, 1, "user", "x."), (3, None, None, None)]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = Counter()
+    for c, t, r, x in rows:
+        case = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        r, x = r or " ", x or " "
+        row = {0: (c, t, None, x), 1: (c, t, r, ""), 2: (c, t, r, re.sub("[.!?]", "", x)), 4: (c, t, "user", x)}.get(case, (c, t, r, x))
+        want[row] += 2 if case == 3 else 1
+    assert Counter(tuple(r)[:4] for r in llm_queries.damaged(messages).collect()) == want
