@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import stemmed, terms
 
 Stemmer = Callable[[str], str]
+#: Levels of impact that a term's postings are told apart by.
+LEVELS = 32
 
 
 def with_stems(rows: DataFrame, stem: Stemmer | None) -> DataFrame:
@@ -43,27 +45,52 @@ def corpus_stats(stats: DataFrame) -> DataFrame:
     return stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def impact(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column:
+    """What a term counts in a document before its idf, between 0 and 1."""
+    return tf / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
+def term_levels(entries: DataFrame) -> DataFrame:
+    """(term, df, cf, levels): a term's postings by level of impact, the highest first.
+
+    Each has its level, n postings, their ``top`` impact, the top of the ``next`` one (0 after the last) and ``worth``, by how much opening the
+    levels from this one on lowers the term's bound for each posting read, at best; it never rises along the levels.
+    """
+    one = entries.groupBy("term", "level").agg(F.count("*").alias("n"), F.sum("tf").alias("cf"), F.max("impact").alias("top"))
+    rows = one.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), F.array_sort(F.collect_list(F.struct("level", "n", "top"))).alias("l"))
+    following = lambda i: F.coalesce(F.get("l", i + 1)["top"], F.lit(0.0))
+    some = lambda i, m: F.aggregate(F.slice("l", i + 1, m - i + 1), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    worth = lambda x, i: F.array_max(F.transform(F.sequence(i, F.size("l") - 1), lambda m: (x["top"] - following(m)) / some(i, m)))
+    rows = rows.withColumn("w", F.transform("l", worth))
+    lowest = lambda i: F.array_min(F.slice("w", 1, i + 1))
+    return rows.select("term", "df", "cf", F.transform("l", lambda x, i: F.struct(x["level"].alias("level"), x["n"].alias("n"), x["top"].alias("top"), following(i).alias("next"), lowest(i).alias("worth"))).alias("levels"))
+
+
 @dataclass
 class Index:
-    """A built index. ``stopwords`` and ``stem`` are those it was built with, for the queries."""
+    """A built index. ``stopwords`` and ``stem`` are those it was built with, for the queries; so are ``k1`` and ``b``, for the levels of impact."""
 
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
     stopwords: list[str] | None = None
     stem: Stemmer | None = None
+    k1: float = 1.5
+    b: float = 0.75
 
 
-def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", stopwords: list[str] | None = None, stem: Stemmer | None = None) -> Index:
-    """Writes the index once; every search reads it. Postings are laid out by term, so a query's terms prune row groups; how many documents
-    a term has is stored beside them, and so are the stopwords and the stemmer's name."""
+def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", stopwords: list[str] | None = None, stem: Stemmer | None = None, k1: float = 1.5, b: float = 0.75) -> Index:
+    """Writes the index once; every search reads it. Postings are laid out by term and level of impact, so a query's terms prune row groups; how many documents
+    a term has is stored beside them with the bounds of its levels, and so are the stopwords and the stemmer's name."""
     spark = docs.sparkSession
-    entries = postings(docs, id_col, text_col, stopwords, stem)
-    entries.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("errorifexists").parquet(f"{path}/postings")
-    term_stats(spark.read.parquet(f"{path}/postings")).write.mode("errorifexists").parquet(f"{path}/terms")
     corpus_stats(doc_stats(docs, id_col, text_col, stopwords)).write.mode("errorifexists").parquet(f"{path}/corpus")
-    analyzer = [(stopwords, _name(stem))]
-    spark.createDataFrame(analyzer, "stopwords array<string>, stemmer string").write.mode("errorifexists").parquet(f"{path}/analyzer")
+    entries = postings(docs, id_col, text_col, stopwords, stem).crossJoin(F.broadcast(spark.read.parquet(f"{path}/corpus").select("avgdl")))
+    entries = entries.withColumn("impact", impact(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b))
+    entries = entries.select("doc_id", "dl", "term", "tf", F.least(F.floor((1 - F.col("impact")) * LEVELS), F.lit(LEVELS - 1)).cast("int").alias("level"), "impact")
+    entries.repartitionByRange("term", "level").sortWithinPartitions("term", "level", "doc_id").write.mode("errorifexists").parquet(f"{path}/postings")
+    term_levels(spark.read.parquet(f"{path}/postings")).write.mode("errorifexists").parquet(f"{path}/terms")
+    analyzer = [(stopwords, _name(stem), k1, b)]
+    spark.createDataFrame(analyzer, "stopwords array<string>, stemmer string, k1 double, b double").write.mode("errorifexists").parquet(f"{path}/analyzer")
     return load(spark, path, stem)
 
 
@@ -73,7 +100,7 @@ def _name(stem: Stemmer | None) -> str | None:
 
 def load(spark: SparkSession, path: str, stem: Stemmer | None = None) -> Index:
     """A built index with its stopwords. A stemmer is code and isn't stored: the one it was built with has to be given, or it is an error."""
-    stopwords, name = spark.read.parquet(f"{path}/analyzer").first()
+    stopwords, name, k1, b = spark.read.parquet(f"{path}/analyzer").first()
     if name != _name(stem):
         raise ValueError(f"the index was built with the stemmer {name}, not {_name(stem)}")
-    return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "corpus")], stopwords, stem)
+    return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "corpus")], stopwords, stem, k1, b)

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import evidence, labels, parsing, reward, text
-from ..operators import context, datasets, episodes, inference, metrics, search, traces
+from ..functions.stemming import english_stem
+from ..operators import context, datasets, episodes, inference, metrics, pruned, search, traces
 from ..operators import index as ix
 from ..sources import io
-from ..sources.staging import shared_folder
+from ..sources.staging import shared_folder, ship
 from ..streaming import events as streams
 from . import views
+from .stemming_sql import stems_sql
 from .views import table
 
 QUERIES = {}
@@ -54,8 +56,10 @@ def bm25_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STOPS = ", ".join(f"'{w}'" for w in text.ENGLISH_STOPWORDS)
-_STEMMED = _BM25.replace(f"unnest({_TERMS}) AS term FROM documents", f"unnest(TERMS) AS term FROM documents").replace(f"unnest({_TERMS}) AS term FROM benchmark", "unnest(TERMS) AS term FROM benchmark").replace(f"len({_TERMS})", f"len(list_filter({_TERMS}, lambda t: t NOT IN ({_STOPS})))")
-_STEMMED = _STEMMED.replace("TERMS", f"list_transform(list_filter({_TERMS}, lambda t: t NOT IN ({_STOPS})), lambda t: CASE WHEN len(t) > 3 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN t[:-2] ELSE t END)")
+_KEPT = f"list_filter({_TERMS}, lambda t: t NOT IN ({_STOPS}))"
+_STEMS = f"""kt AS (SELECT doc_id, unnest({_KEPT}) AS t FROM documents), kq AS (SELECT item_id AS qid, unnest({_KEPT}) AS t FROM benchmark),
+ky AS (SELECT DISTINCT t FROM kt UNION SELECT DISTINCT t FROM kq), {stems_sql("ky")}"""
+_STEMMED = f"{_STEMS}, " + _BM25.replace(f"SELECT doc_id, unnest({_TERMS}) AS term FROM documents", "SELECT doc_id, stem AS term FROM kt JOIN stems USING (t)").replace(f"SELECT item_id AS qid, unnest({_TERMS}) AS term FROM benchmark", "SELECT qid, stem AS term FROM kq JOIN stems USING (t)").replace(f"len({_TERMS})", f"len({_KEPT})")
 
 
 @_query(f"WITH {_STEMMED} SELECT qid AS item_id, rank::int AS rank, doc_id, round(score, 6) AS score FROM rk WHERE rank <= 5")
@@ -64,6 +68,21 @@ def bm25_stemmed_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(scores, 5).select(F.col("qid").alias("item_id"), "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
+@_query(f"WITH {_BM25} SELECT qid AS item_id, rank::int AS rank, doc_id, round(score, 6) AS score FROM rk WHERE rank <= 5")
+def bm25_pruned_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``bm25_top5``, by a part of the postings."""
+    best = pruned.pruned_top_k(views.index(spark, sf_dir), table(spark, sf_dir, "benchmark"), 5).rows
+    return best.select(F.col("qid").alias("item_id"), "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+@_query(f"WITH {_STEMS} SELECT t AS term, stem FROM stems WHERE t IN (SELECT t FROM kt)")
+def english_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each term of the documents that is no stopword, with its stem."""
+    ship(spark)
+    found = table(spark, sf_dir, "documents").select(F.explode(text.terms(F.col("text"), text.ENGLISH_STOPWORDS)).alias("term")).distinct()
+    return found.select("term", text.stemmed(F.col("term"), english_stem).alias("stem"))
+
+
 @_query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY term")
 def corpus_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.term_stats(ix.postings(table(spark, sf_dir, "documents")))

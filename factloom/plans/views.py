@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.evidence import evidence_f1, strict
 from ..functions.labels import NOT_ENOUGH_INFO
+from ..functions.stemming import english_stem
 from ..functions.text import ENGLISH_STOPWORDS
 from ..operators import index as ix
 from ..sources.staging import shared_folder, ship
@@ -57,9 +58,9 @@ _BUILT: dict[tuple[str, str, bool], str] = {}
 
 
 def index(spark: SparkSession, sf_dir: str, english: bool = False) -> ix.Index:
-    """The index of ``documents``, built once for all queries of an application; ``english`` leaves stopwords out and plurals together."""
+    """The index of ``documents``, built once for all queries of an application; ``english`` leaves stopwords out and stems terms."""
     key = (spark.sparkContext.applicationId, sf_dir, english)
-    settings = {"stopwords": ENGLISH_STOPWORDS, "stem": singular} if english else {}
+    settings = {"stopwords": ENGLISH_STOPWORDS, "stem": english_stem} if english else {}
     if english:
         ship(spark)
     if key not in _BUILT:
@@ -69,11 +70,6 @@ def index(spark: SparkSession, sf_dir: str, english: bool = False) -> ix.Index:
     return ix.load(spark, _BUILT[key], settings.get("stem"))
 
 
-def singular(term: str) -> str:
-    """A plain stemmer: a final s goes, unless it is doubled or the term is short."""
-    return term[:-1] if len(term) > 3 and term.endswith("s") and not term.endswith("ss") else term
-
-
 def sentences(docs: DataFrame) -> DataFrame:
     """Documents as packed pages (``number<tab>sentence`` rows) and decoded again: (doc_id, sentences)."""
     from ..functions.text import sentences as decode
