@@ -26,8 +26,8 @@ from tokenizers import Tokenizer
 
 from .common import pieces, python_batches
 
-#: Words whose ids are remembered, of 16 characters on average; the memory is emptied when it is full.
-MEMORY = 250_000
+#: Words whose ids are remembered, of 16 characters on average, some 200 MB; the memory is emptied when it is full.
+MEMORY = 1_000_000
 #: Characters of every text that are fed at once, whatever its length.
 CHUNK = 1 << 14
 

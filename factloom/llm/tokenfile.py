@@ -64,7 +64,7 @@ def _tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, shard = bpe.encoder(path), TaskContext.get().partitionId()
         end, within = struct.pack("<I", end_id), 0
-        for block, b in enumerate(pieces(batches)):
+        for block, b in enumerate(pieces(batches, 1024)):
             packed = [p + end for p in e.encode_batch(texts(b, "text"))]
             lengths = [len(p) // 4 for p in packed]
             raw = np.frombuffer(b"".join(packed), "<u4")
