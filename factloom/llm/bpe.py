@@ -283,13 +283,14 @@ class Encoder:
                 split.append((k, *t.split(part, more is None)))
                 if more is not None:
                     after.append((k, t, parts, more))
-            new: set[str] = set()
+            known = self.known
+            missing: set[str] = set()
             for _, items, plain in split:
-                new.update(items if plain else [i for i in items if isinstance(i, str)])
-            if missing := new.difference(self.known):
-                if len(self.known) + len(missing) > MEMORY or self.held > 16 * MEMORY:
-                    self.known.clear()
-                    self.held, missing = 0, new
+                missing.update([i for i in items if i not in known] if plain else [i for i in items if isinstance(i, str) and i not in known])
+            if missing:
+                if len(known) + len(missing) > MEMORY or self.held > 16 * MEMORY:
+                    known.clear()
+                    self.held, missing = 0, {i for _, items, _ in split for i in items if isinstance(i, str)}
                 self.learn(missing)
             get = self.known.__getitem__
             for k, items, plain in split:
