@@ -59,8 +59,24 @@ def duplicated(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def differing(subset: DataFrame, source: DataFrame, id_col: str = "id") -> DataFrame:
-    """Rows of the subset that aren't in the source with equal values in every column."""
-    return subset.select(source.columns).exceptAll(source)
+    """Rows of the subset that aren't in the source with equal values in every column, repeats counted.
+
+    Both sides are compared by id and a digest of the row; no other column of a row moves unless the row differs.
+    """
+    key = lambda t: t.select(id_col, _row_digest(t, source.columns).alias("__digest"))
+    sides = key(subset).withColumn("__n", F.lit(1)).unionByName(key(source).withColumn("__n", F.lit(-1)))
+    surplus = sides.groupBy(id_col, "__digest").agg(F.sum("__n").alias("__surplus")).where("__surplus > 0")
+    rows = subset.select(*source.columns, _row_digest(subset, source.columns).alias("__digest"))
+    surplus = surplus.withColumnRenamed(id_col, "__id")
+    rows = rows.join(surplus, rows[id_col].eqNullSafe(surplus["__id"]) & (rows["__digest"] == surplus["__digest"])).drop(surplus["__digest"])
+    nth = F.row_number().over(Window.partitionBy(id_col, "__digest").orderBy(F.lit(0)))
+    return rows.withColumn("__nth", nth).where("__nth <= __surplus").select(*source.columns)
+
+
+def _row_digest(rows: DataFrame, columns: list[str]) -> Column:
+    """SHA-256 of a row's values with their lengths; null differs from every value."""
+    text = lambda c: F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))), F.lit(""))
+    return F.unhex(F.sha2(F.concat(*[F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)) for c in columns]), 256))
 
 
 def set_difference(left: DataFrame, right: DataFrame, column: str) -> DataFrame:

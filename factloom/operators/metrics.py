@@ -60,18 +60,38 @@ def ece(rows: DataFrame, confidence: str, *by: str, bins: int = 10, intervals: b
     return table.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("conf") - F.col("acc"))) / F.sum("n")).alias("ece"))
 
 
+#: Ranges that the distinct confidences of a group are cut into.
+RANGES = 256
+
+
+def _running(steps: DataFrame, keys: list[str], value: str, sums: dict[str, str]) -> DataFrame:
+    """``steps`` with running sums from the highest ``value`` down, in two levels: within ranges of about equal length, and over the totals of these.
+
+    ``value`` is unique within a group. A window holds one range, an array of a group as many totals as there are ranges.
+    """
+    join = lambda a, b, *on: a.join(b, [*keys, *on]) if keys or on else a.crossJoin(F.broadcast(b))
+    cuts = steps.groupBy(*keys).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10_000).alias("__cuts"))
+    rows = join(steps, cuts).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    totals = rows.groupBy(*keys, "__range").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    listed = totals.groupBy(*keys).agg(F.collect_list(F.struct("__range", *[f"__{c}" for c in sums])).alias("__all"))
+    above = lambda c: F.aggregate(F.filter("__all", lambda x: x["__range"] > F.col("one.__range")), F.lit(0).cast("long"), lambda s, x: s + x[f"__{c}"])
+    before = listed.select(*keys, "__all", F.explode("__all").alias("one")).select(*keys, F.col("one.__range").alias("__range"), *[above(c).alias(f"__{c}") for c in sums])
+    inside = Window.partitionBy(*keys, "__range").orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = join(rows, before, "__range")
+    return rows.withColumns({name: F.col(f"__{c}") + F.sum(c).over(inside) for c, name in sums.items()}).drop("__range", *[f"__{c}" for c in sums])
+
+
 def risk_at_coverage(rows: DataFrame, confidence: str, *by: str, targets: tuple[float, ...] = TARGETS) -> DataFrame:
     """(target, threshold, coverage, risk): the highest confidence from which at least the target share of stating rows is taken, ties included.
 
-    coverage is the share of all rows. Rows are first summed by distinct confidence, so the running sum is over those.
+    coverage is the share of all rows. Rows are first summed by distinct confidence, so the running sums are over those.
     """
     keys = list(by)
     c = F.col(confidence)
     whole = rows.groupBy(*keys).agg(F.count("*").alias("all_rows"), F.count(c).alias("stating"))
     steps = rows.where(c.isNotNull()).groupBy(*keys, c.alias("threshold")).agg(F.count("*").alias("n"), F.sum(F.col("correct").cast("long")).alias("right"))
-    down = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumn("taken", F.sum("n").over(down)).withColumn("good", F.sum("right").over(down))
-    steps = steps.join(whole, keys) if keys else steps.crossJoin(whole)
+    steps = _running(steps, keys, "threshold", {"n": "taken", "right": "good"})
+    steps = steps.join(whole, keys) if keys else steps.crossJoin(F.broadcast(whole))
     steps = steps.withColumn("target", F.explode(F.array(*map(F.lit, targets)))).where(F.col("taken") / F.col("stating") >= F.col("target"))
     first = steps.groupBy(*keys, "target").agg(F.max_by(F.struct("threshold", (F.col("taken") / F.col("all_rows")).alias("coverage"), (1 - F.col("good") / F.col("taken")).alias("risk")), "threshold").alias("r"))
     return first.select(*keys, "target", "r.*")

@@ -10,6 +10,8 @@ from ..functions.text import TOY_STOPWORDS, base_title, jaccard, normal_title, s
 from .index import Index, Stemmer, with_stems
 
 MAX_TITLE_WORDS = 8
+#: Bitmaps of 4 KB that a filter of titles has at most.
+FILTER_BUCKETS = 4096
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str, stopwords: list[str] | None = None, stem: Stemmer | None = None) -> DataFrame:
@@ -58,16 +60,42 @@ def spans(claims: DataFrame, id_col: str = "item_id", text_col: str = "text", an
     return rows.select("qid", "i", "j", F.posexplode(span_forms(text)).alias("form_no", "form"))
 
 
+def known_forms(titles_: DataFrame, form: str = "form") -> DataFrame:
+    """(bucket, bits): a Bloom filter of the forms as at most ``FILTER_BUCKETS`` bitmaps of 32,768 bits, however many forms there are."""
+    hashed = titles_.where(F.col(form).isNotNull()).select(F.explode(F.array(*_places(F.col(form)))).alias("h"))
+    return hashed.groupBy(F.call_function("bitmap_bucket_number", F.col("h")).alias("bucket")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("h"))).alias("bits"))
+
+
+def _places(form: Column) -> list[Column]:
+    """Two places of a form in the filter, counted from one."""
+    size = FILTER_BUCKETS * 32768
+    return [F.pmod(F.xxhash64(F.lit(seed), form), F.lit(size)) + 1 for seed in (1, 2)]
+
+
+def maybe_known(found: DataFrame, filter_: DataFrame, form: str = "form") -> DataFrame:
+    """The rows whose form may be in the filter; all that are in it, and few others. The filter is broadcast, 16 MB at most, and no row is shuffled."""
+    columns = found.columns
+    for n, place in enumerate(_places(F.col(form))):
+        bits = F.broadcast(filter_.select(F.col("bucket").alias(f"__bucket{n}"), F.col("bits").alias(f"__bits{n}")))
+        position = F.call_function("bitmap_bit_position", place)
+        byte = F.conv(F.hex(F.substring(F.col(f"__bits{n}"), F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        found = found.withColumn(f"__place{n}", F.call_function("bitmap_bucket_number", place)).join(bits, F.col(f"__place{n}") == F.col(f"__bucket{n}"))
+        found = found.where(F.call_function("getbit", byte, F.pmod(position, F.lit(8)).cast("int")) == 1).select(*columns)
+    return found
+
+
 def title_matches(found: DataFrame, table: DataFrame, longest_only: bool = True) -> DataFrame:
     """(qid, i, j, doc_id, grp, match_pos): titles that spans match; grp 0 is the title itself, 1 a title that has a disambiguator more.
 
+    A filter of all titles drops nearly all spans where they are read; only what may match is shuffled.
+
     A title of several documents matches as the one with the smallest id. Disambiguation pages make a span count as matched
     but aren't returned. With ``longest_only`` only the longest span of each start stands, and a span inside another is dropped.
     """
     exact = table.groupBy(F.col("norm").alias("form")).agg(F.min(F.struct("doc_id", "disambig")).alias("d")).select("form", "d.doc_id", "d.disambig")
     variant = table.where("base is not null and not disambig").select(F.col("base").alias("form"), "doc_id", F.lit(False).alias("disambig"))
     both = exact.withColumn("grp", F.lit(0)).unionByName(variant.withColumn("grp", F.lit(1)))
-    hits = found.join(both, "form")
+    hits = maybe_known(found, known_forms(both)).join(both, "form")
     if longest_only:
         best = hits.groupBy("qid", "i").agg(F.max("j").alias("j"))
         o = best.select(F.col("qid").alias("oq"), F.col("i").alias("oi"), F.col("j").alias("oj"))
@@ -100,18 +128,6 @@ def recall_at_k(ranked: DataFrame, gold: DataFrame, ks: list[int]) -> DataFrame:
     return rows.groupBy("k").agg(F.avg(hit.cast("double")).alias("recall"), F.count("*").alias("n"))
 
 
-def overlap_top_k(queries: DataFrame, sentences: DataFrame, k: int, qid: str, q_text: str, sid: str, s_text: str, stopwords: list[str] | None = None) -> DataFrame:
-    """(qid, sid, score, rank) by Jaccard overlap of token sets, those that share a token; ties go to the smaller sid.
-
-    Sentences meet queries on shared tokens, never all with all, and sets don't travel: sizes suffice.
-    """
-    side = lambda t, i, x, name: t.select(F.col(i).alias(name), token_set(F.col(x), stopwords).alias("s")).select(name, F.size("s").alias(f"n_{name}"), F.explode("s").alias("t"))
-    both = side(queries, qid, q_text, "qid").join(side(sentences, sid, s_text, "sid"), "t")
-    shared = both.groupBy("qid", "sid", "n_qid", "n_sid").agg(F.count("*").alias("c"))
-    scored = shared.select("qid", "sid", (F.col("c") / (F.col("n_qid") + F.col("n_sid") - F.col("c"))).alias("score"))
-    return top_k(scored, k, "qid", "sid")
-
-
 def mean_overlap(sets: Column) -> Column:
     """Mean Jaccard overlap over unordered pairs of an array of token sets; 0 with fewer than two."""
     pairs = F.flatten(F.transform(sets, lambda a, i: F.transform(F.slice(sets, i + 2, F.greatest(F.size(sets) - i - 1, F.lit(0))), lambda b: jaccard(a, b))))

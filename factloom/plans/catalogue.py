@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence, labels, parsing, reward, text
 from ..functions.stemming import english_stem
-from ..operators import context, datasets, episodes, inference, metrics, pruned, search, traces
+from ..operators import context, datasets, episodes, inference, metrics, overlap, pruned, search, tablefunctions, traces
 from ..operators import index as ix
 from ..sources import io
 from ..sources.staging import shared_folder, ship
 from ..streaming import events as streams
+from ..streaming import resume
 from . import views
 from .stemming_sql import stems_sql
 from .views import table
@@ -199,10 +200,24 @@ c AS (SELECT item_id, doc_id, len(list_intersect(q.s, d.s)) AS c, len(q.s) AS a,
 r AS (SELECT item_id, doc_id, c / (a + b - c)::double AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(c / (a + b - c)::double, 9) DESC, doc_id) AS rank FROM c WHERE c > 0)
 SELECT item_id, doc_id, round(score, 9) AS score, rank::int AS rank FROM r WHERE rank <= 3""")
 def jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.overlap_top_k(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 3, "item_id", "text", "doc_id", "text")
+    found = overlap.overlap_top_k(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 3, "item_id", "text", "doc_id", "text")
     return found.select(F.col("qid").alias("item_id"), F.col("sid").alias("doc_id"), F.round("score", 9).alias("score"), "rank")
 
 
+@_query(ORACLE_SQL["jaccard_topk"])
+def sql_jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``jaccard_topk`` by a table function in SQL over the pairs that the prefix filter leaves."""
+    tablefunctions.register(spark)
+    pairs = overlap.scored_pairs(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 3, "item_id", "text", "doc_id", "text")
+    return spark.sql("SELECT qid AS item_id, sid AS doc_id, score, rank FROM best_rows(TABLE({pairs}), 3)", pairs=pairs)
+
+
+@_query(f"WITH {_CAPITAL} SELECT DISTINCT qid AS item_id, i::int AS i, j::int AS j, form FROM fm")
+def sql_claim_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tablefunctions.register(spark)
+    return spark.sql("SELECT q.item_id, s.i, s.j, s.form FROM {claims} q, LATERAL claim_spans(q.text, false) s", claims=table(spark, sf_dir, "benchmark"))
+
+
 @_query(f"""WITH t AS (SELECT item_id, item_id // 4 AS grp, {_TOKENS.format("text")} AS s FROM benchmark),
 p AS (SELECT a.grp, len(list_intersect(a.s, b.s)) / greatest(len(list_distinct(list_concat(a.s, b.s))), 1)::double AS j FROM t a JOIN t b ON a.grp = b.grp AND a.item_id < b.item_id)
 SELECT g.grp, round(coalesce(avg(j), 0), 9) AS agreement FROM (SELECT DISTINCT grp FROM t) g LEFT JOIN p USING (grp) GROUP BY g.grp""")
@@ -363,6 +378,16 @@ def risk_at_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.risk_at_coverage(views.predictions(spark, sf_dir), "stated_conf"))
 
 
+@_query(f"""WITH {_P}, g AS (SELECT provider, token_conf AS threshold, count(*) AS n, sum(correct::int) AS r FROM p WHERE token_conf IS NOT NULL GROUP BY ALL),
+a AS (SELECT provider, count(*) AS w, count(token_conf) AS s FROM p GROUP BY provider),
+c AS (SELECT provider, threshold, sum(n) OVER o AS t, sum(r) OVER o AS g, w, s FROM g JOIN a USING (provider) WINDOW o AS (PARTITION BY provider ORDER BY threshold DESC))
+SELECT provider, target, max(threshold) AS threshold, round(max_by(t / w::double, threshold), 9) AS coverage, round(max_by(1 - g / t::double, threshold), 9) AS risk
+FROM c, (SELECT unnest([0.5::double, 0.8::double, 1.0::double]) AS target) WHERE t / s::double >= target GROUP BY provider, target""")
+def risk_at_coverage_by_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over confidences that are nearly all different."""
+    return metrics.risk_at_coverage(views.predictions(spark, sf_dir), "token_conf", "provider").withColumns({c: F.round(c, 9) for c in ("coverage", "risk")})
+
+
 def _calibrated(c: str) -> str:
     return f"""{c}_b AS (SELECT stratum, least(floor({c} * 10.0::double)::int, 9) AS bin, count(*) AS n, avg({c}) AS x, avg(correct::int) AS a FROM s WHERE {c} IS NOT NULL GROUP BY ALL),
 {c}_e AS (SELECT stratum, round(sum(n * abs(x - a)) / sum(n), 9) AS {c}_ece FROM {c}_b GROUP BY stratum)"""
@@ -521,6 +546,15 @@ def nei_ablation_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(whole, "qid").select(F.col("qid").alias("item_id"), "n_shown", (F.col("n") - F.col("n_shown")).alias("n_removed"))
 
 
+@_query("SELECT doc_id, sha256(text) AS text_sha256 FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxic documents from a store of all; only the parts that hold one are read."""
+    path = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    io.write_pages(table(spark, sf_dir, "documents").select("doc_id", "text"), path, key="doc_id")
+    keys = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    return io.lookup(spark.read.parquet(path), keys, "doc_id").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
 @_query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.undone(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").where("quality = 1"), "doc_id")
@@ -604,12 +638,15 @@ def episode_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-@_query()
+@_query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_ids, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of many micro-batches whose done keys are state, ended and run again, which adds nothing."""
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    for _ in range(2):  # the second run adds nothing
-        streams.resumable(streams.read(spark, sf_dir, _EVENTS, files="events.parquet"), f"{base}/out", f"{base}/state", "event_id").awaitTermination()
-    return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_ids"))
+    table(spark, sf_dir, "events").repartitionByRange(12, "event_id").write.parquet(f"{base}/in")
+    for _ in range(2):
+        rows = streams.read(spark, f"{base}/in", _EVENTS, max_files=2)
+        resume.resumed(rows, f"{base}/out", f"{base}/state", "event_id", strict=False).awaitTermination()
+    return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_ids"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @_query("SELECT time_bucket(INTERVAL 1 DAY, ts)::varchar AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -48,14 +48,25 @@ def create_only(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
-def write_pages(pages: DataFrame, path: str, buckets: int = 256) -> None:
-    """The page store, laid out by a hash of the page id so that lookups of many pages read few files each."""
-    pages.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets))).repartition("bucket").write.mode("errorifexists").partitionBy("bucket").parquet(path)
+def _bucket(key: Column, buckets: Column) -> Column:
+    return F.pmod(F.xxhash64(key), buckets).cast("int")
 
 
-def lookup(store: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """Point lookups as one join; keys that the store doesn't have give no rows."""
-    return keys.join(store, column)
+def write_pages(pages: DataFrame, path: str, buckets: int = 256, key: str = "id") -> None:
+    """The page store: a part for each hash bucket of the key, rows sorted by it, so that a lookup reads the parts it needs and in them the row groups it needs."""
+    rows = pages.withColumns({"buckets": F.lit(buckets), "bucket": _bucket(F.col(key), F.lit(buckets))})
+    rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", key).write.mode("errorifexists").partitionBy("buckets", "bucket").parquet(path)
+
+
+def lookup(store: DataFrame, keys: DataFrame, column: str = "id") -> DataFrame:
+    """Point lookups as one join on bucket and key; only the parts that some key is in are read. Keys that the store doesn't have give no rows.
+
+    What comes to the driver is the number of buckets and which of them are needed, so the scan is pruned whatever the join does.
+    """
+    any_ = store.select("buckets").first()
+    asked = keys.withColumn("bucket", _bucket(F.col(column), F.lit(any_[0] if any_ else 1)))
+    needed = sorted(r[0] for r in asked.select("bucket").distinct().collect())
+    return asked.join(store.where(F.col("bucket").isin(needed)).drop("buckets"), ["bucket", column]).drop("bucket")
 
 
 def undone(rows: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
