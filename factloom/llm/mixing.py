@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: A larger mean is split into equal parts, each drawn with its own hash: sums of Poisson draws are Poisson.
 PART = 16.0
 
@@ -55,17 +57,18 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float], key: str = "source",
     Sources that ``weights`` doesn't list, null among them, have the mean rate ``other_rate``. Only the table of
     rates, no longer than ``weights``, is broadcast; rows are never grouped by source, so a hot source is
     spread like any other, and the one shuffle deals rows out by a hash of id and copy. Rows with the same id
-    get the same number of copies; a null id counts as one id. An empty table gives an empty one.
+    get the same number of copies; a null id counts as one id. An empty table gives an empty one; other columns stay, whatever they are called.
     """
+    key_, m_, cdf_, n_, order_ = (unused(docs, c) for c in ("__key", "__m", "__cdf", "__n", "__order"))
     table = rates(docs, weights, key, size).withColumn("__m", F.greatest(F.lit(1), F.ceil(F.col("__rate") / PART)).cast("int"))
-    table = table.withColumn("__cdf", _distribution(F.col("__rate") / F.col("__m"))).select("__key", "__m", "__cdf")
+    table = table.select(F.col("__key").alias(key_), F.col("__m").alias(m_), _distribution(F.col("__rate") / F.col("__m")).alias(cdf_))
     parts = max(1, -int(-other_rate // PART))
     plain = _distribution(F.lit(float(other_rate) / parts))
-    rows = docs.drop(copy_col).join(F.broadcast(table), F.col(key) == F.col("__key"), "left")
-    cdf, m = F.coalesce("__cdf", plain), F.coalesce("__m", F.lit(parts))
+    rows = docs.drop(copy_col).join(F.broadcast(table), F.col(key) == F.col(key_), "left")
+    cdf, m = F.coalesce(cdf_, plain), F.coalesce(m_, F.lit(parts))
     draw = lambda j: F.size(F.filter(cdf, lambda c: c <= uniform(F.lit(seed), F.col(id_col), j)))
     n = F.aggregate(F.sequence(F.lit(0), m - 1), F.lit(0), lambda a, j: a + draw(j))
-    rows = rows.withColumn("__n", n).where("__n > 0").drop("__key", "__m", "__cdf")
-    rows = rows.withColumn(copy_col, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    rows = rows.withColumn(n_, n).where(F.col(n_) > 0).drop(key_, m_, cdf_)
+    rows = rows.withColumn(copy_col, F.explode(F.sequence(F.lit(0), F.col(n_) - 1)))
     order = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(copy_col).cast("string")))
-    return rows.drop("__n").withColumn("__order", order).repartition("__order").sortWithinPartitions("__order").drop("__order")
+    return rows.drop(n_).withColumn(order_, order).repartition(order_).sortWithinPartitions(order_).drop(order_)

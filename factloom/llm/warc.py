@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import unused
+
 # Header fields a 304 must not replace (RFC 9110 and 9111: framing, coding and hop-by-hop fields).
 KEPT_HEADERS = ["connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade"]
 
@@ -53,26 +55,27 @@ def resolve_revisits(captures: DataFrame, bucket_seconds: int = 3600) -> DataFra
 
     A URL's history is cut into buckets of time. The latest response of a bucket is a partial aggregation, and
     only those are carried across buckets, so a URL with very many captures is spread over its buckets.
-    Bodies don't move: join them by source_id. Columns of the output's names are replaced.
+    Bodies don't move: join them by source_id. Columns of the output's names are replaced, others stay whatever they are called.
     """
     rows = captures.drop("canonical_url", "outcome", "source_id").withColumn("canonical_url", canonical_url(F.col("url")))
-    rows = rows.withColumn("__bucket", F.floor(F.col("ts") / bucket_seconds)).withColumn("__headers", F.coalesce("headers", F.expr("cast(map() as map<string,string>)")))
-    found = F.when((F.col("status") == 200) & F.col("canonical_url").isNotNull() & F.col("ts").isNotNull(), F.struct("ts", "record_id", F.map_filter("__headers", lambda k, v: F.lit(True)).alias("headers")))
-    rows = rows.withColumn("__full", found)
-    last = rows.where("__full is not null").groupBy("canonical_url", "__bucket").agg(F.max_by("__full", F.struct("ts", "record_id")).alias("__last"))
+    bucket_, headers_, full_, last_, carry_, near_, from_ = (unused(captures, f"__{c}") for c in ("bucket", "headers", "full", "last", "carry", "near", "from"))
+    rows = rows.withColumn(bucket_, F.floor(F.col("ts") / bucket_seconds)).withColumn(headers_, F.coalesce("headers", F.expr("cast(map() as map<string,string>)")))
+    found = F.when((F.col("status") == 200) & F.col("canonical_url").isNotNull() & F.col("ts").isNotNull(), F.struct("ts", "record_id", F.map_filter(headers_, lambda k, v: F.lit(True)).alias("headers")))
+    rows = rows.withColumn(full_, found)
+    last = rows.where(F.col(full_).isNotNull()).groupBy("canonical_url", bucket_).agg(F.max_by(full_, F.struct("ts", "record_id")).alias(last_))
     # The row of a bucket says what the next bucket that has captures starts from.
-    known = rows.where("canonical_url is not null and ts is not null").select("canonical_url", "__bucket").distinct().join(last, ["canonical_url", "__bucket"], "left")
-    over = Window.partitionBy("canonical_url").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    known = known.withColumn("__carry", F.last("__last", ignorenulls=True).over(over)).select("canonical_url", "__bucket", "__carry")
-    inside = Window.partitionBy("canonical_url", "__bucket").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    timed = rows.where("canonical_url is not null and ts is not null").withColumn("__near", F.last("__full", ignorenulls=True).over(inside)).join(known, ["canonical_url", "__bucket"], "left")
-    timed = timed.withColumn("__from", F.coalesce("__near", "__carry"))
-    lost = rows.where("canonical_url is null or ts is null").withColumn("__from", F.lit(None).cast(timed.schema["__from"].dataType))
-    rows = timed.drop("__near", "__carry").unionByName(lost)
-    agreed = _outcome(F.col("__from.headers"), F.col("__headers"))
-    outcome = F.when(F.col("status") == 200, "full").when(F.col("status") != 304, "other").when(F.col("status").isNull(), "other").when(F.col("__from").isNull(), "no_response").otherwise(agreed)
+    known = rows.where("canonical_url is not null and ts is not null").select("canonical_url", bucket_).distinct().join(last, ["canonical_url", bucket_], "left")
+    over = Window.partitionBy("canonical_url").orderBy(bucket_).rowsBetween(Window.unboundedPreceding, -1)
+    known = known.withColumn(carry_, F.last(last_, ignorenulls=True).over(over)).select("canonical_url", bucket_, carry_)
+    inside = Window.partitionBy("canonical_url", bucket_).orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    timed = rows.where("canonical_url is not null and ts is not null").withColumn(near_, F.last(full_, ignorenulls=True).over(inside)).join(known, ["canonical_url", bucket_], "left")
+    timed = timed.withColumn(from_, F.coalesce(near_, carry_))
+    lost = rows.where("canonical_url is null or ts is null").withColumn(from_, F.lit(None).cast(timed.schema[from_].dataType))
+    rows = timed.drop(near_, carry_).unionByName(lost)
+    agreed = _outcome(F.col(from_)["headers"], F.col(headers_))
+    outcome = F.when(F.col("status") == 200, "full").when(F.col("status") != 304, "other").when(F.col("status").isNull(), "other").when(F.col(from_).isNull(), "no_response").otherwise(agreed)
     rows = rows.withColumn("outcome", outcome)
     good = F.col("outcome").isin("etag", "last-modified", "warc-payload-digest")
-    rows = rows.withColumn("source_id", F.when(F.col("outcome") == "full", F.col("record_id")).when(good, F.col("__from.record_id")))
-    rows = rows.withColumn("headers", F.when(good, merge_headers(F.col("__from.headers"), F.col("__headers"))).otherwise(F.col("headers")))
-    return rows.drop("__bucket", "__headers", "__full", "__from")
+    rows = rows.withColumn("source_id", F.when(F.col("outcome") == "full", F.col("record_id")).when(good, F.col(from_)["record_id"]))
+    rows = rows.withColumn("headers", F.when(good, merge_headers(F.col(from_)["headers"], F.col(headers_))).otherwise(F.col("headers")))
+    return rows.drop(bucket_, headers_, full_, from_)

@@ -71,6 +71,22 @@ def test_mixing_equals_inversion(spark):
     assert got == Counter({k: v for k, v in want.items() if v})
 
 
+def test_columns_with_inner_names_stay(spark):
+    """Columns called like those that an operator adds on its way come out as they went in."""
+    inner = ["__key", "__n", "__m", "__cdf", "__order", "__rate", "__w"]
+    docs = documents(spark, [(i, "xyz", f"s{i % 3}") for i in range(60)])
+    plain = mixing.poisson_mix(docs, {"s0": 2.0, "s1": 1.0}, seed=3)
+    named = mixing.poisson_mix(docs.withColumns({c: F.lit(f"own {c}") for c in inner}), {"s0": 2.0, "s1": 1.0}, seed=3)
+    assert {tuple(r[c] for c in inner) for r in named.collect()} == {tuple(f"own {c}" for c in inner)}
+    assert Counter(map(tuple, named.drop(*inner).collect())) == Counter(map(tuple, plain.collect()))
+    inner = ["__bucket", "__headers", "__full", "__last", "__carry", "__near", "__from"]
+    captures = spark.createDataFrame([(1, "http://a/", 1, 200, {"etag": "x"}), (2, "http://a/", 2, 304, {"etag": "x"}), (3, None, 2, 304, None)], "record_id long, url string, ts long, status int, headers map<string,string>")
+    plain = warc.resolve_revisits(captures)
+    named = warc.resolve_revisits(captures.withColumns({c: F.lit(f"own {c}") for c in inner}))
+    assert {tuple(r[c] for c in inner) for r in named.collect()} == {tuple(f"own {c}" for c in inner)}
+    assert sorted(map(str, named.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
 def test_mixing_reaches_targets_and_large_rates(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 20, "rare").otherwise("hot").alias("source"))
     n = {r.source: r["count"] for r in mixing.poisson_mix(docs, {"rare": 1, "hot": 1}).groupBy("source").count().collect()}
