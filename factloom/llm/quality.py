@@ -17,38 +17,81 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, bounded_sample, pieces, texts
+from .words import word_parts
 
 SEPARATORS = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
+#: Bytes of a long text that are looked at together.
+PART = 1 << 20
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits"]
 #: Bins of the score, which lies between 0 and 1, for the calibration's histogram.
 BINS = 2000
 
 
 def statistics(text: str) -> tuple[int, ...]:
-    """The counts named in ``COUNTS``, of a whole text."""
+    """The counts named in ``COUNTS``, of a whole text. Words of a long text are numbers while they are counted, so that it takes little beside the text."""
     raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()
     word_chars = len(text) - sum(map(text.count, SEPARATORS))
     seen: set[str] = set()
     dup = lines = 0
-    for line in text.split("\n"):
+    for line in _lines(text):
         if line.strip(SEPARATORS):
             lines += 1
             if line in seen:
                 dup += 1
             seen.add(line)
-    repeated = 0
-    if len(words) > 3:
-        grams = list(zip(words, words[1:], words[2:], strict=False))
-        if len(set(grams)) < len(grams):
-            often = {g for g, n in Counter(grams).items() if n > 1}
-            hit = [g in often for g in grams]
-            repeated = sum(map(any, zip([*hit, 0, 0], [0, *hit, 0], [0, 0, *hit], strict=True)))
-    code = np.frombuffer(raw, np.uint8)
-    upper = int(((code >= 65) & (code <= 90)).sum())
-    digits = int(((code >= 48) & (code <= 57)).sum())
-    return len(words), word_chars, sum(map(text.count, SYMBOLS)), dup, repeated, lines, upper, digits
+    del seen
+    if len(raw) <= PART:
+        words = raw.split()
+        n, repeated = len(words), 0
+        if n > 3:
+            grams = list(zip(words, words[1:], words[2:], strict=False))
+            if len(set(grams)) < len(grams):
+                often = {g for g, n_ in Counter(grams).items() if n_ > 1}
+                hit = [g in often for g in grams]
+                repeated = sum(map(any, zip([*hit, 0, 0], [0, *hit, 0], [0, 0, *hit], strict=True)))
+    else:
+        n, repeated = _repeated(raw)
+    upper = digits = 0
+    for i in range(0, len(raw), PART):
+        code = np.frombuffer(raw[i : i + PART], np.uint8)
+        upper += int(((code >= 65) & (code <= 90)).sum())
+        digits += int(((code >= 48) & (code <= 57)).sum())
+    return n, word_chars, sum(map(text.count, SYMBOLS)), dup, repeated, lines, upper, digits
+
+
+def _lines(text: str) -> Iterator[str]:
+    if len(text) <= PART:
+        yield from text.split("\n")
+        return
+    start = 0
+    while (end := text.find("\n", start)) >= 0:
+        yield text[start:end]
+        start = end + 1
+    yield text[start:]
+
+
+def _repeated(raw: bytes) -> tuple[int, int]:
+    """Words, and those in three-word windows found twice or more, of a long text; each different word is a number, and so is each pair of them."""
+    known: dict[bytes, int] = {}
+    parts = [np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)) for words in word_parts(raw, PART)]
+    ids = np.concatenate([np.zeros(0, np.int64), *parts])
+    n, size = len(ids), len(known)
+    del known, parts
+    if n <= 3:
+        return n, 0
+    pair = ids[:-1] * size + ids[1:]
+    pair = np.searchsorted(np.unique(pair), pair)  # under n, so that the next product is a whole number of 64 bits
+    window = pair[:-1] * size + ids[2:]
+    ordered = np.sort(window)
+    often = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    del ordered, pair, ids
+    hit = np.zeros(n, bool)
+    if len(often):
+        for i in range(0, len(window), PART):
+            at = np.flatnonzero(often[np.minimum(np.searchsorted(often, window[i : i + PART]), len(often) - 1)] == window[i : i + PART]) + i
+            hit[at] = hit[at + 1] = hit[at + 2] = True
+    return n, int(hit.sum())
 
 
 def rule_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, components, pieces, python_batches, texts, unused
+from .words import word_parts
 
 #: Bytes that must agree when at most three bits, and so at most three of the eight bytes, differ.
 MIN_MATCHES = 5
@@ -27,25 +28,38 @@ MAX_BITS = 3
 FIRST, LONG = 3, 6
 #: Parts into which rows with one fingerprint are dealt for joins.
 SALTS = 64
+#: Bytes of a text whose words are hashed together.
+PART = 1 << 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
     """Majority of the bits of the XXH64 (seed 42) of the word shingles of a text, repeats included; 0 without words."""
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return 0
+    counts, total, last = np.zeros(64, np.int64), 0, []
+    for part in word_parts(text.encode("utf-8", "surrogatepass"), PART):
+        words = [*last, *b" ".join(part).translate(_LOWER).split()]
+        if len(words) < shingle:
+            last = words
+            continue
+        total += len(words) - shingle + 1
+        counts += _bits(words, shingle)
+        last = words[len(words) - shingle + 1 :]
+    if not total:
+        if not last:
+            return 0
+        total, counts = 1, _bits(last, len(last))
+    return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big")
+
+
+def _bits(words: list[bytes], shingle: int) -> np.ndarray:
+    """How often each bit is set in the hashes of the shingles of some words."""
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
-    n = max(1, len(words) - shingle + 1)
-    start, end = (ends - lengths)[:n], ends[min(shingle, len(words)) - 1 :]
+    start, end = (ends - lengths)[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
     digest = xxhash.xxh64_digest
-    counts = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):  # whatever the length of a text, a bounded number of hashes at a time
-        packed = b"".join([digest(joined[a:b], 42) for a, b in zip(start[i : i + (1 << 16)].tolist(), end[i : i + (1 << 16)].tolist(), strict=True)])
-        counts += np.unpackbits(np.frombuffer(packed, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    packed = b"".join([digest(joined[a:b], 42) for a, b in zip(start, end, strict=True)])
+    return np.unpackbits(np.frombuffer(packed, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

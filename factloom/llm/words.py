@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -50,6 +52,22 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def word_parts(raw: bytes, size: int) -> Iterator[list[bytes]]:
+    """The words of a text, some ``size`` bytes at a time; a longer word comes whole."""
+    carry: list[bytes] = []
+    for i in range(0, len(raw), size):
+        part = raw[i : i + size]
+        carry.append(part)
+        if i + size >= len(raw):
+            yield b"".join(carry).split()
+            return
+        cut = max(map(part.rfind, (b" ", b"\n", b"\t", b"\r", b"\v", b"\f")))
+        if cut >= 0:
+            carry[-1], rest = part[:cut], part[cut:]
+            yield b"".join(carry).split()
+            carry = [rest]
+
+
 class WordTable:
     """Start, end and row of each word of a batch, in order."""
 

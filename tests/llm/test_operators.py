@@ -540,6 +540,50 @@ def slow_base(text):
 SECRET_PARTS = ["password", "PassWd", "api_key", "APIKEY", "token", "secret", "=", ":", " ", "\n", '"', "'", "abc123", "é", "AKIA", "A1B2" * 4, "0f" * 12, "0f" * 11, "hunter2.x", "k", "ſ", "/+", "中"]
 
 
+def test_long_texts_are_scanned_part_by_part(monkeypatch):
+    """The same spans whatever the size of a part, with line breaks and without."""
+    rng = random.Random(77)
+    field = secretscan.train([prose(rng, 300) + "\n" + prose(rng, 50) for _ in range(20)], lines=600)
+    gen = np.random.default_rng(5)
+
+    def made(n, breaks):
+        out = []
+        for _ in range(n):
+            out.append(rng.choice([prose(rng, 5), "é中 ü", "token = " + secretscan.made_up_secret(gen), secretscan.made_up_secret(gen), "Bearer " + secretscan.made_up_secret(gen), secretscan.made_up_decoy(gen), "0a" * 15, "  "]))
+            out.append(rng.choice(breaks))
+        return "".join(out)
+
+    texts = [made(60, b) for b in ([" "], [" ", "\n"], ["\n"], [" ", " \n ", "\t", "\n\n"]) for _ in range(6)] + ["", "\n", " x", "x" * 500, "a " + "é" * 300 + " token: abcdefgh"]
+    want = secretscan.scan(pa.array(texts), field)
+    assert sum(kind == "crf" for spans in want for _, _, kind in spans) > 20
+    for size in (64, 150, 1000):
+        monkeypatch.setattr(secretscan, "PART", size)
+        assert secretscan.scan(pa.array(texts), field) == want
+
+
+def test_counts_and_fingerprints_of_long_texts(monkeypatch):
+    """The same whatever the size of a part."""
+    rng = random.Random(78)
+    texts = ["", " ", "one", "a b", " a b c ", "x" * 300, "\n\nA1 b\n\n a1 B\n", *(" \n"[k % 2].join(rng.choice(["aa", "b", "C3", "é中", "#"]) + rng.choice(["", " ", "\t\n"]) for _ in range(rng.randint(1, 60))) for k in range(200))]
+    want = [(quality.statistics(t), simhash.fingerprint(t)) for t in texts]
+    for size in (1, 5, 16, 64):
+        monkeypatch.setattr(quality, "PART", size)
+        monkeypatch.setattr(simhash, "PART", size)
+        assert [(quality.statistics(t), simhash.fingerprint(t)) for t in texts] == want
+
+
+def test_viterbi_in_parts():
+    gen = np.random.default_rng(6)
+    for _ in range(200):
+        steps, e = gen.normal(size=(3, 3)), gen.normal(size=(int(gen.integers(1, 30)), 3))
+        field = secretscan.Field(np.zeros((1, 3), np.float32), steps)
+        chain, out = secretscan.Chain(field), []
+        cuts = sorted({0, len(e), *gen.integers(0, len(e) + 1, 4).tolist()})
+        for a, b in itertools.pairwise(cuts):
+            out += chain.feed(e[a:b], b == len(e)).tolist()
+        assert out == field._viterbi(e.tolist())
+
+
 def test_base_spans_equal_a_plain_scan():
     rng = random.Random(101)
     for _ in range(3000):
