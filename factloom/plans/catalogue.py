@@ -522,6 +522,63 @@ def teacher_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "reason", "repair", "selected", F.when(F.col("repair") == "citation_append", F.col("final_reasoning")).alias("appended"))
 
 
+@_query(f"""WITH {_SHOWN}, g AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'REFUTED' ELSE 'NOT_ENOUGH_INFO' END AS gold FROM benchmark),
+e AS (SELECT qid, coalesce(max(CASE WHEN rank = 1 THEN 'E' || n END), max('E' || n)) AS eid FROM sh WHERE rank = 1 AND line = qid % 30 OR rank = 2 AND line = 0 GROUP BY qid)
+SELECT item_id AS id, gold, '{{"verdict":"' || gold || '","evidence":[' || CASE WHEN item_id % 3 = 2 THEN '' ELSE '"' || eid || '"' END || '],"confidence":1.0}}' AS completion, n_shown
+FROM g LEFT JOIN (SELECT qid, count(*)::int AS n_shown FROM sh GROUP BY qid) s ON s.qid = item_id LEFT JOIN e ON e.qid = item_id WHERE item_id % 3 = 2 OR eid IS NOT NULL""")
+def sft_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training examples of claims whose gold evidence, a sentence of the first page or else the second one's first, is shown."""
+    ranked = search.top_k(_scores(spark, sf_dir)[1], 5)
+    found = context.contexts(context.with_sentences(ranked, views.sentences(table(spark, sf_dir, "documents"))))
+    pages = ranked.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("p")))), lambda x: x["p"]).alias("pages"))
+    item = F.col("item_id")
+    gold = F.when(item % 3 == 0, labels.SUPPORTED).when(item % 3 == 1, labels.REFUTED).otherwise(labels.NOT_ENOUGH_INFO)
+    one = lambda page, line: F.array(F.struct(page.alias("page"), line.cast("int").alias("line")))
+    claims = table(spark, sf_dir, "benchmark").join(pages, item == F.col("qid"))
+    sets = F.array(one(F.get("pages", F.lit(0)), item % 30), one(F.get("pages", F.lit(1)), F.lit(0)))
+    claims = claims.select("qid", item.alias("id"), F.col("text").alias("claim"), gold.alias("gold"), F.when(item % 3 == 2, F.slice(sets, 1, 0)).otherwise(sets).alias("sets"))
+    return datasets.examples(context.coverage(found, claims, pages)).select("id", "gold", "completion", "n_shown")
+
+
+@_query("""SELECT id, '[{"role":"system","content":"Judge."},{"role":"user","content":"claim of a ' || event_type || '"}]' AS prompt, CASE id % 3 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'REFUTED' ELSE 'NEI' END AS gold, 'E1,E' || (id % 7 + 2) AS gold_eids
+FROM (SELECT event_id AS id, event_type FROM events ORDER BY md5('3-' || event_id), event_id LIMIT 1000)""")
+def grpo_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat prompts of the first thousand rows in a seeded order, with the reward's label and the target's ids."""
+    event = F.col("event_id")
+    gold = F.when(event % 3 == 0, labels.SUPPORTED).when(event % 3 == 1, labels.REFUTED).otherwise(labels.NOT_ENOUGH_INFO)
+    completion = datasets.target(gold, F.array(F.lit("E1"), F.concat(F.lit("E"), (event % 7 + 2).cast("string"))))
+    rows = table(spark, sf_dir, "events").select(event.alias("id"), F.concat(F.lit("claim of a "), "event_type").alias("prompt"), gold.alias("gold"), completion.alias("completion"))
+    return datasets.prompts(rows, 1000, "Judge.", 3).select("id", F.to_json("prompt").alias("prompt"), "gold", F.array_join("gold_eids", ",").alias("gold_eids"))
+
+
+@_query("""WITH c AS (SELECT event_id % 6 AS k FROM events), p AS (SELECT unnest(CASE k WHEN 1 THEN ['no_reasoning'] WHEN 2 THEN ['other_verdict'] WHEN 3 THEN ['no_evidence_list'] WHEN 4 THEN ['confidence_key']
+ WHEN 5 THEN ['no_reasoning', 'other_verdict', 'no_evidence_list'] ELSE [] END) AS problem FROM c)
+SELECT problem, count(*) AS n FROM p GROUP BY problem UNION ALL SELECT 'frozen_id', count(*) FROM events WHERE event_id IN (SELECT item_id FROM benchmark) HAVING count(*) > 0 UNION ALL SELECT 'wrong_count', count(*) FROM events HAVING count(*) <> 7""")
+def cot_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with a reasoning training set whose completions have one of five faults, or none."""
+    case = F.col("event_id") % 6
+    body = lambda reasoning, verdict, evidence, more="": F.lit(f'{{"reasoning":"{reasoning}","verdict":"{verdict}","evidence":{evidence}{more}}}')
+    good = body("why", "SUPPORTED", '["E1"]')
+    text_ = F.when(case == 1, body(" ", "SUPPORTED", "[]")).when(case == 2, body("why", "REFUTED", "[]")).when(case == 3, body("why", "SUPPORTED", '"E1"')).when(case == 4, body("why", "SUPPORTED", "[]", ',"confidence":1.0')).when(case == 5, F.lit("{")).otherwise(good)
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.lit("SUPPORTED").alias("gold"), text_.alias("completion"))
+    return datasets.cot_problems(rows, table(spark, sf_dir, "benchmark").select("item_id"), 7)
+
+
+@_query("""WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('5-' || doc_id), doc_id) AS k FROM documents WHERE lang IN ('en', 'fr', 'de')) SELECT doc_id, lang FROM r WHERE k <= 20""")
+def per_class_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.per_class(table(spark, sf_dir, "documents").select("doc_id", "lang"), 20, "lang", "doc_id", 5, ["en", "fr", "de"])
+
+
+@_query(f"""WITH {_BM25}, m AS (SELECT qid, max(rank) AS m FROM rk WHERE rank <= 8 GROUP BY qid)
+SELECT qid AS item_id, string_agg(doc_id::varchar, ',' ORDER BY md5('11-' || qid || '-' || doc_id), doc_id::varchar) AS pages FROM rk JOIN m USING (qid) WHERE rank <= 4 OR rank = m AND m = 8 OR rank = 5 AND m < 8 GROUP BY qid""")
+def oracle_page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gold page, here the eighth retrieved, and the first retrieved ones, five in all, in an order seeded by the claim."""
+    best = search.top_k(_scores(spark, sf_dir)[1], 8).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("p")))), lambda x: x["p"]).alias("pages"))
+    gold = F.array(F.array(F.struct(F.get("pages", F.lit(7)).alias("page"), F.lit(0).alias("line"))))
+    sets = F.when(F.size("pages") == 8, gold).otherwise(F.slice(gold, 1, 0))
+    return best.select(F.col("qid").alias("item_id"), F.array_join(context.oracle_pages(sets, F.slice("pages", 1, 5), F.col("qid"), 11), ",").alias("pages"))
+
+
 _GOLD = "gp AS (SELECT b.item_id AS qid, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
