@@ -1,12 +1,9 @@
-"""Streams: resumable appends keyed by id, duplicates within a watermark, and (beyond the reference) event-time windows."""
+"""Streams: files as a stream, duplicates within a watermark, and (beyond the surveyed operators) event-time windows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from ..sources.io import append_new
 
 
 def read(spark: SparkSession, folder: str, schema: str, ts: str = "ts", files: str = "*.parquet", max_files: int = 64) -> DataFrame:
@@ -15,15 +12,6 @@ def read(spark: SparkSession, folder: str, schema: str, ts: str = "ts", files: s
     return rows.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def resumable(stream: DataFrame, target: str, checkpoint: str, key: str) -> StreamingQuery:
-    """Appends what is new to ``target`` and stops; a second run adds nothing, and a repeated batch adds no id twice."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        append_new(batch.dropDuplicates([key]), target, key)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def deduplicated(stream: DataFrame, key: str, ts: str = "ts", late: str = "1 hour") -> DataFrame:
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 

@@ -13,6 +13,7 @@ from factloom.operators import index as ix
 from factloom.plans import catalogue
 from factloom.sources import io
 from factloom.streaming import events as streams
+from factloom.streaming import resume
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -347,7 +348,7 @@ def test_streams(spark, tmp_path):
     rows.union(rows).write.parquet(f"{tmp_path}/in")
     schema = catalogue._EVENTS
     for _ in range(2):
-        streams.resumable(streams.read(spark, f"{tmp_path}/in", schema), f"{tmp_path}/out", f"{tmp_path}/state", "event_id").awaitTermination()
+        resume.resumed(streams.read(spark, f"{tmp_path}/in", schema), f"{tmp_path}/out", f"{tmp_path}/state", "event_id", strict=False).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 50
     q = streams.deduplicated(streams.read(spark, f"{tmp_path}/in", schema), "event_id").writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     q.awaitTermination()
