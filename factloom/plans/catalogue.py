@@ -633,9 +633,21 @@ def trace_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(traces.report(_traces(spark, sf_dir)))
 
 
-@_query()
+@_query(f"""WITH {_P}, {_PARTS}, s AS (SELECT *, unnest([0, 1, 2]) AS t, CASE WHEN pred = 'NOT_ENOUGH_INFO' THEN 'abstain' ELSE 'commit' END AS act FROM r)
+SELECT id, 'run1' AS run, 1 AS version, 'claim ' || id AS claim, gold, t, CASE t WHEN 0 THEN 'search' WHEN 1 THEN 'verify' ELSE act END AS action,
+ CASE t WHEN 0 THEN '{{"query":"claim ' || id || '"}}' WHEN 1 THEN '{{"claim":"claim ' || id || '"}}' ELSE CASE WHEN pred IS NULL THEN '{{}}' ELSE '{{"verdict":"' || pred || '"}}' END END AS args,
+ CASE t WHEN 0 THEN 'p' || (user_id % 5) END AS page, CASE t WHEN 1 THEN pred END AS pred, CASE t WHEN 1 THEN cited[1] END AS cited, 0.0::double AS seconds,
+ pred AS final_verdict, token_conf AS confidence, array_to_string(cited, ',') AS evidence, act AS final_action, 1 AS n_search, 0 AS n_decompose, 1 AS n_verify, 1 AS n_ops, 0.0::double AS all_seconds,
+ round(correctness + 0.5 * evidence + 0.5 * calibration - 0.02 * (id % 4), 9) AS reward FROM s""".replace("array_to_string(cited, ',') AS evidence", "array_to_string(cited, ',') AS cited_ids"))
 def trace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _traces(spark, sf_dir).drop("sets")
+    """Every step of every trace, with what the trace came to."""
+    rows = _traces(spark, sf_dir).withColumn("s", F.explode("steps"))
+    part = lambda path: F.get_json_object("s.result", path)
+    return rows.select(
+        "id", F.col("run.name").alias("run"), "run.version", "claim", "gold", "s.t", "s.action", "s.args", part("$.pages[0]").alias("page"), part("$.pred").alias("pred"), part("$.cited[0]").alias("cited"), "s.seconds",
+        F.col("final.verdict").alias("final_verdict"), "final.confidence", F.array_join("final.evidence", ",").alias("cited_ids"), F.col("final.action").alias("final_action"),
+        "cost.n_search", "cost.n_decompose", "cost.n_verify", "cost.n_ops", F.col("cost.seconds").alias("all_seconds"), F.round("reward", 9).alias("reward"),
+    )
 
 
 @_query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
