@@ -298,6 +298,43 @@ def test_quality_separates_labelled_rows(spark):
     assert quality.judge(documents(spark, []), table).count() == 0
 
 
+def plain_score(forest, row):
+    """Each tree walked node by node, from the definition: 2 to the power of minus the mean path over the expected one."""
+    total = 0.0
+    for feature, cut, child, path in forest.nodes:
+        at = 0
+        while feature[at] >= 0:
+            at = int(child[at][1 if row[feature[at]] >= cut[at] else 0])
+        total += path[at]
+    return 2.0 ** (-total / len(forest.nodes) / forest.base)
+
+
+def test_verdicts_equal_a_plain_walk_and_hold_on_unseen_rows(spark):
+    """Every document's verdict, not only those that the base rules fail; labels cover a half, the other half is held out."""
+    rng = random.Random(62)
+    rows, labels = [], []
+    for i in range(500):
+        bad = i % 6 == 0
+        rows.append((i, " ".join(w + "|%" * (rng.random() < 0.6) if bad else w for w in prose(rng, 90).split()), "s"))
+        if i % 2:
+            labels.append((i, int(not bad), 0))
+    for i in range(300, 340):  # some labelled bad rows, too
+        if i % 6 == 0:
+            labels.append((i, 0, 0))
+    docs, table = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    ws = common.Workspace(spark, "t")
+    found = quality.calibrate(ws.stage(quality.rule_statistics(docs), "s"), table, ws)
+    got = {r.doc_id: r for r in quality.judge(docs, table).collect()}
+    for i, text, _ in rows:
+        counts = np.array([quality.statistics(text)])
+        score = plain_score(found.forest, quality.features(counts)[0])
+        assert abs(score - got[i].score) < 1e-9
+        assert got[i].kept == (not got[i].base_failed and math.floor(got[i].score * quality.BINS) < found.cut)
+    known = {i for i, *_ in labels}
+    unseen = [i for i in range(500) if i not in known]
+    assert sum(got[i].kept == (i % 6 != 0) for i in unseen) / len(unseen) > 0.97
+
+
 def test_quality_default_rejects_junk_beside_rare_good_rows(spark):
     """Few good rows repeat a short line, just over its limit; they may neither let symbol junk through nor go themselves."""
     rng = random.Random(61)
@@ -572,6 +609,21 @@ def test_counts_and_fingerprints_of_long_texts(monkeypatch):
         assert [(quality.statistics(t), simhash.fingerprint(t)) for t in texts] == want
 
 
+def test_tags_equal_the_best_of_all_ways():
+    """Each line's tags against every sequence of tags; lines that a bound leaves out are among them."""
+    gen, rng = np.random.default_rng(9), random.Random(79)
+    field = secretscan.train([prose(rng, 300) for _ in range(20)], lines=600)
+    lines = [" ".join(rng.choice([*prose(rng, 2).split(), "token", "=", secretscan.made_up_secret(gen).split()[0], secretscan.made_up_decoy(gen).split()[0]]) for _ in range(rng.randint(1, 6))) for _ in range(150)]
+    table = secretscan.WordTable(*secretscan.text_buffer(pa.array(lines)))
+    e, line = field.emissions(secretscan.features(table, table.row)), table.row
+    tags = field.decode(e, line)
+    for k in range(len(lines)):
+        own = np.flatnonzero(line == k)
+        ways = {w: sum(float(e[i, t]) for i, t in zip(own, w, strict=True)) + sum(float(field.steps[a, b]) for a, b in itertools.pairwise(w)) for w in itertools.product(range(3), repeat=len(own)) if w[0] != secretscan.INSIDE}
+        assert abs(ways[tuple(tags[own].tolist())] - max(ways.values())) < 1e-4
+    assert (tags != secretscan.OUTSIDE).sum() > 20
+
+
 def test_viterbi_in_parts():
     gen = np.random.default_rng(6)
     for _ in range(200):
