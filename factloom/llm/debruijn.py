@@ -17,16 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Workspace, pieces
-from .words import Rolling, WordTable, text_buffer
+from .words import Rolling, WordTable, overlapping, text_buffer, word_parts
 
 #: Words of the sequences whose smallest hash names a path.
 MINIMIZER = 6
 _MIN_BASE = 0xC2B2AE3D27D4EB4F
+#: Bytes of a text from which on it is gone through part by part, and of a part.
+LONG, PART = 4 << 20, 1 << 20
 
 
 def _paths(table: WordTable, k: int, m: int) -> tuple[np.ndarray, ...]:
@@ -68,13 +71,33 @@ def _names(h: np.ndarray, bits: int) -> pa.Array:
     return pa.array((h >> np.uint64(64 - bits)).view(np.int64))
 
 
+def _apart(b: pa.RecordBatch, limit: int) -> tuple[pa.RecordBatch, list[pa.RecordBatch]]:
+    """The rows of a batch whose text (the second column) has at most ``limit`` bytes together, and each longer one by itself."""
+    size = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+    if not len(size) or size.max() <= limit:
+        return b, []
+    return b.filter(pa.array(size <= limit)), [b.slice(i, 1) for i in np.flatnonzero(size > limit).tolist()]
+
+
+def _tables(batches: Iterator[pa.RecordBatch], k: int, long: int, part: int) -> Iterator[tuple[pa.RecordBatch, int, WordTable]]:
+    """(batch, words before, words): all texts of a batch together, or a part of the only text of one."""
+    for b in pieces(batches):
+        some, alone = _apart(b, long)
+        if some.num_rows:
+            yield some, 0, WordTable(*text_buffer(some.column(1)))
+        for one in alone:
+            for before, table in overlapping(text_buffer(one.column(1))[0], k, part):
+                yield one, before, table
+
+
 def paths(docs: DataFrame, k: int, m: int, bits: int = 64) -> DataFrame:
-    """(minimizer, seg, head, tail, doc, start, n): the runs of all documents; seg names the content. ``docs`` has (doc, text)."""
+    """(minimizer, seg, head, tail, doc, start, n): the runs of all documents; seg names the content. ``docs`` has (doc, text). A run of a long text ends with its part."""
+    long, part = LONG, PART
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            row, start, n, minimizer, *named = _paths(WordTable(*text_buffer(b.column(1))), k, m)
-            doc = b.column(0).take(pa.array(row))
+        for b, before, table in _tables(batches, k, long, part):
+            row, start, n, minimizer, *named = _paths(table, k, m)
+            start, doc = start + before, b.column(0).take(pa.array(row))
             yield pa.RecordBatch.from_arrays([pa.array(minimizer.view(np.int64)), *[_names(h, bits) for h in named], doc, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["minimizer", "seg", "head", "tail", "doc", "start", "n"])
 
     return docs.mapInArrow(run, "minimizer long, " + _SEGMENT)
@@ -83,19 +106,25 @@ def paths(docs: DataFrame, k: int, m: int, bits: int = 64) -> DataFrame:
 def _open(docs: DataFrame, k: int, bits: int) -> DataFrame:
     """The windows of the runs listed in ``runs`` as segments of one edge, read from the text again. A document's list is no longer than its text."""
 
+    long, part = LONG, PART
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            table = WordTable(*text_buffer(b.column(1)))
+        for b, before, table in _tables(batches, k, long, part):
             rolling = Rolling(table.hashes())
             runs = b.column(2)
             per = np.asarray(runs.value_lengths())
             start, n = (runs.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(2))
             row = np.repeat(np.arange(len(per)), per)
+            if b.num_rows == 1:  # of its runs those windows that start in this part
+                end = np.minimum(start + n, before + max(0, len(table.start) - k + 1)) - before
+                start = np.maximum(start - before, 0)
+                inside = end > start
+                start, n, row = start[inside], (end - start)[inside], row[inside]
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = np.repeat(table.first[row] + start, n) + step
             owner = np.repeat(row, n)
             named = [_names(rolling.of(at + i, at + j), bits) for i, j in ((0, k), (0, k - 1), (1, k))]
-            yield pa.RecordBatch.from_arrays([*named, b.column(0).take(pa.array(owner)), pa.array((at - table.first[owner]).astype(np.int32)), pa.array(np.ones(len(at), np.int32))], ["seg", "head", "tail", "doc", "start", "n"])
+            yield pa.RecordBatch.from_arrays([*named, b.column(0).take(pa.array(owner)), pa.array((at - table.first[owner] + before).astype(np.int32)), pa.array(np.ones(len(at), np.int32))], ["seg", "head", "tail", "doc", "start", "n"])
 
     return docs.mapInArrow(run, _SEGMENT)
 
@@ -154,17 +183,29 @@ def spans(ws: Workspace, segments: DataFrame, found: DataFrame) -> DataFrame:
     return out
 
 
+def _shas(raw: bytes, start: np.ndarray, n: np.ndarray, part: int) -> list[bytes]:
+    """The SHA-256 of n words from each start, joined by one space; words come part by part, and a digest goes on from part to part."""
+    out, before = [hashlib.sha256() for _ in start], 0
+    for words in word_parts(raw, part):
+        for i in np.flatnonzero((start < before + len(words)) & (start + n > before)).tolist():
+            a = int(start[i]) - before
+            piece = b" ".join(words[max(a, 0) : a + int(n[i])])
+            out[i].update(b" " + piece if a < 0 else piece)
+        before += len(words)
+    return [x.digest() for x in out]
+
+
 def _digests(docs: DataFrame, k: int) -> DataFrame:
     """(path, cut, words, doc, start, n): the SHA-256 of the words of every span in ``runs``, read at its source coordinates."""
+    part = PART
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             doc, out = [], []
             for d, text, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                words = text.encode("utf-8", "surrogatepass").split()
                 path, cut, start, n = (runs.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
                 doc += [d] * len(n)
-                shas = [hashlib.sha256(b" ".join(words[i : i + c + k - 1])).digest() for i, c in zip(start.tolist(), n.tolist(), strict=True)]
+                shas = _shas(text.encode("utf-8", "surrogatepass"), start.astype(np.int64), n.astype(np.int64) + k - 1, part)
                 out.append(pa.table({"path": path, "cut": cut, "words": pa.array(shas, pa.binary()), "start": start, "n": n}))
             t = pa.concat_tables(out)
             yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("path", "cut", "words")), pa.array(doc, pa.int64()), *(t.column(c).combine_chunks() for c in ("start", "n"))], ["path", "cut", "words", "doc", "start", "n"])
@@ -224,19 +265,26 @@ def remove_repeats(docs: DataFrame, k: int = 20, m: int = MINIMIZER, id_col: str
     python = rows.select("doc", "text")
     found = repeated_windows(python, ws, k, m, bits)
     gone = found.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    part = PART
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             counts, removed, kept = [], [], []
             for text, runs in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                words = (text or "").encode().split()
-                counts.append(len(words))
-                if runs.is_valid and len(runs):
-                    start, n = (runs.values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
-                    gone = cover(len(words), start, n, k)
-                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                removed.append(counts[-1] - len(words))
-                kept.append(b" ".join(words).decode())
+                raw = (text or "").encode()
+                start, n = (runs.values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2)) if runs.is_valid and len(runs) else (None, None)
+                parts = [raw.split()] if len(raw) <= part else None
+                total = sum(map(len, parts or word_parts(raw, part)))
+                gone, at, left, out = cover(total, start, n, k) if start is not None else None, 0, 0, []
+                for words in parts or word_parts(raw, part):
+                    if gone is not None:
+                        words, at = [w for w, g in zip(words, gone[at : at + len(words)].tolist(), strict=True) if not g], at + len(words)
+                    left += len(words)
+                    if words:
+                        out.append(b" ".join(words))
+                counts.append(total)
+                removed.append(total - left)
+                kept.append(b" ".join(out).decode())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()

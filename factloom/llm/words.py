@@ -102,6 +102,25 @@ class WordTable:
             return mix((sums[self.end] - sums[self.start]) * down[self.start])
 
 
+def overlapping(raw: np.ndarray, k: int, size: int) -> Iterator[tuple[int, WordTable]]:
+    """(words before, words) of parts of a text of some ``size`` bytes, such that every run of ``k`` words starts in one part and lies in it."""
+    start, before, wide = 0, 0, size
+    while start < len(raw):
+        end = min(start + wide, len(raw))
+        while end < len(raw) and not len(blank := np.flatnonzero(SEPARATORS[raw[end : end + size]])):
+            end = min(end + size, len(raw))
+        end += int(blank[0]) if end < len(raw) else 0
+        table = WordTable(raw[start:end], np.array([0, end - start]))
+        if len(table.start) < k and end < len(raw):
+            wide *= 2
+            continue
+        yield before, table
+        if end == len(raw):
+            return
+        before += len(table.start) - k + 1
+        start, wide = (start + int(table.start[len(table.start) - k + 1]) if k > 1 else end), size
+
+
 class Rolling:
     """Hashes of runs of consecutive values, each in constant time."""
 

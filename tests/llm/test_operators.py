@@ -487,8 +487,12 @@ def slow_repeats(rows, k):
     return out
 
 
-@pytest.mark.parametrize(("alphabet", "k", "m"), [("ab", 6, 2), ("abc", 6, 6), ("abcdefgh", 20, 6)])
-def test_substring_dedup_equals_brute_force(spark, alphabet, k, m):
+@pytest.mark.parametrize(("alphabet", "k", "m", "part"), [("ab", 6, 2, None), ("abc", 6, 6, None), ("abcdefgh", 20, 6, None), ("abc", 6, 2, 16), ("abcdefgh", 20, 6, 150)])
+def test_substring_dedup_equals_brute_force(spark, alphabet, k, m, part, monkeypatch):
+    """``part``: texts of more bytes are gone through in parts of so many."""
+    if part:
+        monkeypatch.setattr(debruijn, "LONG", part)
+        monkeypatch.setattr(debruijn, "PART", part)
     rng = random.Random(9)
     pieces = [" ".join(rng.choice(alphabet) for _ in range(25)) for _ in range(6)]
     rows = [(i, " ".join(rng.choice([*pieces, prose(rng, 9), "a " * 30]) for _ in range(rng.randint(0, 5)))) for i in range(60)] + [(70, None), (71, ""), (72, "x\n\ty")]
