@@ -660,6 +660,68 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+# --- rows as files, and small functions over whole tables ------------------------------------------------------------------
+@_query("""SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'REFUTED' ELSE 'NOT_ENOUGH_INFO' END AS gold, CASE WHEN event_id % 3 = 2 THEN 0 ELSE 2 END::int AS n_sets,
+CASE WHEN event_id % 3 <> 2 THEN 'p' || (user_id % 5) || ':' || (event_id % 4) || ',q:1' END AS ids FROM events""")
+def claims_as_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims written as JSON lines and read again, with canonical labels and the evidence sets without repeats."""
+    item = lambda page, line: F.array(F.lit("1"), F.lit("2"), page, line.cast("string"))
+    page = F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string"))
+    first = item(page, F.col("event_id") % 4)
+    raw = F.when(F.col("event_id") % 3 == 0, "SUPPORTS").when(F.col("event_id") % 3 == 1, "REFUTES").otherwise("NOT ENOUGH INFO")
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.lit(None).cast("string").alias("claim"), raw.alias("label"), F.array(F.array(first, first), F.array(item(F.lit("q"), F.lit(1)))).alias("evidence"))
+    path = f"{shared_folder(spark)}/claims-{uuid.uuid4().hex}"
+    io.write_jsonl(rows, path, "errorifexists")
+    found = io.read_claims(spark, path).withColumn("sets", evidence.gold_sets(F.col("label"), F.col("evidence")))
+    ids = F.array_join(F.transform(F.flatten("sets"), lambda e: evidence.global_id(e["page"], e["line"])), ",")
+    return found.select("id", labels.canonical(F.col("label")).alias("gold"), F.size("sets").alias("n_sets"), F.when(F.size("sets") > 0, ids).alias("ids"))
+
+
+@_query("SELECT 'Doc_-LRB-' || lang || '-RRB-_' || doc_id AS id, sha256('Doc (' || lang || ') ' || doc_id || ' . ' || text) AS text_sha256 FROM documents WHERE text <> ''")
+def page_index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as JSON lines and read again, with what is indexed of each."""
+    page = F.concat(F.lit("Doc_-LRB-"), "lang", F.lit("-RRB-_"), F.col("doc_id").cast("string"))
+    path = f"{shared_folder(spark)}/wiki-{uuid.uuid4().hex}"
+    io.write_jsonl(table(spark, sf_dir, "documents").select(page.alias("id"), "text", F.lit("").alias("lines")), path, "errorifexists")
+    return io.read_pages(spark, path).select("id", F.sha2(text.index_text(F.col("id"), F.col("text")), 256).alias("text_sha256"))
+
+
+@_query("""SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'say ' || event_type || CASE WHEN event_type = 'click' THEN '' ELSE '!' END END AS said FROM events""")
+def provider_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of finished answers in two providers' responses."""
+    done = lambda yes: F.when(F.col("event_id") % 4 == 0, "length").otherwise(yes)
+    said = F.concat(F.lit("say "), "event_type")
+    one = F.to_json(F.struct(F.array(F.struct(done("stop").alias("finish_reason"), F.struct(said.alias("content")).alias("message"))).alias("choices")))
+    parts = F.array(F.struct(said.alias("text")), F.struct(F.lit("!").alias("text")))
+    two = F.to_json(F.struct(F.array(F.struct(done("STOP").alias("finishReason"), F.struct(parts.alias("parts")).alias("content"))).alias("candidates")))
+    found = F.when(F.col("event_type") == "click", parsing.provider_text(one, "choices")).otherwise(parsing.provider_text(two, "candidates"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), found.alias("said"))
+
+
+@_query(r"""WITH c AS (SELECT item_id, text, list_filter(list_transform(string_split(text, ' and '), lambda p: trim(p)), lambda p: p <> '') AS p FROM benchmark)
+SELECT item_id, contains(text, ' and ') AS compound, CASE WHEN len(p) > 1 THEN array_to_string(p, '|') ELSE text END AS parts, trim(replace(string_split('Claim: ' || text, chr(10))[1], 'Claim: ', '')) AS claim FROM c""")
+def claim_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims as the parts that ``and`` joins, and as they are read back from a prompt."""
+    prompt = F.concat(F.lit("Claim: "), "text", F.lit("\n\nEvidence:\nE1 [A] b"))
+    return table(spark, sf_dir, "benchmark").select("item_id", text.is_compound(F.col("text")).alias("compound"), F.array_join(text.decompose(F.col("text")), "|").alias("parts"), context.claim_of(prompt).alias("claim"))
+
+
+@_query(f"""WITH {_P}, {_OUT} SELECT id, CASE WHEN gold <> 'NOT_ENOUGH_INFO' THEN gold_id END AS least_set, CASE WHEN id % 2 = 0 THEN 'E2,E9,E10' ELSE 'E1,E3,E12' END AS by_number,
+CASE WHEN pred = 'NOT_ENOUGH_INFO' THEN 'abstain' ELSE 'commit' END AS action, id % 4 = 1 AS thought,
+'E1=a' || (id % 3) || ',E2=b' || (id % 2) || ',E3=a' || ((id + 1) % 3) AS rollout FROM o""")
+def small_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest gold set, ids in numeric order, an agent's last action, whether it thought, and its numbered results over two searches."""
+    rows = views.outputs(views.predictions(spark, sf_dir))
+    ids = F.when(F.col("id") % 2 == 0, F.array(*map(F.lit, ["E10", "E9", "E2"]))).otherwise(F.array(*map(F.lit, ["E3", "E12", "E1"])))
+    named = lambda x, n: F.concat(F.lit(x), n.cast("string"))
+    results = F.array(F.array(named("a", F.col("id") % 3), named("b", F.col("id") % 2)), F.array(named("a", (F.col("id") + 1) % 3), named("a", F.col("id") % 3)))
+    entries = F.array_sort(F.map_entries(traces.numbered_rollout(results)))
+    return rows.select(
+        "id", F.when(F.size("sets") > 0, F.array_join(evidence.smallest(F.col("sets")), ",")).alias("least_set"), F.array_join(evidence.by_number(ids), ",").alias("by_number"),
+        traces.final_action(F.col("pred")).alias("action"), parsing.thought(F.col("raw")).alias("thought"), F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("rollout"),
+    )
+
+
 # --- models, episodes, streams: rows are checked by tests ------------------------------------------------------------
 @_query()
 def verify_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
