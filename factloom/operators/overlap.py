@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import token_set
-from ..sources.staging import staged
+from ..sources.staging import staged, unstage
 from .search import top_k
 
 #: Rarest tokens of a query that the first round takes, and sentences that it counts exactly, times k.
@@ -52,9 +52,10 @@ def overlaps(queries: DataFrame, sentences: DataFrame, k: int, qid: str, q_text:
 
     # The first round: small sets that share the most of a query's rarest tokens.
     seeds = q.where(F.col("i") < SEEDS).join(s, "t").groupBy("qid", "sid").agg((F.count("*") / F.first("ns")).alias("score"))
-    tried = exact(staged(top_k(seeds, TRIED * k, "qid", "sid"), "overlap-tried"))
-    best = top_k(tried, k, "qid", "sid").groupBy("qid").agg(F.when(F.count("*") == k, F.min("score")).alias("theta"))
+    tried = staged(top_k(seeds, TRIED * k, "qid", "sid"), "overlap-tried")
+    best = top_k(exact(tried), k, "qid", "sid").groupBy("qid").agg(F.when(F.count("*") == k, F.min("score")).alias("theta"))
     known = staged(asked.select("qid", "nq").distinct().join(best, "qid", "left").select("qid", F.coalesce("theta", F.lit(0.0)).alias("theta")), "overlap-theta")
+    unstage(tried, asked)
 
     theta, nq, ns = F.col("theta"), F.col("nq"), F.col("ns")
     rest = F.greatest(F.ceil(theta * nq - _SLACK) - 1, F.lit(0))
@@ -62,6 +63,7 @@ def overlaps(queries: DataFrame, sentences: DataFrame, k: int, qid: str, q_text:
     met = near.join(s, "t").where((ns >= theta * nq - _SLACK) & (ns * theta <= nq + _SLACK))
     pairs = met.groupBy("qid", "sid").agg(F.count("*").alias("c"), *[F.first(c).alias(c) for c in ("nq", "ns", "theta", "rest")])
     pairs = staged(pairs.where(F.col("c") + F.col("rest") >= theta / (1 + theta) * (nq + ns) - _SLACK).select("qid", "sid"), "overlap-pairs")
+    unstage(known)
     scored = exact(pairs)
     return Overlap(top_k(scored, k, "qid", "sid"), pairs, scored)
 

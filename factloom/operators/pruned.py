@@ -10,13 +10,12 @@ those whose own bound reaches the threshold meet the next levels. Each round rai
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.staging import staged
+from ..sources.staging import staged, unstage
 from .index import Index
 from .search import query_terms, top_k
 
@@ -30,10 +29,10 @@ SLACK = 1e-6
 
 @dataclass
 class Pruned:
-    """``rows`` are those of ``top_k``; ``read`` has (round, postings) that met a query, and ``all_postings`` those of all its terms."""
+    """``rows`` are those of ``top_k``; ``read`` says for each step how many postings met a query, ``all_postings`` how many all terms have."""
 
     rows: DataFrame
-    read: DataFrame
+    read: list[int]
     all_postings: int
 
 
@@ -81,11 +80,14 @@ def pruned_top_k(index: Index, queries: DataFrame, k: int, id_col: str = "item_i
     terms = levels.select("qid", "term", "w", "bit").distinct()
     exact = stage(summed(entries.join(tried.select("qid", "doc_id").join(terms, "qid"), ["term", "doc_id"])), "exact")
     theta = stage(_kth(exact, k), "theta")
-    read = [tried.agg(F.sum("hits").alias("postings")), exact.agg(F.sum("hits").alias("postings"))]
+    total = lambda t: t.agg(F.sum("hits")).first()[0] or 0
+    read = [total(tried), total(exact)]
+    unstage(tried, exact)
 
     known = levels.select("qid").distinct().join(theta, "qid", "left").select("qid", F.coalesce("theta", F.lit(0.0)).alias("theta"), F.lit(float("inf")).alias("cut"))
     found = None
     for share in SHARES:
+        done = [t for t in (known, found) if hasattr(t, "staged_path")]
         known = stage(known.select("qid", "theta", F.col("cut").alias("before"), F.least("cut", F.col("theta") * share).alias("cut")), "known")
         near = levels.join(known, "qid")
         opened = near.where((F.col("bound") >= F.col("cut")) & (F.col("bound") < F.col("before"))).select("qid", "term", "level", "w", "bit")
@@ -93,18 +95,21 @@ def pruned_top_k(index: Index, queries: DataFrame, k: int, id_col: str = "item_i
         if found is not None:
             rows = rows.join(found.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi")
         new = stage(summed(rows), "new")
-        read.append(new.agg(F.sum("hits").alias("postings")))
+        read.append(total(new))
         both = new if found is None else found.select(*new.columns).unionByName(new)
         now = stage(both.groupBy("qid", "doc_id").agg(F.sum("score").alias("score"), F.bit_or("mask").alias("mask"), F.sum("hits").alias("hits")), "now")
         # What each term can still count: that of the last of its levels that is open, or of its first if none is.
         open_ = F.col("bound") >= F.col("cut")
         rests = near.groupBy("qid", "no").agg(F.coalesce(F.min(F.when(open_, F.col("rest"))), F.max("first")).alias("rest"))
         rests = rests.groupBy("qid").agg(F.sum("rest").alias("all"), F.transform(F.array_sort(F.collect_list(F.struct("no", "rest"))), lambda x: x["rest"]).alias("rest"))
+        cuts = known
         known = known.join(_kth(now, k).withColumnRenamed("theta", "t"), "qid", "left").select("qid", F.greatest("theta", F.coalesce("t", F.lit(0.0))).alias("theta"), "cut")
+        done += [new, cuts]
         known = stage(known, "raised")
         taken = F.aggregate(F.sequence(F.lit(0), F.least(F.size("rest"), F.lit(63)) - 1), F.lit(0.0), lambda s, i: s + F.when(F.call_function("getbit", F.col("mask"), i) == 1, F.get("rest", i)).otherwise(0.0))
         judged = now.join(known.join(rests, "qid"), "qid").where(F.col("score") + F.col("all") - taken >= F.col("theta") - SLACK)
         found = stage(judged.select("qid", "doc_id", "score", "mask", "hits"), "found")
+        unstage(*done, now)
     all_postings = levels.agg(F.sum("n")).first()[0] or 0
-    rounds = reduce(DataFrame.unionByName, [t.select(F.lit(i).alias("round"), F.coalesce("postings", F.lit(0)).alias("postings")) for i, t in enumerate(read)])
-    return Pruned(top_k(found.select("qid", "doc_id", "score"), k), rounds, all_postings)
+    unstage(levels, theta, known)
+    return Pruned(top_k(found.select("qid", "doc_id", "score"), k), read, all_postings)

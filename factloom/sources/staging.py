@@ -40,4 +40,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet and read again, so that several uses don't compute it several times."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.staged_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
