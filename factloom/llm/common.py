@@ -102,7 +102,7 @@ def components(ws: Workspace, edges: DataFrame, max_rounds: int = 60) -> DataFra
 
     Alternating large-star and small-star rounds of partial aggregations and joins; a round is staged, so the plan stays
     short and a lost executor costs one round. A node with very many neighbours is dealt over ``SALTS`` keys where it
-    tells them of the smallest. Nulls and self-links are left out; an empty table gives an empty one. Raises if it doesn't settle.
+    tells them of the smallest. Tables are merged, never broadcast: they grow with the links. Nulls and self-links are left out; an empty table gives an empty one. Raises if it doesn't settle.
     """
     e = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     e = ws.stage(e, "edges")
@@ -111,12 +111,12 @@ def components(ws: Workspace, edges: DataFrame, max_rounds: int = 60) -> DataFra
         both = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
         part = ws.stage(both.groupBy("u", "salt").agg(F.min("v").alias("m")), "part")
         low = part.groupBy("u").agg(F.min("m").alias("m")).select("u", F.least("u", "m").alias("m"))
-        low = part.select("u", "salt").join(low, "u")
-        large = both.join(low, ["u", "salt"]).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        low = part.select("u", "salt").join(low.hint("merge"), "u")
+        large = both.join(low.hint("merge"), ["u", "salt"]).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
         large = ws.stage(large, "large")
         # Small star: every node points its smaller neighbours at the smallest of them.
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        moved = large.join(low, "b").select("m", F.explode(F.array("a", "b")).alias("v")).where("m <> v")
+        moved = large.join(low.hint("merge"), "b").select("m", F.explode(F.array("a", "b")).alias("v")).where("m <> v")
         small = ws.stage(moved.select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "small")
         settled = _same(e, small)
         ws.drop(e, large, part)

@@ -111,8 +111,11 @@ def postings(fps: DataFrame, masks: Column) -> DataFrame:
 
 
 def hits(lists: DataFrame) -> DataFrame:
-    """(src, dst, mask) for every two fingerprints of a list; lists are short, as ``SPLITS`` says."""
-    pair = F.expr("explode(flatten(transform(fps, (x, i) -> transform(slice(fps, i + 2, size(fps)), y -> struct(least(x, y) AS src, greatest(x, y) AS dst)))))")
+    """(src, dst, mask) for every two fingerprints of a list that differ in at most ``MAX_BITS`` bits; lists are short, as ``SPLITS`` says.
+
+    Bits are compared where a list is, so that the many pairs of a hot list that are no links never become rows.
+    """
+    pair = F.expr(f"explode(flatten(transform(fps, (x, i) -> transform(filter(slice(fps, i + 2, size(fps)), y -> bit_count(x ^ y) <= {MAX_BITS}), y -> struct(least(x, y) AS src, greatest(x, y) AS dst)))))")
     return lists.groupBy("mask", "key").agg(F.collect_list("fp").alias("fps")).select("mask", pair.alias("p")).select("p.src", "p.dst", "mask")
 
 
@@ -125,7 +128,7 @@ def links(ws: Workspace, fps: DataFrame) -> DataFrame:
     entries, found = postings(fps, _first_masks()), None
     for split in [*SPLITS, None]:
         lengths = entries.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-        shared = ws.stage(entries.join(lengths, ["mask", "key"]), "shared")
+        shared = ws.stage(entries.join(lengths.hint("merge"), ["mask", "key"]), "shared")
         limit = LONG * split[0] if split else 64
         short = hits(shared.where(F.col("n") <= limit) if split else shared)
         found = short if found is None else found.unionByName(short)
@@ -137,7 +140,7 @@ def links(ws: Workspace, fps: DataFrame) -> DataFrame:
         added = F.array_distinct(F.flatten(F.transform("masks", partial(_added, *split[1:]))))
         entries = ws.stage(postings(long, added), "postings")  # made once: they are counted and then looked up
     tallied = found.groupBy("src", "dst").agg(F.bit_or("mask").alias("mask"))
-    return tallied.where(tally(F.col("mask")) >= MIN_MATCHES).where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= MAX_BITS).select("src", "dst")
+    return tallied.where(tally(F.col("mask")) >= MIN_MATCHES).select("src", "dst")
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -150,10 +153,11 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     edges = ws.stage(links(ws, nodes.select("fp")), "links")
     # Components of fingerprints; the smallest id in each follows by one more aggregation.
     found = components(ws, edges).withColumnRenamed("node", "fp")
-    named = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    # All of these tables grow with the documents, and compressed ones look small: they are merged, never broadcast.
+    named = nodes.join(found.hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "component").select("fp", "component", "component_id").join(slots.select("fp", "salt"), "fp")
-    return rows.join(ws.stage(named, "named"), ["fp", "salt"]).select("id", "fp", "component", "component_id")
+    named = named.join(least.hint("merge"), "component").select("fp", "component", "component_id").join(slots.select("fp", "salt").hint("merge"), "fp")
+    return rows.join(ws.stage(named, "named").hint("merge"), ["fp", "salt"]).select("id", "fp", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -204,6 +204,27 @@ def reach(n, linked):
     return root
 
 
+def test_simhash_broadcasts_nothing_that_grows(spark, monkeypatch):
+    """Staged tables are small once compressed and large once broadcast, which took the driver's memory at 0.6 GB."""
+    plans, stage = [], common.Workspace.stage
+
+    def noted(self, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(self, df, name)
+
+    monkeypatch.setattr(common.Workspace, "stage", noted)
+    docs = documents(spark, [(i, " ".join(f"w{j}" for j in range(i % 4, 40)), "s") for i in range(24)])
+    plans.append(simhash.near_duplicates(docs)._jdf.queryExecution().executedPlan().toString())
+    simhash.keep_first(docs)
+    assert len(plans) > 10 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_simhash_lists_give_only_pairs_of_few_bits(spark):
+    lists = spark.createDataFrame([(0, 0, f) for f in range(64)], "mask long, key long, fp long")
+    got = {(r.src, r.dst) for r in simhash.hits(lists).collect()}
+    assert got == {(a, b) for a in range(64) for b in range(a + 1, 64) if (a ^ b).bit_count() <= 3}
+
+
 def test_simhash_equals_brute_force(spark, odd_docs):
     got = simhash.near_duplicates(documents(spark, odd_docs)).collect()
     fps = [slow_fingerprint(t) for _, t, _ in odd_docs]
