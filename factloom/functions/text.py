@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,6 +66,22 @@ def stemmed(term: Column, stem: Callable[[str], str]) -> Column:
     return run(term)
 
 
+def stemmed_all(found: Column, stem: Callable[[str], str]) -> Column:
+    """Arrays of terms through a Python stemmer, each distinct term of a batch once; terms without a stem are left out."""
+
+    @F.arrow_udf("array<string>")
+    def run(rows: pa.Array) -> pa.Array:
+        coded = rows.flatten().dictionary_encode()
+        known = pa.array([stem(t) or None for t in coded.dictionary.to_pylist()], pa.string())
+        sizes = np.diff(rows.offsets.to_numpy())
+        stems = known.take(coded.indices)
+        kept = stems.is_valid().to_numpy(zero_copy_only=False)
+        ends = np.append(0, np.cumsum(kept))[np.append(0, np.cumsum(sizes))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), stems.drop_null())
+
+    return run(found)
+
+
 def sentences(lines: Column) -> Column:
     """(line, text) of each sentence of a packed page: rows with a number and a sentence that isn't blank, in stored order."""
     fields = F.transform(F.split(lines, "\n"), lambda r: F.split(r, "\t"))

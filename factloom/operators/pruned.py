@@ -1,10 +1,10 @@
-"""The best k documents by BM25 without scoring every posting: block maxima and a threshold that grows.
+"""The best k documents by BM25 without scoring every posting: block maxima and a threshold.
 
 A term's postings are stored by level of impact, each level with its highest impact. A document that none of the opened levels
 has can score no more than the tops of those still closed, and one that some have no more than its part so far and those
 of its other terms. Levels are opened in the order of what they take from that bound for each posting read, until the bound falls under
-the k-th best score known; from then on only documents that have been seen can be among the best, and of these only
-those whose own bound reaches the threshold meet the next levels. Each round raises the threshold or lowers the bounds.
+a share of a threshold, the k-th best of some exact scores; then only documents that have been seen can be among the best, and of these only
+those whose own bound reaches the threshold are scored in full. Postings are in buckets by document, so sums are made and judged where they are read.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.staging import staged, unstage
-from .index import Index
+from .index import Index, term_levels
 from .search import query_terms, top_k
 
-#: Shares of the threshold that the bound of closed levels is brought under, round by round.
-SHARES = (0.95, 0.8, 0.65, 0.4, 0.0)
+#: The share of the threshold that the bound of closed levels is brought under.
+SHARE = 0.5
 #: Postings of a query that give the first threshold, and documents that are scored for it, times k.
 FIRST, TRIED = 3000, 16
 #: Scores count to nine digits, so a bound may fall short by less.
@@ -44,7 +44,8 @@ def plan(index: Index, queries: DataFrame, id_col: str, text_col: str) -> DataFr
     """
     asked = query_terms(queries, id_col, text_col, index.stopwords, index.stem)
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = asked.join(index.terms, "term").crossJoin(F.broadcast(index.corpus)).select("qid", "term", (F.col("qtf") * idf).alias("w"), "levels")
+    levels = term_levels(index.levels.join(asked.select("term").distinct(), "term", "left_semi"))
+    asked = asked.join(levels, "term").crossJoin(F.broadcast(index.corpus)).select("qid", "term", (F.col("qtf") * idf).alias("w"), "levels")
     number = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("w"), "term")) - 1
     rows = asked.withColumn("no", number).select("qid", "term", "no", "w", F.inline("levels"))
     rows = rows.withColumn("bit", F.when(F.col("no") < 63, F.expr("shiftleft(1L, no)")).otherwise(F.lit(0).cast("long")))
@@ -75,41 +76,31 @@ def pruned_top_k(index: Index, queries: DataFrame, k: int, id_col: str = "item_i
     summed = lambda rows: rows.groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score"), F.bit_or("bit").alias("mask"), F.count("*").alias("hits"))
 
     # The first threshold: exact scores of the best of a few postings.
-    tried = top_k(summed(hits(levels.where(F.col("seen") - F.col("n") < FIRST))), TRIED * k)
+    first = stage(levels.where(F.col("seen") - F.col("n") < FIRST), "first")
+    tried = top_k(summed(hits(first)), TRIED * k)
     tried = stage(tried.select("qid", "doc_id", "hits"), "tried")
-    terms = levels.select("qid", "term", "w", "bit").distinct()
-    exact = stage(summed(entries.join(tried.select("qid", "doc_id").join(terms, "qid"), ["term", "doc_id"])), "exact")
+    terms = stage(levels.select("qid", "term", "w", "bit").distinct(), "terms")
+    of = lambda pairs: entries.join(pairs.select("qid", "doc_id"), "doc_id").join(terms, ["qid", "term"])
+    exact = stage(summed(of(tried)), "exact")
     theta = stage(_kth(exact, k), "theta")
     total = lambda t: t.agg(F.sum("hits")).first()[0] or 0
     read = [total(tried), total(exact)]
-    unstage(tried, exact)
-
-    known = levels.select("qid").distinct().join(theta, "qid", "left").select("qid", F.coalesce("theta", F.lit(0.0)).alias("theta"), F.lit(float("inf")).alias("cut"))
-    found = None
-    for share in SHARES:
-        done = [t for t in (known, found) if hasattr(t, "staged_path")]
-        known = stage(known.select("qid", "theta", F.col("cut").alias("before"), F.least("cut", F.col("theta") * share).alias("cut")), "known")
-        near = levels.join(known, "qid")
-        opened = near.where((F.col("bound") >= F.col("cut")) & (F.col("bound") < F.col("before"))).select("qid", "term", "level", "w", "bit")
-        rows = hits(opened)
-        if found is not None:
-            rows = rows.join(found.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi")
-        new = stage(summed(rows), "new")
-        read.append(total(new))
-        both = new if found is None else found.select(*new.columns).unionByName(new)
-        now = stage(both.groupBy("qid", "doc_id").agg(F.sum("score").alias("score"), F.bit_or("mask").alias("mask"), F.sum("hits").alias("hits")), "now")
-        # What each term can still count: that of the last of its levels that is open, or of its first if none is.
-        open_ = F.col("bound") >= F.col("cut")
-        rests = near.groupBy("qid", "no").agg(F.coalesce(F.min(F.when(open_, F.col("rest"))), F.max("first")).alias("rest"))
-        rests = rests.groupBy("qid").agg(F.sum("rest").alias("all"), F.transform(F.array_sort(F.collect_list(F.struct("no", "rest"))), lambda x: x["rest"]).alias("rest"))
-        cuts = known
-        known = known.join(_kth(now, k).withColumnRenamed("theta", "t"), "qid", "left").select("qid", F.greatest("theta", F.coalesce("t", F.lit(0.0))).alias("theta"), "cut")
-        done += [new, cuts]
-        known = stage(known, "raised")
-        taken = F.aggregate(F.sequence(F.lit(0), F.least(F.size("rest"), F.lit(63)) - 1), F.lit(0.0), lambda s, i: s + F.when(F.call_function("getbit", F.col("mask"), i) == 1, F.get("rest", i)).otherwise(0.0))
-        judged = now.join(known.join(rests, "qid"), "qid").where(F.col("score") + F.col("all") - taken >= F.col("theta") - SLACK)
-        found = stage(judged.select("qid", "doc_id", "score", "mask", "hits"), "found")
-        unstage(*done, now)
+    unstage(first, tried, exact)
+
+    # Levels are opened until a document in none of them can't reach a share of the threshold.
+    known = levels.select("qid").distinct().join(theta, "qid", "left").select("qid", F.coalesce("theta", F.lit(0.0)).alias("theta"))
+    near = stage(levels.join(known, "qid").withColumn("open", F.col("bound") >= F.col("theta") * SHARE - SLACK), "near")
+    opened = stage(near.where("open").select("qid", "term", "level", "w", "bit"), "opened")
+    read.append(near.where("open").agg(F.sum("n")).first()[0] or 0)
+    # What each term can still count: that of the last of its levels that is open, or of its first if none is.
+    rests = near.groupBy("qid", "theta", "no").agg(F.coalesce(F.min(F.when(F.col("open"), F.col("rest"))), F.max("first")).alias("rest"))
+    rests = rests.groupBy("qid", "theta").agg(F.sum("rest").alias("all"), F.transform(F.array_sort(F.collect_list(F.struct("no", "rest"))), lambda x: x["rest"]).alias("rest"))
+    taken = F.aggregate(F.sequence(F.lit(0), F.least(F.size("rest"), F.lit(63)) - 1), F.lit(0.0), lambda s, i: s + F.when(F.call_function("getbit", F.col("mask"), i) == 1, F.get("rest", i)).otherwise(0.0))
+    # Judged where it was added up: what can't reach the threshold is never written.
+    judged = summed(hits(opened)).join(stage(rests, "rests"), "qid").where(F.col("score") + F.col("all") - taken >= F.col("theta") - SLACK)
+    found = stage(judged.select("qid", "doc_id"), "found")
+    whole = stage(summed(of(found)), "whole")
+    read.append(total(whole))
     all_postings = levels.agg(F.sum("n")).first()[0] or 0
-    unstage(levels, theta, known)
-    return Pruned(top_k(found.select("qid", "doc_id", "score"), k), read, all_postings)
+    unstage(levels, terms, theta, near, opened, found)
+    return Pruned(top_k(whole.select("qid", "doc_id", "score"), k), read, all_postings)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import TOY_STOPWORDS, base_title, jaccard, normal_title, span_forms, starts_like_a_name, terms, token_set
+from ..sources.staging import staged
 from .index import Index, Stemmer, with_stems
 
 MAX_TITLE_WORDS = 8
@@ -20,18 +21,23 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str, stopwords: list[
     return with_stems(found, stem).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25_scores(index: Index, queries: DataFrame, id_col: str = "item_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25_scores(index: Index, queries: DataFrame, id_col: str = "item_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75, pairs: DataFrame | None = None) -> DataFrame:
     """(qid, doc_id, score) of documents that share a term with the query. Documents that share none have no row.
 
     idf = ln(1 + (n - df + 0.5) / (df + 0.5)); a term counts tf / (tf + k1 * (1 - b + b * dl / avgdl)). Queries pass through the
     analyzer that the index was built with. How many documents a term has is read from the index; the corpus statistics are one row.
+
+    Postings are in buckets by document, so no score moves: the queries' weights are staged, and Spark, knowing their size, broadcasts few and
+    merges many. With ``pairs`` (qid, doc_id), without repeats, only these are scored, and only they move.
     """
     asked = query_terms(queries, id_col, text_col, index.stopwords, index.stem)
     corpus = F.broadcast(index.corpus)
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.join(index.terms.select("term", "df"), "term").crossJoin(corpus).withColumn("w", F.col("qtf") * idf).select("qid", "term", "w", "avgdl")
+    weighted = staged(weighted, "weights")
     tf = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return index.postings.join(weighted, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("w") * tf).alias("score"))
+    hits = index.postings.join(weighted, "term") if pairs is None else index.postings.join(pairs.select("qid", "doc_id"), "doc_id").join(weighted, ["qid", "term"])
+    return hits.groupBy("qid", "doc_id").agg(F.sum(F.col("w") * tf).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, group: str = "qid", tie: str = "doc_id") -> DataFrame:
@@ -105,12 +111,18 @@ def title_matches(found: DataFrame, table: DataFrame, longest_only: bool = True)
     return hits.withColumn("match_pos", F.row_number().over(place)).where("not disambig").select("qid", "i", "j", "doc_id", "grp", "match_pos")
 
 
-def search_with_titles(matches: DataFrame, scores: DataFrame, k: int = 5, max_title: int = 3) -> DataFrame:
-    """(qid, rank, doc_id): up to ``max_title`` matched titles, exact ones first, each group by score, then the best by BM25, each document once."""
-    once = matches.groupBy("qid", "doc_id").agg(F.min(F.struct("grp", "match_pos")).alias("m")).select("qid", "doc_id", "m.grp", "m.match_pos")
+def matched_pages(matches: DataFrame) -> DataFrame:
+    """(qid, doc_id, grp, match_pos): each matched page once, as its best match."""
+    return matches.groupBy("qid", "doc_id").agg(F.min(F.struct("grp", "match_pos")).alias("m")).select("qid", "doc_id", "m.grp", "m.match_pos")
+
+
+def search_with_titles(once: DataFrame, scores: DataFrame, best: DataFrame, k: int = 5, max_title: int = 3) -> DataFrame:
+    """(qid, rank, doc_id): up to ``max_title`` matched titles, exact ones first, each group by score, then the best by BM25, each document once.
+
+    ``once`` has the matched pages, ``scores`` the scores of these, ``best`` the ``top_k`` of all documents."""
     ranked = once.join(scores, ["qid", "doc_id"], "left").withColumn("t", F.row_number().over(Window.partitionBy("qid").orderBy("grp", F.round(F.coalesce("score", F.lit(0.0)), 9).desc(), "match_pos", "doc_id")))
     first = ranked.where(F.col("t") <= max_title).select("qid", "doc_id", F.col("t").alias("prio"))
-    rest = top_k(scores, k).select("qid", "doc_id", (F.col("rank") + max_title).alias("prio"))
+    rest = best.where(F.col("rank") <= k).select("qid", "doc_id", (F.col("rank") + max_title).alias("prio"))
     merged = first.unionByName(rest).groupBy("qid", "doc_id").agg(F.min("prio").alias("prio"))
     merged = merged.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("prio")))
     return merged.where(F.col("rank") <= k).select("qid", "rank", "doc_id")

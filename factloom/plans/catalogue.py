@@ -12,7 +12,7 @@ from ..functions.stemming import english_stem
 from ..operators import context, datasets, episodes, inference, metrics, overlap, pruned, search, tablefunctions, traces
 from ..operators import index as ix
 from ..sources import io
-from ..sources.staging import shared_folder, ship
+from ..sources.staging import shared_folder, ship, staged
 from ..streaming import events as streams
 from ..streaming import resume
 from . import views
@@ -51,6 +51,11 @@ def _scores(spark: SparkSession, sf_dir: str) -> tuple[ix.Index, DataFrame]:
     return i, search.bm25_scores(i, table(spark, sf_dir, "benchmark"))
 
 
+def _best(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The k best documents of each claim as a table, for queries that need them more than once or to pick documents by."""
+    return staged(search.top_k(_scores(spark, sf_dir)[1], k), "best")
+
+
 @_query(f"WITH {_BM25} SELECT qid AS item_id, rank::int AS rank, doc_id, round(score, 6) AS score FROM rk WHERE rank <= 5")
 def bm25_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(_scores(spark, sf_dir)[1], 5).select(F.col("qid").alias("item_id"), "rank", "doc_id", F.round("score", 6).alias("score"))
@@ -111,8 +116,11 @@ def first_20_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.size("s").cast("long").alias("n"), F.array_max(F.transform("s", lambda x: x["line"])).alias("last_line"), F.array_join(F.transform("s", lambda x: x["text"]), "|").alias("shown"))
 
 
-def _shown(spark: SparkSession, sf_dir: str, scores: DataFrame) -> DataFrame:
-    return context.with_sentences(search.top_k(scores, 5), views.sentences(table(spark, sf_dir, "documents")))
+def _shown(spark: SparkSession, sf_dir: str, best: DataFrame | None = None) -> DataFrame:
+    """The sentences of each claim's five best documents. Only these documents are decoded, and none moves."""
+    best = _best(spark, sf_dir, 5) if best is None else best
+    docs = table(spark, sf_dir, "documents").join(best.select("doc_id").distinct(), "doc_id", "left_semi")
+    return staged(context.with_sentences(best, views.sentences(docs)), "shown")
 
 
 _SHOWN = f"""{_BM25}, {_SENTENCES},
@@ -121,14 +129,14 @@ sh AS (SELECT qid, rank, doc_id, line, text, row_number() OVER (PARTITION BY qid
 
 @_query(f"WITH {_SHOWN} SELECT qid AS item_id, 'E' || n AS eid, doc_id::varchar AS page, line, text FROM sh")
 def evidence_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = context.contexts(_shown(spark, sf_dir, _scores(spark, sf_dir)[1]))
+    rows = context.contexts(_shown(spark, sf_dir))
     return rows.select(F.col("qid").alias("item_id"), F.explode("shown").alias("s")).select("item_id", "s.*")
 
 
 @_query(f"""WITH {_SHOWN} SELECT item_id, sha256('Claim: ' || any_value(b.text) || chr(10) || chr(10) || 'Evidence:' || chr(10) || string_agg('E' || n || ' [' || doc_id || '] ' || sh.text, chr(10) ORDER BY n)) AS prompt_sha256, count(*)::int AS n_shown
 FROM benchmark b JOIN sh ON sh.qid = b.item_id GROUP BY item_id""")
 def render_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = context.contexts(_shown(spark, sf_dir, _scores(spark, sf_dir)[1])).join(table(spark, sf_dir, "benchmark"), F.col("qid") == F.col("item_id"))
+    rows = context.contexts(_shown(spark, sf_dir)).join(table(spark, sf_dir, "benchmark"), F.col("qid") == F.col("item_id"))
     return rows.select("item_id", F.sha2(context.render(F.col("text"), F.col("shown")), 256).alias("prompt_sha256"), F.size("shown").alias("n_shown"))
 
 
@@ -180,7 +188,10 @@ un AS (SELECT qid, doc_id, min(p) AS p FROM (SELECT qid, doc_id, t AS p FROM m2
 fin AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY p) AS rank FROM un)
 SELECT qid AS item_id, rank::int AS rank, doc_id FROM fin WHERE rank <= 5""")
 def search_with_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_with_titles(_matches(spark, sf_dir), _scores(spark, sf_dir)[1]).withColumnRenamed("qid", "item_id")
+    once = staged(search.matched_pages(_matches(spark, sf_dir)), "matched")
+    i, scores = _scores(spark, sf_dir)
+    of_matched = search.bm25_scores(i, table(spark, sf_dir, "benchmark"), pairs=once)
+    return search.search_with_titles(once, of_matched, search.top_k(scores, 5)).withColumnRenamed("qid", "item_id")
 
 
 @_query(f"""WITH {_BM25}, gp AS (SELECT b.item_id AS qid, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
@@ -470,7 +481,7 @@ def ordered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_BM25} SELECT qid AS item_id, doc_id, rank::int AS rank FROM rk WHERE rank BETWEEN 3 AND 5")
 def search_without_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = search.top_k(_scores(spark, sf_dir)[1], 5)
+    best = _best(spark, sf_dir, 5)
     return search.not_shown(best, best.where("rank <= 2"), "qid", "doc_id").select(F.col("qid").alias("item_id"), "doc_id", "rank")
 
 
@@ -528,8 +539,8 @@ SELECT item_id AS id, gold, '{{"verdict":"' || gold || '","evidence":[' || CASE
 FROM g LEFT JOIN (SELECT qid, count(*)::int AS n_shown FROM sh GROUP BY qid) s ON s.qid = item_id LEFT JOIN e ON e.qid = item_id WHERE item_id % 3 = 2 OR eid IS NOT NULL""")
 def sft_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training examples of claims whose gold evidence, a sentence of the first page or else the second one's first, is shown."""
-    ranked = search.top_k(_scores(spark, sf_dir)[1], 5)
-    found = context.contexts(context.with_sentences(ranked, views.sentences(table(spark, sf_dir, "documents"))))
+    ranked = _best(spark, sf_dir, 5)
+    found = context.contexts(_shown(spark, sf_dir, ranked))
     pages = ranked.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("p")))), lambda x: x["p"]).alias("pages"))
     item = F.col("item_id")
     gold = F.when(item % 3 == 0, labels.SUPPORTED).when(item % 3 == 1, labels.REFUTED).otherwise(labels.NOT_ENOUGH_INFO)
@@ -595,9 +606,8 @@ def nei_ablation_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""WITH {_SHOWN}, {_GOLD}, x AS (SELECT sh.qid, line < 2 AND (sh.qid, sh.doc_id) IN (SELECT (qid, doc_id) FROM gp) AS gone FROM sh)
 SELECT qid AS item_id, count(*) FILTER (NOT gone) AS n_shown, count(*) FILTER (gone) AS n_removed FROM x GROUP BY qid HAVING count(*) FILTER (NOT gone) > 0""")
 def nei_ablation_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i, scores = _scores(spark, sf_dir)
-    shown = _shown(spark, sf_dir, scores)
-    gold = views.gold_pages(i, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("line", F.explode(F.array(F.lit(0), F.lit(1))))
+    shown = _shown(spark, sf_dir)
+    gold = views.gold_pages(views.index(spark, sf_dir), table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("line", F.explode(F.array(F.lit(0), F.lit(1))))
     left = context.without_sentences(shown, gold).groupBy("qid").agg(F.count("*").alias("n_shown"))
     whole = shown.groupBy("qid").agg(F.count("*").alias("n"))
     return left.join(whole, "qid").select(F.col("qid").alias("item_id"), "n_shown", (F.col("n") - F.col("n_shown")).alias("n_removed"))
@@ -725,14 +735,14 @@ def small_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- models, episodes, streams: rows are checked by tests ------------------------------------------------------------
 @_query()
 def verify_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = context.contexts(_shown(spark, sf_dir, _scores(spark, sf_dir)[1])).join(table(spark, sf_dir, "benchmark"), F.col("qid") == F.col("item_id"))
+    rows = context.contexts(_shown(spark, sf_dir)).join(table(spark, sf_dir, "benchmark"), F.col("qid") == F.col("item_id"))
     out = inference.generate(rows.select(F.col("item_id").alias("id"), context.render(F.col("text"), F.col("shown")).alias("prompt")), inference.Stub)
     return out.select("id", "in_tokens", "out_tokens", parsing.parse(F.col("text"))["verdict"].alias("verdict"))
 
 
 @_query()
 def probe_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = context.contexts(_shown(spark, sf_dir, _scores(spark, sf_dir)[1])).join(table(spark, sf_dir, "benchmark"), F.col("qid") == F.col("item_id"))
+    rows = context.contexts(_shown(spark, sf_dir)).join(table(spark, sf_dir, "benchmark"), F.col("qid") == F.col("item_id"))
     rows = rows.select(F.col("item_id").alias("id"), context.render(F.col("text"), F.col("shown")).alias("prompt"), F.when(F.col("item_id") % 2 == 0, labels.SUPPORTED).otherwise(labels.REFUTED).alias("orig_label"))
     return inference.probe(rows, inference.Stub)
 

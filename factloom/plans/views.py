@@ -12,7 +12,7 @@ from ..functions.labels import NOT_ENOUGH_INFO
 from ..functions.stemming import english_stem
 from ..functions.text import ENGLISH_STOPWORDS
 from ..operators import index as ix
-from ..sources.staging import shared_folder, ship
+from ..sources.staging import shared_folder, ship, staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,13 +87,12 @@ def title_table(docs: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def gold_pages(index_: ix.Index, docs: DataFrame, claims: DataFrame) -> DataFrame:
-    """(qid, doc_id): documents that hold a claim word for word. Candidates are those with the claim's rarest term."""
+    """(qid, doc_id): documents that hold a claim word for word. Candidates are those with the claim's rarest term; they are staged, so few meet the texts where these are read."""
     from ..operators.search import query_terms
 
     asked = query_terms(claims, "item_id", "text")
-    entries = index_.postings.join(asked.select("term").distinct(), "term", "left_semi")
-    rarest = asked.join(entries.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("qid").agg(F.min(F.struct("df", "term")).alias("r")).select("qid", "r.term")
-    near = rarest.join(entries.select("term", "doc_id"), "term")
+    rarest = asked.join(index_.terms.select("term", "df"), "term").groupBy("qid").agg(F.min(F.struct("df", "term")).alias("r")).select("qid", "r.term")
+    near = staged(index_.postings.select("term", "doc_id").join(staged(rarest, "rarest"), "term"), "near")
     both = near.join(claims.select(F.col("item_id").alias("qid"), F.col("text").alias("claim")), "qid").join(docs.select("doc_id", "text"), "doc_id")
     return both.where(F.contains("text", F.col("claim"))).select("qid", "doc_id")
 

@@ -53,6 +53,28 @@ def test_pruned_reads_few_postings(spark, tmp_path):
     assert sum(found.read) < 0.2 * found.all_postings
 
 
+def test_scores_are_summed_and_compared_where_they_are_read(spark, tmp_path):
+    """What moves is the best k of each part, not a score for each query and document; the same holds of an index that another session loads."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, words(rng, 20, 60)) for i in range(200)], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, words(rng, 5, 60)) for i in range(4)], "item_id long, text string")
+    ix.build(docs, str(tmp_path / "i"))
+    spark.sql(f"DROP TABLE {ix._table(str(tmp_path / 'i'))}")
+    index = ix.load(spark, str(tmp_path / "i"))
+    best = search.top_k(search.bm25_scores(index, queries), 3)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.count("Exchange hashpartitioning") == 1
+    want = {(r.qid, r.doc_id): round(r.score, 9) for r in best.collect()}
+    got = {(r.qid, r.doc_id): round(r.score, 9) for r in search.bm25_scores(index, queries, pairs=best.select("qid", "doc_id")).collect()}
+    assert len(want) == 12 and got == want
+
+
+def test_stems_of_arrays(spark):
+    rows = spark.createDataFrame([(1, ["runs", "run", "ss", "x"]), (2, []), (3, ["ss"])], "id long, t array<string>")
+    got = {r[0]: r[1] for r in rows.select("id", text.stemmed_all(F.col("t"), lambda w: w.rstrip("s"))).collect()}
+    assert got == {1: ["run", "run", "x"], 2: [], 3: []}
+
+
 # A part of the vocabulary that the algorithm's authors published, word and stem.
 STEMS = """consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist consistent consist consistently consist
 consolation consol consolatory consolatori consolidate consolid consoling consol consolingly consol consonant conson consort consort conspicuous conspicu conspicuously conspicu conspiracy conspiraci
