@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQueryException
 from factloom.functions import stemming, text
 from factloom.operators import datasets, metrics, overlap, pruned, search, tablefunctions
 from factloom.operators import index as ix
+from factloom.plans import catalogue
 from factloom.plans.stemming_sql import stems_sql
 from factloom.sources import io
 from factloom.streaming import resume
@@ -69,6 +70,15 @@ def test_scores_are_summed_and_compared_where_they_are_read(spark, tmp_path):
     assert len(want) == 12 and got == want
 
 
+def test_outputs_are_parsed_once(spark, tmp_path):
+    """An optimized plan that repeats the parser for every field grows many times over, and so does the time for a row."""
+    rows = spark.range(8).selectExpr("id AS event_id", "id AS user_id", "'click' AS event_type", "1.0D AS value", "'{}' AS props")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    plan = catalogue.QUERIES["reward_of_outputs"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    projects = [x for x in plan.split("\n") if "Project" in x]
+    assert [x for x in projects if " AS a#" in x] and "AS reward#" in projects[0] and "from_json" not in projects[0]
+
+
 def test_stems_of_arrays(spark):
     rows = spark.createDataFrame([(1, ["runs", "run", "ss", "x"]), (2, []), (3, ["ss"])], "id long, t array<string>")
     got = {r[0]: r[1] for r in rows.select("id", text.stemmed_all(F.col("t"), lambda w: w.rstrip("s"))).collect()}
