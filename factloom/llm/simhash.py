@@ -1,9 +1,9 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
 A 64-bit fingerprint is eight bytes at fixed positions. Two fingerprints that differ in at most three bits agree in at least
-five bytes, the guaranteed minimum of matches. The index has a list for each set of positions and the bytes there; a list that is
-still long is split by adding positions, so that short lists alone are paired. Each list that two fingerprints meet in
-says which of their positions agree; a pair's tally adds that up, pairs that reach the minimum are verified by their bits.
+five bytes, the guaranteed minimum of matches. The index has lists for some sets of positions and the bytes there, enough for every
+five positions to be seen; a list that is still long is split by adding positions, so that short lists alone are paired. Each list that two
+fingerprints meet in says which of their positions agree; a pair's tally adds that up, pairs that reach the minimum are verified by their bits.
 """
 
 from __future__ import annotations
@@ -26,6 +26,9 @@ MIN_MATCHES = 5
 MAX_BITS = 3
 #: Positions of the first lists, and the length above which a list is split by one more (times what the split makes of an entry).
 FIRST, LONG = 3, 6
+#: The first lists: whichever five positions agree, each of these is in a list of agreeing ones, so a tally misses none. All 56 sets of
+#: three do that, too, with 56 entries of each fingerprint; these 16 are the least that a search found.
+LISTS = [(0, 1, 4), (0, 1, 6), (0, 2, 3), (0, 2, 6), (0, 3, 4), (0, 4, 7), (0, 5, 6), (0, 5, 7), (1, 2, 7), (1, 3, 5), (1, 4, 6), (2, 3, 4), (2, 4, 5), (2, 5, 6), (3, 6, 7), (4, 5, 7)]
 #: Parts into which rows with one fingerprint are dealt for joins.
 SALTS = 64
 #: Bytes of a text whose words are hashed together.
@@ -79,7 +82,7 @@ def _signed(m: int) -> int:
 
 
 def _first_masks() -> Column:
-    return F.array(*[F.lit(_signed(sum(255 << 8 * i for i in c))).cast("long") for c in combinations(range(8), FIRST)])
+    return F.array(*[F.lit(_signed(sum(255 << 8 * i for i in c))).cast("long") for c in LISTS])
 
 
 def _added(width: int, more: int, mask: Column) -> Column:
@@ -122,8 +125,8 @@ def hits(lists: DataFrame) -> DataFrame:
 def links(ws: Workspace, fps: DataFrame) -> DataFrame:
     """(src, dst): all pairs of the distinct, non-null fingerprints (fp) that differ in at most three bits.
 
-    Two such fingerprints agree in five positions at least, so they share a list of every set of these, and of any split of
-    it some list again; every position that agrees is seen in a list that is paired, and counts in the tally. An empty table has no links.
+    Two such fingerprints agree in five positions at least, so they share those of ``LISTS`` that lie in these, and of any split of
+    one some list again; every position that agrees is seen in a list that is paired, and counts in the tally. An empty table has no links.
     """
     entries, found = postings(fps, _first_masks()), None
     for split in [*SPLITS, None]:

@@ -237,6 +237,17 @@ def test_simhash_equals_brute_force(spark, odd_docs):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_simhash_lists_show_whichever_positions_agree(spark):
+    """Of any five positions each is in a list that lies in these; and a fingerprint, a hot one as well, has few entries."""
+    for agree in itertools.combinations(range(8), 5):
+        assert {p for c in simhash.LISTS if set(c) <= set(agree) for p in c} == set(agree)
+    assert simhash.postings(spark.range(10).select(F.col("id").alias("fp")), simhash._first_masks()).count() <= 160
+    far = [0, *(sum(1 << 8 * i for i in c) for c in itertools.combinations(range(8), 3))]  # three bits in any three bytes
+    signed = [f - 2**64 if f >= 2**63 else f for f in far]
+    edges = {(r.src, r.dst) for r in simhash.links(common.Workspace(spark, "test"), spark.createDataFrame([(f,) for f in signed], "fp long")).collect()}
+    assert edges == {(min(a, b), max(a, b)) for a in signed for b in signed if a != b and ((a ^ b) % 2**64).bit_count() <= 3}
+
+
 @pytest.mark.parametrize(("long", "free"), [(1, 24), (2, 64), (4, 12), (32, 24)])
 def test_links_of_long_lists_are_exact(spark, monkeypatch, long, free):
     """Lists are split down to bytes, halves and quarters of bytes; links are all pairs, whatever the split."""
