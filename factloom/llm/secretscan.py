@@ -95,31 +95,57 @@ def _per_word(kind: np.ndarray, table: WordTable) -> np.ndarray:
     return np.add.reduceat(kind[table.raw], table.start, dtype=np.int64)
 
 
-def features(table: WordTable, line: np.ndarray, file: np.ndarray | None = None) -> list[np.ndarray]:
-    """The features of each word, as small integers. ``line``: a number for each word's line; neighbours are of the same line.
-    ``file``: the class of each text's file, by default of the text itself."""
+def counts(table: WordTable) -> np.ndarray:
+    """For each word what its features are made of, as integers: its bytes, how many are of each kind and differ in kind from the one before, whether
+    it starts upper case, announces a secret, is a sign or ends in one. Those of a word's parts add up to its own, as ``_whole`` does."""
     raw, start, end = table.raw, table.start, table.end
+    if not len(start):
+        return np.zeros((0, 13), np.int32)
     no_space = ~SEPARATORS
     digits, upper, lower, symbols, punct = (_per_word((_CLASS == k) & no_space, table) for k in (_DIGIT, _UPPER, _LOW, _SYMBOL, _PUNCT))
     hexes, assigns = _per_word(_HEXES, table), _per_word(_ASSIGNS, table)
-    n = np.maximum(end - start, 1)
     kinds = _CLASS[raw]
     change = np.zeros(len(raw), bool)  # the byte differs in kind from the one before, in the same word
     change[1:] = kinds[1:] != kinds[:-1]
     change[start] = False
     change &= no_space[raw]
-    turns = np.add.reduceat(change, start, dtype=np.int64) if len(start) else np.zeros(0, np.int64)
+    turns = np.add.reduceat(change, start, dtype=np.int64)
+    lowered = WordTable.__new__(WordTable)
+    lowered.raw, lowered.start, lowered.end = np.frombuffer(raw.tobytes().translate(_LOWER), np.uint8), start, end
+    h = lowered.hashes()
+    return np.stack([end - start, digits, upper, lower, symbols, punct, hexes, assigns, turns, _CLASS[raw[start]] == _UPPER, _among(h, _SAID_HASHES), _among(h, _SIGN_HASHES), _ASSIGNS[raw[end - 1]].astype(bool)], axis=1, dtype=np.int32, casting="unsafe")
+
+
+def _whole(raw: memoryview, start: int, end: int) -> np.ndarray:
+    """The counts of one very long word, part by part; it is longer than any that announces a secret."""
+    out = None
+    for i in range(start, end, PART):
+        part = np.frombuffer(raw[i : min(i + PART, end)], np.uint8)
+        own = counts(WordTable(part, np.array([0, len(part)])))
+        if out is None:
+            out = own
+        else:
+            out[:, :9] += own[:, :9]
+            out[0, 8] += _CLASS[raw[i]] != _CLASS[raw[i - 1]]
+            out[:, 12] = own[:, 12]
+    out[:, 10:12] = 0
+    return out
+
+
+def features(table: WordTable, line: np.ndarray, file: np.ndarray | None = None) -> list[np.ndarray]:
+    """The features of each word, as small integers. ``line``: a number for each word's line; neighbours are of the same line.
+    ``file``: the class of each text's file, by default of the text itself."""
+    return _features(counts(table), line, (file_class(table) if file is None else file)[table.row])
+
+
+def _features(counted: np.ndarray, line: np.ndarray, file: np.ndarray) -> list[np.ndarray]:
+    size, digits, upper, lower, symbols, punct, hexes, assigns, turns, starts_upper, said, sign, ends_open = counted.T
+    starts_upper, said, sign, ends_open = (x.astype(bool) for x in (starts_upper, said, sign, ends_open))
+    n = np.maximum(size, 1)
     length = np.searchsorted([4, 8, 12, 16, 20, 28, 40], n, side="right")
     share = np.where(digits == 0, 0, 1 + np.searchsorted([0.2, 0.5, 0.9], digits / n, side="right"))
-    starts_upper = _CLASS[raw[start]] == _UPPER if len(start) else np.zeros(0, bool)
     case = np.where(upper + lower == 0, 0, np.where(upper == 0, 1, np.where(lower == 0, 4, np.where((upper == 1) & starts_upper, 2, 3))))
     turning = np.searchsorted([0.05, 0.15, 0.3, 0.45], turns / n, side="right")
-    lowered = WordTable.__new__(WordTable)
-    lowered.raw, lowered.start, lowered.end = np.frombuffer(raw.tobytes().translate(_LOWER), np.uint8), start, end
-    h = lowered.hashes()
-    said = _among(h, _SAID_HASHES)
-    sign = _among(h, _SIGN_HASHES)
-    ends_open = _ASSIGNS[raw[end - 1]].astype(bool) if len(end) else np.zeros(0, bool)
 
     def beside(x: np.ndarray, by: int) -> np.ndarray:
         out = np.zeros_like(x)
@@ -130,7 +156,6 @@ def features(table: WordTable, line: np.ndarray, file: np.ndarray | None = None)
         return out
 
     role = np.where(said, 1, np.where(sign, 2, np.where(ends_open, 3, 0)))
-    file = (file_class(table) if file is None else file)[table.row]
     return [length, share, case, np.minimum(symbols, 2), turning, ((n >= 16) & (hexes >= 0.8 * n)).astype(int), np.minimum(punct, 2), beside(role, 1), beside(said.astype(int), 2), np.minimum(beside(role, -1), 2), file, ((assigns > 0) & ~ends_open).astype(int), length * 5 + turning, share * 5 + case]
 
 
@@ -340,6 +365,7 @@ def measured(field: Field, texts: list[str], lines: int, seed: int, secret=made_
 
 
 _VALUE = re.compile(r"[A-Za-z0-9+/_.=-]+")
+_VALUES = np.array([_VALUE.match(chr(i)) is not None for i in range(256)])
 
 
 def _value(word: str) -> tuple[int, int]:
@@ -348,6 +374,24 @@ def _value(word: str) -> tuple[int, int]:
     return (runs[0][0], runs[-1][1]) if runs else (0, 0)
 
 
+def _value_in(raw: memoryview, start: int, end: int) -> tuple[int, int]:
+    """``_value`` of the word at these bytes, in memory for a part of it."""
+    if end - start <= PART:
+        return _value(str(raw[start:end], "utf-8", "replace"))
+    parts = [(i, min(i + PART, end)) for i in range(start, end, PART)]
+    found = lambda i, j: np.flatnonzero(_VALUES[np.frombuffer(raw[i:j], np.uint8)])
+    first = next((i + int(f[0]) for i, j in parts if len(f := found(i, j))), None)
+    if first is None:
+        return 0, 0
+    last = next(i + int(f[-1]) + 1 for i, j in reversed(parts) if len(f := found(i, j)))
+    return _points(raw, start, first), _points(raw, start, last)
+
+
+def _points(raw: memoryview, start: int, end: int) -> int:
+    """The code points that start between two bytes."""
+    return sum(int((np.frombuffer(raw[i : min(i + PART, end)], np.uint8) & 0xC0 != 0x80).sum()) for i in range(start, end, PART))
+
+
 def scan(column: pa.Array, field: Field) -> list[list[Span]]:
     """All spans of each text of a column, in code points, by start and then kind. Tagged spans that lie inside a pattern's
     are not added; those that reach further are, beside it. Long texts are gone through part by part."""
@@ -403,10 +447,8 @@ def _scan_together(column: pa.Array, field: Field) -> list[list[Span]]:
     return out
 
 
-#: Bytes of a long text that are gone through at once, and those of the longest word that can be tagged.
-PART, LONGEST_WORD = 1 << 20, 1 << 12
-#: Words beside a part of a line that its features look at.
-_BESIDE = 2
+#: Bytes of a long text that are gone through at once.
+PART = 1 << 20
 
 
 class Chain:
@@ -471,17 +513,34 @@ def _long_parts(raw: memoryview) -> Iterator[tuple[int, int]]:
         start = end
 
 
+def _long_words(raw: memoryview) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(counts, line, words) of the words of each part of a long text; words: code points before, first byte, last byte."""
+    lines = before = 0
+    for start, end in _long_parts(raw):
+        if end - start > 2 * PART:  # one word, and what ends it
+            stop = end - int(bool(SEPARATORS[raw[end - 1]]))
+            yield _whole(raw, start, stop), np.array([lines]), np.array([[before, start, stop]])
+            lines, before = lines + int(raw[end - 1] == 10), before + _points(raw, start, end)
+            continue
+        part = np.frombuffer(raw[start:end], np.uint8)
+        table = WordTable(part, np.array([0, len(part)]))
+        points = np.append(0, np.cumsum((part & 0xC0) != 0x80))
+        yield counts(table), lines + lines_of(table), np.stack([before + points[table.start], table.start + start, table.end + start], axis=1)
+        lines, before = lines + int((part == 10).sum()), before + int(points[-1])
+
+
 def _scan_long(raw: memoryview, text: str, field: Field) -> list[Span]:
-    """The spans of one long text in memory for a part of it, besides the text. Words of over ``LONGEST_WORD`` bytes are not tagged, whatever they are."""
+    """The spans of one long text in memory for a part of it, besides the text: those that it would have if it were gone through at once."""
     size = marks = longest = 0
     for start, end in _long_parts(raw):
-        if end - start > 2 * PART:  # one word
+        for i in range(start, end, PART):
+            part = np.frombuffer(raw[i : min(i + PART, end)], np.uint8)
+            size, marks = size + int((~SEPARATORS[part]).sum()), marks + int(_MARKS[part].sum(dtype=np.int64))
+        if end - start > PART:
             longest = max(longest, end - start)
-            continue
-        table = WordTable(np.frombuffer(raw[start:end], np.uint8), np.array([0, end - start]))
-        if len(table.start):
-            length = table.end - table.start
-            size, marks, longest = size + int(length.sum()), marks + int(_per_word(_MARKS, table).sum()), max(longest, int(length.max()))
+        else:
+            table = WordTable(np.frombuffer(raw[start:end], np.uint8), np.array([0, end - start]))
+            longest = max(longest, int((table.end - table.start).max(initial=0)))
     file = np.searchsorted([0.002, 0.02, 0.08], [marks / max(size, 1)], side="right")
     chain, tagged, before = Chain(field), [], 0
     waiting = np.zeros((0, 3), np.int64)  # words of the line whose tags aren't certain: code points before, first byte, last byte
@@ -493,7 +552,7 @@ def _scan_long(raw: memoryview, text: str, field: Field) -> list[Span]:
         last = -1
         for i in np.flatnonzero(tags).tolist():
             at, p, q = words[i].tolist()
-            a, b = _value(str(raw[p:q], "utf-8", "replace"))
+            a, b = _value_in(raw, p, q)
             if open_ and (tags[i] == BEGIN or i != last + 1):
                 tagged.append(tuple(open_))
                 open_ = None
@@ -514,58 +573,48 @@ def _scan_long(raw: memoryview, text: str, field: Field) -> list[Span]:
         waiting = waiting[len(tags) :]
 
     nothing = np.zeros((0, 3), np.float32)
-    for start, end in _long_parts(raw):
-        whole = end == len(raw) or raw[end - 1] == 10
-        if end - start > 2 * PART:
-            settle(nothing, True)
-            before += int((np.frombuffer(raw[start:end], np.uint8) & 0xC0 != 0x80).sum())
-            continue
-        head = start if start == 0 or raw[start - 1] == 10 else _back(raw, start)
-        tail = end if whole else _ahead(raw, end)
-        part = np.frombuffer(raw[head:tail], np.uint8)
-        table = WordTable(part, np.array([0, len(part)]))
-        own = np.flatnonzero((table.start >= start - head) & (table.start < end - head))
-        here = np.append(0, np.cumsum((part[start - head : end - head] & 0xC0) != 0x80))
-        first = int(table.start[own[0]]) + head if len(own) else end
-        if b"\n" in bytes(raw[start:first]):
-            settle(nothing, True)
-        if len(own):
-            line = lines_of(table)
-            e = field.emissions(features(table, line, file))
-            e[table.end - table.start > LONGEST_WORD, BEGIN:] = -1e6
-            e, line = e[own], line[own]
-            words = np.stack([before + here[table.start[own] - (start - head)], table.start[own] + head, table.end[own] + head], axis=1)
-            done = 0
-            if len(waiting) or chain.score is not None or not whole:
-                done = int(np.searchsorted(line, line[0], side="right"))
-                waiting = np.concatenate([waiting, words[:done]])
-                settle(e[:done], whole or done < len(line))
-            tags, line, words = field.decode(e[done:], line[done:]), line[done:], words[done:]
-            found = np.flatnonzero(tags)
-            for group in np.split(found, np.flatnonzero(np.diff(line[found])) + 1) if len(found) else []:
-                lo, hi = int(group[0]), int(group[-1]) + 1
-                take(tags[lo:hi], words[lo:hi], True)
-        before += int(here[-1])
+    on = -1  # the line that the chain is in
+
+    def settle_words(e: np.ndarray, line: np.ndarray, words: np.ndarray) -> None:
+        """Tags the next words. Lines that end among them are decoded together; the last may go on, so it is left to the chain."""
+        nonlocal waiting, on
+        if not len(line):
+            return
+        done = int(np.searchsorted(line, on, side="right"))
+        waiting = np.concatenate([waiting, words[:done]])
+        if done:
+            settle(e[:done], False)
+        if done == len(line):
+            return
+        settle(nothing, True)
+        on, cut = int(line[-1]), int(np.searchsorted(line, line[-1]))
+        ended, own = line[done:cut], words[done:cut]
+        tags = field.decode(e[done:cut], ended)
+        found = np.flatnonzero(tags)
+        for group in np.split(found, np.flatnonzero(np.diff(ended[found])) + 1) if len(found) else []:
+            lo, hi = int(group[0]), int(group[-1]) + 1
+            take(tags[lo:hi], own[lo:hi], True)
+        waiting = words[cut:]
+        settle(e[cut:], False)
+
+    # A word's features look at two words before it and one after: the last word of a part waits for the next part.
+    held, known = None, 0
+    for new in _long_words(raw):
+        rows = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
+        n = len(rows[1])
+        if n > known + 1:
+            e = field.emissions(_features(rows[0], rows[1], np.broadcast_to(file, n)))
+            settle_words(e[known : n - 1], rows[1][known : n - 1], rows[2][known : n - 1])
+            cut = max(0, n - 3)
+            rows, known = tuple(x[cut:] for x in rows), n - 1 - cut
+        held = rows
+    if held is not None and len(held[1]):
+        e = field.emissions(_features(held[0], held[1], np.broadcast_to(file, len(held[1]))))
+        settle_words(e[known:], held[1][known:], held[2][known:])
     settle(nothing, True)
     return _with_tagged(base_spans(text, bytes(raw), longest), tagged, field.shortest)
 
 
-def _back(raw: memoryview, at: int) -> int:
-    """Where the second word before a place of a line starts, or a later one where words are long."""
-    some = bytes(raw[max(0, at - 2 * LONGEST_WORD) : at])
-    some = some[some.rfind(b"\n") + 1 :]
-    found = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", some)][-_BESIDE:]
-    return at - len(some) + (found[0] if found else len(some))
-
-
-def _ahead(raw: memoryview, at: int) -> int:
-    """Where the second word after a place of a line ends, or an earlier one where words are long."""
-    some = bytes(raw[at : at + 2 * LONGEST_WORD])
-    some = some.split(b"\n")[0]
-    found = [m.end() for m in re.finditer(rb"[^\x20\x09-\x0D]+", some)][:_BESIDE]
-    return at + (found[-1] if found else 0)
-
-
 def sample_texts(docs: DataFrame, rows: int, id_col: str, text_col: str, longest: int) -> list[str]:
     """At most ``rows`` texts of under ``longest`` characters, those whose ids have the smallest hashes."""
     short = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.length("text") < longest))

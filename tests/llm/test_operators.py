@@ -634,6 +634,24 @@ def test_long_texts_are_scanned_part_by_part(monkeypatch):
         assert secretscan.scan(pa.array(texts), field) == want
 
 
+@pytest.mark.parametrize("part", [300, 5000, 1 << 14])
+def test_words_of_any_length_are_tagged_whatever_the_size_of_the_text(monkeypatch, part):
+    """Words of over 4,096 bytes, more than a part, too, with the same tags and file class in a text that is gone through part by part."""
+    rng, gen = random.Random(8), np.random.default_rng(8)
+    field = secretscan.Field(gen.normal(size=(secretscan._OFFSETS[-1], 3)).astype(np.float32), gen.normal(size=(3, 3)), 6)
+    field.weights[:, secretscan.BEGIN] += 0.2
+    word = lambda n: "".join(rng.choice(["a", "B", "7", "=", "é", "!", "+/", "{;"]) * rng.randint(1, 4) for _ in range(n))
+    texts = ["", "x" * 70_000 + "=", "!" * 40_000 + "\n" + "é" * 40_000]
+    for _ in range(12):
+        words = [rng.choice([word(rng.randint(1, 6)), "token", "password:", "=", "x" + "y" * 8184 + "=", word(3000), word(12_000)]) for _ in range(rng.randint(1, 25))]
+        texts.append("".join(w + rng.choice([" ", "\n", "  ", "\t", " \n\n"]) for w in words) + rng.choice(["", word(2000)]))
+    monkeypatch.setattr(secretscan, "PART", 1 << 24)
+    want = secretscan.scan(pa.array(texts), field)
+    assert sum(end - start > 4096 for spans in want for start, end, kind in spans if kind == "crf") > 10
+    monkeypatch.setattr(secretscan, "PART", part)
+    assert secretscan.scan(pa.array(texts), field) == want
+
+
 def test_counts_and_fingerprints_of_long_texts(monkeypatch):
     """The same whatever the size of a part."""
     rng = random.Random(78)
