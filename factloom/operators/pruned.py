@@ -17,14 +17,12 @@ from pyspark.sql.window import Window
 
 from ..sources.staging import staged, unstage
 from .index import Index, term_levels
-from .search import query_terms, top_k
+from .search import SLACK, kth_best, query_terms, top_k
 
 #: The share of the threshold that the bound of closed levels is brought under.
 SHARE = 0.5
 #: Postings of a query that give the first threshold, and documents that are scored for it, times k.
 FIRST, TRIED = 3000, 16
-#: Scores count to nine digits, so a bound may fall short by less.
-SLACK = 1e-6
 
 
 @dataclass
@@ -57,12 +55,6 @@ def plan(index: Index, queries: DataFrame, id_col: str, text_col: str) -> DataFr
     return rows.select("qid", "term", "no", "bit", "w", "level", "n", "gain", "rest", "first", "bound", "seen")
 
 
-def _kth(scored: DataFrame, k: int) -> DataFrame:
-    """(qid, theta): the k-th best of ``score``; queries with fewer rows have none."""
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score")))).where(F.col("r") <= k)
-    return best.groupBy("qid").agg(F.min("score").alias("theta"), F.count("*").alias("m")).where(F.col("m") == k).select("qid", "theta")
-
-
 def pruned_top_k(index: Index, queries: DataFrame, k: int, id_col: str = "item_id", text_col: str = "text") -> Pruned:
     """(qid, doc_id, score, rank) of the k best documents of each query, the same rows as ``top_k(bm25_scores(...), k)``.
 
@@ -82,7 +74,7 @@ def pruned_top_k(index: Index, queries: DataFrame, k: int, id_col: str = "item_i
     terms = stage(levels.select("qid", "term", "w", "bit").distinct(), "terms")
     of = lambda pairs: entries.join(pairs.select("qid", "doc_id"), "doc_id").join(terms, ["qid", "term"])
     exact = stage(summed(of(tried)), "exact")
-    theta = stage(_kth(exact, k), "theta")
+    theta = stage(kth_best(exact, k), "theta")
     total = lambda t: t.agg(F.sum("hits")).first()[0] or 0
     read = [total(tried), total(exact)]
     unstage(first, tried, exact)

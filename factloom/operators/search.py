@@ -13,6 +13,10 @@ from .index import Index, Stemmer, with_stems
 MAX_TITLE_WORDS = 8
 #: Bitmaps of 4 KB that a filter of titles has at most.
 FILTER_BUCKETS = 4096
+#: One of so many documents is scored first, for a bound under which no score is among the best.
+SHARE = 32
+#: Scores count to nine digits, so a bound may fall short by less.
+SLACK = 1e-6
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str, stopwords: list[str] | None = None, stem: Stemmer | None = None) -> DataFrame:
@@ -30,14 +34,40 @@ def bm25_scores(index: Index, queries: DataFrame, id_col: str = "item_id", text_
     Postings are in buckets by document, so no score moves: the queries' weights are staged, and Spark, knowing their size, broadcasts few and
     merges many. With ``pairs`` (qid, doc_id), without repeats, only these are scored, and only they move.
     """
+    weighted = _weights(index, queries, id_col, text_col)
+    return _summed(index.postings if pairs is None else index.postings.join(pairs.select("qid", "doc_id"), "doc_id"), weighted, ["term"] if pairs is None else ["qid", "term"], k1, b)
+
+
+def _weights(index: Index, queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(qid, term, w, avgdl), staged: what each term of a query weighs."""
     asked = query_terms(queries, id_col, text_col, index.stopwords, index.stem)
-    corpus = F.broadcast(index.corpus)
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.join(index.terms.select("term", "df"), "term").crossJoin(corpus).withColumn("w", F.col("qtf") * idf).select("qid", "term", "w", "avgdl")
-    weighted = staged(weighted, "weights")
+    known = asked.join(index.terms.select("term", "df"), "term").crossJoin(F.broadcast(index.corpus))
+    return staged(known.withColumn("w", F.col("qtf") * idf).select("qid", "term", "w", "avgdl"), "weights")
+
+
+def _summed(postings: DataFrame, weighted: DataFrame, keys: list[str], k1: float, b: float) -> DataFrame:
     tf = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = index.postings.join(weighted, "term") if pairs is None else index.postings.join(pairs.select("qid", "doc_id"), "doc_id").join(weighted, ["qid", "term"])
-    return hits.groupBy("qid", "doc_id").agg(F.sum(F.col("w") * tf).alias("score"))
+    return postings.join(weighted, keys).groupBy("qid", "doc_id").agg(F.sum(F.col("w") * tf).alias("score"))
+
+
+def best_k(index: Index, queries: DataFrame, k: int, id_col: str = "item_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """The rows of ``top_k(bm25_scores(...), k)``, of which few are sorted.
+
+    Sorting every score costs more than adding them up. The k-th best score among every ``SHARE``-th document is no higher than that among all, so
+    what is below it is dropped where it was added up; a query for which that part has fewer than k documents keeps all.
+    """
+    weighted = _weights(index, queries, id_col, text_col)
+    part = index.postings.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0)
+    least = staged(kth_best(_summed(part, weighted, ["term"], k1, b), k), "least")
+    near = _summed(index.postings, weighted, ["term"], k1, b).join(least, "qid", "left")
+    return top_k(near.where(F.col("theta").isNull() | (F.col("score") >= F.col("theta") - SLACK)).select("qid", "doc_id", "score"), k)
+
+
+def kth_best(scored: DataFrame, k: int) -> DataFrame:
+    """(qid, theta): the k-th best of ``score``; queries with fewer rows have none."""
+    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score")))).where(F.col("r") <= k)
+    return best.groupBy("qid").agg(F.min("score").alias("theta"), F.count("*").alias("m")).where(F.col("m") == k).select("qid", "theta")
 
 
 def top_k(scored: DataFrame, k: int, group: str = "qid", tie: str = "doc_id") -> DataFrame:

@@ -46,19 +46,18 @@ sc AS (SELECT qid, doc_id, sum(qtf * ln(1.0::double + (n - df + 0.5::double) / (
 rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc)"""
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> tuple[ix.Index, DataFrame]:
-    i = views.index(spark, sf_dir)
-    return i, search.bm25_scores(i, table(spark, sf_dir, "benchmark"))
+def _top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return search.best_k(views.index(spark, sf_dir), table(spark, sf_dir, "benchmark"), k)
 
 
 def _best(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """The k best documents of each claim as a table, for queries that need them more than once or to pick documents by."""
-    return staged(search.top_k(_scores(spark, sf_dir)[1], k), "best")
+    return staged(_top(spark, sf_dir, k), "best")
 
 
 @_query(f"WITH {_BM25} SELECT qid AS item_id, rank::int AS rank, doc_id, round(score, 6) AS score FROM rk WHERE rank <= 5")
 def bm25_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.top_k(_scores(spark, sf_dir)[1], 5).select(F.col("qid").alias("item_id"), "rank", "doc_id", F.round("score", 6).alias("score"))
+    return _top(spark, sf_dir, 5).select(F.col("qid").alias("item_id"), "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 _STOPS = ", ".join(f"'{w}'" for w in text.ENGLISH_STOPWORDS)
@@ -70,8 +69,8 @@ _STEMMED = f"{_STEMS}, " + _BM25.replace(f"SELECT doc_id, unnest({_TERMS}) AS te
 
 @_query(f"WITH {_STEMMED} SELECT qid AS item_id, rank::int AS rank, doc_id, round(score, 6) AS score FROM rk WHERE rank <= 5")
 def bm25_stemmed_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = search.bm25_scores(views.index(spark, sf_dir, english=True), table(spark, sf_dir, "benchmark"))
-    return search.top_k(scores, 5).select(F.col("qid").alias("item_id"), "rank", "doc_id", F.round("score", 6).alias("score"))
+    best = search.best_k(views.index(spark, sf_dir, english=True), table(spark, sf_dir, "benchmark"), 5)
+    return best.select(F.col("qid").alias("item_id"), "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 @_query(f"WITH {_BM25} SELECT qid AS item_id, rank::int AS rank, doc_id, round(score, 6) AS score FROM rk WHERE rank <= 5")
@@ -189,18 +188,16 @@ fin AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY p) AS r
 SELECT qid AS item_id, rank::int AS rank, doc_id FROM fin WHERE rank <= 5""")
 def search_with_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = staged(search.matched_pages(_matches(spark, sf_dir)), "matched")
-    i, scores = _scores(spark, sf_dir)
-    of_matched = search.bm25_scores(i, table(spark, sf_dir, "benchmark"), pairs=once)
-    return search.search_with_titles(once, of_matched, search.top_k(scores, 5)).withColumnRenamed("qid", "item_id")
+    of_matched = search.bm25_scores(views.index(spark, sf_dir), table(spark, sf_dir, "benchmark"), pairs=once)
+    return search.search_with_titles(once, of_matched, _top(spark, sf_dir, 5)).withColumnRenamed("qid", "item_id")
 
 
 @_query(f"""WITH {_BM25}, gp AS (SELECT b.item_id AS qid, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 q AS (SELECT DISTINCT qid FROM gp), ks AS (SELECT unnest([1, 3, 5, 10]) AS k)
 SELECT k, avg((EXISTS (SELECT 1 FROM gp JOIN rk USING (qid, doc_id) WHERE gp.qid = q.qid AND rk.rank <= ks.k))::int) AS recall, count(*) AS n FROM q, ks GROUP BY k""")
 def page_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i, scores = _scores(spark, sf_dir)
-    gold = views.gold_pages(i, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).groupBy("qid").agg(F.collect_list(F.array("doc_id")).alias("sets"))
-    return search.recall_at_k(search.top_k(scores, 10), gold, [1, 3, 5, 10])
+    gold = views.gold_pages(views.index(spark, sf_dir), table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).groupBy("qid").agg(F.collect_list(F.array("doc_id")).alias("sets"))
+    return search.recall_at_k(_top(spark, sf_dir, 10), gold, [1, 3, 5, 10])
 
 
 _TOKENS = "list_filter(list_distinct(list_transform(list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> ''), lambda x: lower(regexp_replace(x, '^[.,]+|[.,]+$', '', 'g')))), lambda x: NOT list_contains([" + ", ".join(f"'{w}'" for w in text.TOY_STOPWORDS) + "], x))"
@@ -585,7 +582,7 @@ def per_class_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT qid AS item_id, string_agg(doc_id::varchar, ',' ORDER BY md5('11-' || qid || '-' || doc_id), doc_id::varchar) AS pages FROM rk JOIN m USING (qid) WHERE rank <= 4 OR rank = m AND m = 8 OR rank = 5 AND m < 8 GROUP BY qid""")
 def oracle_page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gold page, here the eighth retrieved, and the first retrieved ones, five in all, in an order seeded by the claim."""
-    best = search.top_k(_scores(spark, sf_dir)[1], 8).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("p")))), lambda x: x["p"]).alias("pages"))
+    best = _top(spark, sf_dir, 8).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("p")))), lambda x: x["p"]).alias("pages"))
     gold = F.array(F.array(F.struct(F.get("pages", F.lit(7)).alias("page"), F.lit(0).alias("line"))))
     sets = F.when(F.size("pages") == 8, gold).otherwise(F.slice(gold, 1, 0))
     return best.select(F.col("qid").alias("item_id"), F.array_join(context.oracle_pages(sets, F.slice("pages", 1, 5), F.col("qid"), 11), ",").alias("pages"))
@@ -597,9 +594,8 @@ _GOLD = "gp AS (SELECT b.item_id AS qid, d.doc_id FROM benchmark b JOIN document
 @_query(f"""WITH {_BM25}, {_GOLD}, k AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS r FROM rk WHERE rank <= 8 AND (qid, doc_id) NOT IN (SELECT (qid, doc_id) FROM gp))
 SELECT qid AS item_id, string_agg(doc_id::varchar, ',' ORDER BY r) AS pages FROM k WHERE r <= 5 GROUP BY qid""")
 def nei_ablation_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i, scores = _scores(spark, sf_dir)
-    gold = views.gold_pages(i, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).groupBy("qid").agg(F.collect_list(F.col("doc_id").cast("string")).alias("gold"))
-    lists = search.top_k(scores, 8).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("p")))).alias("x")).join(gold, "qid", "left")
+    gold = views.gold_pages(views.index(spark, sf_dir), table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).groupBy("qid").agg(F.collect_list(F.col("doc_id").cast("string")).alias("gold"))
+    lists = _top(spark, sf_dir, 8).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("p")))).alias("x")).join(gold, "qid", "left")
     kept = context.without_pages(F.transform("x", lambda s: s["p"]), F.coalesce("gold", F.array().cast("array<string>")))
     return lists.select(F.col("qid").alias("item_id"), F.array_join(kept, ",").alias("pages")).where("pages <> ''")
 

@@ -70,6 +70,34 @@ def test_scores_are_summed_and_compared_where_they_are_read(spark, tmp_path):
     assert len(want) == 12 and got == want
 
 
+def test_index_goes_through_texts_once(spark, tmp_path):
+    """Documents count once for each row, those without a term too; levels of impact are made when they are read."""
+    docs = spark.createDataFrame([(1, "aa bb aa"), (2, "bb"), (3, ""), (4, None), (4, None)], "doc_id long, text string")
+    index = ix.build(docs, str(tmp_path / "i"))
+    assert sorted(p.name for p in (tmp_path / "i").iterdir()) == ["analyzer", "corpus", "postings", "terms"]
+    assert index.corpus.first()["n"] == 5 and index.corpus.first()["avgdl"] == 0.8
+    assert {(r.doc_id, r.dl, r.term, r.tf) for r in index.postings.collect()} == {(1, 3, "aa", 2), (1, 3, "bb", 1), (2, 1, "bb", 1)}
+    assert {(r.term, r.df, r.cf) for r in index.terms.collect()} == {("aa", 1, 2), ("bb", 2, 2)}
+    assert index.levels.agg(F.sum("n")).first()[0] == 3
+    nothing = ix.build(docs.where("doc_id > 9"), str(tmp_path / "none"))
+    assert nothing.corpus.first()["n"] == 0 and search.best_k(nothing, docs.withColumnRenamed("doc_id", "item_id"), 3).count() == 0
+
+
+@pytest.mark.parametrize(("share", "k"), [(1, 3), (4, 3), (32, 1), (1000, 5)])
+def test_best_equals_top_of_all(spark, tmp_path, share, k, monkeypatch):
+    """A bound from a part of the documents drops scores before they are sorted, none of the best."""
+    monkeypatch.setattr(search, "SHARE", share)
+    rng = random.Random(5)
+    docs = [(i, words(rng, rng.randint(1, 30), 60)) for i in range(300)] + [(300 + i, "same words here") for i in range(40)] + [(500, None), (501, "")]
+    asked = [(i, words(rng, rng.randint(1, 8), 60)) for i in range(8)] + [(20, "same here"), (21, None), (22, "nowhere")]
+    index = ix.build(spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path / "i"))
+    queries = spark.createDataFrame(asked, "item_id long, text string")
+    shown = lambda df: sorted((r.qid, r["rank"], r.doc_id, round(r.score, 9)) for r in df.collect())
+    best = search.best_k(index, queries, k)
+    assert plan_of(best).count("Exchange hashpartitioning") == 1
+    assert shown(best) == shown(search.top_k(search.bm25_scores(index, queries), k))
+
+
 def test_outputs_are_parsed_once(spark, tmp_path):
     """An optimized plan that repeats the parser for every field grows many times over, and so does the time for a row."""
     rows = spark.range(8).selectExpr("id AS event_id", "id AS user_id", "'click' AS event_type", "1.0D AS value", "'{}' AS props")
