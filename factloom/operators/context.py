@@ -15,9 +15,11 @@ def with_sentences(ranked: DataFrame, pages: DataFrame, per_page: int = MAX_SENT
     """(qid, rank, key, line, text, pos) of the first ``per_page`` stored sentences of each retrieved page.
 
     ``pages`` has (key, sentences: array of (line, text)); a page it doesn't hold gives no rows. The cut is by stored order.
+    From an explode that drops empty arrays Spark makes a filter on them, which would decode every page before the join; the outer one has none.
     """
     cut = pages.select(key, F.slice("sentences", 1, per_page).alias("sentences"))
-    return ranked.join(cut, key).select("qid", "rank", key, F.posexplode("sentences").alias("pos", "s")).select("qid", "rank", key, "s.line", "s.text", "pos")
+    each = ranked.join(cut, key).select("qid", "rank", key, F.posexplode_outer("sentences").alias("pos", "s")).where("pos is not null")
+    return each.select("qid", "rank", key, "s.line", "s.text", "pos")
 
 
 def contexts(rows: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryException
 
 from factloom.functions import stemming, text
-from factloom.operators import datasets, metrics, overlap, pruned, search, tablefunctions
+from factloom.operators import context, datasets, metrics, overlap, pruned, search, tablefunctions
 from factloom.operators import index as ix
-from factloom.plans import catalogue
+from factloom.plans import catalogue, views
 from factloom.plans.stemming_sql import stems_sql
 from factloom.sources import io
 from factloom.streaming import resume
@@ -98,6 +98,16 @@ def test_best_equals_top_of_all(spark, tmp_path, share, k, monkeypatch):
     assert shown(best) == shown(search.top_k(search.bm25_scores(index, queries), k))
 
 
+def test_only_shown_pages_are_decoded(spark, tmp_path):
+    """No filter on decoded sentences goes below the join with the pages that are shown."""
+    spark.createDataFrame([(i, f"one {i}\n\ntwo") for i in range(20)] + [(20, "")], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    ranked = spark.createDataFrame([(1, 1, 3), (1, 2, 20)], "qid long, rank int, doc_id long")
+    shown = context.with_sentences(ranked, views.sentences(spark.read.parquet(str(tmp_path / "d"))))
+    assert sorted((r.doc_id, r.line, r.text, r.pos) for r in shown.collect()) == [(3, 0, "one 3", 0), (3, 2, "two", 1)]
+    filters = [x for x in shown._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in x]
+    assert filters and not [x for x in filters if "split(" in x or "size(" in x]
+
+
 def test_outputs_are_parsed_once(spark, tmp_path):
     """An optimized plan that repeats the parser for every field grows many times over, and so does the time for a row."""
     rows = spark.range(8).selectExpr("id AS event_id", "id AS user_id", "'click' AS event_type", "1.0D AS value", "'{}' AS props")
