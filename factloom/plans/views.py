@@ -87,14 +87,19 @@ def title_table(docs: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def gold_pages(index_: ix.Index, docs: DataFrame, claims: DataFrame) -> DataFrame:
-    """(qid, doc_id): documents that hold a claim word for word. Candidates are those with the claim's rarest term; they are staged, so few meet the texts where these are read."""
+    """(qid, doc_id): documents that hold a claim word for word. Candidates are those with the claim's rarest term of those that don't reach its ends, where it may be
+    a part of a document's term; claims without such a term meet every text. Candidates are staged and few, so they go to where the texts are read."""
+    from ..functions.text import terms
     from ..operators.search import query_terms
 
-    asked = query_terms(claims, "item_id", "text")
+    inner = claims.withColumn("inner", F.regexp_replace("text", r"^[\p{L}\p{N}_]+|[\p{L}\p{N}_]+\z", ""))
+    asked, texts = query_terms(inner, "item_id", "inner"), docs.select("doc_id", "text")
     rarest = asked.join(index_.terms.select("term", "df"), "term").groupBy("qid").agg(F.min(F.struct("df", "term")).alias("r")).select("qid", "r.term")
-    near = staged(index_.postings.select("term", "doc_id").join(staged(rarest, "rarest"), "term"), "near")
-    both = near.join(claims.select(F.col("item_id").alias("qid"), F.col("text").alias("claim")), "qid").join(docs.select("doc_id", "text"), "doc_id")
-    return both.where(F.contains("text", F.col("claim"))).select("qid", "doc_id")
+    near = staged(index_.postings.select("term", "doc_id").join(staged(rarest, "rarest"), "term").select("qid", "doc_id"), "near")
+    said = inner.select(F.col("item_id").alias("qid"), F.col("text").alias("claim"), "inner")
+    both = texts.join(near, "doc_id").join(said.drop("inner"), "qid").where(F.contains("text", F.col("claim")))
+    bare = said.where((F.size(terms(F.col("inner"))) == 0) & F.col("claim").isNotNull())
+    return both.select("qid", "doc_id").unionByName(texts.join(bare, F.contains("text", F.col("claim"))).select("qid", "doc_id"))
 
 
 #: Outputs of a model made from the predictions: JSON after thinking, every eighth cut off, some with reasoning or a bad field.

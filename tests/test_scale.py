@@ -98,6 +98,14 @@ def test_best_equals_top_of_all(spark, tmp_path, share, k, monkeypatch):
     assert shown(best) == shown(search.top_k(search.bm25_scores(index, queries), k))
 
 
+def test_gold_pages_hold_claims_word_for_word(spark, tmp_path):
+    """A claim's ends may be parts of a text's words, and claims of one word or none have only ends."""
+    docs = spark.createDataFrame([(1, "xalpha mid omegax"), (2, "alpha mid omega"), (3, "mid alpha"), (4, "omega"), (5, None)], "doc_id long, text string")
+    claims = spark.createDataFrame([(1, "alpha mid omega"), (2, "pha"), (3, ""), (4, None), (5, "alpha gone omega")], "item_id long, text string")
+    found = views.gold_pages(ix.build(docs, str(tmp_path / "i")), docs, claims)
+    assert sorted((r.qid, r.doc_id) for r in found.collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (3, 1), (3, 2), (3, 3), (3, 4)]
+
+
 def test_only_shown_pages_are_decoded(spark, tmp_path):
     """No filter on decoded sentences goes below the join with the pages that are shown."""
     spark.createDataFrame([(i, f"one {i}\n\ntwo") for i in range(20)] + [(20, "")], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
