@@ -21,8 +21,8 @@ from .search import SLACK, kth_best, query_terms, top_k
 
 #: The share of the threshold that the bound of closed levels is brought under.
 SHARE = 0.5
-#: Postings of a query that give the first threshold, and documents that are scored for it, times k.
-FIRST, TRIED = 3000, 16
+#: Postings of a query that give the first threshold, at least so many and for each document so many, and documents that are scored for it, times k.
+FIRST, FIRST_SHARE, TRIED = 3000, 0.3, 16
 
 
 @dataclass
@@ -68,7 +68,8 @@ def pruned_top_k(index: Index, queries: DataFrame, k: int, id_col: str = "item_i
     summed = lambda rows: rows.groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score"), F.bit_or("bit").alias("mask"), F.count("*").alias("hits"))
 
     # The first threshold: exact scores of the best of a few postings.
-    first = stage(levels.where(F.col("seen") - F.col("n") < FIRST), "first")
+    enough = max(FIRST, FIRST_SHARE * index.corpus.first()["n"])
+    first = stage(levels.where(F.col("seen") - F.col("n") < enough), "first")
     tried = top_k(summed(hits(first)), TRIED * k)
     tried = stage(tried.select("qid", "doc_id", "hits"), "tried")
     terms = stage(levels.select("qid", "term", "w", "bit").distinct(), "terms")

@@ -116,6 +116,20 @@ def test_only_shown_pages_are_decoded(spark, tmp_path):
     assert filters and not [x for x in filters if "split(" in x or "size(" in x]
 
 
+def test_first_threshold_keeps_pace_with_copies(spark, tmp_path, monkeypatch):
+    """As a table grows, so do the postings that give the first threshold; with a fixed number of them most documents would stay candidates."""
+    monkeypatch.setattr(pruned, "FIRST", 20)
+    rng = random.Random(6)
+    texts = [words(rng, 40, 100) for _ in range(60)]
+    index = ix.build(spark.createDataFrame([(1000 * c + i, t) for c in range(20) for i, t in enumerate(texts)], "doc_id long, text string"), str(tmp_path / "i"))
+    queries = spark.createDataFrame([(i, words(rng, 10, 100)) for i in range(5)], "item_id long, text string")
+    found = pruned.pruned_top_k(index, queries, 3)
+    monkeypatch.setattr(pruned, "FIRST_SHARE", 0)
+    fixed = pruned.pruned_top_k(index, queries, 3)
+    assert found.rows.select("qid", "doc_id").exceptAll(fixed.rows.select("qid", "doc_id")).isEmpty()
+    assert found.read[3] < fixed.read[3]
+
+
 def test_outputs_are_parsed_once(spark, tmp_path):
     """An optimized plan that repeats the parser for every field grows many times over, and so does the time for a row."""
     rows = spark.range(8).selectExpr("id AS event_id", "id AS user_id", "'click' AS event_type", "1.0D AS value", "'{}' AS props")
